@@ -58,7 +58,7 @@ class Forest:
 def forest_search(queries: np.ndarray, items: np.ndarray, k: int, trees: int, share: float, seed: int):
     """Rows of queries, rows of items and exact products of the k best candidates and their ties."""
     forest, out = Forest(items, trees, seed), []
-    least = min(len(items), max(50 * k, int(share * len(items))))
+    least = min(trees * len(items), max(200 * k, int(share * len(items))))
     for at in range(0, len(queries), 256):
         part = queries[at : at + 256]
         for q, cols in enumerate(forest.candidates(part, least)):
@@ -74,7 +74,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, trees: int = 32
     Nearness is the inner product in double precision. All classes of equal vectors are dealt to blocks of about
     `item_block`; each block indexes every row it has in a forest, and the stated queries meet the forests block
     by block. In a block a query's trees ascend together, from the longest common prefix down, until `share` of the
-    block (counted once per tree) has been gathered; candidates are scored exactly. The planes are random, so nothing
+    block (counted once per tree; at least 200 k) has been gathered; candidates are scored exactly. The planes are random, so nothing
     is fitted. `share` sets recall against work; vectors with hardly any structure need most of it.
 
     Null and zero vectors and those with null, NaN or infinite components take no part; vectors of another length
