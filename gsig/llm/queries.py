@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, exact_topk, mixing, quality, secrets, urls
+from . import ann, bpe, exact_topk, lm, mixing, ngram_join, quality, secrets, urls
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -18,6 +18,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -27,6 +31,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.exact_topk(table(spark, sf_dir, "embeddings"))
 
@@ -44,11 +52,21 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op4_nearest, op5_quality, op7_topk, op8_bpe, op9_secrets, op10_urls)}
+    return {f.__name__: f for f in (op1_mixing, op3_lm, op4_nearest, op5_quality, op6_ngram_join, op7_topk, op8_bpe, op9_secrets, op10_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_ngram_join": r"""
+            with recursive words as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+            sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+                     else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) end as s from words),
+            grams as (select doc_id, unnest(s) as g from sets),
+            shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+            links as (select a, b from shared join sets x on x.doc_id = a join sets y on y.doc_id = b where n * 1.8 >= 0.8 * (len(x.s) + len(y.s)) - 1e-6),
+            both_ways as (select a, b from links union all select b, a from links),
+            walk as (select doc_id as a, doc_id as b from documents union select w.a, l.b from walk w join both_ways l on w.b = l.a)
+            select d.doc_id, (select min(b) from walk where walk.a = d.doc_id) as class_id, (select count(*) from both_ways where both_ways.a = d.doc_id) as n_links from documents d""",
         "op7_topk": """
             with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as x from embeddings),
             p as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) as bigint) as score
