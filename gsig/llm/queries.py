@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, exact_topk, lm, mixing, ngram_join, quality, secrets, urls
+from . import ann, bpe, exact_topk, line_dedup, lm, mixing, ngram_join, quality, secrets, urls
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -18,6 +18,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op3_lm, op4_nearest, op5_quality, op6_ngram_join, op7_topk, op8_bpe, op9_secrets, op10_urls)}
+    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_lm, op4_nearest, op5_quality, op6_ngram_join, op7_topk, op8_bpe, op9_secrets, op10_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
