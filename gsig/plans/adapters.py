@@ -98,7 +98,7 @@ VIEWS = {
     "bins": "select l_linestatus as contig, l_partkey // 10 as pos, count(*) filter (l_returnflag = 'R') as ip_count, count(*) filter (l_returnflag = 'A') as ctrl_count from lineitem group by 1, 2",
     "signal": "select event_type as contig, row_number() over (partition by event_type order by event_id) - 1 as pos, round(value * 100) as value from events",
     "tracks": "select l_returnflag as track, l_linestatus as contig, l_partkey as pos, sum(l_quantity) as value from lineitem group by 1, 2, 3",
-    "intervals_a": f"""select o_orderkey as id, o_orderstatus as contig, {_DAY.format("o_orderdate")} as start, {_DAY.format("o_orderdate")} + 1 + o_custkey % 30 as "end", length(o_orderpriority) as score from orders""",
+    "intervals_a": f"""select o_orderkey as id, o_orderstatus as contig, {_DAY.format("o_orderdate")} as start, {_DAY.format("o_orderdate")} + 1 + o_custkey % 30 as "end", cast(length(o_orderpriority) as integer) as score from orders""",
     "intervals_b": f"""select distinct case when l_linestatus = 'O' then 'O' else 'F' end as contig, {_DAY.format("l_shipdate")} as start, {_DAY.format("l_shipdate")} + 1 + l_partkey % 20 as "end" from lineitem""",
     "preds": "select doc_id as id, quality = 1 as label, cast(doc_id * 7919 % 1000 as double) / 1000 as pred from labels",
     "contrib": "select label as contig, vec_id as win_start, embedding as grads from embeddings",
