@@ -35,8 +35,8 @@ def kmer_counts_by_seq(rows: DataFrame, k: int, with_n: bool = False) -> DataFra
     return kmers(rows, k, with_n).groupBy("contig", "kmer").agg(F.count("*").alias("n"))
 
 
-def sliding_kmer_counts(rows: DataFrame, k: int, size: int) -> DataFrame:
-    """contig, start, kmer, n in every window of `size` bases in which the k-mer occurs: runs of equal counts, then positions.
+def sliding_kmer_runs(rows: DataFrame, k: int, size: int) -> DataFrame:
+    """contig, kmer, n, start, end: runs of starts of windows of `size` bases that hold the k-mer n times.
 
     A k-mer at p is in the windows that start at p + k - size .. p; it enters at one and leaves after the other, so the counts
     are running sums of entries and exits.
@@ -48,7 +48,12 @@ def sliding_kmer_counts(rows: DataFrame, k: int, size: int) -> DataFrame:
     moves = at.filter(enter <= F.col("_last")).select("contig", "kmer", F.explode(edges).alias("e")).groupBy("contig", "kmer", "e.p").agg(F.sum("e.d").alias("d"))
     w = W.partitionBy("contig", "kmer").orderBy("p")
     runs = moves.withColumn("n", F.sum("d").over(w)).withColumn("until", F.lead("p").over(w)).filter("n > 0")
-    return runs.select("contig", "kmer", "n", F.explode(F.sequence(F.col("p"), F.col("until") - 1)).alias("start"))
+    return runs.select("contig", "kmer", "n", F.col("p").alias("start"), F.col("until").alias("end"))
+
+
+def sliding_kmer_counts(rows: DataFrame, k: int, size: int) -> DataFrame:
+    """contig, kmer, n, start: one row for every window in which a k-mer occurs."""
+    return sliding_kmer_runs(rows, k, size).select("contig", "kmer", "n", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("start"))
 
 
 def expected_kmers(bases: DataFrame, k: int) -> DataFrame:

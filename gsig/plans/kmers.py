@@ -25,10 +25,9 @@ def kmer_counts_by_seq(t):
 
 
 @query("""with k as (select contig, i as s, substring(seq, cast(i + 1 as bigint), 2) as kmer, length(seq) - 12 as last from (select contig, seq, unnest(range(0, length(seq) - 1)) as i from genome)),
-    w as (select contig, kmer, unnest(range(greatest(0, s - 10), least(s, last) + 1)) as start from k where kmer not like '%N%')
-    select contig, kmer, count(*) as n, cast(start as integer) as start from w group by contig, kmer, start""")
+    w as (select contig, kmer, least(s, last) + 1 - greatest(0, s - 10) as n from k where kmer not like '%N%' and greatest(0, s - 10) <= last) select contig, kmer, cast(sum(n) as bigint) as total from w group by 1, 2""")
 def sliding_kmer_counts(t):
-    return op.sliding_kmer_counts(t.genome, 2, 12)
+    return op.sliding_kmer_runs(t.genome, 2, 12).groupBy("contig", "kmer").agg(F.sum(F.col("n") * (F.col("end") - F.col("start"))).alias("total"))
 
 
 @query("""with n as (select unnest(['A','C','G','T']) as base, unnest([a, c, g, t]) as n from (select """ + ", ".join(f"sum(length(seq) - length(replace(seq, '{b}', ''))) as {b.lower()}" for b in "ACGT") + """ from genome)), f as (select base, cast(n as double) / sum(n) over () as f from n)
@@ -61,11 +60,12 @@ def window_kmers(t):
     return op.window_kmers(t.genome, 3, 50).withColumn("kmers", text)
 
 
-@query("""with w as (select contig, cast(i as integer) as start, substring(seq, cast(i + 1 as bigint), 20) as s from (select contig, seq, unnest(range(0, length(seq) - 19)) as i from genome))
-    select contig, start, round(coalesce(cast(40 - length(replace(s, 'G', '')) - length(replace(s, 'C', '')) as double) / nullif(length(replace(s, 'N', '')), 0), 0.38), 9) as gc, cast((start + 10) * 37 % 101 as double) as value from w""")
+@query("""with w as (select contig, i as start, substring(seq, cast(i + 1 as bigint), 20) as s from (select contig, seq, unnest(range(0, length(seq) - 19)) as i from genome)),
+    g as (select contig, coalesce(cast(40 - length(replace(s, 'G', '')) - length(replace(s, 'C', '')) as double) / nullif(length(replace(s, 'N', '')), 0), 0.38) as gc, cast((start + 10) * 37 % 101 as double) as value from w)
+    select contig, count(*) as n, round(avg(gc), 6) as gc, sum(value) as value, round(corr(gc, value), 5) as corr from g group by 1 having count(*) > 30""")
 def sliding_summary(t):
-    out = op.sliding_summary(t.genome, sig(t), 20)
-    return out.select("contig", F.col("start").cast("int").alias("start"), F.round("gc", 9).alias("gc"), "value")
+    out = op.sliding_summary(t.genome, sig(t), 20).groupBy("contig")
+    return out.agg(F.count("*").alias("n"), F.round(F.avg("gc"), 6).alias("gc"), F.sum("value").alias("value"), F.round(F.corr("gc", "value"), 5).alias("corr")).filter("n > 30")
 
 
 GROUPS = f"{K3}, g as (select kmer, count(*) filter (contig % 2 = 0) as high, count(*) filter (contig % 2 = 1) as low from k where kmer not like '%N%' group by 1)"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import adapters
 
-MODULES = ("reads", "sequences", "windows", "intervals", "fragments", "tracks", "kmers")
+MODULES = ("reads", "sequences", "windows", "intervals", "fragments", "tracks", "kmers", "stats", "sampling", "scoring")
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
 
