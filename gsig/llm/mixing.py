@@ -76,8 +76,8 @@ def leaves(quota: list[int], shards: int, first: int, last: int, seed: int) -> I
         nodes += [(mid, hi, start + take, counts - take), (lo, mid, start, take)]
 
 
-def mix(rows: DataFrame, weights: tuple = WEIGHTS, most: int = 3, block_words: int | None = 256, shard_blocks: int = 4096, bucket: int = 65536, seed: int = 7) -> DataFrame:
-    """The mix of sized() rows: shard, position, key, copy, block, pass, words taken (from the block's start).
+def mix(rows: DataFrame, src: DataFrame, block_words: int | None = 256, shard_blocks: int = 4096, bucket: int = 65536, seed: int = 7) -> DataFrame:
+    """The mix of sized() rows to the targets() of their sources: shard, position, key, copy, block, pass, words taken (from the block's start).
 
     A document is cut into blocks of `block_words` words (None: one block). A source whose target is t times its
     size gives all its blocks floor(t) times and, in one more permuted pass, blocks until the target is
@@ -90,7 +90,7 @@ def mix(rows: DataFrame, weights: tuple = WEIGHTS, most: int = 3, block_words: i
     with a third of all rows is not ordered in one task. Sources: one row each. Empty documents have no blocks. The same
     input gives the same mix in any partitioning.
     """
-    src = checkpointed(targets(rows, weights, most).withColumn("goal", F.round("target").cast("long")))
+    src = src.withColumn("goal", F.round("target").cast("long"))
     word = F.lit(block_words or 1)
     n_blocks = F.ceil(F.col("size") / word) if block_words else F.lit(1).cast("long")
     blocks = rows.filter("size > 0").select("source", "key", "copy", "size", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("block"))
@@ -122,7 +122,7 @@ def mix(rows: DataFrame, weights: tuple = WEIGHTS, most: int = 3, block_words: i
     root = quotas.agg(F.array_sort(F.collect_list(F.struct("source_no", "q"))).alias("quota"), F.sum("q").alias("all")).filter("all > 0")
     n_shards = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("all") / shard_blocks)))).cast("long")
     each = 64
-    tasks = root.withColumn("shards", n_shards).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1, F.lit(each).cast("long")))).repartition("first")
+    tasks = root.withColumn("shards", n_shards).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1, F.lit(each).cast("long")))).repartition(32)
 
     def expand(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -151,23 +151,24 @@ def join_source(rows: DataFrame, src: DataFrame) -> DataFrame:
     return rows.join(s, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
 
 
-def mix_report(docs: DataFrame, **options) -> DataFrame:
+def mix_report(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, draws, first_shard, first_position.
 
     Null texts and texts without words have size 0 and taken 0; rows that repeat a document are documents of their own.
     An empty table gives no rows. Extra columns are not read.
     """
     rows = checkpointed(sized(docs))
-    mixed = mix(rows, **options)
+    src = checkpointed(targets(rows, weights, most))
+    mixed = mix(rows, src, **options)
     taken = mixed.groupBy("key", "copy").agg(F.sum("taken").alias("taken"), F.count("*").alias("draws"), F.min(F.struct("shard", "position")).alias("first"))
-    out = join_source(rows, targets(rows, options.get("weights", WEIGHTS), options.get("most", 3))).join(taken, ["key", "copy"], "left")
+    out = join_source(rows, src).join(taken, ["key", "copy"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("draws", F.lit(0)).alias("draws"), F.col("first.shard").alias("first_shard"), F.col("first.position").alias("first_position"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, **options) -> DataFrame:
     """The documents of the mix, whole, with their own columns; one that is taken twice is there twice, one not taken is absent."""
     rows = checkpointed(sized(docs))
-    mixed = mix(rows, block_words=None, **options)
+    mixed = mix(rows, checkpointed(targets(rows, weights, most)), block_words=None, **options)
     own = docs.withColumn("__key", F.xxhash64("doc_id", "source", "text"))
     own = own.withColumn("__copy", F.row_number().over(W.partitionBy("__key").orderBy("doc_id")))
     wanted = mixed.select(F.col("key").alias("__key"), F.col("copy").alias("__copy"))
