@@ -87,7 +87,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, trees: int = 32
 
     def search(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(items):
-            return pd.DataFrame({"class_id": [], "score": [], "ids": []})
+            return best_of(queries, items, np.zeros(0, int), np.zeros(0, int), np.zeros(0, float), k)
         rows, cols, scores = forest_search(np.stack(queries["q_vector"]), np.stack(items["vector"]), k + 1, trees, share, seed)
         return best_of(queries, items, rows, cols, scores, k)
 

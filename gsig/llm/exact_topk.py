@@ -90,7 +90,7 @@ def exact_topk(embeddings: DataFrame, every: int = 100, k: int = 10, scale: int
 
     def search(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(items):
-            return pd.DataFrame({"class_id": [], "score": [], "ids": []})
+            return best_of(queries, items, np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), k)
         rows, cols, scores = block_search(np.stack(queries["q_vector"]), np.stack(items["vector"]), k + 1)
         return best_of(queries, items, rows, cols, scores, k)
 
@@ -112,12 +112,12 @@ def blocks(embeddings: DataFrame, classes: DataFrame, members: DataFrame, every:
 
 def best_of(queries: pd.DataFrame, items: pd.DataFrame, rows: np.ndarray, cols: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
     """The k + 1 best (rows, cols, scores) of each query row, ties to the class whose smallest id is smaller."""
-    first = items["ids"].map(lambda x: x[0]).to_numpy()
+    first = np.array([x[0] for x in items["ids"]], np.int64)
     order = np.lexsort((first[cols], -scores, rows))
     rows, cols, scores = rows[order], cols[order], scores[order]
     starts = np.flatnonzero(np.r_[True, np.diff(rows) != 0]) if len(rows) else np.zeros(0, int)
     kept = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)])) <= k
-    return pd.DataFrame({"class_id": queries["q_class"].to_numpy()[rows[kept]], "score": scores[kept], "ids": items["ids"].to_numpy()[cols[kept]]})
+    return pd.DataFrame({"class_id": queries["q_class"].to_numpy()[rows[kept]], "score": scores[kept], "ids": items["ids"].to_numpy(object)[cols[kept]]}, index=range(kept.sum()))
 
 
 def ranked(found: DataFrame, members: DataFrame, k: int) -> DataFrame:

@@ -1,0 +1,394 @@
+"""Operators of the training-data pipeline against brute force, round trips and held-out labels, and their edge cases."""
+
+import base64
+import hashlib
+import json
+import math
+import random
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from gsig.llm import ann, bpe, exact_topk, line_dedup, lm, mixing, ngram_join, quality, queries, secrets, urls
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, score double, pos int"
+
+
+def docs_of(spark, rows):
+    """Documents with extra columns whose names clash with inner ones."""
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), "k", 1.0, 2) for i, t, s in rows], SCHEMA)
+
+
+ODD = [(1, None, "a"), (2, "", "a"), (3, "one two three four five six seven", "b"), (3, "one two three four five six seven", "b"), (4, "one two three four five six seven", None), (None, "x y\nx y\n\n", "b"), (5, "long " * 30_000 + "end", "c"), (6, "é\u2003ß\u00a0z", "c")]
+
+
+@pytest.fixture(scope="module")
+def sample(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def words(text):
+    return (text or "").encode().lower().split()
+
+
+def test_mixing(spark, sample):
+    out = mixing.mix_report(sample).toPandas()
+    g = out.groupby(out.doc_id.map(dict(sample.select("doc_id", "source").collect()))).agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"))
+    assert (abs(g.target - g.taken) <= 0.5 + 1e-6).all()
+    assert g.target.sum() == pytest.approx(g["size"].sum())
+    assert (out.taken <= 3 * out["size"]).all()
+    assert (g.target <= 3 * g["size"] + 1e-6).all()
+    again = mixing.mix_report(sample.repartition(7)).toPandas()
+    order = lambda d: d.sort_values("doc_id").reset_index(drop=True)
+    pd.testing.assert_frame_equal(order(out), order(again))
+
+
+def test_targets_by_hand(spark):
+    rows = spark.createDataFrame([("a", 10), ("b", 100), ("c", 100), (None, 0)], "source string, size long").withColumn("key", F.lit(1))
+    got = {r.source: r.target for r in mixing.targets(rows).collect()}
+    assert got["a"] == 30 and got[None] == 0
+    assert got["b"] == pytest.approx(180 * 2 / 3) and got["c"] == pytest.approx(60)
+
+
+def test_splitting_tree_is_exact():
+    quota = [1000, 30, 0, 7]
+    seen = list(mixing.leaves(quota, 16, 0, 15, 1))
+    assert [s for s, _, _ in seen] == list(range(16))
+    assert (sum(c for _, _, c in seen) == quota).all()
+    at = np.zeros(4, int)
+    for _, start, counts in seen:
+        assert (start == at).all()
+        at = at + counts
+    assert max(int(c.sum()) for _, _, c in seen) - min(int(c.sum()) for _, _, c in seen) <= 1
+    part = list(mixing.leaves(quota, 16, 8, 11, 1))
+    assert all((a[2] == b[2]).all() for a, b in zip(part, seen[8:12], strict=True))
+
+
+def test_mix_positions_are_whole(spark, sample):
+    rows = mixing.sized(sample)
+    out = mixing.mix(rows, mixing.targets(rows), shard_blocks=32).toPandas()
+    for _, part in out.groupby("shard"):
+        assert sorted(part.position) == list(range(1, len(part) + 1))
+    assert not out.duplicated(["key", "copy", "block", "pass"]).any()
+    assert out.shard.nunique() > 4
+
+
+def test_mixing_odd(spark):
+    rows = {(r.doc_id, r.size) for r in mixing.mix_report(docs_of(spark, ODD)).collect()}
+    assert (1, 0) in rows and (2, 0) in rows and (5, 30_001) in rows and (6, 1) in rows
+    assert mixing.mix_report(docs_of(spark, [])).count() == 0
+    assert mixing.mixed_documents(docs_of(spark, ODD)).columns == docs_of(spark, []).columns
+
+
+def removed_plainly(rows, t=0.8):
+    seen, out = [], {}
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        gone = []
+        for k, line in enumerate(text.split("\n")):
+            s = frozenset(words(line))
+            if s:
+                if any(len(s & x) >= t * len(s | x) - 1e-9 for x in seen):
+                    gone.append(k)
+                seen.append(s)
+        out[i] = gone
+    return out
+
+
+def test_line_dedup_brute_force(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(60)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.choice((1, 3, 8, 20)))] for _ in range(25)]
+    rows = []
+    for i in range(60):
+        lines = []
+        for _ in range(rng.randint(1, 5)):
+            line = list(rng.choice(base))
+            for _ in range(rng.choice((0, 0, 1, 2))):
+                line[rng.randrange(len(line))] = rng.choice(vocabulary)
+            lines.append(" ".join(line) if rng.random() < 0.8 else "  ".join(line).upper())
+        rows.append((i, "\n".join(lines)))
+    got = {r.doc_id: list(r.removed) for r in line_dedup.report(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert got == removed_plainly(rows)
+
+
+def test_line_dedup_odd(spark):
+    got = {(r.doc_id, r.n_lines, tuple(r.removed)) for r in line_dedup.report(docs_of(spark, ODD)).collect()}
+    assert got == {(1, 0, ()), (2, 1, ()), (3, 1, ()), (4, 1, (0,)), (None, 4, (1,)), (5, 1, ()), (6, 1, ())}
+    assert line_dedup.report(docs_of(spark, [])).count() == 0
+    kept = line_dedup.without_repeats(docs_of(spark, ODD))
+    assert kept.columns == docs_of(spark, []).columns
+    assert 4 not in {r.doc_id for r in kept.collect()}
+
+
+def plain_scores(rows, d=(0, 0.9, 1.2, 1.5)):
+    count, following = Counter(), {}
+    for i, text in rows:
+        if zlib.crc32(b"" if i is None else str(i).encode()) % 10:
+            p = None
+            for w in [*words(text), 0]:
+                count[w] += 1
+                following.setdefault(p, Counter())[w] += 1
+                p = w
+    n, v, out = sum(count.values()), len(count), []
+    for i, text in rows:
+        base, model, p = 0.0, 0.0, None
+        for w in [*words(text), 0]:
+            share = (count[w] + 0.1) / (n + 0.1 * (v + 1))
+            base += math.log10(share)
+            h = following.get(p)
+            model += math.log10((h[w] - d[min(h[w], 3)]) / sum(h.values()) + sum(d[min(k, 3)] for k in h.values()) / sum(h.values()) * share) if h else math.log10(share)
+            p = w
+        out.append((i, len(words(text)) + 1, sum(count[w] > 0 for w in [*words(text), 0]), n, round(base, 6), round(model, 6)))
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 20_000}])
+def test_lm_brute_force(spark, sample, options):
+    rows = [(r.doc_id, r.text) for r in sample.select("doc_id", "text").collect()]
+    got = lm.score_documents(sample, **options).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == sorted(plain_scores(rows))
+    held = [r for r in got if r.held_out]
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 10 == 0 for r in held)
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_lm_odd(spark):
+    got = lm.score_documents(docs_of(spark, ODD)).collect()
+    key = lambda r: repr(r)
+    assert sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got), key=key) == sorted(plain_scores([x[:2] for x in ODD]), key=key)
+    assert lm.score_documents(docs_of(spark, [])).count() == 0
+
+
+def test_lm_probabilities_sum_to_one():
+    following = {None: Counter(a=3, b=1), "a": Counter(b=2, c=1)}
+    d = (0, 0.9, 1.2, 1.5)
+    share = {"a": 0.5, "b": 0.3, "c": 0.2}
+    for h in following.values():
+        left = sum(d[min(k, 3)] for k in h.values()) / sum(h.values())
+        assert sum((h[w] - d[min(h[w], 3)]) / sum(h.values()) + left * share[w] for w in share) == pytest.approx(1)
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, label int, ids string")
+
+
+def test_nearest_recall(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((4000, 32)).astype("f4")
+    got = ann.nearest(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), item_block=1500).toPandas()
+    hits = 0
+    for q, part in got.groupby("query_id"):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        assert np.abs(s[part.vec_id] - part.score).max() < 1e-9
+        hits += len(set(np.argsort(-s)[:20]) & set(part.vec_id))
+        assert list(part.sort_values("rank").score) == sorted(part.score, reverse=True)
+    assert hits / len(got) > 0.9
+    assert len(got) == 200 * 20
+
+
+ODD_VECTORS = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [1.0, None]), (100, [0.5, 0.5]), (6, [1.0]), (7, []), (8, [1.0, 0.0]), (8, [1.0, 0.0])]
+
+
+def test_nearest_odd(spark):
+    got = ann.nearest(vectors(spark, ODD_VECTORS)).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0] == [(8, 1.0), (20, 1.0), (100, 0.5)]
+    assert ann.nearest(vectors(spark, [])).count() == 0
+
+
+def test_topk_equals_sql(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (900, 24)).astype("f4") / 8
+    x[100:200] = x[100]
+    frame = pd.DataFrame({"vec_id": range(900), "embedding": list(x)})
+    c = duckdb.connect()
+    c.register("embeddings", frame)
+    expected = [tuple(r) for r in c.sql(f"select * from ({queries.oracle_sql()['op7_topk']}) order by 1, 2").fetchall()]
+    got = exact_topk.exact_topk(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), query_block=4, item_block=200)
+    assert [tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").orderBy("query_id", "rank").collect()] == expected
+
+
+def test_topk_odd(spark):
+    got = exact_topk.exact_topk(vectors(spark, ODD_VECTORS)).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0] == [(8, 1 << 20), (20, 1 << 20), (100, 1 << 19), (2, 0)]
+    assert exact_topk.exact_topk(vectors(spark, [])).count() == 0
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(1)
+    q, x = rng.integers(-50, 50, (20, 30)).astype(float), rng.integers(-50, 50, (200, 30)).astype(float)
+    last = None
+    for n in (1, 2, 4, 8, 16):
+        b = exact_topk.bounds(exact_topk.segment_stats(q, n), exact_topk.segment_stats(x, n))
+        assert (b >= q @ x.T - 1e-6).all()
+        assert last is None or b.mean() <= last
+        last = b.mean()
+
+
+def test_quality_on_held_out(spark):
+    out = quality.classify(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    known = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    held = out.filter("held_out").join(known, "doc_id").select("predicted", "quality").collect()
+    assert sum(r.predicted == r.quality for r in held) / len(held) > 0.95
+    assert all(quality.crc_check(r.doc_id) == r.held_out for r in out.select("doc_id", "held_out").collect())
+
+
+def test_quality_odd(spark):
+    labels = spark.createDataFrame([(3, 1, 0), (5, 0, 0), (3, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    out = quality.classify(docs_of(spark, ODD), labels).collect()
+    assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out)
+    none = quality.classify(docs_of(spark, ODD), labels.filter("false")).collect()
+    assert {r.score for r in none} == {0.5}
+    assert quality.classify(docs_of(spark, []), labels).count() == 0
+
+
+def test_marginals_by_enumeration():
+    rng = np.random.default_rng(1)
+    pot, moves = rng.standard_normal((4, 2)), rng.standard_normal((2, 2))
+    p, _, norm = quality.marginals(pot, moves)
+    total, good = 0.0, np.zeros(4)
+    for code in range(16):
+        y = [code >> i & 1 for i in range(4)]
+        w = math.exp(sum(pot[i, y[i]] for i in range(4)) + sum(moves[a, b] for a, b in zip(y, y[1:], strict=False)))
+        total += w
+        good += w * np.array(y)
+    assert norm == pytest.approx(math.log(total))
+    assert p[:, 1] == pytest.approx(good / total)
+
+
+def test_ngram_join_equals_sql(spark, sample):
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    expected = sorted(c.sql(queries.oracle_sql()["op6_ngram_join"]).fetchall())
+    for block in (512, 2):
+        got = ngram_join.join(sample, block=block).select("doc_id", "class_id", "n_links").collect()
+        assert sorted(map(tuple, got)) == expected
+    assert sum(r[2] > 0 for r in expected) > 10
+
+
+def test_ngram_join_counts_a_large_group_in_blocks(spark):
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        w[rng.randrange(120)] = f"new{i}"
+        rows.append((i, " ".join(w), "s"))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for _, t, _ in rows]
+    links = [sum(len(a & b) >= 0.8 * len(a | b) for b in sets) - 1 for a in sets]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join(docs_of(spark, rows), block=8).collect()}
+    assert got == {i: (0, n) for i, n in enumerate(links)}
+
+
+def test_ngram_join_odd(spark):
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.join(docs_of(spark, ODD)).collect())
+    assert got == Counter([(1, 1, 0), (2, 2, 0), (3, 3, 2), (3, 3, 2), (4, 3, 2), (None, None, 0), (5, 5, 0), (6, 6, 0)])
+    kept = ngram_join.one_of_each(docs_of(spark, ODD))
+    assert kept.columns == docs_of(spark, []).columns
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 2, 3, 5, 6]
+    assert ngram_join.join(docs_of(spark, [])).count() == 0
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201)], "a long, b long")
+    got = {r.node: r.root for r in ngram_join.components(edges, "a", "b").collect()}
+    assert got == {**{i: 0 for i in range(1, 101)}, 201: 200}
+
+
+@pytest.fixture(scope="module")
+def codec():
+    with open(queries.RANKS, "rb") as f:
+        ranks = bpe.ranks_of(f.read())
+    return bpe.Codec(ranks, public_tokenizers.PATTERN), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_library(codec):
+    own, library = codec
+    rng = random.Random(1)
+    letters = ["abcdeonthisr", "aA", "-=_.", "éñß漢字\U0001f600 ", " \n\t", "0123456789"]
+    for _ in range(600):
+        text = "".join(rng.choice(rng.choice(letters)) for _ in range(rng.randint(0, 50))) if rng.random() < 0.5 else "".join(rng.choice(rng.choice(letters[:3])) for _ in range(rng.randint(1, 3))) * rng.randint(1, 150)
+        ids = own.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+        assert own.decode(ids) == text.encode()
+
+
+def test_bpe_join_is_associative(codec):
+    own, _ = codec
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b, c = (own.tree(bytes(rng.choice(b"anthero") for _ in range(rng.randint(0, 60)))) for _ in range(3))
+        assert own.join(own.join(a, b), c) == own.join(a, own.join(b, c))
+
+
+def test_bpe_odd(spark, codec):
+    rows = {(r.doc_id, r.n_tokens): r for r in bpe.encode_documents(docs_of(spark, ODD), queries.RANKS, public_tokenizers.PATTERN, digest=True).collect()}
+    assert rows[1, 0].ids_sha256 == rows[2, 0].ids_sha256 == hashlib.sha256(b"").hexdigest()
+    out = bpe.encode_documents(docs_of(spark, ODD), queries.RANKS, public_tokenizers.PATTERN).collect()
+    for r in out:
+        assert list(r.ids) == codec[1].encode_ordinary(r.text or "")
+    assert bpe.encode_documents(docs_of(spark, []), queries.RANKS, public_tokenizers.PATTERN, digest=True).count() == 0
+
+
+def der(*parts):
+    body = b"".join(parts)
+    return b"\x30" + (bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")) + body
+
+
+KEY = der(b"\x02\x01\x00", der(b"\x06\x03\x2a\x03\x04", b"\x05\x00"), b"\x04\x40" + bytes(range(64)))
+
+
+def test_secrets_base_and_confirmed():
+    token = ".".join(base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=") for x in ({"alg": "HS256", "typ": "JWT"}, {"sub": "1"})) + ".c2ln"
+    text = f"""é Password = 'hunter22x' token:short AKIA{"A" * 12} AKIA1 {"0a" * 16} {token} {base64.b64encode(KEY).decode()} {KEY.hex()}"""
+    got = secrets.said(secrets.base_spans(text) + secrets.confirmed_spans(text)).split(",")
+    kinds = [x.split(":")[0] for x in got]
+    assert kinds == ["assign", "access", "hex", "signed", "der64", "hex", "derhex"]
+    for x in got:
+        kind, a, b = x.split(":")
+        part = text[int(a) : int(b)]
+        right = {"assign": lambda p: p == "Password = 'hunter22x", "access": lambda p: p == "AKIA" + "A" * 12, "hex": lambda p: set(p) <= set("0123456789abcdef"), "signed": lambda p: p == token, "der64": lambda p: base64.b64decode(p) == KEY, "derhex": lambda p: bytes.fromhex(p) == KEY}
+        assert right[kind](part)
+    assert secrets.confirmed_spans(base64.b64encode(KEY[:-1]).decode()) == []
+    assert secrets.confirmed_spans("eyJhbGciOjF9.eyJhbGciOjF9.x " + "MIIB" + "A" * 60) == []
+    assert secrets.base_spans("ſecret=aaaaaaaaaa to\u212aen=aaaaaaaaaa") == []
+    pem = f"-----BEGIN PRIVATE KEY-----\n{base64.encodebytes(KEY).decode()}-----END PRIVATE KEY-----"
+    assert secrets.said(secrets.confirmed_spans(pem)) == f"pem:0:{len(pem)}"
+
+
+def test_secrets_odd(spark):
+    got = secrets.scan(docs_of(spark, [*ODD, (9, "api_key: abcdefgh", "z")])).collect()
+    assert len(got) == len(ODD) + 1
+    assert [(r.n_assign, r.spans) for r in got if r.doc_id == 9] == [(1, "assign:0:17")]
+    assert {r.base_sha256 for r in got if r.doc_id == 1} == {hashlib.sha256(b"").hexdigest()}
+    assert secrets.scan(docs_of(spark, [])).count() == 0
+
+
+def test_urls(spark):
+    rows = [(1, "http://A.Example.NET/en/x?y"), (2, "https://q.net"), (3, "x://q.net/"), (4, None), (5, "no scheme"), (6, "http://example.com/de/1#a"), (7, "http://fr.org/fr/"), (8, "http://notnet/"), (9, "http://h.com?u=http://z.net/"), (1, "http://A.Example.NET/en/x?y")]
+    pages = spark.createDataFrame([(i, u, "<p>", "r") for i, u in rows], "page_id long, url string, html string, rule string")
+    got = {r.page_id: r for r in urls.judge(pages).collect()}
+    assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("a.example.net", "/en/x", "example.net/en/", "allow")
+    assert (got[2].host, got[2].path, got[2].rule) == ("q.net", "", None)
+    assert (got[3].rule, got[3].verdict) == ("net/", "block")
+    assert (got[4].host, got[4].path, got[5].host) == ("", "", "")
+    assert got[6].rule == "example.com/de/" and got[7].verdict == "allow" and got[8].rule is None
+    assert (got[9].host, got[9].path) == ("h.com", "")
+    assert all(r.verdict in ("allow", "block") for r in got.values())
+    assert urls.judge(pages.filter("false")).count() == 0
+
+
+def test_url_model_learns_its_labels(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    out = urls.judge(pages)
+    assert out.count() == pages.count()
+    unknown = out.filter("rule is null")
+    assert unknown.filter("block_score is null").count() == 0
