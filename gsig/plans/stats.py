@@ -51,7 +51,7 @@ def genome_enrichment(t):
     return shown(op.genome_enrichment(f.filter("sample = 'R'"), f.filter("sample = 'A'"), fragment_lengths(t), 25, alpha=0.5))
 
 
-@query(f"with b as (select contig, pos, 2 * ip_count as ip_count, 2 * ctrl_count as ctrl_count from bins), {TAIL}, {TESTED}, {BH} select contig, pos, cast(ip_count as bigint) as ip_count, cast(ctrl_count as bigint) as ctrl_count, {FULL} from q")
+@query(f"with b as (select contig, pos, 2 * ip_count as ip_count, 2 * ctrl_count as ctrl_count from bins), {TAIL}, {TESTED}, {BH} select contig, pos, cast(ip_count as bigint) as ip_count, cast(ctrl_count as bigint) as ctrl_count, {FULL.replace('0.5', '0.05')} from q")
 def pool_experiments(t):
     return shown(op.pool_experiments(t.bins, t.bins))
 
