@@ -49,7 +49,7 @@ def gc_content(seq: Column) -> Column:
     return F.when(known > 0, count_of(seq, "GC").cast("double") / known)
 
 
-def find_motif(rows: DataFrame, motif: str, chunk: int = 4096) -> DataFrame:
+def find_motif(rows: DataFrame, motif: str, chunk: int = 512) -> DataFrame:
     """contig, pos, strand of all overlapping hits of a motif and its reverse complement; a palindrome is forward only.
 
     Sequences are read in chunks with the motif's length less one of halo, so long contigs are spread over tasks.
@@ -70,7 +70,7 @@ def find_orfs(rows: DataFrame) -> DataFrame:
     per contig and strand over the candidates alone.
     """
     strands = rows.select("contig", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("seq")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("seq")).alias("seq")))).alias("x")).select("contig", "x.*")
-    chunk = 4096
+    chunk = 255
     parts = strands.filter(F.length("seq") >= 3).select("contig", "strand", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 3, F.lit(chunk))).alias("at"))
     parts = parts.select("contig", "strand", "at", F.substring("seq", F.col("at") + 1, F.lit(chunk + 2)).alias("part"))
     codons = parts.select("contig", "strand", "at", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("part") - 2), lambda i: F.substring(F.col("part"), i, F.lit(3)))).alias("i", "codon"))

@@ -13,8 +13,11 @@ from .sequences import count_of
 KEYS = ["contig"]
 
 
-def sliding_windows(rows: DataFrame, size: int, stride: int = 1, chunk: int = 4096) -> DataFrame:
-    """contig, start, seq: all windows of a size, every `stride` positions. Long contigs are cut in chunks with halo."""
+def sliding_windows(rows: DataFrame, size: int, stride: int = 1, chunk: int = 256) -> DataFrame:
+    """contig, start, seq: all windows of a size, every `stride` positions.
+
+    Contigs are cut in chunks with halo; small ones, as finding a character takes time that grows with its place.
+    """
     step = max(stride, chunk // stride * stride)
     chunks = rows.filter(F.length("seq") >= size).select("contig", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - size, F.lit(step))).alias("at"))
     chunks = chunks.select("contig", "at", F.substring("seq", F.col("at") + 1, F.lit(step + size - 1)).alias("part"))
