@@ -96,9 +96,9 @@ def log(t):
     return o.select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("epoch"), (F.col("o_totalprice") / 1e6).alias("mae"), ((F.col("o_custkey") % 97).cast("double") / 100).alias("correlate"), (F.col("o_totalprice") / 2e6).alias("val_mae"), ((F.col("o_orderkey") % 89).cast("double") / 100).alias("val_correlate"))
 
 
-@query(f"with {LOG} select run, epoch, round(1 - correlate + mae, 5) as loss, round(1 - val_correlate + val_mae, 5) as val_loss, row_number() over (partition by run order by epoch) = count(*) over (partition by run) - 3 as chosen from log")
+@query(f"with {LOG} select run, epoch, round(1 - correlate + mae, 10) as loss, round(1 - val_correlate + val_mae, 10) as val_loss, row_number() over (partition by run order by epoch) = count(*) over (partition by run) - 3 as chosen from log")
 def training_log_summary(t):
-    return op.training_log_summary(log(t), 3).withColumns({c: F.round(c, 5) for c in ("loss", "val_loss")})
+    return op.training_log_summary(log(t), 3).withColumns({c: F.round(c, 10) for c in ("loss", "val_loss")})
 
 
 @query(f"with {LOG} select run, arg_min(epoch, (1 - val_correlate + val_mae) * 1e9 + epoch / 1e9) as epoch from log group by 1")
