@@ -4,102 +4,155 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WORD, ascii_lower, checkpointed, written
+from .common import WORD, checkpointed, written
 
 #: Counters of word frequency; a word is as frequent as all words of its counter together.
 COUNTERS = 1 << 17
+#: Marks of candidate lines, 32 to a number; a line is read again if its mark is set.
+MARKS = 1 << 22
 LOW = (1 << 57) - 1
+#: Lines of so many words have a signature of twice the size.
+LONG = 100
+
+
+def pieces(text: Column) -> Column:
+    """What stands between white space (space and ASCII controls 9-13), in lower case; empty strings among it."""
+    for c in "\t\r\n\x0b\f":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.split(F.lower(text), " ")
 
 
 def words_of(line: Column) -> Column:
-    """Distinct 64-bit hashes of the words of a line, A-Z as a-z."""
-    pieces = F.split(ascii_lower(F.translate(line, "\t\r\n\x0b\f", "     ")), " ")
-    return F.array_remove(F.array_distinct(F.transform(pieces, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    """Distinct 64-bit hashes of the words of a line."""
+    return F.array_remove(F.array_distinct(F.transform(pieces(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """key (of doc_id and text), doc_id, pos, line: the lines of each text that have words. Lines end at line feeds."""
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.filter(F.col("line").rlike(WORD))
+    """key (of doc_id and text), at, pos, lid, line: the lines of each text that have words. Lines end at line feeds.
+
+    at orders lines by doc_id, then position; null ids come first. lid is the hash of the line.
+    """
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    at = F.col("_d").cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("pos").cast("decimal(10,0)")
+    return rows.filter(F.col("line").rlike(WORD)).select("key", at.alias("at"), "pos", F.xxhash64("line").alias("lid"), "line")
+
+
+def literal(values: list[int]) -> Column:
+    """An array of small numbers as one literal; it has a fixed length."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def rarity(lines: DataFrame) -> Column:
-    """A literal array: for each counter the bit length of the number of words, over all lines, that fall to it (at most 31)."""
-    words = lines.select(F.explode(F.split(ascii_lower(F.translate("line", "\t\r\n\x0b\f", "     ")), " ")).alias("w")).filter("w <> ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).alias("c")).count()
+def place(x: Column, n: int) -> Column:
+    return F.pmod(x, F.lit(n)).cast("int")
+
+
+def rarity(docs: DataFrame) -> Column:
+    """For each counter the bit length of the number of words, over all texts, that fall to it (at most 31)."""
+    words = docs.select(F.explode(pieces(F.col("text"))).alias("w")).filter("w <> ''")
+    counts = words.groupBy(place(F.xxhash64("w"), COUNTERS).alias("c")).count()
     size = [0] * COUNTERS
     for c, n in counts.select("c", F.least(F.lit(31), F.floor(F.log2("count")) + 1).cast("int")).toLocalIterator():
         size[c] = n
-    return F.split(F.lit(",".join(map(str, size))), ",").cast("array<int>")
+    return literal(size)
 
 
 def overlap_needed(a: Column, b: Column, similarity: float) -> Column:
     return F.ceil((a + b) * (similarity / (1 + similarity)) - 1e-9)
 
 
-def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """The later lines of the (x, y) pairs whose word sets have the similarity, each once."""
-    words = lines.select("lid", "line")
-    both = pairs.join(words.select(F.col("lid").alias("x"), F.col("line").alias("x_line")), "x").join(words.select(F.col("lid").alias("y"), F.col("line").alias("y_line")), "y")
-    both = both.withColumn("a", words_of(F.col("x_line"))).withColumn("b", words_of(F.col("y_line")))
-    common = F.size(F.array_intersect("a", "b"))
-    return both.filter(common >= overlap_needed(F.size("a"), F.size("b"), similarity)).select(F.col("x").alias("lid")).distinct()
+def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """The later line (lid) of each (x, y) pair whose word sets have the similarity, once.
+
+    Word sets are made anew from the texts, for lines of the pairs only: a fixed number of marks, set by the lines' hashes,
+    keeps the others from being sent.
+    """
+    pairs = checkpointed(pairs)
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("lid")).distinct()
+    mark = place(F.col("lid"), MARKS)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(mark, F.lit(32)))
+    marks = [0] * (MARKS // 32)
+    for at, bits in ids.groupBy(F.floor(mark / 32).alias("at")).agg(F.bit_or(one)).toLocalIterator():
+        marks[at] = bits
+    wanted = lines_of(docs).filter(F.element_at(literal(marks), (F.floor(mark / 32) + 1).cast("int")).bitwiseAND(one) != 0)
+    sets = wanted.groupBy("lid").agg(F.min(F.struct("at", "line")).alias("l")).join(ids, "lid", "left_semi").select("lid", F.col("l.at").alias("at"), words_of(F.col("l.line")).alias("words"))
+    a, b = (sets.select(*(F.col(c).alias(f"{p}{c}") for c in ("lid", "at", "words"))) for p in "ab")
+    both = pairs.join(a, F.col("x") == F.col("alid")).join(b, F.col("y") == F.col("blid"))
+    same = F.size(F.array_intersect("awords", "bwords")) >= overlap_needed(F.size("awords"), F.size("bwords"), similarity)
+    later = F.when(F.col("aat") > F.col("bat"), F.col("alid")).when(F.col("aat") < F.col("bat"), F.col("blid"))
+    return both.filter(same).select(later.alias("lid")).filter("lid is not null").distinct()
 
 
 def later_lines(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(lines, matched): the distinct lines with the place (at) where each first occurs, and the lid of those that match an earlier one.
 
-    Equal lines are one row. Words of a line are ordered from rare to frequent by counts over all lines; lines of similarity s
-    share a word among the first n - ceil(s n) + 1. Candidates share such a word and pass filters of length, of the word's
-    positions, and of a parity signature: each differing bit of two signatures needs a differing word. Then word sets decide.
+    Words of a line are ordered from rare to frequent by counts over all texts; lines of similarity s share a word among the
+    first n - ceil(s n) + 1. Candidates share such a word and pass filters of length, of the word's positions, and of
+    a parity signature (64 bits, 128 for long lines): each differing bit needs a differing word. Then word sets decide. Only prefixes,
+    sizes and signatures of distinct lines are shuffled, not lines.
 
-    First every line is held against the earliest line in the lists of four words of its prefix, which settles large groups of near
-    copies with one pair per line and list; all lines not matched there then meet every earlier line of every list.
+    First every line is held against the earliest line in the lists of four words of its prefix, if two of them have the same, which
+    settles large groups of near copies with one pair per line and list; lines not matched there then meet every line of every list.
     """
-    occurring = lines_of(docs)
-    sizes = rarity(occurring)
-    lines = occurring.groupBy("line").agg(F.min(F.struct("doc_id", "key", "pos")).alias("at"))
-    lines = lines.withColumn("lid", F.xxhash64("line")).withColumn("h", words_of(F.col("line")))
-    rare_first = F.transform("h", lambda x: F.shiftleft(F.element_at(sizes, (F.pmod(x, F.lit(COUNTERS)) + 1).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(x, 7)))
-    lines = lines.withColumn("t", F.sort_array(rare_first)).withColumn("n", F.size("t"))
-    lines = lines.withColumn("prefix", F.slice("t", 1, (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")))
+    sizes = rarity(docs)
+    rows = lines_of(docs).withColumn("h", words_of(F.col("line")))
+    rare_first = F.transform("h", lambda x: F.shiftleft(F.element_at(sizes, place(x, COUNTERS) + 1).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(x, 7)))
+    rows = rows.withColumn("t", F.sort_array(rare_first)).withColumn("n", F.size("t"))
+    prefix = F.slice("t", 1, (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    parity = F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
-    lines = written(lines.select("lid", "at", "line", "n", parity.alias("parity"), "prefix"))
-
-    def close(a: str, b: str) -> Column:
-        n, m = F.col(f"{a}n"), F.col(f"{b}n")
-        differing = F.bit_count(F.col(f"{a}parity").bitwiseXOR(F.col(f"{b}parity")))
+    parity = lambda words: F.aggregate(words, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
+    # A long line has two halves of 64 bits, and a word sets a bit of one of them; together they are the one of a short line.
+    more = F.when(F.col("n") >= LONG, parity(F.filter("t", lambda x: x.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
+    rows = rows.withColumn("all", parity(F.col("t"))).withColumn("more", more).withColumn("parity", F.col("all").bitwiseXOR(F.col("more")))
+    rows = rows.select("lid", F.struct("at", "n", "parity", "more", prefix.alias("prefix")).alias("l"))
+    lines = written(rows.groupBy("lid").agg(F.min("l").alias("l")).select("lid", "l.*"))
+
+    def close(n: Column, m: Column, a: Column, b: Column, c: Column, d: Column) -> Column:
+        halves = F.bit_count(a.bitwiseXOR(b)) + F.bit_count(c.bitwiseXOR(d))
+        whole = F.bit_count(a.bitwiseXOR(b).bitwiseXOR(c).bitwiseXOR(d))
+        differing = F.when(F.least(n, m) >= LONG, halves).otherwise(whole)
         return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9) & (differing <= n + m - 2 * overlap_needed(n, m, similarity))
 
     few = F.slice(F.sort_array(F.transform("prefix", lambda x: F.struct(x.bitwiseAND(F.lit(LOW)).alias("o"), x.alias("w")))), 1, 4)
-    first = lines.select(F.explode(few.getField("w")).alias("w"), "lid", "at", "n", "parity")
-    leader = first.groupBy("w").agg(F.min(F.struct("at", "lid", "n", "parity")).alias("l"), F.count("*").alias("c")).filter("c > 1").select("w", F.col("l.lid").alias("y"), F.col("l.n").alias("yn"), F.col("l.parity").alias("yparity"))
-    led = first.join(leader, "w").filter((F.col("lid") != F.col("y")) & close("", "y")).select(F.col("lid").alias("x"), "y").distinct()
-    matched = checkpointed(verified(led, lines, similarity))
-
-    listed = lambda df: df.select("lid", "at", "n", "parity", F.posexplode("prefix").alias("i", "w"))
-    x, y = (listed(df).select(*(F.col(c).alias(f"{p}{c}") for c in ("w", "lid", "at", "n", "parity", "i"))) for p, df in (("x", lines.join(matched, "lid", "left_anti")), ("y", lines)))
-    room = F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi"))
-    met = x.join(y, (F.col("xw") == F.col("yw")) & (F.col("yat") < F.col("xat")) & close("x", "y") & (room >= overlap_needed(F.col("xn"), F.col("yn"), similarity)))
-    rest = verified(met.select(F.col("xlid").alias("x"), F.col("ylid").alias("y")).distinct(), lines, similarity)
-    return lines.select("lid", "at"), checkpointed(matched.union(rest))
+    first = lines.select(F.explode(few.getField("w")).alias("w"), "lid", "n", "parity", "more", "at")
+    leader = first.groupBy("w").agg(F.min(F.struct("at", "lid", "n", "parity", "more")).alias("l"), F.count("*").alias("c")).filter("c > 1").select("w", F.col("l.lid").alias("y"), F.col("l.n").alias("m"), F.col("l.parity").alias("q"), F.col("l.more").alias("r"))
+    led = first.drop("at").join(leader, "w").filter((F.col("lid") != F.col("y")) & close(F.col("n"), F.col("m"), F.col("parity"), F.col("q"), F.col("more"), F.col("r"))).groupBy(F.col("lid").alias("x"), "y").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
+    matched = checkpointed(verified(led, docs, similarity))
+
+    flagged = lines.select("lid", "n", "parity", "more", "prefix").join(matched.withColumn("m", F.lit(1)), "lid", "left")
+    # Size, position and the mark of settled lines in one number; both sides of the join are the same rows, sent once.
+    code = F.col("n").cast("long") * (1 << 17) + F.least("i", F.lit((1 << 16) - 1)) * 2 + F.coalesce("m", F.lit(0))
+    listed = flagged.select("lid", "n", "parity", "more", "m", F.posexplode("prefix").alias("i", "w")).select("w", "lid", "parity", "more", code.alias("c"))
+    x, y = (listed.select(*(F.col(c).alias(f"{p}{c}") for c in listed.columns)) for p in "xy")
+    n, m = F.floor(F.col("xc") / (1 << 17)), F.floor(F.col("yc") / (1 << 17))
+    at = lambda c: F.floor(F.col(c) / 2) % (1 << 16)
+    room = F.least(n - at("xc"), m - at("yc"))
+    open_ones = (F.col("xc") % 2) * (F.col("yc") % 2) == 0
+    met = x.join(y, (F.col("xw") == F.col("yw")) & (F.col("xlid") < F.col("ylid")) & open_ones & close(n, m, F.col("xparity"), F.col("yparity"), F.col("xmore"), F.col("ymore")))
+    # Words beyond the prefixes number n - p; the prefixes have to share what those cannot make up for, and the first shared
+    # word has to leave room for the rest.
+    beyond = lambda k: F.ceil(k * similarity - 1e-9) - 1
+    pairs = met.select(F.col("xlid").alias("x"), F.col("ylid").alias("y"), n.alias("n"), m.alias("m"), room.alias("room"))
+    pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("c"), F.max("room").alias("room"), F.first("n").alias("n"), F.first("m").alias("m"))
+    needed = overlap_needed(F.col("n"), F.col("m"), similarity)
+    pairs = pairs.filter((F.col("room") >= needed) & (F.col("c") + F.greatest(beyond(F.col("n")), beyond(F.col("m"))) >= needed)).select("x", "y")
+    rest = verified(pairs, docs, similarity)
+    return lines.select("lid", "at"), checkpointed(matched.union(rest).distinct())
 
 
 def removals(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """key, removed: the positions (from 0) of lines of each document that match an earlier line; documents without any are absent."""
     lines, matched = later_lines(docs, similarity)
-    again = lines.join(matched.withColumn("m", F.lit(True)), "lid", "left")
-    rows = lines_of(docs).select(F.xxhash64("line").alias("lid"), "key", "pos").join(again, "lid")
-    gone = rows.filter(F.col("m").isNotNull() | (F.col("at.key") != F.col("key")) | (F.col("at.pos") != F.col("pos")))
+    again = lines.join(matched.withColumn("m", F.lit(True)), "lid", "left").withColumnRenamed("at", "first")
+    rows = lines_of(docs).select("lid", "key", "pos", "at").join(again, "lid")
+    gone = rows.filter(F.col("m").isNotNull() | (F.col("first") != F.col("at")))
     return gone.groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
 def report(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (positions from 0) for every row.
 
-    A line is removed if an earlier line has a word set (A-Z as a-z) of Jaccard similarity `similarity` or more, whether that one is
-    itself removed or not. Earlier: by doc_id, then position; nulls come first. Lines without words stay. Null texts have no line,
+    A line is removed if an earlier line has a word set (in lower case) of Jaccard similarity `similarity` or more, whether that one is
+    itself removed or not. Earlier: by doc_id, then position; nulls come first, and equal places of one doc_id in two texts are not earlier than one another. Lines without words stay. Null texts have no line,
     empty ones one. Rows that repeat both doc_id and text count as one document, and have the same result. An
     empty table gives no rows. Extra columns are not read.
     """

@@ -93,7 +93,7 @@ def removed_plainly(rows, t=0.8):
     for i, text in sorted(rows, key=lambda r: r[0]):
         gone = []
         for k, line in enumerate(text.split("\n")):
-            s = frozenset(words(line))
+            s = frozenset(line.lower().encode().split())
             if s:
                 if any(len(s & x) >= t * len(s | x) - 1e-9 for x in seen):
                     gone.append(k)
@@ -104,14 +104,14 @@ def removed_plainly(rows, t=0.8):
 
 def test_line_dedup_brute_force(spark):
     rng = random.Random(4)
-    vocabulary = [f"w{i}" for i in range(60)]
-    base = [[rng.choice(vocabulary) for _ in range(rng.choice((1, 3, 8, 20)))] for _ in range(25)]
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.choice((1, 3, 8, 20, 110, 160)))] for _ in range(25)]
     rows = []
     for i in range(60):
         lines = []
         for _ in range(rng.randint(1, 5)):
             line = list(rng.choice(base))
-            for _ in range(rng.choice((0, 0, 1, 2))):
+            for _ in range(rng.choice((0, 0, 1, 2, 2 + len(line) // 12))):
                 line[rng.randrange(len(line))] = rng.choice(vocabulary)
             lines.append(" ".join(line) if rng.random() < 0.8 else "  ".join(line).upper())
         rows.append((i, "\n".join(lines)))
