@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WORD, checkpointed, written
+from .common import WORD, written
 
 #: Counters of word frequency; a word is as frequent as all words of its counter together.
 COUNTERS = 1 << 17
@@ -66,7 +66,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     Word sets are made anew from the texts, for lines of the pairs only: a fixed number of marks, set by the lines' hashes,
     keeps the others from being sent.
     """
-    pairs = checkpointed(pairs)
+    pairs = written(pairs)
     ids = pairs.select(F.explode(F.array("x", "y")).alias("lid")).distinct()
     mark = place(F.col("lid"), MARKS)
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(mark, F.lit(32)))
@@ -116,7 +116,7 @@ def later_lines(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, Da
     first = lines.select(F.explode(few.getField("w")).alias("w"), "lid", "n", "parity", "more", "at")
     leader = first.groupBy("w").agg(F.min(F.struct("at", "lid", "n", "parity", "more")).alias("l"), F.count("*").alias("c")).filter("c > 1").select("w", F.col("l.lid").alias("y"), F.col("l.n").alias("m"), F.col("l.parity").alias("q"), F.col("l.more").alias("r"))
     led = first.drop("at").join(leader, "w").filter((F.col("lid") != F.col("y")) & close(F.col("n"), F.col("m"), F.col("parity"), F.col("q"), F.col("more"), F.col("r"))).groupBy(F.col("lid").alias("x"), "y").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    matched = checkpointed(verified(led, docs, similarity))
+    matched = written(verified(led, docs, similarity))
 
     flagged = lines.select("lid", "n", "parity", "more", "prefix").join(matched.withColumn("m", F.lit(1)), "lid", "left")
     # Size, position and the mark of settled lines in one number; both sides of the join are the same rows, sent once.
@@ -136,7 +136,7 @@ def later_lines(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, Da
     needed = overlap_needed(F.col("n"), F.col("m"), similarity)
     pairs = pairs.filter((F.col("room") >= needed) & (F.col("c") + F.greatest(beyond(F.col("n")), beyond(F.col("m"))) >= needed)).select("x", "y")
     rest = verified(pairs, docs, similarity)
-    return lines.select("lid", "at"), checkpointed(matched.union(rest).distinct())
+    return lines.select("lid", "at"), written(matched.union(rest).distinct())
 
 
 def removals(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
