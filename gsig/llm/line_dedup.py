@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import WORD, written
 
-#: Counters of word frequency; a word is as frequent as all words of its counter together.
-COUNTERS = 1 << 17
+#: Counters of word frequency, one for each value of a hash's top bits; a word is as frequent as all words of its counter together.
+TOP_BITS = 17
 #: Marks of candidate lines, 32 to a number; a line is read again if its mark is set.
 MARKS = 1 << 22
+#: White space, whose characters begin and end words.
+SPACE = " \t\n\r\x0b\f"
 LOW = (1 << 57) - 1
 #: Lines of so many words have a signature of twice the size.
 LONG = 100
@@ -34,7 +36,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     at = F.col("_d").cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("pos").cast("decimal(10,0)")
-    return rows.filter(F.col("line").rlike(WORD)).select("key", at.alias("at"), "pos", F.xxhash64("line").alias("lid"), "line")
+    return rows.filter(F.ltrim("line", F.lit(SPACE)) != "").select("key", at.alias("at"), "pos", F.xxhash64("line").alias("lid"), "line")
 
 
 def literal(values: list[int]) -> Column:
@@ -42,15 +44,15 @@ def literal(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def place(x: Column, n: int) -> Column:
-    return F.pmod(x, F.lit(n)).cast("int")
+def counter(x: Column) -> Column:
+    return F.shiftrightunsigned(x, 64 - TOP_BITS).cast("int")
 
 
 def rarity(docs: DataFrame) -> Column:
     """For each counter the bit length of the number of words, over all texts, that fall to it (at most 31)."""
     words = docs.select(F.explode(pieces(F.col("text"))).alias("w")).filter("w <> ''")
-    counts = words.groupBy(place(F.xxhash64("w"), COUNTERS).alias("c")).count()
-    size = [0] * COUNTERS
+    counts = words.groupBy(counter(F.xxhash64("w")).alias("c")).count()
+    size = [0] * (1 << TOP_BITS)
     for c, n in counts.select("c", F.least(F.lit(31), F.floor(F.log2("count")) + 1).cast("int")).toLocalIterator():
         size[c] = n
     return literal(size)
@@ -68,7 +70,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """
     pairs = written(pairs)
     ids = pairs.select(F.explode(F.array("x", "y")).alias("lid")).distinct()
-    mark = place(F.col("lid"), MARKS)
+    mark = F.pmod(F.col("lid"), F.lit(MARKS)).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(mark, F.lit(32)))
     marks = [0] * (MARKS // 32)
     for at, bits in ids.groupBy(F.floor(mark / 32).alias("at")).agg(F.bit_or(one)).toLocalIterator():
@@ -95,22 +97,23 @@ def later_lines(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, Da
     """
     sizes = rarity(docs)
     rows = lines_of(docs).withColumn("h", words_of(F.col("line")))
-    rare_first = F.transform("h", lambda x: F.shiftleft(F.element_at(sizes, place(x, COUNTERS) + 1).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(x, 7)))
+    rare_first = F.transform("h", lambda x: F.shiftleft(F.get(sizes, counter(x)), 57).bitwiseOR(F.shiftrightunsigned(x, 7)))
     rows = rows.withColumn("t", F.sort_array(rare_first)).withColumn("n", F.size("t"))
     prefix = F.slice("t", 1, (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
     parity = lambda words: F.aggregate(words, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
-    # A long line has two halves of 64 bits, and a word sets a bit of one of them; together they are the one of a short line.
+    # A long line has two halves of 64 bits, and a word flips a bit of one of them; `parity` is both together, `more` the second.
     more = F.when(F.col("n") >= LONG, parity(F.filter("t", lambda x: x.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
-    rows = rows.withColumn("all", parity(F.col("t"))).withColumn("more", more).withColumn("parity", F.col("all").bitwiseXOR(F.col("more")))
+    rows = rows.withColumn("parity", parity(F.col("t"))).withColumn("more", more)
     rows = rows.select("lid", F.struct("at", "n", "parity", "more", prefix.alias("prefix")).alias("l"))
     lines = written(rows.groupBy("lid").agg(F.min("l").alias("l")).select("lid", "l.*"))
 
-    def close(n: Column, m: Column, a: Column, b: Column, c: Column, d: Column) -> Column:
-        halves = F.bit_count(a.bitwiseXOR(b)) + F.bit_count(c.bitwiseXOR(d))
-        whole = F.bit_count(a.bitwiseXOR(b).bitwiseXOR(c).bitwiseXOR(d))
-        differing = F.when(F.least(n, m) >= LONG, halves).otherwise(whole)
-        return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9) & (differing <= n + m - 2 * overlap_needed(n, m, similarity))
+    def close(n: Column, m: Column, p: Column, q: Column, more: Column, other: Column) -> Column:
+        """The test that settles most pairs comes first. At most (n + m)(1 - s)/(1 + s) words can differ."""
+        whole, second = p.bitwiseXOR(q), more.bitwiseXOR(other)
+        few_enough = lambda bits: bits * (1 + similarity) <= (n + m) * (1 - similarity) + 1e-6
+        halves = F.bit_count(whole.bitwiseXOR(second)) + F.bit_count(second)
+        return few_enough(F.bit_count(whole)) & (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9) & ((F.least(n, m) < LONG) | few_enough(halves))
 
     few = F.slice(F.sort_array(F.transform("prefix", lambda x: F.struct(x.bitwiseAND(F.lit(LOW)).alias("o"), x.alias("w")))), 1, 4)
     first = lines.select(F.explode(few.getField("w")).alias("w"), "lid", "n", "parity", "more", "at")
@@ -123,11 +126,11 @@ def later_lines(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, Da
     code = F.col("n").cast("long") * (1 << 17) + F.least("i", F.lit((1 << 16) - 1)) * 2 + F.coalesce("m", F.lit(0))
     listed = flagged.select("lid", "n", "parity", "more", "m", F.posexplode("prefix").alias("i", "w")).select("w", "lid", "parity", "more", code.alias("c"))
     x, y = (listed.select(*(F.col(c).alias(f"{p}{c}") for c in listed.columns)) for p in "xy")
-    n, m = F.floor(F.col("xc") / (1 << 17)), F.floor(F.col("yc") / (1 << 17))
-    at = lambda c: F.floor(F.col(c) / 2) % (1 << 16)
+    n, m = F.shiftright("xc", 17), F.shiftright("yc", 17)
+    at = lambda c: F.shiftright(c, 1).bitwiseAND(F.lit((1 << 16) - 1))
     room = F.least(n - at("xc"), m - at("yc"))
-    open_ones = (F.col("xc") % 2) * (F.col("yc") % 2) == 0
-    met = x.join(y, (F.col("xw") == F.col("yw")) & (F.col("xlid") < F.col("ylid")) & open_ones & close(n, m, F.col("xparity"), F.col("yparity"), F.col("xmore"), F.col("ymore")))
+    open_ones = F.col("xc").bitwiseAND(F.col("yc")).bitwiseAND(F.lit(1)) == 0
+    met = x.join(y, (F.col("xw") == F.col("yw")) & (F.col("xlid") < F.col("ylid")) & close(n, m, F.col("xparity"), F.col("yparity"), F.col("xmore"), F.col("ymore")) & open_ones)
     # Words beyond the prefixes number n - p; the prefixes have to share what those cannot make up for, and the first shared
     # word has to leave room for the rest.
     beyond = lambda k: F.ceil(k * similarity - 1e-9) - 1
