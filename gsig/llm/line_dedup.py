@@ -12,7 +12,9 @@ TOP_BITS = 17
 MARKS = 1 << 22
 #: White space, whose characters begin and end words.
 SPACE = " \t\n\r\x0b\f"
-LOW = (1 << 57) - 1
+#: A word is a number: its frequency in steps of a 16th of an octave, then so many bits of its hash.
+HASH_BITS = 53
+LOW = (1 << HASH_BITS) - 1
 #: Lines of so many words have a signature of twice the size.
 LONG = 100
 
@@ -49,11 +51,11 @@ def counter(x: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """For each counter the bit length of the number of words, over all texts, that fall to it (at most 31)."""
+    """For each counter the number of words, over all texts, that fall to it: 16 times its binary logarithm and 1, at most 1000."""
     words = docs.select(F.explode(pieces(F.col("text"))).alias("w")).filter("w <> ''")
     counts = words.groupBy(counter(F.xxhash64("w")).alias("c")).count()
     size = [0] * (1 << TOP_BITS)
-    for c, n in counts.select("c", F.least(F.lit(31), F.floor(F.log2("count")) + 1).cast("int")).toLocalIterator():
+    for c, n in counts.select("c", F.least(F.lit(1000), F.floor(F.log2("count") * 16) + 1).cast("int")).toLocalIterator():
         size[c] = n
     return literal(size)
 
@@ -97,7 +99,7 @@ def later_lines(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, Da
     """
     sizes = rarity(docs)
     rows = lines_of(docs).withColumn("h", words_of(F.col("line")))
-    rare_first = F.transform("h", lambda x: F.shiftleft(F.get(sizes, counter(x)), 57).bitwiseOR(F.shiftrightunsigned(x, 7)))
+    rare_first = F.transform("h", lambda x: F.shiftleft(F.get(sizes, counter(x)), HASH_BITS).bitwiseOR(F.shiftrightunsigned(x, 64 - HASH_BITS)))
     rows = rows.withColumn("t", F.sort_array(rare_first)).withColumn("n", F.size("t"))
     prefix = F.slice("t", 1, (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
