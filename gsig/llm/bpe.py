@@ -9,11 +9,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 LEAF = 32
-CACHED = 200_000
+CACHED = 100_000
+#: Texts whose ids a task holds at a time.
+SLICE = 128
 
 
 class Pieces(dict):
@@ -134,10 +137,14 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, digest: bool
 
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec()
         for part in texts:
-            yield part.map(lambda text: np.frombuffer(c.encode(text or ""), "<i4"), na_action=None)
+            for at in range(0, len(part), SLICE):
+                packed = [c.encode(text or "") for text in part.slice(at, SLICE).to_pylist()]
+                ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+                yield pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+    ids = F.arrow_udf(ids, "array<int>")
 
     return docs.withColumn("ids", ids(F.coalesce("text", F.lit("")))).withColumn("n_tokens", F.size("ids").cast("long"))
