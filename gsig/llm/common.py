@@ -30,21 +30,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Actions started inside remove their shuffle files when they end: what they have made is on disk, and nothing reads those again."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Actions started inside remove their shuffle files when they end, as what they have made is on disk and nothing reads those again.
+
+    The driver keeps the first part of their plans' text only; literals of bounded size would fill megabytes of it.
+    """
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "100000"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame) -> DataFrame:
     """Like checkpointed, as compressed Parquet, without the shuffle files that it took; for rows that are read more than once."""
     path = f"{shared_dir(df.sparkSession)}/gsig-{uuid.uuid4().hex}"
-    with shuffles_removed(df.sparkSession):
+    with lean(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
