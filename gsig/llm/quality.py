@@ -22,8 +22,8 @@ def shape(line: str) -> tuple[float, ...]:
     words = line.split()
     k = max(1, len(words))
     upper = sum(map(str.isupper, words)) / k
-    letters = sum(map(str.isalpha, line[:4096])) / min(n, 4096)
-    digits = sum(map(str.isdigit, line[:4096])) / min(n, 4096)
+    letters = sum(map(str.isalpha, line)) / n
+    digits = sum(map(str.isdigit, line)) / n
     repeats = sum(a == b for a, b in zip(words, words[1:], strict=False)) / k
     marks = sum(map(line.count, "#$%&*!|<>{}@~^=_")) / k
     return (upper, letters, digits, min(marks, 4.0), repeats, len(set(words)) / k, min(n / k, 20.0) / 10, line.count("|") / k, line.count("!") / k, float(line[-1:] in ".!?"), float(words[:1] != [] and words[0][:1].isupper()), 0.0)
@@ -94,7 +94,8 @@ def held_out() -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int, train_lines: int) -> tuple[np.ndarray, np.ndarray] | None:
     """Weights from at most `train_docs` labelled documents of each label that are not held out, those of lowest hash, and
-    `train_lines` lines of each; every line takes its document's label. None if a label is missing."""
+    `train_lines` lines of each, at most the first 4000 characters of a line; every line takes its document's label. None if a
+    label is missing."""
     known = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1)").groupBy("__id").agg(F.max("quality").alias("quality"))
     rows = docs.select("doc_id", "text").filter(~held_out() & F.col("text").isNotNull()).join(known, F.col("doc_id") == F.col("__id"))
     order = W.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -119,8 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int, train_lines: int)
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_docs: int = 1500, train_lines: int = 40) -> DataFrame:
     """The rows of docs with held_out, score (0 to 1) and predicted (1 from `threshold`).
 
-    The field is fitted on a bounded sample of labelled rows (train_docs for each label, their first train_lines lines) and its
-    few weights go to the tasks; every whole text is scored. Only the text is an input. Null and empty texts are one empty line. A table
+    The field is fitted on a bounded sample of labelled rows (train_docs for each label, their first train_lines lines, of these
+    the first 4000 characters) and its few weights go to the tasks; every whole text is scored. Only the text is an input. Null and empty texts are one empty line. A table
     without labels of both kinds gives 0.5 to all. A row repeated is scored alike; an empty table gives no rows. Columns of docs
     that are called like the new ones are replaced.
     """

@@ -250,6 +250,13 @@ def test_quality_odd(spark):
     assert quality.classify(docs_of(spark, []), labels).count() == 0
 
 
+def test_quality_measures_whole_lines():
+    line = "a" * 4096 + "7" * 4096 + "-" * 8192
+    assert quality.shape(line)[1:3] == (0.25, 0.25)
+    x, _ = quality.line_features(f"one\n{line}\ntwo")
+    assert x[0, 2 * quality.SHAPES + 1 : 2 * quality.SHAPES + 3].tolist() == x[2, quality.SHAPES + 1 : quality.SHAPES + 3].tolist() == [0.25, 0.25]
+
+
 def test_marginals_by_enumeration():
     rng = np.random.default_rng(1)
     pot, moves = rng.standard_normal((4, 2)), rng.standard_normal((2, 2))
