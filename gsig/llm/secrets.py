@@ -25,8 +25,9 @@ KINDS = ("assign", "access", "hex", "pem", "signed", "der64", "derhex")
 
 
 def nested(data: bytes, depth: int = 0) -> bool:
-    """Whether data is one whole ASN.1 DER sequence whose nested lengths all close, with an integer or a sequence first."""
-    if len(data) < 4 or data[0] != 0x30 or depth > 8:
+    """Whether data is one whole ASN.1 DER sequence whose nested lengths all close; the outermost has two elements at least, with
+    an integer, a sequence or an object identifier first."""
+    if len(data) < 2 or data[0] != 0x30 or depth > 8:
         return False
     body = value_of(data, 0)
     if body is None or body[1] != len(data):
@@ -36,12 +37,12 @@ def nested(data: bytes, depth: int = 0) -> bool:
         inner = value_of(data, at)
         if inner is None or inner[1] > len(data):
             return False
-        if data[at] == 0x30 and inner[1] > inner[0] and not nested(data[at : inner[1]], depth + 1):
+        if data[at] == 0x30 and not nested(data[at : inner[1]], depth + 1):
             return False
-        if not seen and data[at] not in (0x02, 0x30, 0x06):
+        if not seen and not depth and data[at] not in (0x02, 0x30, 0x06):
             return False
         at, seen = inner[1], seen + 1
-    return seen >= 2
+    return seen >= 2 or depth > 0
 
 
 def value_of(data: bytes, at: int) -> tuple[int, int] | None:

@@ -371,6 +371,33 @@ def test_secrets_base_and_confirmed():
     assert secrets.said(secrets.confirmed_spans(pem)) == f"pem:0:{len(pem)}"
 
 
+def tlv(tag, *parts):
+    body = b"".join(parts)
+    return bytes([tag, len(body)] if len(body) < 128 else [tag, 0x81, len(body)]) + body
+
+
+def pkcs8(oid, size):
+    return tlv(0x30, tlv(2, b"\0"), tlv(0x30, tlv(6, oid)), tlv(4, tlv(4, bytes(range(100, 100 + size)))))
+
+
+def encrypted():
+    """PKCS#8 with PBES2: PBKDF2 with HMAC-SHA-256 and AES-256-CBC."""
+    kdf = tlv(0x30, tlv(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0c"), tlv(0x30, tlv(4, b"saltsalt"), tlv(2, b"\x08\0"), tlv(0x30, tlv(6, b"\x2a\x86\x48\x86\xf7\x0d\x02\x09"), tlv(5))))
+    cipher = tlv(0x30, tlv(6, b"\x60\x86\x48\x01\x65\x03\x04\x01\x2a"), tlv(4, bytes(range(16))))
+    return tlv(0x30, tlv(0x30, tlv(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d"), tlv(0x30, kdf, cipher)), tlv(4, bytes(range(64))))
+
+
+@pytest.mark.parametrize("name, key", [("", pkcs8(b"\x2b\x65\x70", 32)), ("", pkcs8(b"\x2b\x65\x6e", 32)), ("", pkcs8(b"\x2b\x65\x71", 57)), ("ENCRYPTED ", encrypted())], ids=["Ed25519", "X25519", "Ed448", "PBES2"])
+def test_secrets_short_and_encrypted_keys(name, key):
+    pem = f"-----BEGIN {name}PRIVATE KEY-----\n{base64.encodebytes(key).decode()}-----END {name}PRIVATE KEY-----"
+    bare = base64.b64encode(key).decode()
+    for kind, part in (("pem", pem), ("der64", bare), ("derhex", key.hex()), ("derhex", key.hex().upper())):
+        assert secrets.said(secrets.confirmed_spans(f"a {part} b")) == f"{kind}:2:{len(part) + 2}"
+    at = key.index(0x30, 2) + 1  # the length of the first inner sequence
+    for bad in (key[:-1], key + b"\0", key[:at] + bytes([key[at] + 1]) + key[at + 1 :]):
+        assert secrets.confirmed_spans(f"{bad.hex()} -----BEGIN {name}PRIVATE KEY-----{base64.b64encode(bad).decode()}-----END {name}PRIVATE KEY-----") == []
+
+
 def test_secrets_odd(spark):
     got = secrets.scan(docs_of(spark, [*ODD, (9, "api_key: abcdefgh", "z")])).collect()
     assert len(got) == len(ODD) + 1
