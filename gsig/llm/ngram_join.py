@@ -104,9 +104,10 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 
 def join(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.999, rows: int = 4, block: int = 512) -> DataFrame:
-    """key, doc_id, class_id, n_links for every row: documents whose sets of `words`-word n-grams have a Jaccard similarity of at least `similarity`.
+    """key, doc_id, root, class_id, n_links for every row: documents whose sets of `words`-word n-grams have a Jaccard similarity of at least `similarity`.
 
-    n_links counts the other rows that a document is linked to, class_id is the least doc_id of all that are joined by links.
+    n_links counts the other rows that a document is linked to, root names all that are joined by links, class_id is the least
+    doc_id of these. Ids needn't be unique, so only root tells two components apart; it is null without words.
     Equal sets are one class from the start and are never paired. Bands of minima, as many as `recall` asks for at the
     threshold, propose pairs of classes; the rest is exact. A bucket of any size is cut into blocks of about `block`
     classes; each pair of blocks is one group, which compares full n-gram sets and returns per class a number of links and
@@ -159,16 +160,17 @@ def join(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float
     labelled = classes.join(links, "set_id", "left").join(joined, classes["set_id"] == joined["node"], "left")
     labelled = labelled.select("set_id", F.coalesce("root", "set_id").alias("root"), "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     heads = labelled.groupBy("root").agg(F.min("least").alias("class_id"))
-    labelled = labelled.join(heads, "root").select("set_id", "class_id", "n_links")
+    labelled = labelled.join(heads, "root").select("set_id", "root", "class_id", "n_links")
     out = signed.select("key", "doc_id", "set_id").join(labelled, "set_id", "left")
-    return out.select("key", "doc_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("key", "doc_id", "root", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, of each class the one of least doc_id (of equal ones any); rows without words stay."""
+    """The rows of docs, of each component the one of least doc_id (of equal ones the least key, null ids last); rows without words stay."""
     joined = join(docs, **options)
     wordless = docs.filter(F.coalesce(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")), F.lit(0)) == 0)
-    keep = joined.groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("k")).select(F.col("k.key").alias("__key"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    keep = joined.filter("root is not null").groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.key").alias("__key"))
     own = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
     rest = own.join(wordless.select(F.xxhash64("doc_id", "text").alias("__key")).distinct(), "__key", "left_anti")
     kept = rest.join(keep, "__key", "left_semi").dropDuplicates(["__key"])

@@ -304,6 +304,19 @@ def test_ngram_join_odd(spark):
     assert ngram_join.join(docs_of(spark, [])).count() == 0
 
 
+def test_one_of_each_keeps_one_of_each_component(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(12)) for c in "abcdefgh"}
+    rows = [(None, text["a"], "s"), (None, text["b"], "s"), (None, text["b"], "s"), (1, text["c"], "s"), (1, text["d"], "s"), (None, text["e"], "s"), (7, text["e"], "s"), (6, text["e"], "s")]
+    # Wordless rows of used ids: some of these keys are less than the key of the text.
+    rows += [(i, t, "s") for i in range(10, 20) for t in (text["f"] + f" g{i} h{i} i{i} j{i} k{i} l{i} m{i} n{i}", "", " \n", None)]
+    rows += [(2, "", "s"), (2, text["h"], "s"), (None, "", "s"), (None, None, "s")]
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.one_of_each(docs_of(spark, rows)).collect())
+    gone = Counter([(None, text["b"]), (None, text["e"]), (7, text["e"])])
+    assert kept == Counter((i, t) for i, t, _ in rows) - gone
+    joined = ngram_join.join(docs_of(spark, rows)).collect()
+    assert len({r.root for r in joined if r.root is not None}) == 16
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201)], "a long, b long")
     got = {r.node: r.root for r in ngram_join.components(edges, "a", "b").collect()}
