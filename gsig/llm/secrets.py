@@ -18,6 +18,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+#: Places in such a run where a key can start: the first byte of DER (0x30), a length below 256, the name of a key file.
+STARTS = re.compile(r"(?=M[A-P]|AAAA|b3BlbnNzaC1rZXk)")
+LEAST = 40
 ANY_HEX = re.compile(r"(?:[0-9a-f]{64,}|[0-9A-F]{64,})")
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+?)-----END \1-----")
@@ -89,6 +92,29 @@ def key_bytes(data: bytes | None) -> bool:
     return 4 <= n <= 40 and len(name) == n and (at > 0 or name.startswith((b"ssh-", b"ecdsa-"))) and name.isascii()
 
 
+def key_start(run: str) -> int | None:
+    """Where the key begins that a run of base64 ends with; other characters of the alphabet may stand right before it.
+
+    Each of the four alignments is decoded once. Of a key inside a key the outer one counts.
+    """
+    bare = run.rstrip("=")
+    whole: dict[int, bytes] = {}
+    for m in STARTS.finditer(bare):
+        start = m.start()
+        shift, rest = start % 4, len(bare) - start
+        if rest < LEAST or rest % 4 == 1:
+            continue
+        if shift not in whole:
+            whole[shift] = decoded(bare[shift:]) or b""
+        data, at = whole[shift], (start - shift) // 4 * 3
+        if data[at] != 0x30:
+            if key_bytes(data[at : at + 64]):
+                return start
+        elif (body := value_of(data, at)) and body[1] == len(data) and nested(data[at:]):
+            return start
+    return None
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base kinds."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
@@ -107,8 +133,11 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
                 out.append((m.start(), 3, m.end()))
     if "eyJ" in text:
         out += [(m.start(), 4, m.end()) for m in TOKEN.finditer(text) if signed(m[0])]
-    inside = lambda m: any(s <= m.start() and m.end() <= e for s, k, e in out if k == 3)
-    out += [(m.start(), 5, m.end()) for m in BASE64.finditer(text) if m[0].startswith(("MI", "MC", "MF", "MD", "MH", "ME", "AAAA", "b3BlbnNzaC1rZXk")) and not inside(m) and key_bytes(decoded(m[0]))]
+    files = [(s, e) for s, k, e in out if k == 3]
+    for m in BASE64.finditer(text):
+        start = key_start(m[0])
+        if start is not None and not any(s <= m.start() + start and m.end() <= e for s, e in files):
+            out.append((m.start() + start, 5, m.end()))
     out += [(m.start(), 6, m.end()) for m in ANY_HEX.finditer(text) if m[0].startswith("30") and len(m[0]) % 2 == 0 and nested(bytes.fromhex(m[0]))]
     return out
 
@@ -121,9 +150,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row.
 
     Offsets are code points, ends exclusive. Base spans are reported as their patterns say; the structural step adds spans of
-    decoded and parsed candidates and takes none away. Null texts count as empty: no spans, and the digest of the empty string.
-    Whole texts are scanned whatever their length; repeated rows are scanned alike; an empty table gives no rows;
-    extra columns are not read.
+    decoded and parsed candidates and takes none away. A bare key in base64 may follow other characters of the alphabet directly,
+    but has to end its run. Null texts count as empty: no spans, and the digest of the empty string. Whole texts are
+    scanned whatever their length; repeated rows are scanned alike; an empty table gives no rows; extra columns are not read.
     """
 
     def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

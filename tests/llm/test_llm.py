@@ -411,6 +411,20 @@ def test_secrets_short_and_encrypted_keys(name, key):
         assert secrets.confirmed_spans(f"{bad.hex()} -----BEGIN {name}PRIVATE KEY-----{base64.b64encode(bad).decode()}-----END {name}PRIVATE KEY-----") == []
 
 
+def test_secrets_any_start_in_a_run():
+    p224 = tlv(0x30, tlv(2, b"\1"), tlv(4, bytes(range(28))), tlv(0xA0, tlv(6, b"\x2b\x81\x04\x00\x21")), tlv(0xA1, tlv(3, bytes(range(58)))))
+    small = tlv(0x30, tlv(2, b"\0"), tlv(4, bytes(range(60, 90))), tlv(2, b"\1"))
+    blob = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(range(32))))
+    assert base64.b64encode(p224).startswith(b"MGgCAQEE")
+    for key in (p224, pkcs8(b"\x2b\x65\x70", 32), small, KEY, encrypted(), blob):
+        part = base64.b64encode(key).decode()
+        for before in ("", "/", "n", "key/", "M", "MA", "AAA", "path/to/MC"):
+            text = f"x {before}{part} y"
+            assert secrets.said(secrets.confirmed_spans(text)) == f"der64:{2 + len(before)}:{len(text) - 2}"
+    rng = random.Random(4)
+    assert secrets.confirmed_spans("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=200_000))) == []
+
+
 def test_secrets_odd(spark):
     got = secrets.scan(docs_of(spark, [*ODD, (9, "api_key: abcdefgh", "z")])).collect()
     assert len(got) == len(ODD) + 1
