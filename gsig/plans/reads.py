@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import reads as op
-from .adapters import READ
+from .adapters import _SEQ, READ, as_bases
 from .registry import query
 
 
@@ -71,6 +71,12 @@ def probe_lookup(t):
     return op.probe_lookup(t.reads.withColumn("seq", F.substring("seq", 1, 4)), probes)
 
 
+@query(f"with p as (select {_SEQ} as s from benchmark), q as (select distinct substring(s, cast(k * {READ} + 1 as bigint), {READ}) as seq from (select s, unnest(range(0, greatest(1, (length(s) + {READ - 1}) // {READ}))) as k from p)), f as (select seq, count(*) as n from reads group by 1) select q.seq, coalesce(n, 0) as n from q left join f on q.seq = f.seq")
+def probe_lookup_whole(t):
+    probes = op.chunk_reads(t.benchmark.select(F.col("item_id").alias("read_id"), as_bases(F.col("text")).alias("seq")), READ)
+    return op.probe_lookup(t.reads, probes)
+
+
 @query("select * from reads where seq in (select seq from reads group by 1 having count(*) > 1)")
 def select_by_sequence(t):
     return op.select_by_sequence(t.reads, op.duplicate_counts(t.reads).filter("n > 1"))

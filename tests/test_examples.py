@@ -273,3 +273,14 @@ def test_empty_tables(spark):
     assert intervals.merge(none).count() == 0
     assert windows.coverage(none).count() == 0
     assert isinstance(stats.fdr_bh(spark.createDataFrame([], "pval double")).toPandas(), pd.DataFrame)
+
+
+def test_probe_lookup_of_whole_reads(spark, tmp_path):
+    from gsig.plans import registry
+
+    a, b, c = "A" * 100 + "C", "A" * 100 + "G", "A" * 101
+    text = lambda bases: bases.translate(str.maketrans("ACGT", "ABCD"))
+    spark.createDataFrame([(1, text(a + b + a), "s"), (2, text(b + "ACG"), "s"), (3, "", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, text(a + c + "ACG")), (2, text(b)), (3, text(b + "AC"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.seq, r.n) for r in registry.queries()["probe_lookup_whole"](spark, str(tmp_path)).collect())
+    assert got == sorted([(a, 2), (b, 2), (c, 0), ("ACG", 1), ("AC", 0)])
