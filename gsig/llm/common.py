@@ -16,8 +16,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder every executor can read: spark.checkpoint.dir; a local one only where it is unset and all runs on one machine."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not told and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return told or f"file://{os.path.join(tempfile.gettempdir(), 'gsig-checkpoints')}"
 
 
@@ -54,6 +56,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """Like written, dealt to as many buckets of `key` as shuffles have partitions, and the folder; joins on the key meet the rows where they lie."""
+    spark, name = df.sparkSession, f"gsig_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    with lean(spark):
+        df.write.option("compression", "zstd").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).saveAsTable(name)
+    return spark.table(name), path
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, UPPER, LOWER)

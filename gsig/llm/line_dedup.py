@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WORD, written
+from .common import WORD, bucketed, lean, written
 
 #: Counters of word frequency, one for each value of a hash's top bits; a word is as frequent as all words of its counter together.
-TOP_BITS = 17
-#: Marks of candidate lines, 32 to a number; a line is read again if its mark is set.
-MARKS = 1 << 22
+TOP_BITS = 18
 #: White space, whose characters begin and end words.
 SPACE = " \t\n\r\x0b\f"
 #: A word is a number: its frequency in steps of a 16th of an octave, then so many bits of its hash.
 HASH_BITS = 53
-LOW = (1 << HASH_BITS) - 1
 #: Lines of so many words have a signature of twice the size.
 LONG = 100
+#: Pairs of which both lines have so many words are told apart by the words their prefixes share; signatures are too small for them.
+LONGER = 192
+#: Lists of a line that its first candidates come from.
+LISTS = 4
+PLACE = ("d", "key", "pos")
 
 
 def pieces(text: Column) -> Column:
@@ -32,124 +34,153 @@ def words_of(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """key (of doc_id and text), at, pos, lid, line: the lines of each text that have words. Lines end at line feeds.
+    """d, key (of doc_id and text), pos, lid, line: the lines of each text that have words. Lines end at line feeds.
 
-    at orders lines by doc_id, then position; null ids come first. lid is the hash of the line.
+    (d, key, pos) orders lines: by doc_id, null ids first, texts of one id by their hash, then by position. lid is the hash of the line.
     """
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    at = F.col("_d").cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("pos").cast("decimal(10,0)")
-    return rows.filter(F.ltrim("line", F.lit(SPACE)) != "").select("key", at.alias("at"), "pos", F.xxhash64("line").alias("lid"), "line")
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return rows.filter(F.ltrim("line", F.lit(SPACE)) != "").select(*PLACE, F.xxhash64("line").alias("lid"), "line")
 
 
-def literal(values: list[int]) -> Column:
-    """An array of small numbers as one literal; it has a fixed length."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+def earlier(a: str, b: str) -> Column:
+    """Whether the place in the columns that begin with a is before that of b."""
+    return F.struct(*(F.col(f"{a}{c}") for c in PLACE)) < F.struct(*(F.col(f"{b}{c}") for c in PLACE))
+
+
+def named(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(f"{prefix}{c}") for c in df.columns))
 
 
 def counter(x: Column) -> Column:
     return F.shiftrightunsigned(x, 64 - TOP_BITS).cast("int")
 
 
-def rarity(docs: DataFrame) -> Column:
-    """For each counter the number of words, over all texts, that fall to it: 16 times its binary logarithm and 1, at most 1000."""
-    words = docs.select(F.explode(pieces(F.col("text"))).alias("w")).filter("w <> ''")
-    counts = words.groupBy(counter(F.xxhash64("w")).alias("c")).count()
+def rarity(lines: DataFrame) -> Column:
+    """For each counter the number of lines' words, over all texts, that fall to it: 16 times its binary logarithm and 1, at most 1000.
+
+    An array literal of fixed length, whatever the input.
+    """
+    counts = lines.select(F.explode("h").alias("x")).select(counter(F.col("x")).alias("c")).groupBy("c").count()
     size = [0] * (1 << TOP_BITS)
-    for c, n in counts.select("c", F.least(F.lit(1000), F.floor(F.log2("count") * 16) + 1).cast("int")).toLocalIterator():
-        size[c] = n
-    return literal(size)
+    with lean(lines.sparkSession):
+        for c, n in counts.select("c", F.least(F.lit(1000), F.floor(F.log2("count") * 16) + 1).cast("int")).toLocalIterator():
+            size[c] = n
+    return F.split(F.lit(",".join(map(str, size))), ",").cast("array<bigint>")
 
 
 def overlap_needed(a: Column, b: Column, similarity: float) -> Column:
     return F.ceil((a + b) * (similarity / (1 + similarity)) - 1e-9)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+def alike(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two word sets have the similarity."""
+    return F.size(F.array_intersect(a, b)) >= overlap_needed(F.size(a), F.size(b), similarity)
+
+
+def close(similarity: float) -> Column:
+    """The test of lines x and y by size and parity signature; what settles most pairs comes first.
+
+    At most (n + m)(1 - s)/(1 + s) words can differ, and each differing bit needs a differing word.
+    """
+    n, m = F.col("xn"), F.col("yn")
+    whole, second = F.col("xparity").bitwiseXOR(F.col("yparity")), F.col("xmore").bitwiseXOR(F.col("ymore"))
+    few_enough = lambda bits: bits * (1 + similarity) <= (n + m) * (1 - similarity) + 1e-6
+    halves = F.bit_count(whole.bitwiseXOR(second)) + F.bit_count(second)
+    return few_enough(F.bit_count(whole)) & (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9) & ((F.least(n, m) < LONG) | few_enough(halves))
+
+
+def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """The later line (lid) of each (x, y) pair whose word sets have the similarity, once.
 
-    Word sets are made anew from the texts, for lines of the pairs only: a fixed number of marks, set by the lines' hashes,
-    keeps the others from being sent.
+    The sets of y go in a table of their own, as one y can stand in very many pairs; those of x are met where they lie.
     """
     pairs = written(pairs)
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("lid")).distinct()
-    mark = F.pmod(F.col("lid"), F.lit(MARKS)).cast("int")
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(mark, F.lit(32)))
-    marks = [0] * (MARKS // 32)
-    for at, bits in ids.groupBy(F.floor(mark / 32).alias("at")).agg(F.bit_or(one)).toLocalIterator():
-        marks[at] = bits
-    wanted = lines_of(docs).filter(F.element_at(literal(marks), (F.floor(mark / 32) + 1).cast("int")).bitwiseAND(one) != 0)
-    sets = wanted.groupBy("lid").agg(F.min(F.struct("at", "line")).alias("l")).join(ids, "lid", "left_semi").select("lid", F.col("l.at").alias("at"), words_of(F.col("l.line")).alias("words"))
-    a, b = (sets.select(*(F.col(c).alias(f"{p}{c}") for c in ("lid", "at", "words"))) for p in "ab")
-    both = pairs.join(a, F.col("x") == F.col("alid")).join(b, F.col("y") == F.col("blid"))
-    same = F.size(F.array_intersect("awords", "bwords")) >= overlap_needed(F.size("awords"), F.size("bwords"), similarity)
-    later = F.when(F.col("aat") > F.col("bat"), F.col("alid")).when(F.col("aat") < F.col("bat"), F.col("blid"))
-    return both.filter(same).select(later.alias("lid")).filter("lid is not null").distinct()
+    own = lines.select("lid", *PLACE, "h")
+    sets = written(named(own, "y").join(pairs.select("y").distinct(), F.col("ylid") == F.col("y")).drop("y"))
+    met = pairs.join(sets, F.col("y") == F.col("ylid"))
+    met = named(own, "x").join(met, F.col("xlid") == F.col("x")).filter(alike(F.col("xh"), F.col("yh"), similarity))
+    later = F.when(earlier("y", "x"), F.col("x")).when(earlier("x", "y"), F.col("y"))
+    return met.select(later.alias("lid")).filter("lid is not null").distinct()
+
+
+def prefixed(lines: DataFrame, similarity: float) -> DataFrame:
+    """lid, d, n (words), parity, more (signature), prefix: the rarest words of each line, of which similar lines share one at least."""
+    sizes = rarity(lines)
+    code = lambda x: F.shiftleft(F.coalesce(F.get(sizes, counter(x)), F.lit(0)), HASH_BITS).bitwiseOR(F.shiftrightunsigned(x, 64 - HASH_BITS))
+    rows = lines.select("lid", "d", F.size("h").alias("n"), F.sort_array(F.transform("h", code)).alias("t"))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    parity = lambda words: F.aggregate(words, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
+    # A long line has two halves of 64 bits, and a word flips a bit of one of them; `parity` is both together, `more` the second.
+    more = F.when(F.col("n") >= LONG, parity(F.filter("t", lambda x: x.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
+    prefix = F.slice("t", 1, (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
+    return rows.select("lid", "d", "n", parity(F.col("t")).alias("parity"), more.alias("more"), F.transform(prefix, lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"))
+
+
+def led(rows: DataFrame, similarity: float) -> DataFrame:
+    """(x, y): each line with the earliest line in some of the lists of its prefix's words, if they are close.
+
+    The lists are those of the words of least hash, so that near copies choose the same ones.
+    """
+    few = F.slice(F.array_sort("prefix"), 1, LISTS)
+    first = rows.select(F.explode(few).alias("w"), "lid", "d", "n", "parity", "more")
+    leader = first.groupBy("w").agg(*(F.min_by(c, "d").alias(f"y{c}") for c in ("lid", "n", "parity", "more")), F.count("*").alias("c")).filter("c > 1").drop("c")
+    met = named(first.drop("d"), "x").join(leader, F.col("xw") == F.col("w"))
+    return met.filter((F.col("xlid") != F.col("ylid")) & close(similarity)).select(F.col("xlid").alias("x"), F.col("ylid").alias("y")).distinct()
 
 
 def later_lines(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(lines, matched): the distinct lines with the place (at) where each first occurs, and the lid of those that match an earlier one.
+    """(lines, matched): the distinct lines with the place where each first occurs, and the lid of those that match an earlier one.
 
     Words of a line are ordered from rare to frequent by counts over all texts; lines of similarity s share a word among the
     first n - ceil(s n) + 1. Candidates share such a word and pass filters of length, of the word's positions, and of
-    a parity signature (64 bits, 128 for long lines): each differing bit needs a differing word. Then word sets decide. Only prefixes,
-    sizes and signatures of distinct lines are shuffled, not lines.
-
-    First every line is held against the earliest line in the lists of four words of its prefix, if two of them have the same, which
-    settles large groups of near copies with one pair per line and list; lines not matched there then meet every line of every list.
+    a parity signature (64 bits, 128 for long lines). Then word sets decide. Lines and their word sets are written once, in buckets
+    of their hash, and later joins meet them there.
+
+    1. Every line is held against the earliest line of a few of its lists (`led`), which settles large groups of near copies with
+       at most LISTS pairs for a line.
+    2. Lines not matched there look for a candidate in each of their lists: a semi join, which stops at the first and gives a row
+       for each (line, list) that has one, never a pair.
+    3. These rows get their word sets, and a second semi join decides inside the lists: it, too, stops at the first match, so a group of
+       any size adds rows in proportion to its lines.
+    4. Pairs of which both lines have LONGER words or more share dozens of lists; they are counted by pair, and those that share too few
+       words of their prefixes are dropped before sets are compared.
     """
-    sizes = rarity(docs)
-    rows = lines_of(docs).withColumn("h", words_of(F.col("line")))
-    rare_first = F.transform("h", lambda x: F.shiftleft(F.get(sizes, counter(x)), HASH_BITS).bitwiseOR(F.shiftrightunsigned(x, 64 - HASH_BITS)))
-    rows = rows.withColumn("t", F.sort_array(rare_first)).withColumn("n", F.size("t"))
-    prefix = F.slice("t", 1, (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    parity = lambda words: F.aggregate(words, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
-    # A long line has two halves of 64 bits, and a word flips a bit of one of them; `parity` is both together, `more` the second.
-    more = F.when(F.col("n") >= LONG, parity(F.filter("t", lambda x: x.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
-    rows = rows.withColumn("parity", parity(F.col("t"))).withColumn("more", more)
-    rows = rows.select("lid", F.struct("at", "n", "parity", "more", prefix.alias("prefix")).alias("l"))
-    lines = written(rows.groupBy("lid").agg(F.min("l").alias("l")).select("lid", "l.*"))
-
-    def close(n: Column, m: Column, p: Column, q: Column, more: Column, other: Column) -> Column:
-        """The test that settles most pairs comes first. At most (n + m)(1 - s)/(1 + s) words can differ."""
-        whole, second = p.bitwiseXOR(q), more.bitwiseXOR(other)
-        few_enough = lambda bits: bits * (1 + similarity) <= (n + m) * (1 - similarity) + 1e-6
-        halves = F.bit_count(whole.bitwiseXOR(second)) + F.bit_count(second)
-        return few_enough(F.bit_count(whole)) & (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9) & ((F.least(n, m) < LONG) | few_enough(halves))
-
-    few = F.slice(F.sort_array(F.transform("prefix", lambda x: F.struct(x.bitwiseAND(F.lit(LOW)).alias("o"), x.alias("w")))), 1, 4)
-    first = lines.select(F.explode(few.getField("w")).alias("w"), "lid", "n", "parity", "more", "at")
-    leader = first.groupBy("w").agg(F.min(F.struct("at", "lid", "n", "parity", "more")).alias("l"), F.count("*").alias("c")).filter("c > 1").select("w", F.col("l.lid").alias("y"), F.col("l.n").alias("m"), F.col("l.parity").alias("q"), F.col("l.more").alias("r"))
-    led = first.drop("at").join(leader, "w").filter((F.col("lid") != F.col("y")) & close(F.col("n"), F.col("m"), F.col("parity"), F.col("q"), F.col("more"), F.col("r"))).groupBy(F.col("lid").alias("x"), "y").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    matched = written(verified(led, docs, similarity))
-
-    flagged = lines.select("lid", "n", "parity", "more", "prefix").join(matched.withColumn("m", F.lit(1)), "lid", "left")
-    # Size, position and the mark of settled lines in one number; both sides of the join are the same rows, sent once.
-    code = F.col("n").cast("long") * (1 << 17) + F.least("i", F.lit((1 << 16) - 1)) * 2 + F.coalesce("m", F.lit(0))
-    listed = flagged.select("lid", "n", "parity", "more", "m", F.posexplode("prefix").alias("i", "w")).select("w", "lid", "parity", "more", code.alias("c"))
-    x, y = (listed.select(*(F.col(c).alias(f"{p}{c}") for c in listed.columns)) for p in "xy")
-    n, m = F.shiftright("xc", 17), F.shiftright("yc", 17)
-    at = lambda c: F.shiftright(c, 1).bitwiseAND(F.lit((1 << 16) - 1))
-    room = F.least(n - at("xc"), m - at("yc"))
-    open_ones = F.col("xc").bitwiseAND(F.col("yc")).bitwiseAND(F.lit(1)) == 0
-    met = x.join(y, (F.col("xw") == F.col("yw")) & (F.col("xlid") < F.col("ylid")) & close(n, m, F.col("xparity"), F.col("yparity"), F.col("xmore"), F.col("ymore")) & open_ones)
-    # Words beyond the prefixes number n - p; the prefixes have to share what those cannot make up for, and the first shared
-    # word has to leave room for the rest.
+    rows = lines_of(docs).groupBy("lid").agg(F.min(F.struct(*PLACE, "line")).alias("l"))
+    lines, path = bucketed(rows.select("lid", *(f"l.{c}" for c in PLACE), words_of(F.col("l.line")).alias("h")), "lid")
+    short, _ = bucketed(prefixed(lines, similarity), "lid")
+    matched = written(verified(led(short, similarity), lines, similarity))
+
+    listed = short.join(matched.withColumn("m", F.lit(True)), "lid", "left").withColumn("m", F.col("m").isNotNull())
+    listed = listed.select("lid", "d", "n", "parity", "more", "m", F.posexplode("prefix").alias("i", "w"))
+    x, y = (named(listed, p) for p in "xy")
+    roomy = F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) >= overlap_needed(F.col("xn"), F.col("yn"), similarity)
+    # A pair matters if its later line is open; of lines of one document both may be the later one.
+    sought = (~F.col("xm") & (F.col("yd") <= F.col("xd"))) | (~F.col("ym") & (F.col("xd") <= F.col("yd")))
+    meet = (F.col("xw") == F.col("yw")) & (F.col("xlid") != F.col("ylid")) & close(similarity) & sought & roomy
+
+    some = lambda s, p: s.filter(F.col(f"{p}n") * similarity < LONGER)
+    met = some(x, "x").join(some(y, "y"), meet, "left_semi").select(*(F.col(f"x{c}").alias(c) for c in ("lid", "w", "n", "parity", "more", "m")))
+    met = written(lines.select("lid", *PLACE, "h").join(met, "lid"))
+    a, b = named(met, "x"), named(met.drop("m"), "y")
+    same = (F.col("xw") == F.col("yw")) & earlier("y", "x") & close(similarity) & alike(F.col("xh"), F.col("yh"), similarity)
+    within = a.filter("not xm").join(b, same, "left_semi").select(F.col("xlid").alias("lid")).distinct()
+
+    # Words beyond the prefixes number ceil(s n) - 1; the prefixes have to share what those cannot make up for.
     beyond = lambda k: F.ceil(k * similarity - 1e-9) - 1
-    pairs = met.select(F.col("xlid").alias("x"), F.col("ylid").alias("y"), n.alias("n"), m.alias("m"), room.alias("room"))
-    pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("c"), F.max("room").alias("room"), F.first("n").alias("n"), F.first("m").alias("m"))
+    most = x.filter(F.col("xn") >= LONGER).join(y.filter(F.col("yn") >= LONGER), (F.col("xw") == F.col("yw")) & (F.col("xlid") < F.col("ylid")) & close(similarity) & sought)
+    pairs = most.groupBy(F.col("xlid").alias("x"), F.col("ylid").alias("y")).agg(F.count("*").alias("c"), F.max(F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi"))).alias("room"), F.first("xn").alias("n"), F.first("yn").alias("m"))
     needed = overlap_needed(F.col("n"), F.col("m"), similarity)
     pairs = pairs.filter((F.col("room") >= needed) & (F.col("c") + F.greatest(beyond(F.col("n")), beyond(F.col("m"))) >= needed)).select("x", "y")
-    rest = verified(pairs, docs, similarity)
-    return lines.select("lid", "at"), written(matched.union(rest).distinct())
+    rest = verified(pairs, lines, similarity)
+    return docs.sparkSession.read.schema(lines.schema).parquet(path).select("lid", *PLACE), written(matched.union(within).union(rest).distinct())
 
 
 def removals(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """key, removed: the positions (from 0) of lines of each document that match an earlier line; documents without any are absent."""
     lines, matched = later_lines(docs, similarity)
-    again = lines.join(matched.withColumn("m", F.lit(True)), "lid", "left").withColumnRenamed("at", "first")
-    rows = lines_of(docs).select("lid", "key", "pos", "at").join(again, "lid")
-    gone = rows.filter(F.col("m").isNotNull() | (F.col("first") != F.col("at")))
+    again = lines.join(matched.withColumn("m", F.lit(True)), "lid", "left").select("lid", "m", F.struct(*PLACE).alias("first"))
+    rows = lines_of(docs).select("lid", *PLACE).join(again, "lid")
+    gone = rows.filter(F.col("m").isNotNull() | (F.col("first") != F.struct(*PLACE)))
     return gone.groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
@@ -157,9 +188,9 @@ def report(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (positions from 0) for every row.
 
     A line is removed if an earlier line has a word set (in lower case) of Jaccard similarity `similarity` or more, whether that one is
-    itself removed or not. Earlier: by doc_id, then position; nulls come first, and equal places of one doc_id in two texts are not earlier than one another. Lines without words stay. Null texts have no line,
-    empty ones one. Rows that repeat both doc_id and text count as one document, and have the same result. An
-    empty table gives no rows. Extra columns are not read.
+    itself removed or not. Earlier: by doc_id, nulls first, then by the hash of id and text, then by position. Lines without words
+    stay. Null texts have no line, empty ones one. Rows that repeat both doc_id and text count as one document, and have the same
+    result. An empty table gives no rows. Extra columns are not read.
     """
     gone = removals(docs, similarity)
     rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
@@ -170,10 +201,11 @@ def report(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
 def without_repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """docs with the removed lines cut from text (and n_chars, if there, counted anew); a text that loses all its words goes."""
-    rows = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(removals(docs, similarity).withColumnRenamed("key", "__key"), "__key", "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    rows = rows.withColumn("text", text).filter(F.col("removed").isNull() | F.col("text").rlike(WORD))
+    gone = removals(docs, similarity).withColumnsRenamed({"key": "__key", "removed": "__removed"})
+    rows = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(gone, "__key", "left")
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__removed", i))
+    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    rows = rows.withColumn("text", text).filter(F.col("__removed").isNull() | F.col("text").rlike(WORD))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns))

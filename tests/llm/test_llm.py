@@ -128,6 +128,37 @@ def test_line_dedup_odd(spark):
     assert 4 not in {r.doc_id for r in kept.collect()}
 
 
+def test_line_dedup_orders_texts_of_one_id(spark):
+    line = "a b c d e f g h i j"
+    rows = [(1, f"{line}\nx y", "s"), (1, f"{line}\nz z2", "s"), (None, f"{line} k", "s"), (None, f"{line} l", "s")]
+    got = [(r.doc_id, list(r.removed)) for r in line_dedup.report(docs_of(spark, rows)).collect()]
+    assert sorted(got, key=repr) == [(1, [0]), (1, [0]), (None, [0]), (None, [])]
+
+
+def test_line_dedup_grows_with_a_group(spark, monkeypatch):
+    """Lines with 4 of 40 words changed: hardly two of them match, though all are close. What the joins return follows the number of lines."""
+    wrote = []
+
+    def watched(df, write=line_dedup.written):
+        out = write(df)
+        wrote[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", watched)
+    for g in (150, 300, 600):
+        rng, rows = random.Random(g), []
+        for i in range(g):
+            w = [f"w{k}" for k in range(40)]
+            for k in rng.sample(range(40), 4):
+                w[k] = f"new{i}x{k}"
+            rows.append((i, " ".join(w)))
+        wrote.append(0)
+        got = {r.doc_id: list(r.removed) for r in line_dedup.report(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()}
+        if g == 150:
+            assert got == removed_plainly(rows)
+    assert wrote[1] < 2.6 * wrote[0] and wrote[2] < 2.6 * wrote[1]
+
+
 def plain_scores(rows, d=(0, 0.9, 1.2, 1.5)):
     count, following = Counter(), {}
     for i, text in rows:
