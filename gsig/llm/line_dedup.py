@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import WORD, bucketed, lean, written
@@ -17,7 +19,7 @@ LONG = 100
 #: Pairs of which both lines have so many words are told apart by the words their prefixes share; signatures are too small for them.
 LONGER = 192
 #: Lists of a line that its first candidates come from.
-LISTS = 4
+LISTS = 2
 PLACE = ("d", "key", "pos")
 
 
@@ -43,12 +45,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def earlier(a: str, b: str) -> Column:
-    """Whether the place in the columns that begin with a is before that of b."""
-    return F.struct(*(F.col(f"{a}{c}") for c in PLACE)) < F.struct(*(F.col(f"{b}{c}") for c in PLACE))
-
-
-def named(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(*(F.col(c).alias(f"{prefix}{c}") for c in df.columns))
+    """Whether the place in the row a is before that in b."""
+    return F.struct(*(F.col(f"{a}.{c}") for c in PLACE)) < F.struct(*(F.col(f"{b}.{c}") for c in PLACE))
 
 
 def counter(x: Column) -> Column:
@@ -60,11 +58,14 @@ def rarity(lines: DataFrame) -> Column:
 
     An array literal of fixed length, whatever the input.
     """
-    counts = lines.select(F.explode("h").alias("x")).select(counter(F.col("x")).alias("c")).groupBy("c").count()
+    counts = lines.select(F.explode("h").alias("x")).groupBy(counter(F.col("x")).alias("c")).count()
+    step = F.least(F.lit(1000), F.floor(F.log2("count") * 16) + 1).cast("bigint")
+    rows = counts.groupBy(F.shiftright("c", 10)).agg(F.collect_list(F.col("c") * 1024 + step).alias("codes"))
     size = [0] * (1 << TOP_BITS)
     with lean(lines.sparkSession):
-        for c, n in counts.select("c", F.least(F.lit(1000), F.floor(F.log2("count") * 16) + 1).cast("int")).toLocalIterator():
-            size[c] = n
+        for row in rows.select("codes").collect():
+            for code in row["codes"]:
+                size[code >> 10] = code & 1023
     return F.split(F.lit(",".join(map(str, size))), ",").cast("array<bigint>")
 
 
@@ -77,13 +78,12 @@ def alike(a: Column, b: Column, similarity: float) -> Column:
     return F.size(F.array_intersect(a, b)) >= overlap_needed(F.size(a), F.size(b), similarity)
 
 
-def close(similarity: float) -> Column:
-    """The test of lines x and y by size and parity signature; what settles most pairs comes first.
+def close(n: Column, m: Column, similarity: float) -> Column:
+    """The test of lines x and y, of n and m words, by size and parity signature; what settles most pairs comes first.
 
     At most (n + m)(1 - s)/(1 + s) words can differ, and each differing bit needs a differing word.
     """
-    n, m = F.col("xn"), F.col("yn")
-    whole, second = F.col("xparity").bitwiseXOR(F.col("yparity")), F.col("xmore").bitwiseXOR(F.col("ymore"))
+    whole, second = F.col("x.parity").bitwiseXOR(F.col("y.parity")), F.col("x.more").bitwiseXOR(F.col("y.more"))
     few_enough = lambda bits: bits * (1 + similarity) <= (n + m) * (1 - similarity) + 1e-6
     halves = F.bit_count(whole.bitwiseXOR(second)) + F.bit_count(second)
     return few_enough(F.bit_count(whole)) & (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9) & ((F.least(n, m) < LONG) | few_enough(halves))
@@ -95,11 +95,10 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
     The sets of y go in a table of their own, as one y can stand in very many pairs; those of x are met where they lie.
     """
     pairs = written(pairs)
-    own = lines.select("lid", *PLACE, "h")
-    sets = written(named(own, "y").join(pairs.select("y").distinct(), F.col("ylid") == F.col("y")).drop("y"))
-    met = pairs.join(sets, F.col("y") == F.col("ylid"))
-    met = named(own, "x").join(met, F.col("xlid") == F.col("x")).filter(alike(F.col("xh"), F.col("yh"), similarity))
-    later = F.when(earlier("y", "x"), F.col("x")).when(earlier("x", "y"), F.col("y"))
+    sets = written(lines.join(pairs.select(F.col("y").alias("lid")).distinct(), "lid"))
+    met = pairs.join(sets.alias("b"), F.col("y") == F.col("b.lid"))
+    met = lines.alias("a").join(met, F.col("a.lid") == F.col("x")).filter(alike(F.col("a.h"), F.col("b.h"), similarity))
+    later = F.when(earlier("b", "a"), F.col("x")).when(earlier("a", "b"), F.col("y"))
     return met.select(later.alias("lid")).filter("lid is not null").distinct()
 
 
@@ -121,11 +120,11 @@ def led(rows: DataFrame, similarity: float) -> DataFrame:
 
     The lists are those of the words of least hash, so that near copies choose the same ones.
     """
-    few = F.slice(F.array_sort("prefix"), 1, LISTS)
-    first = rows.select(F.explode(few).alias("w"), "lid", "d", "n", "parity", "more")
-    leader = first.groupBy("w").agg(*(F.min_by(c, "d").alias(f"y{c}") for c in ("lid", "n", "parity", "more")), F.count("*").alias("c")).filter("c > 1").drop("c")
-    met = named(first.drop("d"), "x").join(leader, F.col("xw") == F.col("w"))
-    return met.filter((F.col("xlid") != F.col("ylid")) & close(similarity)).select(F.col("xlid").alias("x"), F.col("ylid").alias("y")).distinct()
+    first = rows.select(F.explode(F.slice(F.sort_array("prefix"), 1, LISTS)).alias("w"), "lid", "d", "n", "parity", "more")
+    leader = first.groupBy("w").agg(*(F.min_by(c, "d").alias(c) for c in ("lid", "n", "parity", "more")), F.count("*").alias("c")).filter("c > 1")
+    met = first.alias("x").join(leader.alias("y"), F.col("x.w") == F.col("y.w"))
+    met = met.filter((F.col("x.lid") != F.col("y.lid")) & close(F.col("x.n"), F.col("y.n"), similarity))
+    return met.select(F.col("x.lid").alias("x"), F.col("y.lid").alias("y")).distinct()
 
 
 def later_lines(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -150,25 +149,28 @@ def later_lines(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, Da
     short, _ = bucketed(prefixed(lines, similarity), "lid")
     matched = written(verified(led(short, similarity), lines, similarity))
 
-    listed = short.join(matched.withColumn("m", F.lit(True)), "lid", "left").withColumn("m", F.col("m").isNotNull())
-    listed = listed.select("lid", "d", "n", "parity", "more", "m", F.posexplode("prefix").alias("i", "w"))
-    x, y = (named(listed, p) for p in "xy")
-    roomy = F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) >= overlap_needed(F.col("xn"), F.col("yn"), similarity)
-    # A pair matters if its later line is open; of lines of one document both may be the later one.
-    sought = (~F.col("xm") & (F.col("yd") <= F.col("xd"))) | (~F.col("ym") & (F.col("xd") <= F.col("yd")))
-    meet = (F.col("xw") == F.col("yw")) & (F.col("xlid") != F.col("ylid")) & close(similarity) & sought & roomy
-
-    some = lambda s, p: s.filter(F.col(f"{p}n") * similarity < LONGER)
-    met = some(x, "x").join(some(y, "y"), meet, "left_semi").select(*(F.col(f"x{c}").alias(c) for c in ("lid", "w", "n", "parity", "more", "m")))
-    met = written(lines.select("lid", *PLACE, "h").join(met, "lid"))
-    a, b = named(met, "x"), named(met.drop("m"), "y")
-    same = (F.col("xw") == F.col("yw")) & earlier("y", "x") & close(similarity) & alike(F.col("xh"), F.col("yh"), similarity)
-    within = a.filter("not xm").join(b, same, "left_semi").select(F.col("xlid").alias("lid")).distinct()
+    flagged = short.join(matched.withColumn("m", F.lit(1)), "lid", "left")
+    # Size, position and the mark of settled lines in one number; both sides of the join are the same rows, sent once.
+    code = F.col("n").cast("long") * (1 << 33) + F.col("i") * 2 + F.coalesce("m", F.lit(0))
+    listed = lambda rows: rows.select("lid", "d", "n", "parity", "more", "m", F.posexplode("prefix").alias("i", "w")).select("w", "lid", "d", "parity", "more", code.alias("c"))
+    n, m, i, j = (f(F.col(f"{s}.c")) for f in (lambda c: F.shiftright(c, 33), lambda c: F.shiftright(c, 1).bitwiseAND(F.lit((1 << 32) - 1))) for s in "xy")
+    is_open = lambda s: F.col(f"{s}.c").bitwiseAND(F.lit(1)) == 0
+    room = F.least(n - i, m - j)
+    # A pair matters if its later line is open; of lines of one document either may be the later one.
+    sought = (is_open("x") & (F.col("y.d") <= F.col("x.d"))) | (is_open("y") & (F.col("x.d") <= F.col("y.d")))
+    near = (F.col("x.w") == F.col("y.w")) & close(n, m, similarity) & sought
+
+    some = listed(flagged.filter(F.col("n") < math.ceil(LONGER / similarity)))
+    met = some.alias("x").join(some.alias("y"), near & (F.col("x.lid") != F.col("y.lid")) & (room >= overlap_needed(n, m, similarity)), "left_semi")
+    met = written(lines.join(met.select("lid", "w", "parity", "more", F.col("c").bitwiseAND(F.lit(1)).alias("m")), "lid"))
+    same = (F.col("x.w") == F.col("y.w")) & earlier("y", "x") & close(F.size("x.h"), F.size("y.h"), similarity) & alike(F.col("x.h"), F.col("y.h"), similarity)
+    within = met.filter("m = 0").alias("x").join(met.alias("y"), same, "left_semi").select("lid").distinct()
 
     # Words beyond the prefixes number ceil(s n) - 1; the prefixes have to share what those cannot make up for.
+    long = listed(flagged.filter(F.col("n") >= LONGER))
+    pairs = long.alias("x").join(long.alias("y"), near & (F.col("x.lid") < F.col("y.lid"))).select(F.col("x.lid").alias("x"), F.col("y.lid").alias("y"), room.alias("room"), n.alias("n"), m.alias("m"))
+    pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("c"), F.max("room").alias("room"), F.first("n").alias("n"), F.first("m").alias("m"))
     beyond = lambda k: F.ceil(k * similarity - 1e-9) - 1
-    most = x.filter(F.col("xn") >= LONGER).join(y.filter(F.col("yn") >= LONGER), (F.col("xw") == F.col("yw")) & (F.col("xlid") < F.col("ylid")) & close(similarity) & sought)
-    pairs = most.groupBy(F.col("xlid").alias("x"), F.col("ylid").alias("y")).agg(F.count("*").alias("c"), F.max(F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi"))).alias("room"), F.first("xn").alias("n"), F.first("yn").alias("m"))
     needed = overlap_needed(F.col("n"), F.col("m"), similarity)
     pairs = pairs.filter((F.col("room") >= needed) & (F.col("c") + F.greatest(beyond(F.col("n")), beyond(F.col("m"))) >= needed)).select("x", "y")
     rest = verified(pairs, lines, similarity)
@@ -193,8 +195,8 @@ def report(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     result. An empty table gives no rows. Extra columns are not read.
     """
     gone = removals(docs, similarity)
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    rows = rows.withColumn("n_lines", F.greatest("n_lines", F.lit(0))).join(gone, "key", "left")
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).alias("n_lines"))
+    rows = rows.join(gone, "key", "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return rows.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
 
