@@ -35,9 +35,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def lean(spark: SparkSession) -> Iterator[None]:
     """Actions started inside remove their shuffle files when they end, as what they have made is on disk and nothing reads those again.
 
-    The driver keeps the first part of their plans' text only; literals of bounded size would fill megabytes of it.
+    A task that writes up to 8 buckets needn't sort them. The driver keeps the first part of their plans' text only; literals of bounded size would fill megabytes of it.
     """
-    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "100000"}
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "100000", "spark.sql.maxConcurrentOutputFileWriters": "8"}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -61,7 +61,7 @@ def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
     spark, name = df.sparkSession, f"gsig_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     with lean(spark):
-        df.write.option("compression", "zstd").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).saveAsTable(name)
+        df.write.option("compression", "zstd").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(name)
     return spark.table(name), path
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import WORD, bucketed, lean, written
 
 #: Counters of word frequency, one for each value of a hash's top bits; a word is as frequent as all words of its counter together.
-TOP_BITS = 18
+TOP_BITS = 17
 #: White space, whose characters begin and end words.
 SPACE = " \t\n\r\x0b\f"
 #: A word is a number: its frequency in steps of a 16th of an octave, then so many bits of its hash.
@@ -32,7 +32,7 @@ def pieces(text: Column) -> Column:
 
 def words_of(line: Column) -> Column:
     """Distinct 64-bit hashes of the words of a line."""
-    return F.array_remove(F.array_distinct(F.transform(pieces(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.array_except(F.transform(pieces(line), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -89,23 +89,26 @@ def close(n: Column, m: Column, similarity: float) -> Column:
     return few_enough(F.bit_count(whole)) & (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9) & ((F.least(n, m) < LONG) | few_enough(halves))
 
 
-def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """The later line (lid) of each (x, y) pair whose word sets have the similarity, once.
+def meeting(lines: DataFrame, few: DataFrame, how: str = "inner") -> DataFrame:
+    """lines joined to rows that are few for each lid; these go into a table in memory, so that the sets of lines needn't be sorted."""
+    return lines.join(few.hint("shuffle_hash"), "lid", how)
 
-    The sets of y go in a table of their own, as one y can stand in very many pairs; those of x are met where they lie.
-    """
+
+def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """The later line (lid) of each (x, y) pair whose word sets have the similarity, once. One y can stand in very many pairs."""
     pairs = written(pairs)
-    sets = written(lines.join(pairs.select(F.col("y").alias("lid")).distinct(), "lid"))
-    met = pairs.join(sets.alias("b"), F.col("y") == F.col("b.lid"))
-    met = lines.alias("a").join(met, F.col("a.lid") == F.col("x")).filter(alike(F.col("a.h"), F.col("b.h"), similarity))
+    ids = pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "lid")
+    sets = written(meeting(lines, ids))
+    met = pairs.join(sets.alias("a"), F.col("x") == F.col("a.lid")).join(sets.alias("b"), F.col("y") == F.col("b.lid"))
     later = F.when(earlier("b", "a"), F.col("x")).when(earlier("a", "b"), F.col("y"))
-    return met.select(later.alias("lid")).filter("lid is not null").distinct()
+    return met.filter(alike(F.col("a.h"), F.col("b.h"), similarity)).select(later.alias("lid")).filter("lid is not null").distinct()
 
 
 def prefixed(lines: DataFrame, similarity: float) -> DataFrame:
     """lid, d, n (words), parity, more (signature), prefix: the rarest words of each line, of which similar lines share one at least."""
     sizes = rarity(lines)
-    code = lambda x: F.shiftleft(F.coalesce(F.get(sizes, counter(x)), F.lit(0)), HASH_BITS).bitwiseOR(F.shiftrightunsigned(x, 64 - HASH_BITS))
+    # Never null, so that arrays are sorted as primitives.
+    code = lambda x: F.coalesce(F.shiftleft(F.get(sizes, counter(x)), HASH_BITS).bitwiseOR(F.shiftrightunsigned(x, 64 - HASH_BITS)), F.lit(0))
     rows = lines.select("lid", "d", F.size("h").alias("n"), F.sort_array(F.transform("h", code)).alias("t"))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
     parity = lambda words: F.aggregate(words, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
@@ -149,7 +152,7 @@ def later_lines(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, Da
     short, _ = bucketed(prefixed(lines, similarity), "lid")
     matched = written(verified(led(short, similarity), lines, similarity))
 
-    flagged = short.join(matched.withColumn("m", F.lit(1)), "lid", "left")
+    flagged = meeting(short, matched.withColumn("m", F.lit(1)), "left")
     # Size, position and the mark of settled lines in one number; both sides of the join are the same rows, sent once.
     code = F.col("n").cast("long") * (1 << 33) + F.col("i") * 2 + F.coalesce("m", F.lit(0))
     listed = lambda rows: rows.select("lid", "d", "n", "parity", "more", "m", F.posexplode("prefix").alias("i", "w")).select("w", "lid", "d", "parity", "more", code.alias("c"))
@@ -162,7 +165,7 @@ def later_lines(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, Da
 
     some = listed(flagged.filter(F.col("n") < math.ceil(LONGER / similarity)))
     met = some.alias("x").join(some.alias("y"), near & (F.col("x.lid") != F.col("y.lid")) & (room >= overlap_needed(n, m, similarity)), "left_semi")
-    met = written(lines.join(met.select("lid", "w", "parity", "more", F.col("c").bitwiseAND(F.lit(1)).alias("m")), "lid"))
+    met = written(meeting(lines, met.select("lid", "w", "parity", "more", F.col("c").bitwiseAND(F.lit(1)).alias("m"))))
     same = (F.col("x.w") == F.col("y.w")) & earlier("y", "x") & close(F.size("x.h"), F.size("y.h"), similarity) & alike(F.col("x.h"), F.col("y.h"), similarity)
     within = met.filter("m = 0").alias("x").join(met.alias("y"), same, "left_semi").select("lid").distinct()
 
