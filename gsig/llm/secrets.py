@@ -22,32 +22,12 @@ BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 STARTS = re.compile(r"(?=M[A-P]|AAAA|b3BlbnNzaC1rZXk)")
 LEAST = 40
 ANY_HEX = re.compile(r"(?:[0-9a-f]{64,}|[0-9A-F]{64,})")
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: A token begins its run, so that a run without dots is read once.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+?)-----END \1-----")
 KINDS = ("assign", "access", "hex", "pem", "signed", "der64", "derhex")
 
 
-def nested(data: bytes, depth: int = 0) -> bool:
-    """Whether data is one whole ASN.1 DER sequence whose nested lengths all close; the outermost has two elements at least, with
-    an integer, a sequence or an object identifier first."""
-    if len(data) < 2 or data[0] != 0x30 or depth > 8:
-        return False
-    body = value_of(data, 0)
-    if body is None or body[1] != len(data):
-        return False
-    at, seen = body[0], 0
-    while at < len(data):
-        inner = value_of(data, at)
-        if inner is None or inner[1] > len(data):
-            return False
-        if data[at] == 0x30 and not nested(data[at : inner[1]], depth + 1):
-            return False
-        if not seen and not depth and data[at] not in (0x02, 0x30, 0x06):
-            return False
-        at, seen = inner[1], seen + 1
-    return seen >= 2 or depth > 0
-
-
 def value_of(data: bytes, at: int) -> tuple[int, int] | None:
     """Start and end of the value whose tag is at `at`."""
     if at + 2 > len(data):
@@ -80,16 +60,69 @@ def signed(token: str) -> bool:
         return False
 
 
-def key_bytes(data: bytes | None) -> bool:
-    """Whether data is a private or public key: DER, or a key blob of length-prefixed fields with an algorithm's name."""
-    if not data:
+def elements(data: bytes, at: int = 0) -> list[tuple[int, int]] | None:
+    """(tag, start of the value) of what one ASN.1 DER sequence holds that fills data from `at`; None unless its length and those of
+    all sequences in it close. Sequences may be nested to any depth; every byte is read once at most."""
+    whole = value_of(data, at) if data[at : at + 1] == b"\x30" else None
+    if whole is None or whole[1] != len(data):
+        return None
+    ends, found, at = [whole[1]], [], whole[0]
+    while ends:
+        if at == ends[-1]:
+            ends.pop()
+            continue
+        inner = value_of(data, at)
+        if inner is None or inner[1] > ends[-1]:
+            return None
+        if len(ends) == 1:
+            found.append((data[at], inner[0]))
+        if data[at] == 0x30:
+            ends.append(inner[1])
+            at = inner[0]
+        else:
+            at = inner[1]
+    return found
+
+
+def der_key(data: bytes, at: int = 0) -> bool:
+    """Whether a key fills data from `at`: numbers only (RSA, DSA), a version and an octet string (elliptic curves), PKCS#8 plain or
+    encrypted, or a public key with its algorithm. Certificates and signatures are other sequences."""
+    found = elements(data, at)
+    if not found:
         return False
-    if nested(data):
-        return True
-    at = len(b"openssh-key-v1\0") if data.startswith(b"openssh-key-v1\0") else 0
-    n = int.from_bytes(data[at : at + 4], "big")
-    name = data[at + 4 : at + 4 + n]
-    return 4 <= n <= 40 and len(name) == n and (at > 0 or name.startswith((b"ssh-", b"ecdsa-"))) and name.isascii()
+    tags = [tag for tag, _ in found]
+    if tags[0] == 0x02:
+        return tags[1:3] == [0x30, 0x04] or tags[1:2] == [0x04] or (len(tags) >= 6 and set(tags) == {0x02})
+    return tags[0] == 0x30 and data[found[0][1]] == 0x06 and tags[1:] in ([0x04], [0x03])
+
+
+def field(data: bytes, at: int) -> int | None:
+    """Where the length-prefixed field at `at` ends."""
+    end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+    return end if at + 4 <= len(data) and end <= len(data) else None
+
+
+def blob_key(data: bytes, at: int = 0) -> bool:
+    """Whether a key blob fills data from `at`: fields with their lengths, the first of them an algorithm's name, or a key file, which
+    names its cipher and holds as many public keys as it says and one private part."""
+    file = data.startswith(b"openssh-key-v1\0", at)
+    if file:
+        at += len(b"openssh-key-v1\0")
+    elif not data.startswith((b"ssh-", b"ecdsa-", b"sk-"), at + 4):
+        return False
+    left = 3 if file else None
+    fields = 0
+    while at is not None and at < len(data):
+        if left == 0:  # the number of public keys; then they and the private part
+            left, at, file = int.from_bytes(data[at : at + 4], "big") + 1, at + 4, False
+            continue
+        at = field(data, at)
+        fields += 1
+        if left is not None:
+            left -= 1
+            if not left and not file:
+                break
+    return at == len(data) and (fields >= 2 if left is None else not file and left == 0)
 
 
 def key_start(run: str) -> int | None:
@@ -107,10 +140,7 @@ def key_start(run: str) -> int | None:
         if shift not in whole:
             whole[shift] = decoded(bare[shift:]) or b""
         data, at = whole[shift], (start - shift) // 4 * 3
-        if data[at] != 0x30:
-            if key_bytes(data[at : at + 64]):
-                return start
-        elif (body := value_of(data, at)) and body[1] == len(data) and nested(data[at:]):
+        if der_key(data, at) if data[at] == 0x30 else blob_key(data, at):
             return start
     return None
 
@@ -129,7 +159,8 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
             body = re.sub(r"\\[nr]|[\s\\]", "", m[2])
-            if key_bytes(decoded(body)):
+            data = decoded(body) or b""
+            if der_key(data) or blob_key(data):
                 out.append((m.start(), 3, m.end()))
     if "eyJ" in text:
         out += [(m.start(), 4, m.end()) for m in TOKEN.finditer(text) if signed(m[0])]
@@ -138,7 +169,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
         start = key_start(m[0])
         if start is not None and not any(s <= m.start() + start and m.end() <= e for s, e in files):
             out.append((m.start() + start, 5, m.end()))
-    out += [(m.start(), 6, m.end()) for m in ANY_HEX.finditer(text) if m[0].startswith("30") and len(m[0]) % 2 == 0 and nested(bytes.fromhex(m[0]))]
+    out += [(m.start(), 6, m.end()) for m in ANY_HEX.finditer(text) if m[0].startswith("30") and len(m[0]) % 2 == 0 and der_key(bytes.fromhex(m[0]))]
     return out
 
 
@@ -151,7 +182,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Offsets are code points, ends exclusive. Base spans are reported as their patterns say; the structural step adds spans of
     decoded and parsed candidates and takes none away. A bare key in base64 may follow other characters of the alphabet directly,
-    but has to end its run. Null texts count as empty: no spans, and the digest of the empty string. Whole texts are
+    but has to end its run; a signed token has to begin its run. Null texts count as empty: no spans, and the digest of the empty string. Whole texts are
     scanned whatever their length; repeated rows are scanned alike; an empty table gives no rows; extra columns are not read.
     """
 
