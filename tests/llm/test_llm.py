@@ -290,6 +290,71 @@ def test_quality_measures_whole_lines():
     assert x[0, 2 * quality.SHAPES + 1 : 2 * quality.SHAPES + 3].tolist() == x[2, quality.SHAPES + 1 : quality.SHAPES + 3].tolist() == [0.25, 0.25]
 
 
+def plain_shape(line):
+    if not line:
+        return [0.0] * 11 + [1.0]
+    w = line.split()
+    k = max(1, len(w))
+    letters, digits, marks = (sum(map(f, line)) for f in (str.isalpha, str.isdigit, quality.MARKS.__contains__))
+    repeats = sum(a == b for a, b in zip(w, w[1:], strict=False))
+    return [sum(map(str.isupper, w)) / k, letters / len(line), digits / len(line), min(marks / k, 4.0), repeats / k, len(set(w)) / k, min(len(line) / k, 20.0) / 10, line.count("|") / k, line.count("!") / k, float(line[-1] in ".!?"), float(w[:1] != [] and w[0][:1].isupper()), 0.0]
+
+
+def test_quality_features_and_scores_against_plain_ones(sample):
+    texts = [r.text or "" for r in sample.select("text").collect()] + [t or "" for _, t, _ in ODD] + ["", "\n", " \n\n a a A|!\u2003B ÀÉ \n7", "\U0001d400x \u01c5 \U000e0001"]
+    rng = np.random.default_rng(3)
+    model = quality.Model(rng.standard_normal((quality.FEATURES, 2)), rng.standard_normal(1 << quality.WORD_BITS), rng.standard_normal((2, 2)))
+    lines = quality.measured(texts, quality.Hashes())
+    got, at = quality.scores(texts, model, quality.Hashes()), 0
+    for text, score in zip(texts, got, strict=True):
+        own = [plain_shape(x) for x in text.split("\n")]
+        none = [0.0] * 12
+        for i, line in enumerate(text.split("\n")):
+            x = own[i] + (own[i - 1] if i else none) + (own[i + 1] if i + 1 < len(own) else none) + [math.log1p(len(line)) / 8, float(i == 0), 1.0]
+            assert lines.x[at + i] == pytest.approx(x)
+        if len(own) <= 8:
+            pot = []
+            for i, line in enumerate(text.split("\n")):
+                w = [model.words[quality.Hashes()[x] >> (64 - quality.WORD_BITS)] for x in line.split()]
+                pot.append(lines.x[at + i] @ model.weights + [0, sum(w) / max(1, len(w))])
+            total, good = 0.0, np.zeros(len(pot))
+            for code in range(1 << len(pot)):
+                y = [code >> i & 1 for i in range(len(pot))]
+                e = math.exp(sum(pot[i][y[i]] for i in range(len(pot))) + sum(model.moves[a, b] for a, b in zip(y, y[1:], strict=False)))
+                total += e
+                good += e * np.array(y)
+            weight = np.array([len(x) + 1 for x in text.split("\n")])
+            assert score == pytest.approx((good / total * weight).sum() / weight.sum())
+        at += len(own)
+    assert at == len(lines.x)
+
+
+def test_quality_trains_on_whole_texts(spark):
+    """What tells the labels apart stands after 100 lines and 5,000 characters of a line."""
+    start = "\n".join(["a b c d"] * 100) + "\n" + "a b " * 2000
+    rows = [(i, start + ("good words here " * 2000 if i % 2 else "bad ones there " * 2000), "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    out = quality.classify(docs_of(spark, rows), labels, threshold=0.5).select("doc_id", "held_out", "predicted").collect()
+    assert all(r.predicted == r.doc_id % 2 for r in out if r.held_out)
+
+
+def test_quality_repeated_ids_train_alike(spark):
+    rows = [(i % 7, f"text {i} {'A | ! ' * (i % 5)}", "s") for i in range(70)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(7)] * 2, "doc_id long, quality int, toxic int")
+    a, b = (sorted(r.score for r in quality.classify(docs_of(spark, rows).repartition(n), labels, train_docs=10).collect()) for n in (2, 5))
+    assert a == b
+
+
+def test_lines_change_sides():
+    rng = np.random.default_rng(2)
+    texts = ["\n".join("| ! #" if rng.random() < (0.3 if good else 0.9) else "Fine prose stands here." for _ in range(12)) for good in (0, 1) * 40]
+    chains = [(quality.measured([t], quality.Hashes()), np.full(12, i % 2)) for i, t in enumerate(texts)]
+    after = quality.relabelled(chains, quality.fit(chains), sure=0.5)
+    assert any((y != y[0]).any() for _, y in after)
+    for (lines, y), (_, was) in zip(after, chains, strict=True):
+        assert (lines.size + 1)[y == was].sum() >= (lines.size + 1).sum() / 2
+
+
 def test_marginals_by_enumeration():
     rng = np.random.default_rng(1)
     pot, moves = rng.standard_normal((4, 2)), rng.standard_normal((2, 2))
