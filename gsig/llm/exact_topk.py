@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import vector_classes
 
-#: Scaled components are held to this size, so that sums of 2^9 products fit a long.
-MOST = float(1 << 26)
+LEVELS = (1, 2, 4, 8, 16, 32, 48)
+#: Integers up to this size are exact as doubles; larger products are made with Python's integers.
+EXACT = float(1 << 53)
 
 
 def segment_stats(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths, means and deviations (root of the summed squares about the mean) of n segments of each row."""
-    edges = np.linspace(0, x.shape[1], n + 1).astype(int)
+    """Lengths, means and deviations (root of the summed squares about the mean) of n segments of each row.
+
+    Components are in order of strength: the first n - 1 are segments of their own, the rest is one. More segments refine fewer.
+    """
+    edges = np.r_[np.arange(n), x.shape[1]]
     size = np.diff(edges)
     mean = np.add.reduceat(x, edges[:-1], axis=1) / size
     spread = np.add.reduceat((x - np.repeat(mean, size, axis=1)) ** 2, edges[:-1], axis=1)
@@ -26,44 +32,80 @@ def bounds(q: tuple, x: tuple) -> np.ndarray:
     return (q[1] * q[0]) @ x[1].T + q[2] @ x[2].T
 
 
-def block_search(queries: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def turned(items: np.ndarray) -> np.ndarray:
+    """A rotation to the principal axes of items, strongest first: inner products stay, and segments differ in what they hold."""
+    scale = np.abs(items).max() or 1.0
+    return np.linalg.eigh((items / scale).T @ (items / scale))[1][:, ::-1]
+
+
+def products(queries: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of integers: as doubles where no sum can leave their exact range, else as Python's integers."""
+    if np.abs(queries).max(initial=0) * np.abs(items).max(initial=0) * queries.shape[1] < EXACT:
+        return (queries @ items.T).astype(np.int64)
+    whole = np.vectorize(int, otypes=[object])
+    out = whole(queries) @ whole(items).T
+    if out.size and max(abs(out.min()), abs(out.max())) >= 1 << 63:
+        raise OverflowError("an inner product of scaled components does not fit 64 bits")
+    return out.astype(np.int64)
+
+
+def block_search(queries: np.ndarray, items: np.ndarray, k: int, counts: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of queries, rows of items and scores: for each query all items that score at least its k-th best here.
 
     A larger inner product is a smaller distance, so upper bounds on the product are lower bounds on the
-    distance. The best items by the coarsest bound give a first threshold; each finer resolution drops what
-    cannot reach it, and only survivors of the finest are multiplied out.
+    distance. Bounds are those of the rotated vectors (`turned`). The exact products of the items best by the coarsest bound give a first
+    threshold; each finer resolution is computed for what the coarser ones left, raises the threshold in the same way and drops what
+    cannot reach it; survivors of the finest are multiplied out.
+    Rows of very large components (where products leave the exact range of doubles) are multiplied out at once.
+    counts: gets the pairs alive after each level.
     """
     dim = items.shape[1]
-    levels = [n for n in (1, 2, 4, 8, 16) if n <= dim]
-    stats_q, stats_x = [segment_stats(queries, n) for n in levels], [segment_stats(items, n) for n in levels]
-    exact_q, exact_x = queries.astype(np.int64), items.astype(np.int64)
+    small = np.abs(items).max(axis=1) < math.sqrt(EXACT / dim / 2)
+    odd = np.flatnonzero(~small)
+    plain = np.flatnonzero(small)
+    axes = turned(items[plain]) if len(plain) else np.eye(dim)
+    levels = [n for n in LEVELS if n <= dim]
+    stats_x = [segment_stats(items[plain] @ axes, n) for n in levels]
     out = []
-    for at in range(0, len(queries), 64):
-        part = slice(at, at + 64)
-        cut = lambda s: (s[0], s[1][part], s[2][part])
-        finest = bounds(cut(stats_q[-1]), stats_x[-1])
-        first = np.argpartition(-finest, min(k, len(items)) - 1, axis=1)[:, :k]
-        scores = np.einsum("qd,qkd->qk", exact_q[part], exact_x[first])
-        floor = np.full(len(finest), -np.inf) if len(items) < k else scores.min(axis=1).astype(float)
-        slack = 1e-9 * np.abs(finest).max(axis=1) + 1e-6
-        alive = None
-        for sq, sx in zip(stats_q, stats_x, strict=True):
-            if alive is None:
-                alive = bounds(cut(sq), sx) >= (floor - slack)[:, None]
+    step = max(1, (1 << 22) // max(1, len(items)))
+    for at in range(0, len(queries), step):
+        part = queries[at : at + step]
+        best = products(part, items[odd])
+        large = np.abs(part).max(axis=1) >= math.sqrt(EXACT / dim / 2)
+        alive, floor = None, np.full(len(part), -np.inf)
+        for n, sx in zip(levels, stats_x, strict=True):
+            sq = segment_stats(part @ axes, n)
+            slack = 1e-6 + 1e-9 * np.linalg.norm(part, axis=1)[:, None] * np.linalg.norm(items[plain], axis=1)[None, :] if alive is None else slack
+            if alive is None or alive.mean() > 0.2:  # a product of matrices is cheaper than picking pairs
+                rough = bounds(sq, sx) + slack
+                if alive is not None:
+                    rough[~alive] = -np.inf
+                if len(items) >= k:
+                    first = np.argpartition(-rough, min(4 * k, len(plain)) - 1, axis=1)[:, : 4 * k] if len(plain) else np.zeros((len(part), 0), int)
+                    seen = np.stack([np.r_[products(part[i : i + 1], items[plain[f]])[0], best[i]] for i, f in enumerate(first)])
+                    floor = np.maximum(floor, np.partition(seen, -k, axis=1)[:, -k])
+                alive = (rough >= floor[:, None]) | (large[:, None] & (True if alive is None else alive))
             else:
-                rows, cols = np.nonzero(alive)
-                for lo in range(0, len(rows), 1 << 18):
-                    r, c = rows[lo : lo + (1 << 18)], cols[lo : lo + (1 << 18)]
-                    top = (sq[1][part][r] * sx[1][c]) @ sq[0] + (sq[2][part][r] * sx[2][c]).sum(axis=1)
-                    alive[r, c] = top >= (floor - slack)[r]
-        rows, cols = np.nonzero(alive)
-        for lo in range(0, len(rows), 1 << 16):
-            r, c = rows[lo : lo + (1 << 16)], cols[lo : lo + (1 << 16)]
-            got = np.einsum("nd,nd->n", exact_q[part][r], exact_x[c])
+                r, c = np.nonzero(alive)
+                for lo in range(0, len(r), 1 << 18):
+                    i, j = r[lo : lo + (1 << 18)], c[lo : lo + (1 << 18)]
+                    top = (sq[1][i] * sx[1][j]) @ sq[0] + (sq[2][i] * sx[2][j]).sum(axis=1) + slack[i, j]
+                    alive[i, j] = (top >= floor[i]) | large[i]
+            if counts is not None:
+                counts[n] = counts.get(n, 0) + int(alive.sum())
+        if alive.mean() > 0.2:
+            got = products(part, items[plain])
+            r, c = np.nonzero(alive & (got >= floor[:, None]))
+            out.append((r + at, plain[c], got[r, c]))
+        else:
+            r, c = np.nonzero(alive)
+            got = np.concatenate([products(part[i : i + 1], items[plain[c[r == i]]])[0] for i in range(len(part))]) if len(r) else np.zeros(0, np.int64)
             kept = got >= floor[r]
-            out.append((r[kept] + at, c[kept], got[kept]))
+            out.append((r[kept] + at, plain[c[kept]], got[kept]))
+        r, c = np.nonzero(best >= floor[:, None])
+        out.append((r + at, odd[c], best[r, c]))
     rows, cols, scores = (np.concatenate(x) for x in zip(*out, strict=True))
-    return rows, cols, scores
+    return rows, cols, scores.astype(np.int64)
 
 
 def exact_topk(embeddings: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, query_block: int = 4096, item_block: int = 16384) -> DataFrame:
@@ -77,12 +119,11 @@ def exact_topk(embeddings: DataFrame, every: int = 100, k: int = 10, scale: int
     Equal vectors are one class, so a vector that a third of the rows share is scored once.
 
     Null vectors and those with null, NaN or infinite components take no part; vectors of other lengths than
-    the query's are not its candidates; scaled components beyond +-2^26 are held at that. Zero vectors take
-    part. Fewer than k candidates: all. An empty table gives no rows. Extra columns are not read.
+    the query's are not its candidates. Components of any size count exactly; a score that a long cannot hold is an error. Zero vectors
+    take part. Fewer than k candidates: all. An empty table gives no rows. Extra columns are not read.
     """
-    limit = F.lit(MOST)
-    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    floor = lambda x: F.when(odd(x), x).otherwise(F.greatest(-limit, F.least(limit, F.floor(x * scale).cast("double"))))
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) >= 2.0**52 / scale)  # noqa: E731  whole numbers already, if they are numbers
+    floor = lambda x: F.when(odd(x), x * scale).otherwise(F.floor(x * scale).cast("double"))
     scaled = embeddings.select("vec_id", F.transform(F.col("embedding").cast("array<double>"), floor).alias("embedding"))
     classes, members = vector_classes(scaled, k + 1, allow_zero=True)
     members = members.filter(F.col("vec_id") % every == 0)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from decimal import Decimal, localcontext
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .common import WORD, checkpointed
 
 WEIGHTS = (5, 2, 1)
+#: Objects up to which numpy draws hypergeometric numbers.
+EXACT_BELOW = 10**9
+#: ln(2 pi) / 2.
+HALF_LOG_2_PI = Decimal("0.91893853320467274178032973640561763986139747363778")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -39,21 +45,50 @@ def targets(rows: DataFrame, weights: tuple = WEIGHTS, most: int = 3) -> DataFra
     return src.withColumn("target", F.when(level.isNull(), F.col("cap")).otherwise(F.least("cap", level * F.col("w")))).select("source", "source_size", "n_docs", "target")
 
 
-def split(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
-    """How many of each count fall among n draws without replacement: one hypergeometric draw per source in turn.
+def log_factorial(n: int) -> Decimal:
+    """ln n! to 40 digits: Stirling's series from 200 on, where its terms fall fast."""
+    if n < 200:
+        return Decimal(math.factorial(n)).ln()
+    x = Decimal(n)
+    # Numerators and denominators of the series in 1/n, 1/n^3, ...
+    terms = ((1, 12), (-1, 360), (1, 1260), (-1, 1680), (1, 1188), (-691, 360360), (1, 156), (-3617, 122400))
+    return (x + Decimal("0.5")) * x.ln() - x + HALF_LOG_2_PI + sum(Decimal(a) / Decimal(b) / x ** (2 * i + 1) for i, (a, b) in enumerate(terms))
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of `good` are among n draws without replacement from good + bad, exactly so distributed at any size.
 
-    Beyond 10^9, where the exact sampler ends, the normal limit stands in; sums stay exact.
+    numpy draws up to 10^9 objects. Beyond, rejection from an envelope that holds for every log-concave law: flat
+    about the mode, with exponential tails. Probabilities are computed to 40 digits.
     """
+    if good + bad < EXACT_BELOW:
+        return int(rng.hypergeometric(good, bad, n))
+    with localcontext(prec=50):
+        whole = log_factorial(good) + log_factorial(bad) + log_factorial(n) + log_factorial(good + bad - n) - log_factorial(good + bad)
+
+        def log_p(k: int) -> Decimal:
+            return whole - log_factorial(k) - log_factorial(good - k) - log_factorial(n - k) - log_factorial(bad - n + k)
+
+        low, high = max(0, n - bad), min(good, n)
+        mode = min(max((n + 1) * (good + 1) // (good + bad + 2), low), high)
+        top = log_p(mode)
+        p = float(top.exp())
+        w = 1 + p / 2
+        while True:
+            u, v, sign = rng.random(), rng.random(), -1 if rng.random() < 0.5 else 1
+            y = v * w / p if u <= w / (1 + w) else (w + rng.exponential()) / p
+            x = mode + sign * round(y)
+            if low <= x <= high and rng.random() * min(1.0, math.exp(w - p * y)) <= float((log_p(x) - top).exp()):
+                return x
+
+
+def split(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
+    """How many of each count fall among n draws without replacement: one hypergeometric draw per source in turn."""
     out, left = np.zeros_like(counts), int(counts.sum())
     for i, c in enumerate(counts.tolist()):
-        rest, low = left - c, max(0, n - (left - c))
-        if left < 10**9:
-            x = int(rng.hypergeometric(c, rest, n)) if c and n else 0
-        else:
-            p = c / left
-            x = round(rng.normal(n * p, (n * p * (1 - p) * (left - n) / (left - 1)) ** 0.5))
-        out[i] = x = min(max(x, low), c, n)
-        n, left = n - x, rest
+        left -= c
+        out[i] = x = hypergeometric(rng, c, left, n) if c and n else 0
+        n -= x
     return out
 
 

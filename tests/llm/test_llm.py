@@ -74,6 +74,29 @@ def test_splitting_tree_is_exact():
     assert all((a[2] == b[2]).all() for a, b in zip(part, seen[8:12], strict=True))
 
 
+def test_hypergeometric_beyond_numpy(monkeypatch):
+    monkeypatch.setattr(mixing, "EXACT_BELOW", 0)
+    for good, bad, n in ((40, 60, 30), (300, 500, 250), (5, 1000, 900)):
+        rng, exact = np.random.default_rng(3), Counter()
+        got = Counter(mixing.hypergeometric(rng, good, bad, n) for _ in range(3000))
+        for k in range(max(0, n - bad), min(good, n) + 1):
+            exact[k] = 3000 * math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n)
+        assert set(got) <= set(exact)
+        usual = [k for k, e in exact.items() if e >= 8]
+        assert sum((got[k] - exact[k]) ** 2 / exact[k] for k in usual) < 2.2 * len(usual) + 12
+    monkeypatch.undo()
+    rng = np.random.default_rng(1)
+    for size in (10**9 - 1, 10**9 + 1, 10**13):
+        counts = np.array([size // 2, size // 3, 7, 0, size - size // 2 - size // 3 - 7])
+        z = []
+        for _ in range(40):
+            x = mixing.split(rng, counts, size // 4)
+            assert x.sum() == size // 4 and (x <= counts).all() and (x >= 0).all()
+            p = counts[0] / size
+            z.append((x[0] - size // 4 * p) / math.sqrt(size // 4 * p * (1 - p) * 0.75))
+        assert abs(np.mean(z)) < 0.6 and 0.6 < np.std(z) < 1.5
+
+
 def test_mix_positions_are_whole(spark, sample):
     rows = mixing.sized(sample)
     out = mixing.mix(rows, mixing.targets(rows), shard_blocks=32).toPandas()
@@ -228,6 +251,32 @@ def test_nearest_recall(spark):
     assert len(got) == 200 * 20
 
 
+def test_forest_ascends_from_the_longest_match():
+    rng = np.random.default_rng(4)
+    rows, queries = rng.standard_normal((3000, 16)), rng.standard_normal((20, 16))
+    forest = ann.Forest(rows, 16, 1)
+    own, asked = forest.strings(np.c_[rows, np.sqrt((rows**2).sum(axis=1).max() - (rows**2).sum(axis=1))]), forest.strings(np.c_[queries, np.zeros(20)])
+    for least in (1, 40, 500, 3000):
+        seen = 0
+        for q, cols in forest.candidates(queries, least):
+            match = np.array([ann.BITS - int(x).bit_length() for x in (own ^ asked[:, q : q + 1]).ravel()]).reshape(own.shape).max(axis=0)
+            assert len(cols) == least == len(set(cols))
+            assert match[cols].min() >= np.sort(match)[::-1][least - 1]
+            seen += 1
+        assert seen == 20
+
+
+@pytest.mark.parametrize("n", [6000, 16000])
+def test_nearest_scores_a_share_of_rows(n):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows, cols, _ = ann.forest_search(x[:60], x, 21, 256, 0.3, 1)
+    truth = x[:60] @ x.T
+    hits = sum(len(set(np.argsort(-truth[q])[:21]) & set(cols[rows == q])) for q in range(60))
+    assert hits / (60 * 21) > 0.9
+
+
 ODD_VECTORS = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [1.0, None]), (100, [0.5, 0.5]), (6, [1.0]), (7, []), (8, [1.0, 0.0]), (8, [1.0, 0.0])]
 
 
@@ -249,6 +298,30 @@ def test_topk_equals_sql(spark):
     assert [tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").orderBy("query_id", "rank").collect()] == expected
 
 
+def test_topk_prunes_where_vectors_allow_it():
+    rng = np.random.default_rng(3)
+    x = np.floor(1024 * rng.standard_normal((3000, 64)) * 0.8 ** np.arange(64) @ np.linalg.qr(rng.standard_normal((64, 64)))[0])
+    counts = {}
+    rows, cols, scores = exact_topk.block_search(x[:50], x, 11, counts)
+    assert sorted(counts) == list(exact_topk.LEVELS) and counts[32] < 0.02 * 50 * 3000 and counts[32] <= counts[1]
+    truth = (x[:50] @ x.T).astype(np.int64)
+    for q in range(50):
+        assert set(np.argsort(-truth[q])[:11]) <= set(cols[rows == q])
+    assert (truth[rows, cols] == scores).all()
+
+
+def test_topk_components_of_any_size(spark):
+    big = [(100 * i, [float(2**e), float(s)]) for i, (e, s) in enumerate([(15, 3), (16, -5), (17, 9), (19, 1), (19, 2)])]
+    rows = big + [(i, [0.5, float(i)]) for i in range(1, 30)]
+    got = {(r.query_id, r.vec_id): r.score for r in exact_topk.exact_topk(vectors(spark, rows)).collect()}
+    whole = {i: [math.floor(1024 * v) for v in x] for i, x in rows}
+    for q in (i for i, _ in big):
+        expected = sorted(((sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), -i) for i in whole if i != q), reverse=True)[:10]
+        assert {(i, s) for (a, i), s in got.items() if a == q} == {(-i, s) for s, i in expected}
+    with pytest.raises(Exception, match="64 bits"):
+        exact_topk.exact_topk(vectors(spark, [(0, [1e12, 0.0]), (1, [1e12, 1.0])])).collect()
+
+
 def test_topk_odd(spark):
     got = exact_topk.exact_topk(vectors(spark, ODD_VECTORS)).collect()
     assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0] == [(8, 1 << 20), (20, 1 << 20), (100, 1 << 19), (2, 0)]
