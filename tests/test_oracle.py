@@ -2,6 +2,10 @@
 
 import math
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -50,3 +54,15 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_training_data_part(tmp_path, pipeline):
+    here = Path(__file__).resolve().parent.parent
+    shutil.copytree(here / "gsig", tmp_path / "gsig", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "gsig/llm/__pycache__").mkdir(parents=True)
+    for name in ("__spark_entry__.py", *["corpus_pipeline.py"] * pipeline):
+        if (here / name).exists():
+            shutil.copy(here / name, tmp_path)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+    assert said.stdout.split() == [str(len(registry.queries())), str(len(registry.oracle_sql()))]
