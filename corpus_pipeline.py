@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gsig.llm import bpe, line_dedup, mixing, ngram_join, quality
 from gsig.llm.common import written
@@ -12,9 +12,10 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
-    out = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return out.filter("predicted = 1").select(*docs.columns)
+    """Documents that the quality classifier does not reject. Columns of docs stay as they are, whatever their names."""
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    out = quality.classify(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.filter("predicted = 1").select("row.*")
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
