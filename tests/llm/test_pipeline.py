@@ -27,3 +27,19 @@ def test_run_is_registered(spark):
     import __spark_entry__ as entry
 
     assert entry.queries()["pipeline"] is corpus_pipeline.run
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and columns with clashing names pass all stages; an empty table stays empty."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, `held.out` string, row int, bands string, removed string"
+    prose = "The committee met in spring and agreed on a plan for the bridge over the river."
+    rows = [(i, f"{prose} {i} {i * 7} {i * 31}", "en", "a", 1, 42.0, 7, "h", 3, "b", "r") for i in range(6)]
+    rows += [(None, None, None, None, None, None, None, None, None, None, None), (9, "", "en", "b", 0, 42.0, 7, "h", 3, "b", "r"), (9, "", "en", "b", 0, 42.0, 7, "h", 3, "b", "r")]
+    docs = spark.createDataFrame(rows, schema)
+    for part in (docs, docs.filter("false"), docs.filter("doc_id is null")):
+        left = part
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            left = written(stage(spark, left, SF))
+            assert left.columns == docs.columns
+            assert {(r.score, r.predicted, r["held.out"], r.row, r.bands, r.removed) for r in left.collect()} <= {(42.0, 7, "h", 3, "b", "r"), (None,) * 6}
+        assert corpus_pipeline.STAGES[-1][1](spark, left, SF).count() == left.count()
