@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import WORD, bucketed, lean, written
 
 #: Counters of word frequency, one for each value of a hash's top bits; a word is as frequent as all words of its counter together.
-TOP_BITS = 17
+TOP_BITS = 18
 #: White space, whose characters begin and end words.
 SPACE = " \t\n\r\x0b\f"
 #: A word is a number: its frequency in steps of a 16th of an octave, then so many bits of its hash.
