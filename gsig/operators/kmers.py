@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -18,16 +20,44 @@ def kmers(rows: DataFrame, k: int, with_n: bool = False) -> DataFrame:
 
 
 def all_kmers(spark: SparkSession, k: int, alphabet: str = "ACGT") -> DataFrame:
-    """Every k-mer over an alphabet, by the digits of its number."""
+    """id, kmer: every k-mer over an alphabet, by the digits of its number."""
     n = len(alphabet)
     digit = lambda i: F.substring(F.lit(alphabet), (F.floor(F.col("id") / n**i) % n + 1).cast("int"), F.lit(1))
-    return spark.range(n**k).select(F.concat(*(digit(i) for i in reversed(range(k)))).alias("kmer"))
+    return spark.range(n**k).select("id", F.concat(*(digit(i) for i in reversed(range(k)))).alias("kmer"))
+
+
+def numbered_counts(rows: DataFrame, k: int, alphabet: str) -> DataFrame:
+    """id, n: k-mers by number, counted inside each task first; k-mers with a character outside the alphabet don't count."""
+    base = len(alphabet)
+    table = np.full(256, -1, np.int64)
+    table[np.frombuffer(alphabet.encode(), np.uint8)] = range(base)
+    small = base**k <= 1 << 20
+
+    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(base**k if small else 0, np.int64)
+        for part in parts:
+            tok = table[np.frombuffer("\n".join(part["part"]).encode("ascii", "replace"), np.uint8)]
+            n = max(0, len(tok) - k + 1)
+            number, known = np.zeros(n, np.int64), np.ones(n, bool)
+            for i in range(k):
+                number = number * base + tok[i : i + n]
+                known &= tok[i : i + n] >= 0
+            if small:
+                total += np.bincount(number[known], minlength=len(total))
+            else:
+                ids, times = np.unique(number[known], return_counts=True)
+                yield pd.DataFrame({"id": ids, "n": times})
+        if small:
+            yield pd.DataFrame({"id": np.flatnonzero(total), "n": total[total > 0]})
+
+    return windows.chunks(rows, k, 1).select("part").mapInPandas(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def kmer_counts(rows: DataFrame, k: int, with_n: bool = False) -> DataFrame:
     """kmer, n over all sequences, absent k-mers included, sorted."""
-    n = kmers(rows, k, with_n).groupBy("kmer").agg(F.count("*").alias("n"))
-    return all_kmers(rows.sparkSession, k, "ACGTN" if with_n else "ACGT").join(n, "kmer", "left").select("kmer", F.coalesce("n", F.lit(0)).alias("n")).orderBy("kmer")
+    alphabet = "ACGTN" if with_n else "ACGT"
+    n = numbered_counts(rows, k, alphabet)
+    return all_kmers(rows.sparkSession, k, alphabet).join(n, "id", "left").select("kmer", F.coalesce("n", F.lit(0)).alias("n")).orderBy("kmer")
 
 
 def kmer_counts_by_seq(rows: DataFrame, k: int, with_n: bool = False) -> DataFrame:
@@ -113,15 +143,15 @@ def global_chi2(groups: DataFrame) -> DataFrame:
     return groups.join(total).agg(F.sum(part).alias("chi2"), (F.count("*") - 1).alias("df"))
 
 
-#: The order in which dinucleotides are shown, weak before strong.
-DINUCLEOTIDES = "AA TT AT TA AC GT AG CT CA TG GA TC CC GG CG GC".split()
+#: The order in which dinucleotides are shown; the first eight join a strong and a weak base, the last eight two alike.
+DINUCLEOTIDES = "AC GT CA TG AG CT GA TC AA TT AT TA CC GG CG GC".split()
 
 
 def dinucleotide_order(rows: DataFrame) -> DataFrame:
-    """rows (kmer, ...) with place in the order and kind: same for two equal bases, alt otherwise."""
+    """rows (kmer, ...) with place in the order (from 1) and kind: alt for its first half, same for the second; other k-mers go."""
     place = F.array_position(F.array(*map(F.lit, DINUCLEOTIDES)), F.col("kmer"))
-    kind = F.when(F.substring("kmer", 1, 1) == F.substring("kmer", 2, 1), "same").otherwise("alt")
-    return rows.withColumn("place", place).withColumn("kind", kind).filter("place > 0").orderBy("place")
+    kind = F.when(F.col("place") <= len(DINUCLEOTIDES) // 2, "alt").otherwise("same")
+    return rows.withColumn("place", place).filter("place > 0").withColumn("kind", kind).orderBy("place")
 
 
 def gc_strata(rows: DataFrame, parts: int, least: int) -> DataFrame:

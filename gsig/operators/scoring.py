@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .sequences import reverse_complement, tokens
-from .windows import sliding_windows
+from .windows import chunks
 
 
 def linear_scorer(weights: np.ndarray, scale: float = 1.0) -> Callable[[np.ndarray], np.ndarray]:
@@ -23,27 +22,44 @@ def linear_scorer(weights: np.ndarray, scale: float = 1.0) -> Callable[[np.ndarr
     return score
 
 
-def score_windows(rows: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], size: int, stride: int = 1, strands: str = "+", head_interval: int | None = None, middle_half: bool = False) -> DataFrame:
+def score_windows(
+    rows: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], size: int, stride: int = 1, strands: str = "+", head_interval: int | None = None, middle_half: bool = False, offset: int = 0, flanks: tuple[str, str] = ("", ""), edge: str = "valid"
+) -> DataFrame:
     """contig, pos, strand, value: a scorer applied to every window, placed at its centre, or each output at its head's place.
 
     The scorer takes (windows, size) tokens, 4 for unknown, and gives (windows, outputs); it goes to the tasks as it is, so it must be
     small. With head_interval, output h of a window from s stands at s + h * head_interval + head_interval // 2, and with middle_half only
     outputs of the window's middle half are kept. Reverse strands read the complement and place outputs mirrored.
+
+    The first window starts at `offset`. `flanks` stand before and after each sequence and are read, but positions count from the
+    sequence's start; with edge="pad" they are unknown bases, as many as give every position a window about it. A contig is named
+    once. Sequences go to the scorer in chunks of overlapping ends, and come back as one array a chunk.
     """
-    windows = sliding_windows(rows, size, stride).withColumn("strand", F.explode(F.array(*map(F.lit, strands))))
-    seq = F.when(F.col("strand") == "-", reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
-    windows = windows.withColumn("tok", tokens(seq))
+    if edge == "pad":
+        flanks = ("N" * (size // 2), "N" * (size - 1 - size // 2))
+    rows = rows.withColumn("seq", F.concat(F.lit(flanks[0]), "seq", F.lit(flanks[1]))) if any(flanks) else rows
+    table = np.full(256, 4, np.uint8)
+    table[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+    complement = np.array([3, 2, 1, 0, 4], np.uint8)
 
     @F.pandas_udf("array<double>")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield pd.Series(list(np.asarray(scorer(np.stack(part)), float))) if len(part) else pd.Series([], dtype=object)
-
-    scored = windows.select("contig", "start", "strand", F.posexplode(score("tok")).alias("head", "value"))
+    def score(parts: pd.Series, strand: pd.Series) -> pd.Series:
+        out = []
+        for part, s in zip(parts, strand, strict=True):
+            tok = np.lib.stride_tricks.sliding_window_view(table[np.frombuffer(part.encode("ascii", "replace"), np.uint8)], size)[::stride]
+            each = max(1, (1 << 22) // size)
+            got = [np.asarray(scorer(complement[w][:, ::-1] if s == "-" else w), float) for w in (tok[i : i + each] for i in range(0, len(tok), each))]
+            got = np.concatenate(got)
+            out.append((got.mean(axis=1) if head_interval is None else got).ravel())
+        return pd.Series(out, dtype=object)
+
+    parts = chunks(rows, size, stride, offset).withColumn("strand", F.explode(F.array(*map(F.lit, strands))))
+    parts = parts.withColumn("n", F.floor((F.length("part") - size) / stride) + 1).withColumn("values", score("part", "strand")).drop("part")
+    start = F.col("at") - len(flanks[0])
     if head_interval is None:
-        return scored.groupBy("contig", (F.col("start") + size // 2).alias("pos"), "strand").agg(F.avg("value").alias("value"))
-    inside = F.col("head") * head_interval + head_interval // 2
-    scored = scored.withColumn("_in", inside)
+        return parts.select("contig", "at", "strand", F.posexplode("values").alias("i", "value")).select("contig", (start + F.col("i") * stride + size // 2).alias("pos"), "strand", "value")
+    scored = parts.select("contig", "at", "strand", (F.size("values") / F.col("n")).cast("int").alias("heads"), F.posexplode("values").alias("i", "value"))
+    scored = scored.withColumn("_in", F.col("i") % F.col("heads") * head_interval + head_interval // 2).withColumn("start", start + F.floor(F.col("i") / F.col("heads")) * stride)
     if middle_half:
         scored = scored.filter((F.col("_in") >= size // 4) & (F.col("_in") < size - size // 4))
     at = F.when(F.col("strand") == "-", size - 1 - F.col("_in")).otherwise(F.col("_in"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import physical
@@ -13,6 +15,13 @@ from .sequences import count_of
 KEYS = ["contig"]
 
 
+def chunks(rows: DataFrame, size: int, stride: int, offset: int = 0, chunk: int = 1 << 16) -> DataFrame:
+    """contig, at, part: pieces of sequences that together hold every window of a size, each once; windows start at `offset` and every `stride`."""
+    step = max(stride, chunk // stride * stride)
+    each = rows.filter(F.length("seq") >= size + offset).select("contig", "seq", F.explode(F.sequence(F.lit(offset), F.length("seq") - size, F.lit(step))).alias("at"))
+    return each.select("contig", "at", F.substring("seq", F.col("at") + 1, F.lit(step + size - 1)).alias("part"))
+
+
 def sliding_windows(rows: DataFrame, size: int, stride: int = 1, chunk: int = 256) -> DataFrame:
     """contig, start, seq: all windows of a size, every `stride` positions.
 
@@ -32,8 +41,17 @@ def chunk_regions(rows: DataFrame, size: int) -> DataFrame:
 
 
 def valid_windows(rows: DataFrame, size: int) -> DataFrame:
-    """contig, start of windows without unknown bases."""
-    return sliding_windows(rows, size).filter(~F.col("seq").contains("N")).select("contig", "start")
+    """contig, start of windows without unknown bases (N). Unknown bases are counted along each chunk; only valid starts become rows."""
+
+    @F.pandas_udf("array<int>")
+    def starts(parts: pd.Series) -> pd.Series:
+        out = []
+        for part in parts:
+            unknown = np.r_[0, np.cumsum(np.frombuffer(part.encode("ascii", "replace"), np.uint8) == ord("N"))]
+            out.append(np.flatnonzero(unknown[size:] == unknown[:-size]).astype(np.int32))
+        return pd.Series(out, dtype=object)
+
+    return chunks(rows, size, 1).select("contig", "at", F.explode(starts("part")).alias("i")).select("contig", (F.col("at") + F.col("i")).alias("start"))
 
 
 def valid_centres(rows: DataFrame, size: int, labels: DataFrame, exclude: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def kmer_global_chi2(t):
 
 
 @query("""with k as (select substring(seq, cast(i + 1 as bigint), 2) as kmer from (select seq, unnest(range(0, length(seq) - 1)) as i from genome)), c as (select kmer, count(*) as n from k where kmer not like '%N%' group by 1)
-    select kmer, n, list_position(['AA','TT','AT','TA','AC','GT','AG','CT','CA','TG','GA','TC','CC','GG','CG','GC'], kmer) as place, case when kmer[1] = kmer[2] then 'same' else 'alt' end as kind from c""")
+    select kmer, n, list_position(['AC','GT','CA','TG','AG','CT','GA','TC','AA','TT','AT','TA','CC','GG','CG','GC'], kmer) as place, case when kmer in ('AA','TT','AT','TA','CC','GG','CG','GC') then 'same' else 'alt' end as kind from c""")
 def dinucleotide_order(t):
     n = op.kmers(t.genome, 2).groupBy("kmer").agg(F.count("*").alias("n"))
     return op.dinucleotide_order(n).withColumn("place", F.col("place").cast("int"))

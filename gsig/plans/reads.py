@@ -65,10 +65,10 @@ def cap_duplicates(t):
     return op.cap_duplicates(t.fragments, ["contig", "start", "end"], ["mapq", "sample", "is_reverse"], 2)
 
 
-@query("with p as (select distinct substring(text, 1, 4) as s from benchmark), q as (select distinct regexp_replace(translate(upper(s), 'BDEFHIJKLMOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTA'), '[^ACGT]', 'N', 'g') as seq from p), f as (select substring(seq, 1, 4) as seq, count(*) as n from reads group by 1) select q.seq, coalesce(n, 0) as n from q left join f on q.seq = f.seq")
+@query(f"with p as (select {_SEQ} as s from conversations where text is not null), q as (select distinct substring(s, cast(k * {READ} + 1 as bigint), {READ}) as seq from (select s, unnest(range(0, greatest(1, (length(s) + {READ - 1}) // {READ}))) as k from p)), f as (select seq, count(*) as n from reads group by 1) select q.seq, coalesce(n, 0) as n from q left join f on q.seq = f.seq")
 def probe_lookup(t):
-    probes = t.benchmark.select(F.regexp_replace(F.translate(F.upper(F.substring("text", 1, 4)), "BDEFHIJKLMOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTA"), "[^ACGT]", "N").alias("seq"))
-    return op.probe_lookup(t.reads.withColumn("seq", F.substring("seq", 1, 4)), probes)
+    probes = op.chunk_reads(t.conversations.filter("text is not null").select(F.col("conv_id").alias("read_id"), as_bases(F.col("text")).alias("seq")), READ)
+    return op.probe_lookup(t.reads, probes)
 
 
 @query(f"with p as (select {_SEQ} as s from benchmark), q as (select distinct substring(s, cast(k * {READ} + 1 as bigint), {READ}) as seq from (select s, unnest(range(0, greatest(1, (length(s) + {READ - 1}) // {READ}))) as k from p)), f as (select seq, count(*) as n from reads group by 1) select q.seq, coalesce(n, 0) as n from q left join f on q.seq = f.seq")
