@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import physical
+from .tracks import quantiles
 
 
 def find_peaks(signal: DataFrame, threshold: float, tolerance: int = 0, least: int = 0, block: int = physical.BLOCK) -> DataFrame:
@@ -46,8 +47,7 @@ def overlap_summary(a: DataFrame, b: DataFrame, **options) -> DataFrame:
 
 def self_overlaps(rows: DataFrame, tolerance: int = 0) -> DataFrame:
     """Rows whose end reaches the start of the next one; a tolerance of 1 counts adjacent ones."""
-    nxt = F.lead("start").over(W.partitionBy("contig").orderBy("start", "end"))
-    return rows.withColumn("_n", nxt).filter(F.col("end") > F.col("_n") - tolerance).drop("_n")
+    return physical.beside(rows, ["contig"], ["start", "end"], "start", "_n", ahead=True).filter(F.col("end") > F.col("_n") - tolerance).drop("_n")
 
 
 def merge(rows: DataFrame, tolerance: int = 0, span: int = 65_536) -> DataFrame:
@@ -93,7 +93,7 @@ def interval_signal(rows: DataFrame, tracks: DataFrame, width: int = 64, centred
         mid = F.floor((F.col("start") + F.col("end")) / 2)
         rows = rows.withColumn("start", mid - centred // 2).withColumn("end", F.col("start") + centred)
     if clip is not None:
-        tops = tracks.groupBy("track").agg(F.percentile("value", clip).alias("_top"))
+        tops = quantiles(tracks, [clip]).withColumnRenamed("q0", "_top")
         tracks = tracks.join(tops, "track").withColumn("value", F.least("value", "_top")).drop("_top")
     points = tracks.select("track", "contig", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "value")
     return physical.range_join(rows, points, width).groupBy("id", F.col("b_track").alias("track")).agg(F.sum("b_value").alias("total"))

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from . import windows
+from .tracks import quantiles
 
 
 def kmers(rows: DataFrame, k: int, with_n: bool = False) -> DataFrame:
@@ -174,4 +175,4 @@ def gc_bin(gc: Column, width: float = 0.05) -> Column:
 
 
 def gc_envelope(rows: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    return rows.groupBy("gc").agg(F.percentile("value", low).alias("low"), F.percentile("value", high).alias("high"))
+    return quantiles(rows, [low, high], ["gc"]).withColumnsRenamed({"q0": "low", "q1": "high"})

@@ -35,6 +35,39 @@ def running_sum(rows: DataFrame, keys: list[str], value: Column, name: str, bloc
     return rows.join(totals, [*keys, "_block"]).withColumn(name, F.col("_before") + F.sum("_v").over(inside)).drop("_block", "_v", "_before")
 
 
+def beside(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str, ahead: bool = False, block: int = BLOCK) -> DataFrame:
+    """rows with the value of the row before them in an order (or after), whose first column holds positions.
+
+    Blocks of positions are ordered apart; of each, one row at the edge is carried to the next block that has rows.
+    """
+    step = F.lead if ahead else F.lag
+    held = F.struct(F.col(value).alias("v"))
+    rows = rows.withColumn("_block", F.floor(F.col(order[0]) / block))
+    edges = rows.groupBy(*keys, "_block").agg((F.min_by if ahead else F.max_by)(held, F.struct(*order)).alias("_e"))
+    edges = edges.select(*keys, "_block", step("_e").over(W.partitionBy(*keys).orderBy("_block")).alias("_e"))
+    inside = step(held).over(W.partitionBy(*keys, "_block").orderBy(*order))
+    return rows.withColumn("_v", inside).join(edges, [*keys, "_block"]).withColumn(name, F.coalesce("_v", "_e")["v"]).drop("_block", "_v", "_e")
+
+
+def value_block(value: Column, parts: int = 1024) -> Column:
+    """Blocks of numbers in their order: `parts` to each power of 2, both signs, so that no block holds many different ones."""
+    size = F.abs(value)
+    return F.when(value == 0, 0).when(size == float("inf"), F.signum(value) * 2.0**40).when(F.isnan(value), 2.0**41).otherwise(F.signum(value) * (F.floor(F.log2(size) * parts) + parts * 2048)).cast("long")
+
+
+def ranked_counts(counts: DataFrame, keys: list[str], value: str = "value", n: str = "_n") -> DataFrame:
+    """counts (one row per different value) with _block, _upto: how many are not larger, and _all, by blocks of values.
+
+    Only one row per block is ordered as a whole.
+    """
+    counts = counts.withColumn("_block", value_block(F.col(value).cast("double")))
+    blocks = counts.groupBy(*keys, "_block").agg(F.sum(n).alias("_t"))
+    before = F.coalesce(F.sum("_t").over(W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(*keys, "_block", before.alias("_s"), F.sum("_t").over(W.partitionBy(*keys)).alias("_all"))
+    inside = W.partitionBy(*keys, "_block").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    return counts.withColumn("_in", F.sum(n).over(inside)).join(blocks, [*keys, "_block"]).withColumn("_upto", F.col("_s") + F.col("_in")).drop("_s", "_in")
+
+
 def range_join(a: DataFrame, b: DataFrame, width: int, keys: tuple[str, ...] = ("contig",), tolerance: int = 0) -> DataFrame:
     """Pairs of half-open intervals [start, end) of a and b that overlap, or come within `tolerance` of it; b's columns get the prefix b_.
 

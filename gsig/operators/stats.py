@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from . import physical
+
 #: Up to this many trials the binomial tail is a sum of terms, beyond it a continued fraction.
 SUMMED = 4096
 
@@ -45,14 +48,14 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1 - (a + b) * x / (a + 1)
     d = 1 / (d or tiny)
     out = d
-    for m in range(1, 10_000):
+    for m in itertools.count(1):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         for step in (even, odd):
             d = 1 / (1 + step * d or tiny)
             c = 1 + step / c or tiny
             out *= c * d
-        if abs(1 - c * d) < 1e-15:
+        if abs(1 - c * d) < 1e-15 or c * d != c * d:
             break
     return min(1.0, max(0.0, front * out))
 
@@ -76,13 +79,17 @@ def binom_pvalue(bins: DataFrame, keys: list[str] = (), less: bool = False) -> D
 
 
 def fdr_bh(rows: DataFrame, keys: list[str] = (), p: str = "pval", q: str = "qval") -> DataFrame:
-    """rows with q: the least p * m / rank over larger p, at most 1. Ranks are over distinct p with their counts."""
+    """rows with q: the least p * m / rank over larger p, at most 1. Ranks are over distinct p with their counts.
+
+    Distinct p are ranked by blocks, and the least of later blocks is carried to earlier ones, so no task orders them all.
+    """
     keys = list(keys)
-    counts = rows.groupBy(*keys, p).agg(F.count("*").alias("_n"))
-    up = W.partitionBy(*keys).orderBy(p)
-    ranked = counts.withColumn("_rank", F.sum("_n").over(up.rowsBetween(W.unboundedPreceding, 0))).withColumn("_m", F.sum("_n").over(W.partitionBy(*keys)))
-    later = W.partitionBy(*keys).orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
-    ranked = ranked.withColumn(q, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(later)))
+    ranked = physical.ranked_counts(rows.groupBy(*keys, p).agg(F.count("*").alias("_n")), keys, p)
+    ranked = ranked.withColumn("_v", F.col(p) * F.col("_all") / F.col("_upto"))
+    later = W.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1)
+    carried = ranked.groupBy(*keys, "_block").agg(F.min("_v").alias("_least")).select(*keys, "_block", F.min("_least").over(later).alias("_least"))
+    inside = W.partitionBy(*keys, "_block").orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
+    ranked = ranked.withColumn("_v", F.min("_v").over(inside)).join(carried, [*keys, "_block"]).withColumn(q, F.least(F.lit(1.0), "_v", "_least"))
     return rows.join(ranked.select(*keys, p, q), [*keys, p])
 
 
@@ -134,8 +141,8 @@ def flag_patterns(flags: DataFrame, sizes: list[str]) -> DataFrame:
 
 def count_clusters(rows: DataFrame, keys: list[str], flag: str) -> DataFrame:
     """Runs of true: positions that are true and follow none that is."""
-    before = F.lag(flag).over(W.partitionBy(*keys).orderBy("pos"))
-    return rows.withColumn("_s", F.col(flag) & ~F.coalesce(before, F.lit(False))).groupBy(*keys).agg(F.count_if("_s").alias("clusters"))
+    rows = physical.beside(rows, keys, ["pos"], flag, "_before")
+    return rows.withColumn("_s", F.col(flag) & ~F.coalesce("_before", F.lit(False))).groupBy(*keys).agg(F.count_if("_s").alias("clusters"))
 
 
 def thinned(bins: DataFrame, fractions: list[float], seed: int = 1, only_ip: bool = False) -> DataFrame:
@@ -160,8 +167,8 @@ def saturation(bins: DataFrame, sizes: list[int], fractions: list[float], alpha:
     up = fdr_bh(binom_pvalue(thin, keys), keys, q="q_ip").drop("pval")
     both = fdr_bh(binom_pvalue(up, keys, less=True), keys, q="q_ctrl")
     both = both.withColumn("_i", F.col("q_ip") < alpha).withColumn("_c", F.col("q_ctrl") < alpha)
-    w = W.partitionBy(*keys, "contig").orderBy("pos")
-    start = lambda c: F.col(c) & ~(F.coalesce(F.lag(c).over(w), F.lit(False)) & (F.lag("pos").over(w) == F.col("pos") - 1))
+    both = physical.beside(both.withColumn("_now", F.struct("_i", "_c", "pos")), [*keys, "contig"], ["pos"], "_now", "_last")
+    start = lambda c: F.col(c) & ~(F.coalesce(F.col(f"_last.{c}"), F.lit(False)) & F.coalesce(F.col("_last.pos") == F.col("pos") - 1, F.lit(False)))
     both = both.withColumn("_is", start("_i")).withColumn("_cs", start("_c"))
     return both.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("_i").alias("ip"), F.count_if("_c").alias("ctrl"), F.count_if(~F.col("_i") & ~F.col("_c")).alias("undetermined"), F.count_if(F.coalesce("_is", F.col("_i"))).alias("ip_clusters"), F.count_if(F.coalesce("_cs", F.col("_c"))).alias("ctrl_clusters"))
 
@@ -180,9 +187,8 @@ def pearson_by_contig(rows: DataFrame, size: int | None = None) -> DataFrame:
 
 def average_ranks(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows with their average rank as value; ranks are over distinct values with counts."""
-    n = rows.groupBy(*keys, "value").agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(W.partitionBy(*keys).orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-    n = n.withColumn("_r", upto - (F.col("_n") - 1) / F.lit(2.0)).drop("_n")
+    n = physical.ranked_counts(rows.groupBy(*keys, "value").agg(F.count("*").alias("_n")), keys)
+    n = n.select(*keys, "value", (F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias("_r"))
     return rows.join(n, [*keys, "value"]).withColumn("value", F.col("_r")).drop("_r")
 
 
@@ -216,8 +222,6 @@ def best_lag(x: DataFrame, y: DataFrame, offsets: list[int]) -> DataFrame:
 
 def autocorr_period(rows: DataFrame, block: int, least: int, lags: tuple[int, int], smooth: int = 8) -> DataFrame:
     """contig, block, period: the lag of the largest normalised autocorrelation of each block; null at the edges of the range."""
-    from . import physical
-
     s = physical.frame(rows, ["contig"], smooth // 2, (smooth - 1) // 2, {"value": lambda w: F.sum("value").over(w) / smooth})
     s = s.select("contig", F.floor(F.col("pos") / block).alias("block"), "pos", "value")
     stats = s.groupBy("contig", "block").agg(F.avg("value").alias("_m"), F.count("*").alias("_n"), F.var_pop("value").alias("_v")).filter(F.col("_n") >= least)

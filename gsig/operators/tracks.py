@@ -10,10 +10,21 @@ from . import physical, windows
 
 
 def quantiles(rows: DataFrame, probabilities: list[float], keys: list[str] = ("track",)) -> DataFrame:
-    """Exact quantiles with linear interpolation; counts per distinct value are weighed, so repeats cost nothing."""
-    counts = rows.groupBy(*keys, "value").agg(F.count("*").alias("_n"))
-    each = [F.percentile("value", p, F.col("_n")).alias(f"q{i}") for i, p in enumerate(probabilities)]
-    return counts.groupBy(*keys).agg(*each)
+    """Exact quantiles with linear interpolation, as q0, q1, ...; null and NaN take no part.
+
+    Different values are counted, ranked by blocks, and the two about each quantile picked, so no task holds the values of a key.
+    """
+    keys = list(keys)
+    counts = rows.filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))).groupBy(*keys, "value").agg(F.count("*").alias("_n"))
+    r = physical.ranked_counts(counts, keys)
+    holds = lambda at: (F.col("_upto") - F.col("_n") <= at) & (at < F.col("_upto"))
+    aggs, out = [F.max("_all").alias("_all")], []
+    for i, p in enumerate(probabilities):
+        at = (F.col("_all") - 1) * F.lit(float(p))
+        aggs += [F.max(F.when(holds(F.floor(at)), F.col("value"))).alias(f"_lo{i}"), F.max(F.when(holds(F.ceil(at)), F.col("value"))).alias(f"_hi{i}")]
+        lo, hi = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
+        out.append(F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi).alias(f"q{i}"))
+    return r.groupBy(*keys).agg(*aggs).select(*keys, *out)
 
 
 def totals(rows: DataFrame, clip: float = 0.99) -> DataFrame:
@@ -174,5 +185,8 @@ def histogram_weights(rows: DataFrame, classes: int) -> DataFrame:
 def copy_number(rows: DataFrame, contig: str, start: int, end: int, repeats: int, how: str = "max") -> DataFrame:
     """estimate = repeats * max or median of a region / median of all else."""
     inside = (F.col("contig") == contig) & (F.col("pos") >= start) & (F.col("pos") < end)
-    f = F.max if how == "max" else F.median
-    return rows.groupBy("track").agg((repeats * f(F.when(inside, F.col("value"))) / F.median(F.when(~inside, F.col("value")))).alias("estimate"))
+    part = rows.select("track", "value", inside.alias("_in"))
+    rest = quantiles(part.filter("not _in"), [0.5])
+    own = part.filter("_in")
+    own = own.groupBy("track").agg(F.max("value").alias("_own")) if how == "max" else quantiles(own, [0.5]).withColumnRenamed("q0", "_own")
+    return rest.join(own, "track", "left").select("track", (repeats * F.col("_own") / F.col("q0")).alias("estimate"))

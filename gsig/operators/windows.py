@@ -184,12 +184,12 @@ def midpoint_counts(fragments: DataFrame, lengths: DataFrame, size: int, max_len
 def coverage(fragments: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """contig, start, end, depth: runs of equal depth, from +1 where a fragment starts and -1 after its inclusive end.
 
-    Events of a position are summed first; depths are running sums over blocks of positions, so no contig is one task.
+    Events of a position are summed first; depths and ends of runs come from blocks of positions, so no contig is one task.
     """
     edge = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("end") + 1).alias("pos"), F.lit(-1).alias("d"))))
     events = fragments.select(*keys, edge.alias("e")).groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d")).filter("d <> 0")
     depth = physical.running_sum(events, keys, F.col("d"), "depth")
-    runs = depth.withColumn("end", F.lead("pos").over(W.partitionBy(*keys).orderBy("pos")))
+    runs = physical.beside(depth, keys, ["pos"], "pos", "end", ahead=True)
     return runs.filter("depth > 0").select(*keys, F.col("pos").alias("start"), "end", "depth")
 
 

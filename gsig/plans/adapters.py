@@ -5,17 +5,28 @@ from __future__ import annotations
 import re
 import string
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators import physical
+
 LETTERS = string.ascii_lowercase + string.ascii_uppercase
 BASES = ("ACGT" * 7)[:26] * 2
 READ, CHUNK = 101, 4096
 EPOCH = "1995-01-01"
 
 
+TO_BASES = bytes.maketrans(bytes(range(256)), b"".join(BASES[LETTERS.index(chr(i))].encode() if chr(i) in LETTERS else b"N" for i in range(256)))
+
+
 def as_bases(text: Column) -> Column:
-    """Letters as ACGT in turn, everything else as N; the length stays."""
-    return F.regexp_replace(F.translate(text, LETTERS, BASES), "[^ACGT]", "N")
+    """Letters as ACGT in turn, every other character as N; the length stays. Arrow batches: translate() looks every character up in a map."""
+
+    @F.pandas_udf("string")
+    def mapped(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t.encode("ascii", "replace").translate(TO_BASES).decode("ascii"), na_action="ignore")
+
+    return mapped(text)
 
 
 def genome(t) -> DataFrame:
@@ -55,10 +66,9 @@ def bins(t) -> DataFrame:
 
 def signal(t) -> DataFrame:
     """contig, pos, value: the events of a type in order of their id; values in hundredths so that sums are exact."""
-    from pyspark.sql import Window as W
-
-    pos = F.row_number().over(W.partitionBy("event_type").orderBy("event_id")) - 1
-    return t.events.select(F.col("event_type").alias("contig"), pos.cast("long").alias("pos"), F.round(F.col("value") * 100).alias("value"))
+    e = t.events.select(F.col("event_type").alias("contig"), "event_id", "value", F.lit(1).alias("_n"))
+    e = physical.ranked_counts(e, ["contig"], "event_id")
+    return e.select("contig", (F.col("_upto") - 1).cast("long").alias("pos"), F.round(F.col("value") * 100).alias("value"))
 
 
 def tracks(t) -> DataFrame:

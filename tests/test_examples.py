@@ -228,6 +228,65 @@ def test_linear_scorer_heads(spark):
     assert {(r.pos, r.value) for r in out.collect()} == {(1, 1.0), (3, 4.0), (5, 1.0), (7, 4.0)}
 
 
+@pytest.mark.parametrize("edge, offset, flanks", [("valid", 0, ("", "")), ("pad", 0, ("", "")), ("valid", 5, ("", "")), ("valid", 0, ("GATTACA", "CC")), ("pad", 3, ("", ""))])
+@pytest.mark.parametrize("stride", [1, 3])
+def test_score_windows_against_plain_loops(spark, monkeypatch, edge, offset, flanks, stride):
+    monkeypatch.setattr(windows.chunks, "__defaults__", (0, 16))
+    rng = np.random.default_rng(1)
+    w = rng.standard_normal((4, 5))
+    seqs = {i: "".join(rng.choice(list("ACGTN"), n)) for i, n in enumerate((0, 3, 4, 50, 97))}
+    rows = spark.createDataFrame(list(seqs.items()), "contig long, seq string")
+    got = {(r.contig, r.pos, r.strand): r.value for r in scoring.score_windows(rows, scoring.linear_scorer(w), 4, stride, "+-", offset=offset, flanks=flanks, edge=edge).collect()}
+    left, right = ("NN", "N") if edge == "pad" else flanks
+    expected = {}
+    for c, s in seqs.items():
+        s = left + s + right
+        for i in range(offset, len(s) - 3, stride):
+            part = s[i : i + 4]
+            for strand, x in (("+", part), ("-", part[::-1].translate(str.maketrans("ACGT", "TGCA")))):
+                expected[c, i + 2 - len(left), strand] = sum(w[j, "ACGTN".index(b)] for j, b in enumerate(x))
+    assert got.keys() == expected.keys()
+    assert all(got[k] == pytest.approx(v) for k, v in expected.items())
+
+
+def test_dinucleotides_in_their_order(spark):
+    rows = spark.createDataFrame([(a + b,) for a in "ACGTN" for b in "ACGTN"], "kmer string")
+    got = [(r.kmer, r.place, r.kind) for r in kmers.dinucleotide_order(rows).collect()]
+    assert [k for k, _, _ in got] == "AC GT CA TG AG CT GA TC AA TT AT TA CC GG CG GC".split()
+    assert [p for _, p, _ in got] == list(range(1, 17)) and [k for _, _, k in got] == ["alt"] * 8 + ["same"] * 8
+
+
+def test_blocks_of_values_keep_their_order(spark):
+    rng = np.random.default_rng(2)
+    x = [0.0, -0.0, float("inf"), -float("inf"), 1e-300, -1e-300, 1e300, *rng.standard_normal(300), *(rng.integers(-5, 5, 200).astype(float)), *10 ** rng.uniform(-30, 0, 300)]
+    rows = spark.createDataFrame([("k", float(v)) for v in x], "track string, value double")
+    got = rows.select("value", physical.value_block(F.col("value")).alias("b")).collect()
+    order = sorted(got, key=lambda r: r.value)
+    assert all(a.b <= b.b for a, b in zip(order, order[1:], strict=False))
+    finite = rows.filter("abs(value) < 1e10")
+    q = tracks.quantiles(finite, [0.0, 0.05, 0.5, 0.77, 1.0]).first()
+    assert list(q)[1:] == pytest.approx(np.quantile([v for v in x if abs(v) < 1e10], [0.0, 0.05, 0.5, 0.77, 1.0]).tolist())
+    p = sorted(rng.uniform(0, 1, 400) ** 3)
+    out = stats.fdr_bh(spark.createDataFrame([(float(v),) for v in p], "pval double")).orderBy("pval").collect()
+    plain = np.minimum(1, np.minimum.accumulate((np.array(p) * 400 / np.arange(1, 401))[::-1])[::-1])
+    assert [r.qval for r in out] == pytest.approx(plain.tolist())
+
+
+def test_neighbours_across_blocks(spark):
+    pos = [0, 1, 9, 10, 11, 35, 36, 70]
+    rows = spark.createDataFrame([(c, p, None if p == 10 else p * 2) for c in "ab" for p in pos], "contig string, pos long, v long")
+    for ahead in (False, True):
+        got = physical.beside(rows, ["contig"], ["pos"], "v", "n", ahead, block=10).filter("contig = 'a'").orderBy("pos").collect()
+        other = [None, *pos[:-1]] if not ahead else [*pos[1:], None]
+        assert [r.n for r in got] == [None if o in (None, 10) else o * 2 for o in other]
+
+
+def test_binomial_tail_of_very_large_counts():
+    n = 4 * 10**9
+    assert stats.binom_tail(np.array([n // 2 + 1]), np.array([n]), 0.5)[0] == pytest.approx(0.5, abs=1e-4)
+    assert stats.binom_tail(np.array([n // 2 + 31623 * 2]), np.array([n]), 0.5)[0] == pytest.approx(0.02275, rel=1e-3)
+
+
 def test_fastq_and_fasta_round_trip(spark, tmp_path):
     rows = [(f"r{i}", "ACGTN"[i % 5] * (i % 50 + 1), "@" + "I" * (i % 50)) for i in range(300)]
     path = tmp_path / "a.fastq"
