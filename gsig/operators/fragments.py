@@ -46,10 +46,10 @@ def fold_fragments(rows: DataFrame, origin: int, period: int, read_length: int)
     return rows.select("contig", a.alias("first"), (b + short * period).alias("last"))
 
 
-def end_histogram(rows: DataFrame) -> DataFrame:
-    """contig, pos, starts, ends by position."""
+def end_histogram(rows: DataFrame, keys: list[str] = ("contig",)) -> DataFrame:
+    """keys, pos, starts, ends by position; with keys contig and is_reverse, by strand."""
     edge = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("s"), F.lit(0).alias("e")), F.struct((F.col("end") - 1).alias("pos"), F.lit(0).alias("s"), F.lit(1).alias("e"))))
-    return rows.select("contig", edge.alias("x")).groupBy("contig", F.col("x.pos").alias("pos")).agg(F.sum("x.s").alias("starts"), F.sum("x.e").alias("ends"))
+    return rows.select(*keys, edge.alias("x")).groupBy(*keys, F.col("x.pos").alias("pos")).agg(F.sum("x.s").alias("starts"), F.sum("x.e").alias("ends"))
 
 
 def length_histogram(rows: DataFrame) -> DataFrame:

@@ -9,13 +9,15 @@ def n_count(seq: str = "seq") -> Column:
     return F.length(seq) - F.length(F.replace(F.col(seq), F.lit("N"), F.lit("")))
 
 
-def filter_n_reads(reads: DataFrame, tolerance: int = 0, read_length: int | None = None) -> DataFrame:
-    """Reads with at most `tolerance` unknown bases; missing bases to `read_length` count as unknown."""
+def filter_n_reads(reads: DataFrame, tolerance: int = 0, read_length: int | None = None, max_size: int | None = None, order: str = "read_id") -> DataFrame:
+    """Reads with at most `tolerance` unknown bases; missing bases to `read_length` count as unknown. With max_size, so many at most, the
+    first by `order`."""
+    missing = F.lit(read_length) - F.length("seq") if read_length else F.lit(0)
+    kept = reads.filter(n_count() + missing <= tolerance)
     if tolerance == 0:
         full = F.length("seq") >= read_length if read_length else F.lit(True)
-        return reads.filter(~F.col("seq").contains("N") & full)
-    missing = F.lit(read_length) - F.length("seq") if read_length else F.lit(0)
-    return reads.filter(n_count() + missing <= tolerance)
+        kept = reads.filter(~F.col("seq").contains("N") & full)
+    return kept if max_size is None else kept.orderBy(order).limit(max_size)
 
 
 def full_reads(reads: DataFrame, read_length: int) -> DataFrame:
@@ -60,6 +62,12 @@ def select_by_sequence(reads: DataFrame, wanted: DataFrame) -> DataFrame:
     return reads.join(wanted.select("seq"), "seq", "left_semi")
 
 
+def select_pairs_by_sequence(first: DataFrame, second: DataFrame, wanted: DataFrame, key: str = "read_id") -> tuple[DataFrame, DataFrame]:
+    """Both ends of the pairs of which either end has a wanted sequence."""
+    ids = select_by_sequence(first, wanted).select(key).union(select_by_sequence(second, wanted).select(key)).distinct()
+    return first.join(ids, key, "left_semi"), second.join(ids, key, "left_semi")
+
+
 def select_by_id(rows: DataFrame, names: DataFrame, key: str, keep: bool = True) -> DataFrame:
     """Rows whose id is, or is not, in a list of names; a name ends at its first blank and loses a leading @."""
     clean = names.select(F.substring_index(F.regexp_replace("name", "^@", ""), " ", 1).alias("_name"))

@@ -28,12 +28,14 @@ def ranked(rows: DataFrame, order: list, keys: list[str] = (), buckets: int = BU
     return rows.join(n, [*keys, "_b"]).withColumn(name, F.col("_s") + inside).drop("_b", "_s")
 
 
-def thin_exact(rows: DataFrame, fraction: float, seed: int = 1) -> DataFrame:
-    """rows (contig, pos, n) with `kept`: a sample of exactly round(fraction * total) of the counted objects, without replacement."""
+def thin_exact(rows: DataFrame, fraction: float, seed: int = 1, complement: bool = False) -> DataFrame:
+    """rows (contig, pos, n) with `kept`: a sample of exactly round(fraction * total) of the counted objects, without replacement;
+    with complement also `rest`, those that are not in it."""
     each = rows.filter("n > 0").select("contig", "pos", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("_i")).withColumn("_u", draw(seed, "contig", "pos", "_i"))
     each = ranked(each, ["_u", "contig", "pos", "_i"]).filter(F.col("_r") < F.round(F.col("_all") * fraction))
     kept = each.groupBy("contig", "pos").agg(F.count("*").alias("kept"))
-    return rows.join(kept, ["contig", "pos"], "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    out = rows.join(kept, ["contig", "pos"], "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    return out.withColumn("rest", F.col("n") - F.col("kept")) if complement else out
 
 
 def thin_binomial(rows: DataFrame, fractions: list[float], seed: int = 1) -> DataFrame:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import physical
+from .tracks import quantiles
 
 #: Up to this many trials the binomial tail is a sum of terms, beyond it a continued fraction.
 SUMMED = 4096
@@ -177,10 +178,21 @@ def saturation_percent(rows: DataFrame) -> DataFrame:
     return rows.select("binsize", "frac", *((F.col(c) * 100.0 / F.col("n")).alias(c) for c in ("ip", "ctrl", "undetermined")))
 
 
-def pearson_by_contig(rows: DataFrame, size: int | None = None) -> DataFrame:
-    """contig, a, b, corr for every two tracks, over positions, or bins of positions, that both have."""
+def pearson_by_contig(rows: DataFrame, size: int | None = None, clip: float | None = None, subset: str | None = None) -> DataFrame:
+    """contig, a, b, corr for every two tracks, over positions, or bins of positions, that both have.
+
+    With clip, values end at that quantile of their track and contig. subset: "nonzero" leaves out positions where either is 0,
+    "finite" those where either is missing, NaN or infinite.
+    """
     if size:
         rows = rows.groupBy("track", "contig", F.floor(F.col("pos") / size).alias("pos")).agg(F.avg("value").alias("value"))
+    if clip is not None:
+        top = quantiles(rows, [clip], ["track", "contig"])
+        rows = rows.join(top, ["track", "contig"]).withColumn("value", F.least("value", "q0")).drop("q0")
+    if subset == "nonzero":
+        rows = rows.filter("value <> 0")
+    elif subset == "finite":
+        rows = rows.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
     a, b = (rows.select("contig", "pos", F.col("track").alias(n), F.col("value").alias(f"_{n}")) for n in "ab")
     return a.join(b, ["contig", "pos"]).filter("a < b").groupBy("contig", "a", "b").agg(F.corr("_a", "_b").alias("corr"))
 
@@ -203,15 +215,16 @@ def nan_pearson(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return rows.filter(finite(a) & finite(b)).groupBy(*keys).agg(F.corr(a, b).alias("corr"))
 
 
-def lagged(x: DataFrame, y: DataFrame, offsets: list[int]) -> DataFrame:
-    """contig, offset, x, y: values of y at pos + offset beside x."""
+def lagged(x: DataFrame, y: DataFrame, offsets: list[int], rows: list[str] = ()) -> DataFrame:
+    """contig, offset, x, y: values of y at pos + offset beside x; with `rows`, for each row of y that these columns name."""
     a = x.select("contig", F.explode(F.array(*map(F.lit, offsets))).alias("offset"), "pos", F.col("value").alias("x"))
     a = a.withColumn("pos", F.col("pos") + F.col("offset"))
-    return a.join(y.select("contig", "pos", F.col("value").alias("y")), ["contig", "pos"])
+    return a.join(y.select("contig", *rows, "pos", F.col("value").alias("y")), ["contig", "pos"])
 
 
-def lagged_correlation(x: DataFrame, y: DataFrame, offsets: list[int]) -> DataFrame:
-    return lagged(x, y, offsets).groupBy("contig", "offset").agg(F.corr("x", "y").alias("corr"))
+def lagged_correlation(x: DataFrame, y: DataFrame, offsets: list[int], rows: list[str] = ()) -> DataFrame:
+    """contig, offset, corr of two signals, or of one signal with each of many rows."""
+    return lagged(x, y, offsets, rows).groupBy("contig", *rows, "offset").agg(F.corr("x", "y").alias("corr"))
 
 
 def best_lag(x: DataFrame, y: DataFrame, offsets: list[int]) -> DataFrame:

@@ -272,6 +272,43 @@ def test_blocks_of_values_keep_their_order(spark):
     assert [r.qval for r in out] == pytest.approx(plain.tolist())
 
 
+def test_options_of_reads_and_fragments(spark):
+    rows = spark.createDataFrame([(i, "s", q) for i, q in enumerate(("ACGT", "ANGT", "AC", "GGGG", "TTTT"))], "read_id long, sample string, seq string")
+    assert [r.read_id for r in reads.filter_n_reads(rows, max_size=2).collect()] == [0, 2]
+    assert {r.read_id for r in reads.filter_n_reads(rows, 2, 4, max_size=3).collect()} == {0, 1, 2}
+    other = rows.withColumn("seq", F.reverse("seq"))
+    wanted = spark.createDataFrame([("TGCA",), ("GGGG",)], "seq string")
+    a, b = reads.select_pairs_by_sequence(rows, other, wanted)
+    assert {r.read_id for r in a.collect()} == {r.read_id for r in b.collect()} == {0, 3}
+    f = spark.createDataFrame([("c", 1, 5, True), ("c", 1, 6, False), ("c", 1, 5, True)], "contig string, start long, end long, is_reverse boolean")
+    got = {(r.is_reverse, r.pos): (r.starts, r.ends) for r in fragments.end_histogram(f, ["contig", "is_reverse"]).collect()}
+    assert got == {(True, 1): (2, 0), (True, 4): (0, 2), (False, 1): (1, 0), (False, 5): (0, 1)}
+    n = spark.createDataFrame([("c", i, i % 4) for i in range(40)], "contig string, pos long, n long")
+    out = sampling.thin_exact(n, 0.5, complement=True).collect()
+    assert sum(r.kept for r in out) == 30 and all(r.kept + r.rest == r.n and r.kept >= 0 and r.rest >= 0 for r in out)
+
+
+def test_options_of_correlations(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal(200), rng.standard_normal(200)
+    y[::7], x[::11] = 0, 0
+    rows = [(t, "c", i, float(v)) for t, z in (("a", x), ("b", y)) for i, v in enumerate(z)]
+    table = spark.createDataFrame(rows, "track string, contig string, pos long, value double")
+    corr = lambda **o: stats.pearson_by_contig(table, **o).first().corr
+    both = (x != 0) & (y != 0)
+    assert corr(subset="nonzero") == pytest.approx(np.corrcoef(x[both], y[both])[0, 1])
+    assert corr(clip=0.8) == pytest.approx(np.corrcoef(np.minimum(x, np.quantile(x, 0.8)), np.minimum(y, np.quantile(y, 0.8)))[0, 1])
+    odd = table.withColumn("value", F.when((F.col("pos") == 3) & (F.col("track") == "a"), float("nan")).when(F.col("pos") == 5, float("inf")).otherwise(F.col("value")))
+    kept = np.delete(np.arange(200), [3, 5])
+    assert stats.pearson_by_contig(odd, subset="finite").first().corr == pytest.approx(np.corrcoef(x[kept], y[kept])[0, 1])
+    one = table.filter("track = 'a'").drop("track")
+    got = {(r.track, r.offset): r.corr for r in stats.lagged_correlation(one, table, [-2, 0, 3], ["track"]).collect()}
+    for name, z in (("a", x), ("b", y)):
+        for o in (-2, 0, 3):
+            u, v = (x[: 200 - o], z[o:]) if o >= 0 else (x[-o:], z[:o])
+            assert got[name, o] == pytest.approx(np.corrcoef(u, v)[0, 1])
+
+
 def test_neighbours_across_blocks(spark):
     pos = [0, 1, 9, 10, 11, 35, 36, 70]
     rows = spark.createDataFrame([(c, p, None if p == 10 else p * 2) for c in "ab" for p in pos], "contig string, pos long, v long")
