@@ -11,8 +11,8 @@ from .tracks import quantiles
 def find_peaks(signal: DataFrame, threshold: float, tolerance: int = 0, least: int = 0, block: int = physical.BLOCK) -> DataFrame:
     """contig, start, end of runs of values above a threshold; gaps of up to `tolerance` are closed, runs under `least` dropped.
 
-    A run starts where the last position above the threshold is further back than the tolerance. Its number is a running sum over
-    blocks of positions, so that a long contig is not one task; only starts and ends of a block's runs go on.
+    A run starts where the last position above the threshold is further back than the tolerance. Runs are found in blocks of
+    positions and then joined over their borders, so that a long contig is not one task.
     """
     above = signal.filter(F.col("value") > threshold).select("contig", "pos")
     inside = W.partitionBy("contig", "_block").orderBy("pos")
@@ -20,9 +20,7 @@ def find_peaks(signal: DataFrame, threshold: float, tolerance: int = 0, least: i
     rows = rows.withColumn("_gap", F.col("pos") - F.lag("pos").over(inside))
     rows = rows.withColumn("_run", F.sum(F.when(F.col("_gap") <= tolerance + 1, 0).otherwise(1)).over(inside))
     runs = rows.groupBy("contig", "_block", "_run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
-    whole = W.partitionBy("contig").orderBy("start")
-    runs = runs.withColumn("_new", F.coalesce((F.col("start") - F.lag("end").over(whole) > tolerance).cast("int"), F.lit(1)))
-    runs = runs.withColumn("_run", F.sum("_new").over(whole))
+    runs = physical.run_starts(runs.drop("_block", "_run"), ["contig"], tolerance + 1, block=block)
     return runs.groupBy("contig", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run").filter(F.col("end") - F.col("start") >= least)
 
 
@@ -53,18 +51,10 @@ def self_overlaps(rows: DataFrame, tolerance: int = 0) -> DataFrame:
 def merge(rows: DataFrame, tolerance: int = 0, span: int = 65_536) -> DataFrame:
     """contig, start, end of merged intervals: what overlaps, or with a tolerance of 1 touches, becomes one; nested ones included.
 
-    Intervals are merged inside blocks of starts first, then the few results across blocks.
+    The largest end so far and the run that is open are carried over blocks of starts. Equal intervals become one, empty ones too.
     """
-
-    def joined(df: DataFrame, *keys: str) -> DataFrame:
-        w = W.partitionBy(*keys).orderBy("start", "end")
-        reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-        df = df.withColumn("_new", F.coalesce((F.col("start") > reach + tolerance - 1).cast("int"), F.lit(1)) if tolerance else F.coalesce((F.col("start") >= reach).cast("int"), F.lit(1)))
-        df = df.withColumn("_g", F.sum("_new").over(w))
-        return df.groupBy(*keys, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_g")
-
-    first = joined(rows.select("contig", "start", "end", F.floor(F.col("start") / span).alias("_b")), "contig", "_b")
-    return joined(first.drop("_b"), "contig")
+    runs = physical.run_starts(rows.select("contig", "start", "end"), ["contig"], tolerance, block=span)
+    return runs.groupBy("contig", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
 
 
 def base_overlap(a: DataFrame, b: DataFrame, width: int = 64) -> DataFrame:
@@ -107,20 +97,24 @@ def interval_enrichment(totals: DataFrame, track_totals: DataFrame, ip: str, con
     return per.join(one(ip, "_ip").join(one(control, "_c"))).withColumn("log2_fold", F.log2(F.col("_ip") / F.col("_c"))).withColumn("percent", F.col("_ip") * 100 / F.col("_c")).drop("_ip", "_c")
 
 
+def neighbour(rows: DataFrame, name: str, ahead: bool) -> DataFrame:
+    """rows with start and end of the match before or after theirs on the contig."""
+    held = rows.withColumn("_held", F.struct("start", "end"))
+    return physical.beside(held, ["contig"], ["start", "end", "id"], "_held", name, ahead=ahead).drop("_held")
+
+
 def resolve_nested(rows: DataFrame) -> DataFrame:
     """One pass over consecutive matches of a contig: of two that overlap the longer one goes (the earlier if equal)."""
-    w = W.partitionBy("contig").orderBy("start", "end", "id")
     size = F.col("end") - F.col("start")
-    rows = rows.withColumn("_ns", F.lead("start").over(w)).withColumn("_ne", F.lead("end").over(w)).withColumn("_pe", F.lag("end").over(w)).withColumn("_ps", F.lag("start").over(w))
-    by_next = (F.col("_ns") < F.col("end")) & (size >= F.col("_ne") - F.col("_ns"))
-    by_last = (F.col("_pe") > F.col("start")) & (size > F.col("_pe") - F.col("_ps"))
-    return rows.filter(~(F.coalesce(by_next, F.lit(False)) | F.coalesce(by_last, F.lit(False)))).drop("_ns", "_ne", "_pe", "_ps")
+    rows = neighbour(neighbour(rows, "_n", True), "_p", False)
+    by_next = (F.col("_n.start") < F.col("end")) & (size >= F.col("_n.end") - F.col("_n.start"))
+    by_last = (F.col("_p.end") > F.col("start")) & (size > F.col("_p.end") - F.col("_p.start"))
+    return rows.filter(~(F.coalesce(by_next, F.lit(False)) | F.coalesce(by_last, F.lit(False)))).drop("_n", "_p")
 
 
 def crossed(rows: DataFrame) -> DataFrame:
     """For each two consecutive overlapping matches the shortest of the four intervals that their starts and ends make."""
-    w = W.partitionBy("contig").orderBy("start", "end", "id")
-    j = rows.withColumn("s2", F.lead("start").over(w)).withColumn("e2", F.lead("end").over(w)).filter("s2 < end")
+    j = neighbour(rows, "_n", True).withColumn("s2", F.col("_n.start")).withColumn("e2", F.col("_n.end")).filter("s2 < end")
     pair = lambda s, e: F.when(F.col(e) > F.col(s), F.struct((F.col(e) - F.col(s)).alias("n"), F.col(s).alias("start"), F.col(e).alias("end")))
     best = F.least(pair("start", "end"), pair("start", "e2"), pair("s2", "end"), pair("s2", "e2"))
     return j.select("contig", "id", best["start"].alias("start"), best["end"].alias("end"))

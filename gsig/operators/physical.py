@@ -49,6 +49,23 @@ def beside(rows: DataFrame, keys: list[str], order: list[str], value: str, name:
     return rows.withColumn("_v", inside).join(edges, [*keys, "_block"]).withColumn(name, F.coalesce("_v", "_e")["v"]).drop("_block", "_v", "_e")
 
 
+def run_starts(rows: DataFrame, keys: list[str], gap: int, start: str = "start", end: str = "end", block: int = BLOCK) -> DataFrame:
+    """rows with _run, the (start, end) of the interval that begins their run: one that starts `gap` or more after all earlier ends.
+
+    Blocks of starts are ordered apart; of each, the largest end and the last beginning are carried to the blocks after it.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col(start) / block))
+    inside = W.partitionBy(*keys, "_block").orderBy(start, end)
+    ahead = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    carried = lambda df, c, name: df.groupBy(*keys, "_block").agg(F.max(c).alias("_t")).select(*keys, "_block", F.max("_t").over(ahead).alias(name))
+    rows = rows.join(carried(rows, end, "_reach"), [*keys, "_block"])
+    reach = F.greatest("_reach", F.max(end).over(inside.rowsBetween(W.unboundedPreceding, -1)))
+    rows = rows.withColumn("_run", F.when(F.coalesce(F.col(start) - reach >= gap, F.lit(True)), F.struct(F.col(start).alias("start"), F.col(end).alias("end"))))
+    last = carried(rows, "_run", "_last")
+    rows = rows.withColumn("_run", F.max("_run").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.join(last, [*keys, "_block"]).withColumn("_run", F.coalesce("_run", "_last")).drop("_block", "_reach", "_last")
+
+
 def value_block(value: Column, parts: int = 1024) -> Column:
     """Blocks of numbers in their order: `parts` to each power of 2, both signs, so that no block holds many different ones."""
     size = F.abs(value)

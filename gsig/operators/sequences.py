@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from . import physical
+
 
 def tokens(seq: Column, order: str = "ACGT", length: int | None = None) -> Column:
     """Indices of bases in `order`, anything else 4, as array<tinyint>; cut or padded with 4 to `length`."""
@@ -63,22 +65,31 @@ def find_motif(rows: DataFrame, motif: str, chunk: int = 512) -> DataFrame:
     return hits.select("contig", (F.col("at") + F.col("i")).alias("pos"), F.when(F.substring("part", F.col("i") + 1, F.lit(k)) == motif, "fwd").otherwise("rev").alias("strand"))
 
 
-def find_orfs(rows: DataFrame) -> DataFrame:
+def find_orfs(rows: DataFrame, block: int = physical.BLOCK) -> DataFrame:
     """contig, strand, start, stop: from ATG to the first stop codon in frame; starts inside an accepted frame are skipped.
 
-    Codons are found and matched to their stop by Spark; the skipping, which depends on what was accepted before, runs
-    per contig and strand over the candidates alone.
+    Stops are looked for in blocks of positions, and beyond a block in the first stops of the blocks after it. The skipping depends
+    on what was accepted before, but not over a place that no candidate spans: runs of candidates that overlap are told apart by
+    Spark, and those that begin in the same block are gone through in one pass.
     """
     strands = rows.select("contig", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("seq")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("seq")).alias("seq")))).alias("x")).select("contig", "x.*")
     chunk = 255
     parts = strands.filter(F.length("seq") >= 3).select("contig", "strand", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 3, F.lit(chunk))).alias("at"))
     parts = parts.select("contig", "strand", "at", F.substring("seq", F.col("at") + 1, F.lit(chunk + 2)).alias("part"))
-    codons = parts.select("contig", "strand", "at", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("part") - 2), lambda i: F.substring(F.col("part"), i, F.lit(3)))).alias("i", "codon"))
-    codons = codons.select("contig", "strand", (F.col("at") + F.col("i")).alias("pos"), "codon")
-    codons = codons.filter(F.col("codon").isin("ATG", "TAA", "TAG", "TGA"))
-    ahead = W.partitionBy("contig", "strand", F.col("pos") % 3).orderBy("pos").rowsBetween(1, W.unboundedFollowing)
-    stop = F.min(F.when(F.col("codon") != "ATG", F.col("pos"))).over(ahead)
-    found = codons.withColumn("stop", stop).filter("codon = 'ATG' and stop is not null").select("contig", "strand", F.col("pos").alias("start"), (F.col("stop") + 3).alias("stop"))
+    codon = lambda i: F.substring(F.col("part"), i, F.lit(3))
+    marked = F.filter(F.sequence(F.lit(1), F.length("part") - 2), lambda i: codon(i).isin("ATG", "TAA", "TAG", "TGA"))
+    codons = parts.select("contig", "strand", "at", "part", F.explode(marked).alias("i"))
+    codons = codons.select("contig", "strand", (F.col("at") + F.col("i") - 1).alias("pos"), (codon(F.col("i")) == "ATG").alias("begins"))
+    keys = ["contig", "strand", "_frame"]
+    codons = codons.withColumn("_frame", F.col("pos") % 3).withColumn("_block", F.floor(F.col("pos") / block))
+    stop = F.min(F.when(~F.col("begins"), F.col("pos")))
+    later = codons.groupBy(*keys, "_block").agg(stop.alias("_t"))
+    later = later.select(*keys, "_block", F.min("_t").over(W.partitionBy(*keys).orderBy("_block").rowsBetween(1, W.unboundedFollowing)).alias("_later"))
+    here = stop.over(W.partitionBy(*keys, "_block").orderBy("pos").rowsBetween(1, W.unboundedFollowing))
+    found = codons.withColumn("_here", here).filter("begins").join(later, [*keys, "_block"])
+    found = found.select("contig", "strand", F.col("pos").alias("start"), (F.coalesce("_here", "_later") + 3).alias("stop")).filter("stop is not null")
+    found = physical.run_starts(found, ["contig", "strand"], 0, end="stop", block=block)
+    found = found.select("contig", "strand", "start", "stop", F.floor(F.col("_run.start") / block).alias("_part"))
 
     def accept(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("start")
@@ -86,9 +97,9 @@ def find_orfs(rows: DataFrame) -> DataFrame:
         for i, (start, stop) in enumerate(zip(part["start"], part["stop"], strict=True)):
             if start >= until:
                 kept[i], until = True, stop
-        return part[kept]
+        return part.loc[kept, ["contig", "strand", "start", "stop"]]
 
-    return found.groupBy("contig", "strand").applyInPandas(accept, found.schema)
+    return found.groupBy("contig", "strand", "_part").applyInPandas(accept, found.drop("_part").schema)
 
 
 def seq_diff(a: DataFrame, b: DataFrame) -> DataFrame:

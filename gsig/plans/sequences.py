@@ -41,7 +41,14 @@ def find_motif(t):
     return op.find_motif(t.genome, "GATAC")
 
 
-@query()
+@query("""with recursive g as (select contig, '+' as strand, seq from genome union all select contig, '-', reverse(translate(seq, 'ACGT', 'TGCA')) from genome),
+    c as (select contig, strand, i as pos, substring(seq, cast(i + 1 as bigint), 3) as codon from (select *, unnest(range(0, length(seq) - 2)) as i from g)),
+    m as (select * from c where codon in ('ATG', 'TAA', 'TAG', 'TGA')),
+    s as (select *, min(case when codon <> 'ATG' then pos end) over (partition by contig, strand, pos % 3 order by pos rows between 1 following and unbounded following) + 3 as stop from m),
+    f as (select contig, strand, pos as start, stop from s where codon = 'ATG' and stop is not null),
+    w as (select contig, strand, min(start) as start, arg_min(stop, start) as stop from f group by 1, 2
+          union all select w.contig, w.strand, min(f.start), arg_min(f.stop, f.start) from w join f on f.contig = w.contig and f.strand = w.strand and f.start >= w.stop group by 1, 2)
+    select contig, strand, cast(start as integer) as start, cast(stop as integer) as stop from w""")
 def find_orfs(t):
     return op.find_orfs(t.genome)
 

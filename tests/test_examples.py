@@ -110,6 +110,21 @@ def test_range_join_equals_plain_join(spark):
     assert Counter((r.start, r.end, r.b_start, r.b_end) for r in got.collect()) == Counter((x[1], x[2], y[1], y[2]) for x in a for y in b if x[1] < y[2] and y[1] < x[2])
 
 
+def test_runs_of_intervals_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows = [("c", int(a), int(a + n)) for a, n in zip(rng.integers(0, 2000, 150), rng.integers(1, 60, 150), strict=True)] + [("c", 3000, 3900), ("c", 3010, 3020)]
+    table = spark.createDataFrame(rows, "contig string, start long, end long")
+    for tolerance in (0, 1, 5):
+        expected = []
+        for _, a, b in sorted(rows):
+            if expected and a < expected[-1][1] + tolerance:
+                expected[-1][1] = max(expected[-1][1], b)
+            else:
+                expected.append([a, b])
+        for span in (16, 10_000):
+            assert sorted([r.start, r.end] for r in intervals.merge(table, tolerance, span).collect()) == expected
+
+
 def test_peaks_across_blocks(spark):
     rows = spark.createDataFrame([("c", i, float(i % 10 < 7)) for i in range(100)], "contig string, pos long, value double")
     for block in (4, 1000):
@@ -137,8 +152,9 @@ def test_orfs_against_plain_scan(spark):
                 if stop is not None:
                     expected.append((strand, i, stop + 3))
                     until = stop + 3
-    got = sequences.find_orfs(spark.createDataFrame([(1, seq)], "contig long, seq string")).collect()
-    assert sorted((r.strand, r.start, r.stop) for r in got) == sorted(expected)
+    for block in (64, 65_536):
+        got = sequences.find_orfs(spark.createDataFrame([(1, seq)], "contig long, seq string"), block).collect()
+        assert sorted((r.strand, r.start, r.stop) for r in got) == sorted(expected)
 
 
 def test_motif_palindrome_is_forward_only(spark):
