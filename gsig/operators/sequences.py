@@ -7,9 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from . import physical
 
+#: Long sequences are searched in parts of so many bases.
+CHUNK = 4096
+
 
 def tokens(seq: Column, order: str = "ACGT", length: int | None = None) -> Column:
     """Indices of bases in `order`, anything else 4, as array<tinyint>; cut or padded with 4 to `length`."""
@@ -65,21 +69,34 @@ def find_motif(rows: DataFrame, motif: str, chunk: int = 512) -> DataFrame:
     return hits.select("contig", (F.col("at") + F.col("i")).alias("pos"), F.when(F.substring("part", F.col("i") + 1, F.lit(k)) == motif, "fwd").otherwise("rev").alias("strand"))
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def codons_of(parts: pd.Series) -> pd.Series:
+    """Offsets of ATG as they are, those of stop codons as -1 - offset."""
+
+    def one(part: str) -> np.ndarray:
+        a, b, c = (np.frombuffer(part.encode("utf-32-le"), np.uint32)[i : max(0, len(part) - 2) + i] for i in range(3))
+        A, G, T = map(ord, "AGT")
+        start = (a == A) & (b == T) & (c == G)
+        stop = (a == T) & ((b == A) & ((c == A) | (c == G)) | (b == G) & (c == A))
+        at = np.flatnonzero(start | stop).astype(np.int32)
+        return np.where(start[at], at, -1 - at)
+
+    return parts.map(one)
+
+
 def find_orfs(rows: DataFrame, block: int = physical.BLOCK) -> DataFrame:
     """contig, strand, start, stop: from ATG to the first stop codon in frame; starts inside an accepted frame are skipped.
 
-    Stops are looked for in blocks of positions, and beyond a block in the first stops of the blocks after it. The skipping depends
+    Codons are found in parts of CHUNK bases. Stops are looked for in blocks of positions, and beyond a block in the first stops of the blocks after it. The skipping depends
     on what was accepted before, but not over a place that no candidate spans: runs of candidates that overlap are told apart by
     Spark, and those that begin in the same block are gone through in one pass.
     """
     strands = rows.select("contig", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("seq")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("seq")).alias("seq")))).alias("x")).select("contig", "x.*")
-    chunk = 255
-    parts = strands.filter(F.length("seq") >= 3).select("contig", "strand", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 3, F.lit(chunk))).alias("at"))
-    parts = parts.select("contig", "strand", "at", F.substring("seq", F.col("at") + 1, F.lit(chunk + 2)).alias("part"))
-    codon = lambda i: F.substring(F.col("part"), i, F.lit(3))
-    marked = F.filter(F.sequence(F.lit(1), F.length("part") - 2), lambda i: codon(i).isin("ATG", "TAA", "TAG", "TGA"))
-    codons = parts.select("contig", "strand", "at", "part", F.explode(marked).alias("i"))
-    codons = codons.select("contig", "strand", (F.col("at") + F.col("i") - 1).alias("pos"), (codon(F.col("i")) == "ATG").alias("begins"))
+    parts = strands.select("contig", "strand", F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("parts"))
+    halo = F.transform("parts", lambda x, i: F.concat(x, F.coalesce(F.left(F.get("parts", i + 1), F.lit(2)), F.lit(""))))
+    codons = parts.select("contig", "strand", F.posexplode(halo).alias("i", "part")).select("contig", "strand", "i", F.explode(codons_of("part")).alias("at"))
+    begins = F.col("at") >= 0
+    codons = codons.select("contig", "strand", (F.col("i") * CHUNK + F.when(begins, F.col("at")).otherwise(-1 - F.col("at"))).alias("pos"), begins.alias("begins"))
     keys = ["contig", "strand", "_frame"]
     codons = codons.withColumn("_frame", F.col("pos") % 3).withColumn("_block", F.floor(F.col("pos") / block))
     stop = F.min(F.when(~F.col("begins"), F.col("pos")))
