@@ -154,16 +154,22 @@ def thinned(bins: DataFrame, fractions: list[float], seed: int = 1, only_ip: boo
     def thin(n: pd.Series, frac: pd.Series, u: pd.Series) -> pd.Series:
         return pd.Series([int(a) if f >= 1 else int(np.random.default_rng(abs(int(x))).binomial(int(a), f)) for a, f, x in zip(n, frac, u, strict=True)])
 
-    draw = lambda c, salt: thin(c, "frac", F.xxhash64("contig", "pos", "frac", F.lit(seed + salt)))
+    draw = lambda c, salt: thin(c, "frac", F.xxhash64("contig", "pos", "frac", *["rep"] * ("rep" in bins.columns), F.lit(seed + salt)))
     out = each.withColumn("ip_count", draw("ip_count", 0))
     return out if only_ip else out.withColumn("ctrl_count", draw("ctrl_count", 1))
 
 
-def saturation(bins: DataFrame, sizes: list[int], fractions: list[float], alpha: float = 0.05, seed: int = 1, only_ip: bool = False) -> DataFrame:
-    """binsize, frac, n, ip, ctrl, undetermined, ip_clusters, ctrl_clusters: bins that either sample exceeds, by bin size and fraction."""
+def saturation(bins: DataFrame, sizes: list[int], fractions: list[float], alpha: float = 0.05, seed: int = 1, only_ip: bool = False, replicates: int = 1) -> DataFrame:
+    """binsize, frac, n, ip_cov, ctrl_cov, ip, ctrl, undetermined, ip_clusters, ctrl_clusters: bins that either sample exceeds, by bin size and fraction.
+
+    ip_cov and ctrl_cov are the counts that are left of either sample. More than one replicate adds rep (from 0), each drawn anew.
+    """
     wide = bins.withColumn("binsize", F.explode(F.array(*map(F.lit, sizes))))
     wide = wide.groupBy("contig", "binsize", F.floor(F.col("pos") / F.col("binsize")).alias("pos")).agg(F.sum("ip_count").alias("ip_count"), F.sum("ctrl_count").alias("ctrl_count"))
     keys = ["binsize", "frac"]
+    if replicates > 1:
+        wide = wide.withColumn("rep", F.explode(F.array(*map(F.lit, range(replicates)))))
+        keys.append("rep")
     thin = thinned(wide, fractions, seed, only_ip).filter("ip_count + ctrl_count > 0")
     up = fdr_bh(binom_pvalue(thin, keys), keys, q="q_ip").drop("pval")
     both = fdr_bh(binom_pvalue(up, keys, less=True), keys, q="q_ctrl")
@@ -171,7 +177,7 @@ def saturation(bins: DataFrame, sizes: list[int], fractions: list[float], alpha:
     both = physical.beside(both.withColumn("_now", F.struct("_i", "_c", "pos")), [*keys, "contig"], ["pos"], "_now", "_last")
     start = lambda c: F.col(c) & ~(F.coalesce(F.col(f"_last.{c}"), F.lit(False)) & F.coalesce(F.col("_last.pos") == F.col("pos") - 1, F.lit(False)))
     both = both.withColumn("_is", start("_i")).withColumn("_cs", start("_c"))
-    return both.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("_i").alias("ip"), F.count_if("_c").alias("ctrl"), F.count_if(~F.col("_i") & ~F.col("_c")).alias("undetermined"), F.count_if(F.coalesce("_is", F.col("_i"))).alias("ip_clusters"), F.count_if(F.coalesce("_cs", F.col("_c"))).alias("ctrl_clusters"))
+    return both.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("ip_count").alias("ip_cov"), F.sum("ctrl_count").alias("ctrl_cov"), F.count_if("_i").alias("ip"), F.count_if("_c").alias("ctrl"), F.count_if(~F.col("_i") & ~F.col("_c")).alias("undetermined"), F.count_if(F.coalesce("_is", F.col("_i"))).alias("ip_clusters"), F.count_if(F.coalesce("_cs", F.col("_c"))).alias("ctrl_clusters"))
 
 
 def saturation_percent(rows: DataFrame) -> DataFrame:

@@ -83,16 +83,18 @@ def moving_average(rows: DataFrame, n: int, keys: list[str] = KEYS) -> DataFrame
 
 
 def kernel(kind: str, size: int, sigma: float | None = None) -> list[float]:
-    """Weights of a flat, gaussian or triangle kernel, summing to 1."""
+    """Weights of a flat, gaussian or triangle kernel, summing to 1. A triangle is 0 at both ends, so it needs 3 places at least."""
     mid = (size - 1) / 2
     if kind == "flat":
         w = [1.0] * size
     elif kind == "gaussian":
         w = [math.exp(-0.5 * ((i - mid) / sigma) ** 2) for i in range(size)]
     elif kind == "triangle":
-        w = [1 - abs(i - mid) / (mid + 1) for i in range(size)]
+        w = [float(min(i, size - 1 - i)) for i in range(size)]
     else:
         raise ValueError(kind)
+    if not sum(w):
+        raise ValueError(f"a {kind} kernel of {size} places has no weight")
     return [x / sum(w) for x in w]
 
 
@@ -118,11 +120,14 @@ def smooth(rows: DataFrame, weights: list[float], keys: list[str] = KEYS, mode:
     return (out.filter(F.col("_n") == n) if mode == "valid" else out).drop("_n")
 
 
-def nan_smooth(rows: DataFrame, n: int, keys: list[str] = KEYS, pad_masked: bool = False, lengths: DataFrame | None = None) -> DataFrame:
-    """Flat smoothing where missing values do not count: null only without any valid value in the frame.
+def nan_smooth(rows: DataFrame, n: int, keys: list[str] = KEYS, pad_masked: bool = False, weights: list[float] | None = None) -> DataFrame:
+    """Smoothing where missing values do not count, flat or with the n weights of a kernel, which sum to 1.
 
+    Flat: null only without any valid value in the frame; weighted: null if more than (n - 1) / n of the weight is missing.
     Positions beyond the ends count as valid zeros, or, with pad_masked, as missing.
     """
+    if weights is not None:
+        return _nan_smooth_weighted(rows, weights, keys, pad_masked)
     below, above = n // 2, (n - 1) // 2
     valid = F.col("value").isNotNull() & ~F.isnan("value")
     clean = rows.withColumn("_ok", valid.cast("int")).withColumn("value", F.when(valid, F.col("value")).otherwise(0.0))
@@ -135,6 +140,23 @@ def nan_smooth(rows: DataFrame, n: int, keys: list[str] = KEYS, pad_masked: bool
     return out.withColumn("value", F.when(F.col("_k") > 0, F.col("_s") / F.col("_k"))).drop("_s", "_k", "_ok")
 
 
+def _nan_smooth_weighted(rows: DataFrame, weights: list[float], keys: list[str], pad_masked: bool) -> DataFrame:
+    n = len(weights)
+    below, above = n // 2, (n - 1) // 2
+    finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))
+    near = F.struct("pos", F.when(finite, F.col("value")).alias("v"))
+    out = physical.frame(rows, keys, below, above, {"_near": lambda w: F.collect_list(near).over(w)})
+    table = F.array(*map(F.lit, weights))
+    place = lambda x: F.element_at(table, (F.col("pos") - x["pos"] + above + 1).cast("int"))
+    total = lambda f: F.aggregate("_near", F.lit(0.0), lambda s, x: s + f(x))
+    out = out.withColumn("_s", total(lambda x: F.coalesce(x["v"] * place(x), F.lit(0.0))))
+    valid = total(lambda x: F.when(x["v"].isNotNull(), place(x)).otherwise(0.0))
+    missing = 1 - valid if pad_masked else total(lambda x: F.when(x["v"].isNull(), place(x)).otherwise(0.0))
+    out = out.withColumn("_missing", missing)
+    enough = (F.col("_missing") <= (n - 1) / n + 1e-9) & (F.col("_missing") < 1)
+    return out.withColumn("value", F.when(enough, F.col("_s") / (1 - F.col("_missing")))).drop("_near", "_s", "_missing")
+
+
 def sliding_gc(rows: DataFrame, n: int) -> DataFrame:
     """contig, start, gc over windows of n bases (at most the contig's length); null without known bases."""
     long, short = rows.filter(F.length("seq") >= n), rows.filter((F.length("seq") < n) & (F.length("seq") > 0))

@@ -54,7 +54,7 @@ def smooth(t):
     return op.smooth(t.signal, op.kernel("flat", 10)).withColumn("value", F.round("value", 6))
 
 
-TRIANGLE = " + ".join(f"{1 - abs(i) / 3} / 3 * coalesce({'lag' if i > 0 else 'lead'}(value, {abs(i)}) over w, 0)" if i else "1.0 / 3 * value" for i in range(-2, 3))
+TRIANGLE = "0.25::double * coalesce(lag(value, 1) over w, 0) + 0.5::double * value + 0.25::double * coalesce(lead(value, 1) over w, 0)"
 
 
 @query(f"select contig, pos, round(cast({TRIANGLE} as double), 4) as value from signal window w as (partition by contig order by pos)")

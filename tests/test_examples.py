@@ -360,6 +360,32 @@ def test_fastq_and_fasta_round_trip(spark, tmp_path):
         assert all(r.start == r.chunk * 100 for r in out)
 
 
+@pytest.mark.parametrize("pad_masked", [False, True])
+def test_weighted_nan_smooth_against_plain(spark, pad_masked):
+    values = [1.0, None, 3.0, float("nan"), None, None, None, 8.0, 9.0, -2.0]
+    weights = windows.kernel("triangle", 5)
+    assert weights == [0.0, 0.25, 0.5, 0.25, 0.0]
+    rows = spark.createDataFrame([("c", i, v) for i, v in enumerate(values)], "contig string, pos long, value double")
+    got = {r.pos: r.value for r in windows.nan_smooth(rows, 5, pad_masked=pad_masked, weights=weights).collect()}
+    for i in range(len(values)):
+        total, missing = 0.0, 0.0
+        for k, w in zip(range(i + 2, i - 3, -1), weights, strict=True):
+            inside = 0 <= k < len(values)
+            if (inside and (values[k] is None or math.isnan(values[k]))) or (not inside and pad_masked):
+                missing += w
+            elif inside:
+                total += w * values[k]
+        assert got[i] is None if missing > 0.8 else got[i] == pytest.approx(total / (1 - missing))
+
+
+def test_saturation_replicates(spark):
+    bins = spark.createDataFrame([("c", i, 40, 40) for i in range(30)], "contig string, pos long, ip_count long, ctrl_count long")
+    rows = stats.saturation(bins, [1], [0.5, 1.0], replicates=3).collect()
+    assert sorted((r.frac, r.rep) for r in rows) == [(f, i) for f in (0.5, 1.0) for i in range(3)]
+    assert all((r.ip_cov, r.ctrl_cov) == (1200, 1200) for r in rows if r.frac == 1.0)
+    assert len({(r.ip_cov, r.ctrl_cov) for r in rows if r.frac == 0.5}) > 1
+
+
 def test_saturation_fraction_one_is_plain(spark):
     bins = spark.createDataFrame([("c", i, 3 + (40 if i % 25 < 2 else 0), 3) for i in range(100)], "contig string, pos long, ip_count long, ctrl_count long")
     r = stats.saturation(bins, [1], [1.0], only_ip=True).first()
