@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from . import windows
+from . import physical, windows
 from .tracks import quantiles
 
 
@@ -156,17 +156,23 @@ def dinucleotide_order(rows: DataFrame) -> DataFrame:
 
 
 def gc_strata(rows: DataFrame, parts: int, least: int) -> DataFrame:
-    """rows of each GC value that are among its lowest or highest n / parts, by value; GC values with few rows are dropped."""
-    w = W.partitionBy("gc")
-    ranked = rows.withColumn("_n", F.count("*").over(w)).filter(F.col("_n") >= least).withColumn("_r", F.row_number().over(w.orderBy("value", "id")))
-    k = F.floor(F.col("_n") / parts)
-    group = F.when(F.col("_r") <= k, "low").when(F.col("_r") > F.col("_n") - k, "high")
-    return ranked.withColumn("group", group).filter("group is not null").drop("_n", "_r")
+    """rows of each GC value that are among its lowest or highest n / parts, by value; GC values with few rows are dropped.
+
+    Ranks come from blocks cut from the data, so one GC value may hold all rows.
+    """
+    ranked = physical.ranked(rows, ["gc"], ["value", "id"]).filter(F.col("_all") >= least)
+    k = F.floor(F.col("_all") / parts)
+    group = F.when(F.col("_r") < k, "low").when(F.col("_r") >= F.col("_all") - k, "high")
+    return ranked.withColumn("group", group).filter("group is not null").drop("_all", "_r")
 
 
 def terciles(rows: DataFrame) -> DataFrame:
-    w = W.partitionBy("gc").orderBy("value", "id")
-    return rows.withColumn("group", F.element_at(F.array(*map(F.lit, ("low", "mid", "high"))), F.ntile(3).over(w)))
+    """rows with group: low, mid or high by value among those of their GC, in thirds of which the first may be one larger."""
+    ranked = physical.ranked(rows, ["gc"], ["value", "id"])
+    third, more = F.floor(F.col("_all") / 3), F.col("_all") % 3
+    first, second = third + (more > 0).cast("int"), third * 2 + more
+    group = F.when(F.col("_r") < first, "low").when(F.col("_r") < second, "mid").otherwise("high")
+    return ranked.withColumn("group", group).drop("_all", "_r")
 
 
 def gc_bin(gc: Column, width: float = 0.05) -> Column:

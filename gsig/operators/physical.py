@@ -2,11 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 BLOCK = 65_536
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that all executors can read: spark.checkpoint.dir; a local one only where it is unset and all runs on one machine."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if not told and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return told or f"file://{os.path.join(tempfile.gettempdir(), 'gsig-files')}"
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """df computed once and written to the shared folder; for results that a plan reads several times, whatever executors are lost."""
+    path = f"{shared_dir(df.sparkSession)}/shared-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_blocks(rows: DataFrame, order: list[str], size: int | None = None) -> tuple[DataFrame, bool]:
+    """rows, written, with _block: numbers that rise with the order, of about `size` (BLOCK) rows each; and whether there are several.
+
+    Spark samples the rows for the borders, so a block's size doesn't depend on how values are spread, and it is read back from
+    what was written, so it doesn't change. Orders have to tell rows apart; rows that don't differ share a block.
+    """
+    size = size or BLOCK
+    rows = shared(rows)
+    n = rows.count()
+    if n <= size:
+        return rows.withColumn("_block", F.lit(0)), False
+    # Samples make some ranges larger than the mean, so ranges are cut at half the size.
+    return shared(rows.repartitionByRange(-(-2 * n // size), *order).withColumn("_block", F.spark_partition_id())), True
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str = "_r") -> DataFrame:
+    """rows with their rank (from 0) in an order inside keys, and _all, the rows of their key.
+
+    Blocks cut from the data are counted, and rows are ranked inside them, so a key may hold any share of the rows.
+    """
+    rows, several = in_blocks(rows, [*keys, *order])
+    inside = F.row_number().over(W.partitionBy(*keys, "_block").orderBy(*order)) - 1
+    if not several:
+        return rows.withColumn(name, inside.cast("long")).withColumn("_all", F.count("*").over(W.partitionBy(*keys, "_block"))).drop("_block")
+    n = rows.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    n = n.select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"), F.sum("_n").over(W.partitionBy(*keys)).alias("_all"))
+    return rows.withColumn("_in", inside).join(n, [*keys, "_block"]).withColumn(name, F.col("_s") + F.col("_in")).drop("_block", "_in", "_s")
+
+
 def with_halo(rows: DataFrame, before: int, after: int, block: int = BLOCK, pos: str = "pos") -> DataFrame:
     """rows with _block and _own: each row in its block of positions, and copies in the blocks whose frames reach it.
 
@@ -66,23 +115,20 @@ def run_starts(rows: DataFrame, keys: list[str], gap: int, start: str = "start",
     return rows.join(last, [*keys, "_block"]).withColumn("_run", F.coalesce("_run", "_last")).drop("_block", "_reach", "_last")
 
 
-def value_block(value: Column, parts: int = 1024) -> Column:
-    """Blocks of numbers in their order: `parts` to each power of 2, both signs, so that no block holds many different ones."""
-    size = F.abs(value)
-    return F.when(value == 0, 0).when(size == float("inf"), F.signum(value) * 2.0**40).when(F.isnan(value), 2.0**41).otherwise(F.signum(value) * (F.floor(F.log2(size) * parts) + parts * 2048)).cast("long")
+def ranked_counts(counts: DataFrame, keys: list[str], value: str = "value", n: str = "_n") -> tuple[DataFrame, bool]:
+    """counts (one row per different value) with _block, _upto: how many are not larger, and _all; and whether there are several blocks.
 
-
-def ranked_counts(counts: DataFrame, keys: list[str], value: str = "value", n: str = "_n") -> DataFrame:
-    """counts (one row per different value) with _block, _upto: how many are not larger, and _all, by blocks of values.
-
-    Only one row per block is ordered as a whole.
+    Blocks of values are cut from the data (`in_blocks`); only one row per block is ordered as a whole.
     """
-    counts = counts.withColumn("_block", value_block(F.col(value).cast("double")))
+    counts, several = in_blocks(counts, [*keys, value])
+    inside = W.partitionBy(*keys, "_block").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    counts = counts.withColumn("_upto", F.sum(n).over(inside))
+    if not several:
+        return counts.withColumn("_all", F.sum(n).over(W.partitionBy(*keys, "_block"))), False
     blocks = counts.groupBy(*keys, "_block").agg(F.sum(n).alias("_t"))
     before = F.coalesce(F.sum("_t").over(W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.select(*keys, "_block", before.alias("_s"), F.sum("_t").over(W.partitionBy(*keys)).alias("_all"))
-    inside = W.partitionBy(*keys, "_block").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    return counts.withColumn("_in", F.sum(n).over(inside)).join(blocks, [*keys, "_block"]).withColumn("_upto", F.col("_s") + F.col("_in")).drop("_s", "_in")
+    return counts.join(blocks, [*keys, "_block"]).withColumn("_upto", F.col("_s") + F.col("_upto")).drop("_s"), True
 
 
 def range_join(a: DataFrame, b: DataFrame, width: int, keys: tuple[str, ...] = ("contig",), tolerance: int = 0) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-BUCKETS = 4096
+from . import physical
+
+#: Positions of a leaf of the tree that splits a sample over bins, and nodes at its top.
+LEAF, TOP = 4096, 4096
 
 
 def draw(seed: int, *ids: str) -> Column:
@@ -16,25 +20,57 @@ def draw(seed: int, *ids: str) -> Column:
     return F.xxhash64(*ids, F.lit(seed)).cast("double") / F.lit(2.0**64) + 0.5
 
 
-def ranked(rows: DataFrame, order: list, keys: list[str] = (), buckets: int = BUCKETS, name: str = "_r") -> DataFrame:
-    """rows with their rank (from 0) by a draw in [0, 1) and ids: counts of buckets of the draw give where each bucket starts,
-    and ranks inside buckets the rest, so no task orders all rows of a key."""
-    keys, first = list(keys), order[0]
-    rows = rows.withColumn("_b", F.floor(F.col(first) * buckets))
-    n = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    n = n.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"), F.sum("_n").over(W.partitionBy(*keys)).alias("_all"))
-    inside = F.row_number().over(W.partitionBy(*keys, "_b").orderBy(*order)) - 1
-    return rows.join(n, [*keys, "_b"]).withColumn(name, F.col("_s") + inside).drop("_b", "_s")
+def ranked(rows: DataFrame, order: list, keys: list[str] = (), name: str = "_r") -> DataFrame:
+    """rows with their rank (from 0) by a draw in [0, 1) and ids, and _all, by blocks cut from the data."""
+    return physical.ranked(rows, list(keys), order, name)
+
+
+def split_exact(rng: np.random.Generator, sizes: np.ndarray, k: int) -> np.ndarray:
+    """How many of k objects, drawn without replacement, fall to groups of these sizes; exact for whole numbers of 64 bits.
+
+    Each group gives a binomial number; what that is off the total, about its root, is drawn anew from what was taken or from what was left,
+    which keeps every set of k objects equally likely. A few objects are drawn one by one.
+    """
+    total = int(sizes.sum())
+    if 2 * k > total:
+        return sizes - split_exact(rng, sizes, total - k)
+    if k <= 256:
+        chosen: set[int] = set()
+        while len(chosen) < k:
+            chosen.add(int(rng.integers(total)))
+        return np.bincount(np.searchsorted(np.cumsum(sizes), sorted(chosen), "right"), minlength=len(sizes)).astype(np.int64)
+    taken = rng.binomial(sizes, k / total)
+    over = int(taken.sum()) - k
+    return taken - split_exact(rng, taken, over) if over > 0 else taken + split_exact(rng, sizes - taken, -over)
 
 
 def thin_exact(rows: DataFrame, fraction: float, seed: int = 1, complement: bool = False) -> DataFrame:
     """rows (contig, pos, n) with `kept`: a sample of exactly round(fraction * total) of the counted objects, without replacement;
-    with complement also `rest`, those that are not in it."""
-    each = rows.filter("n > 0").select("contig", "pos", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("_i")).withColumn("_u", draw(seed, "contig", "pos", "_i"))
-    each = ranked(each, ["_u", "contig", "pos", "_i"]).filter(F.col("_r") < F.round(F.col("_all") * fraction))
-    kept = each.groupBy("contig", "pos").agg(F.count("*").alias("kept"))
-    out = rows.join(kept, ["contig", "pos"], "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    with complement also `rest`, those that are not in it.
+
+    A tree splits the sample: TOP nodes on the driver, the leaves of a node in one task, the bins of a leaf (LEAF positions) in
+    another. Draws follow from a node's number and the seed. Every bin is a row on its way, however many objects it counts.
+    """
+    size = F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).cast("long")
+    leaf = F.xxhash64("contig", F.floor(F.col("pos") / LEAF))
+    leaves = physical.shared(rows.groupBy(leaf.alias("_leaf")).agg(F.sum(size).alias("_t")).withColumn("_node", F.pmod("_leaf", F.lit(TOP))))
+    top = sorted((r[0], r[1]) for r in leaves.groupBy("_node").agg(F.sum("_t")).collect())
+    sizes = np.array([n for _, n in top], np.int64)
+    quotas = split_exact(np.random.default_rng([seed, 0]), sizes, math.floor(sizes.sum() * fraction + 0.5))
+    quotas = rows.sparkSession.createDataFrame([(node, int(q)) for (node, _), q in zip(top, quotas, strict=True)], "_node long, _q long")
+
+    def among(level: int, node: str, order: list[str], weight: str, out: str):
+        def share(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values(order)
+            rng = np.random.default_rng([seed, level, int(part[node].iloc[0]) & (2**63 - 1)])
+            return part.assign(**{out: split_exact(rng, part[weight].to_numpy(np.int64), int(part["_q"].iloc[0]))}).drop(columns=["_q", node])
+
+        return share
+
+    shares = leaves.join(quotas, "_node").groupBy("_node").applyInPandas(among(1, "_node", ["_leaf"], "_t", "_share"), "_leaf long, _t long, _share long")
+    bins = rows.withColumn("_leaf", leaf).withColumn("_size", size).join(shares.select("_leaf", F.col("_share").alias("_q")), "_leaf")
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    out = bins.groupBy("_leaf").applyInPandas(among(2, "_leaf", ["contig", "pos", "_size"], "_size", "kept"), f"{schema}, _size long, kept long").drop("_size")
     return out.withColumn("rest", F.col("n") - F.col("kept")) if complement else out
 
 

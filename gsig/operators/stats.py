@@ -61,47 +61,81 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return min(1.0, max(0.0, front * out))
 
 
+def counts_of(bins: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ip_count, ctrl_count, _n: how many bins have these counts, written once. Tests depend on nothing else of a bin."""
+    return physical.shared(bins.groupBy(*keys, "ip_count", "ctrl_count").agg(F.count("*").alias("_n")))
+
+
+def with_tails(counts: DataFrame, keys: list[str], less: bool) -> DataFrame:
+    """counts with p_more: the chance of so many ip counts or more, given ip + control and the overall share of ip; with less, also p_less."""
+    share = counts.groupBy(*keys).agg((F.sum(F.col("ip_count") * F.col("_n")) / F.sum((F.col("ip_count") + F.col("ctrl_count")) * F.col("_n"))).alias("_p"))
+    counts = counts.join(share, keys) if keys else counts.join(share)
+
+    @F.pandas_udf("p_more double, p_less double")
+    def tails(k: pd.Series, c: pd.Series, p: pd.Series) -> pd.DataFrame:
+        both = [(_tail(int(a), int(a + b), q), _tail(int(b), int(a + b), 1 - q) if less else None) for a, b, q in zip(k, c, p, strict=True)]
+        return pd.DataFrame(both, columns=["p_more", "p_less"], dtype=float)
+
+    out = counts.withColumn("_t", tails("ip_count", "ctrl_count", F.coalesce("_p", F.lit(0.0))))
+    return out.withColumns({c: F.col(f"_t.{c}") for c in ("p_more", "p_less")[: 1 + less]}).drop("_p", "_t")
+
+
 def binom_pvalue(bins: DataFrame, keys: list[str] = (), less: bool = False) -> DataFrame:
-    """bins with pval: the chance of so many ip counts or more, given ip + control and the overall share of ip.
+    """bins with pval: the chance of so many ip counts or more (with less: control counts), given ip + control and the overall share.
 
     Tails are computed once per distinct (ip, control) of each key and joined back, so the work does not grow with the number of bins.
     """
     keys = list(keys)
-    share = bins.groupBy(*keys).agg((F.sum("ip_count") / F.sum(F.col("ip_count") + F.col("ctrl_count"))).alias("_p"))
-    counts = bins.groupBy(*keys, "ip_count", "ctrl_count").agg(F.lit(1).alias("_1")).drop("_1")
-    counts = counts.join(share, keys) if keys else counts.join(share)
-
-    @F.pandas_udf("double")
-    def tail(k: pd.Series, c: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series([_tail(int(a), int(a + b), q) if not less else _tail(int(b), int(a + b), 1 - q) for a, b, q in zip(k, c, p, strict=True)])
-
-    tails = counts.withColumn("pval", tail("ip_count", "ctrl_count", F.coalesce("_p", F.lit(0.0)))).drop("_p")
+    tails = with_tails(counts_of(bins, keys), keys, less).select(*keys, "ip_count", "ctrl_count", F.col("p_less" if less else "p_more").alias("pval"))
     return bins.join(tails, [*keys, "ip_count", "ctrl_count"])
 
 
-def fdr_bh(rows: DataFrame, keys: list[str] = (), p: str = "pval", q: str = "qval") -> DataFrame:
-    """rows with q: the least p * m / rank over larger p, at most 1. Ranks are over distinct p with their counts.
+def q_values(counts: DataFrame, keys: list[str], p: str, q: str) -> DataFrame:
+    """keys, p, q from different p with the number of tests that have it (_n): the least p * m / rank over larger p, at most 1.
 
     Distinct p are ranked by blocks, and the least of later blocks is carried to earlier ones, so no task orders them all.
     """
-    keys = list(keys)
-    ranked = physical.ranked_counts(rows.groupBy(*keys, p).agg(F.count("*").alias("_n")), keys, p)
+    ranked, several = physical.ranked_counts(counts, keys, p)
     ranked = ranked.withColumn("_v", F.col(p) * F.col("_all") / F.col("_upto"))
+    inside = W.partitionBy(*keys, "_block").orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
+    least = ranked.withColumn("_v", F.min("_v").over(inside))
+    if not several:
+        return least.select(*keys, p, F.least(F.lit(1.0), "_v").alias(q))
     later = W.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1)
     carried = ranked.groupBy(*keys, "_block").agg(F.min("_v").alias("_least")).select(*keys, "_block", F.min("_least").over(later).alias("_least"))
-    inside = W.partitionBy(*keys, "_block").orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
-    ranked = ranked.withColumn("_v", F.min("_v").over(inside)).join(carried, [*keys, "_block"]).withColumn(q, F.least(F.lit(1.0), "_v", "_least"))
-    return rows.join(ranked.select(*keys, p, q), [*keys, p])
+    return least.join(carried, [*keys, "_block"]).select(*keys, p, F.least(F.lit(1.0), "_v", "_least").alias(q))
+
+
+def fdr_bh(rows: DataFrame, keys: list[str] = (), p: str = "pval", q: str = "qval") -> DataFrame:
+    """rows with q: the least p * m / rank over larger p, at most 1. Ranks are over distinct p with their counts."""
+    keys = list(keys)
+    return rows.join(q_values(rows.groupBy(*keys, p).agg(F.count("*").alias("_n")), keys, p, q), [*keys, p])
+
+
+def tested(bins: DataFrame, keys: list[str], less: bool, skip_empty: bool = False) -> DataFrame:
+    """keys, ip_count, ctrl_count, p_more, q_more, and with less p_less, q_less: the tests of all bins, once for each pair of counts.
+
+    Counts and tails are written once; q-values of both tails come from one ranking, in which the tail is a key.
+    """
+    tails = physical.shared(with_tails(counts_of(bins, keys), keys, less))
+    kinds = ("more", "less")[: 1 + less]
+    each = tails.filter("ip_count + ctrl_count > 0") if skip_empty else tails
+    each = each.select(*keys, "ip_count", "ctrl_count", "_n", F.explode(F.array(*(F.struct(F.lit(k).alias("tail"), F.col(f"p_{k}").alias("pval")) for k in kinds))).alias("_x"))
+    each = each.select(*keys, "ip_count", "ctrl_count", "_n", "_x.tail", "_x.pval")
+    q = q_values(each.groupBy(*keys, "tail", "pval").agg(F.sum("_n").alias("_n")), [*keys, "tail"], "pval", "qval")
+    own = [F.max(F.when(F.col("tail") == k, F.col(v))).alias(f"{v[0]}_{k}") for k in kinds for v in ("pval", "qval")]
+    out = each.join(q, [*keys, "tail", "pval"]).groupBy(*keys, "ip_count", "ctrl_count").agg(*own)
+    if skip_empty:
+        empty = tails.filter("ip_count + ctrl_count = 0").select(*keys, "ip_count", "ctrl_count", *(c for k in kinds for c in (F.col(f"p_{k}"), F.lit(1.0).alias(f"q_{k}"))))
+        out = out.unionByName(empty)
+    return out
 
 
 def enrichment(bins: DataFrame, alpha: float = 0.05, skip_empty: bool = False, keys: list[str] = ()) -> DataFrame:
     """bins with pval, qval, -log10 of both and significant; with skip_empty, bins without counts are left out of the control."""
-    out = binom_pvalue(bins, keys)
-    if skip_empty:
-        tested = fdr_bh(out.filter("ip_count + ctrl_count > 0"), keys)
-        out = tested.unionByName(out.filter("ip_count + ctrl_count = 0").withColumn("qval", F.lit(1.0)))
-    else:
-        out = fdr_bh(out, keys)
+    keys, bins = list(keys), physical.shared(bins)
+    tests = tested(bins, keys, False, skip_empty).withColumnsRenamed({"p_more": "pval", "q_more": "qval"})
+    out = bins.join(tests, [*keys, "ip_count", "ctrl_count"])
     return out.withColumn("log_p", -F.log10("pval")).withColumn("log_q", -F.log10("qval")).withColumn("significant", F.col("qval") < alpha)
 
 
@@ -147,37 +181,49 @@ def count_clusters(rows: DataFrame, keys: list[str], flag: str) -> DataFrame:
 
 
 def thinned(bins: DataFrame, fractions: list[float], seed: int = 1, only_ip: bool = False) -> DataFrame:
-    """bins with frac: counts thinned to each fraction at random; fraction 1 keeps them as they are."""
-    each = bins.withColumn("frac", F.explode(F.array(*map(F.lit, fractions))))
+    """bins with frac: counts thinned to each fraction at random; fraction 1 keeps them as they are.
+
+    Fractions are nested: one multinomial split of a bin's objects says from which fraction on each is kept. It is drawn from ids
+    and a seed, once for all fractions.
+    """
+    order = sorted(min(float(f), 1.0) for f in fractions)
+    steps = np.diff([0.0, *order, 1.0]).clip(0)
 
-    @F.pandas_udf("long")
-    def thin(n: pd.Series, frac: pd.Series, u: pd.Series) -> pd.Series:
-        return pd.Series([int(a) if f >= 1 else int(np.random.default_rng(abs(int(x))).binomial(int(a), f)) for a, f, x in zip(n, frac, u, strict=True)])
+    @F.pandas_udf("array<long>")
+    def split(n: pd.Series, u: pd.Series) -> pd.Series:
+        return pd.Series([np.cumsum(np.random.default_rng(abs(int(x))).multinomial(int(a), steps / steps.sum()))[:-1] if a else np.zeros(len(order), np.int64) for a, x in zip(n, u, strict=True)])
 
-    draw = lambda c, salt: thin(c, "frac", F.xxhash64("contig", "pos", "frac", *["rep"] * ("rep" in bins.columns), F.lit(seed + salt)))
-    out = each.withColumn("ip_count", draw("ip_count", 0))
-    return out if only_ip else out.withColumn("ctrl_count", draw("ctrl_count", 1))
+    draw = lambda c, salt: split(c, F.xxhash64("contig", "pos", *["rep"] * ("rep" in bins.columns), F.lit(seed + salt)))
+    out = bins.withColumn("_a", draw("ip_count", 0))
+    if not only_ip:
+        out = out.withColumn("_b", draw("ctrl_count", 1))
+    at = [order.index(min(float(f), 1.0)) for f in fractions]
+    kept = lambda f, i, c, n: (F.col(n) if f >= 1 else F.get(c, i)).alias(n)
+    each = F.explode(F.array(*(F.struct(F.lit(float(f)).alias("frac"), kept(f, i, "_a", "ip_count"), F.col("ctrl_count") if only_ip else kept(f, i, "_b", "ctrl_count")) for f, i in zip(fractions, at, strict=True))))
+    return out.select(*(c for c in bins.columns if c not in ("ip_count", "ctrl_count")), each.alias("_x")).select("*", "_x.*").drop("_x")
 
 
 def saturation(bins: DataFrame, sizes: list[int], fractions: list[float], alpha: float = 0.05, seed: int = 1, only_ip: bool = False, replicates: int = 1) -> DataFrame:
     """binsize, frac, n, ip_cov, ctrl_cov, ip, ctrl, undetermined, ip_clusters, ctrl_clusters: bins that either sample exceeds, by bin size and fraction.
 
     ip_cov and ctrl_cov are the counts that are left of either sample. More than one replicate adds rep (from 0), each drawn anew.
+    The given bins are thinned once, for all bin sizes; wider bins of what is left are written once and tested by their counts.
     """
-    wide = bins.withColumn("binsize", F.explode(F.array(*map(F.lit, sizes))))
-    wide = wide.groupBy("contig", "binsize", F.floor(F.col("pos") / F.col("binsize")).alias("pos")).agg(F.sum("ip_count").alias("ip_count"), F.sum("ctrl_count").alias("ctrl_count"))
     keys = ["binsize", "frac"]
     if replicates > 1:
-        wide = wide.withColumn("rep", F.explode(F.array(*map(F.lit, range(replicates)))))
+        bins = bins.withColumn("rep", F.explode(F.array(*map(F.lit, range(replicates)))))
         keys.append("rep")
-    thin = thinned(wide, fractions, seed, only_ip).filter("ip_count + ctrl_count > 0")
-    up = fdr_bh(binom_pvalue(thin, keys), keys, q="q_ip").drop("pval")
-    both = fdr_bh(binom_pvalue(up, keys, less=True), keys, q="q_ctrl")
-    both = both.withColumn("_i", F.col("q_ip") < alpha).withColumn("_c", F.col("q_ctrl") < alpha)
-    both = physical.beside(both.withColumn("_now", F.struct("_i", "_c", "pos")), [*keys, "contig"], ["pos"], "_now", "_last")
-    start = lambda c: F.col(c) & ~(F.coalesce(F.col(f"_last.{c}"), F.lit(False)) & F.coalesce(F.col("_last.pos") == F.col("pos") - 1, F.lit(False)))
-    both = both.withColumn("_is", start("_i")).withColumn("_cs", start("_c"))
-    return both.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("ip_count").alias("ip_cov"), F.sum("ctrl_count").alias("ctrl_cov"), F.count_if("_i").alias("ip"), F.count_if("_c").alias("ctrl"), F.count_if(~F.col("_i") & ~F.col("_c")).alias("undetermined"), F.count_if(F.coalesce("_is", F.col("_i"))).alias("ip_clusters"), F.count_if(F.coalesce("_cs", F.col("_c"))).alias("ctrl_clusters"))
+    wide = thinned(bins, fractions, seed, only_ip).withColumn("binsize", F.explode(F.array(*map(F.lit, sizes))))
+    wide = wide.groupBy(*keys, "contig", F.floor(F.col("pos") / F.col("binsize")).alias("pos")).agg(F.sum("ip_count").alias("ip_count"), F.sum("ctrl_count").alias("ctrl_count"))
+    wide = physical.shared(wide.filter("ip_count + ctrl_count > 0"))
+    both = wide.join(tested(wide, keys, True), [*keys, "ip_count", "ctrl_count"])
+    both = both.withColumn("_i", (F.col("q_more") < alpha).cast("int")).withColumn("_c", (F.col("q_less") < alpha).cast("int"))
+    # A cluster begins where the bin right before is not flagged.
+    flagged = {n: (lambda w, c=c: F.sum(c).over(w)) for n, c in (("_wi", "_i"), ("_wc", "_c"))}
+    both = physical.frame(both, [*keys, "contig"], 1, 0, flagged)
+    start = lambda c, w: F.count_if((F.col(c) == 1) & (F.col(w) == 1))
+    flags = [F.sum("_i").alias("ip"), F.sum("_c").alias("ctrl"), F.count_if(F.col("_i") + F.col("_c") == 0).alias("undetermined")]
+    return both.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("ip_count").alias("ip_cov"), F.sum("ctrl_count").alias("ctrl_cov"), *flags, start("_i", "_wi").alias("ip_clusters"), start("_c", "_wc").alias("ctrl_clusters"))
 
 
 def saturation_percent(rows: DataFrame) -> DataFrame:
@@ -205,7 +251,7 @@ def pearson_by_contig(rows: DataFrame, size: int | None = None, clip: float | No
 
 def average_ranks(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows with their average rank as value; ranks are over distinct values with counts."""
-    n = physical.ranked_counts(rows.groupBy(*keys, "value").agg(F.count("*").alias("_n")), keys)
+    n, _ = physical.ranked_counts(rows.groupBy(*keys, "value").agg(F.count("*").alias("_n")), keys)
     n = n.select(*keys, "value", (F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias("_r"))
     return rows.join(n, [*keys, "value"]).withColumn("value", F.col("_r")).drop("_r")
 

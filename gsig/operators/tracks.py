@@ -16,7 +16,7 @@ def quantiles(rows: DataFrame, probabilities: list[float], keys: list[str] = ("t
     """
     keys = list(keys)
     counts = rows.filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))).groupBy(*keys, "value").agg(F.count("*").alias("_n"))
-    r = physical.ranked_counts(counts, keys)
+    r, _ = physical.ranked_counts(counts, keys)
     holds = lambda at: (F.col("_upto") - F.col("_n") <= at) & (at < F.col("_upto"))
     aggs, out = [F.max("_all").alias("_all")], []
     for i, p in enumerate(probabilities):

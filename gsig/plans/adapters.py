@@ -67,7 +67,7 @@ def bins(t) -> DataFrame:
 def signal(t) -> DataFrame:
     """contig, pos, value: the events of a type in order of their id; values in hundredths so that sums are exact."""
     e = t.events.select(F.col("event_type").alias("contig"), "event_id", "value", F.lit(1).alias("_n"))
-    e = physical.ranked_counts(e, ["contig"], "event_id")
+    e, _ = physical.ranked_counts(e, ["contig"], "event_id")
     return e.select("contig", (F.col("_upto") - 1).cast("long").alias("pos"), F.round(F.col("value") * 100).alias("value"))
 
 

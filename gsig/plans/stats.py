@@ -6,8 +6,13 @@ from ..operators import stats as op, windows
 from .registry import query
 
 #: Binomial tails by log-gamma terms, ranks and q values, over a relation b(…, ip_count, ctrl_count).
-TAIL = """t as (select k, n, case when k = 0 then 1 else least(1, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p)))) end as pval
-    from (select k, n, p, unnest(range(k, n + 1)) as i from (select distinct ip_count as k, ip_count + ctrl_count as n from b), (select cast(sum(ip_count) as double) / sum(ip_count + ctrl_count) as p from b)) group by k, n)"""
+def tail(name, count):
+    """name(k, n, pval): the chance of k or more of n, for the distinct pairs of b."""
+    return f"""{name} as (select k, n, case when k = 0 then 1 else least(1, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p)))) end as pval
+    from (select k, n, p, unnest(range(k, n + 1)) as i from (select distinct {count} as k, ip_count + ctrl_count as n from b), (select cast(sum({count}) as double) / sum(ip_count + ctrl_count) as p from b)) group by k, n)"""
+
+
+TAIL = tail("t", "ip_count")
 TESTED = "x as (select b.*, pval from b join t on b.ip_count = t.k and b.ip_count + b.ctrl_count = t.n)"
 BH = "q as (select *, least(1, min(pval * m / r) over (order by pval desc range between unbounded preceding and current row)) as qval from (select *, count(*) over () as m, count(*) over (order by pval range between unbounded preceding and current row) as r from x))"
 
@@ -84,11 +89,17 @@ def count_clusters(t):
     return op.count_clusters(flags(t), ["contig"], "b1")
 
 
-@query(f"""with b as (select contig, pos // 4 as pos, cast(sum(ip_count) as bigint) as ip_count, cast(sum(ctrl_count) as bigint) as ctrl_count from bins group by 1, 2 having sum(ip_count + ctrl_count) > 0), {TAIL}, {TESTED}, {BH}
-    select 4 as binsize, 1.0::double as frac, count(*) as n, count(*) filter (qval < 0.6) as ip from q""")
+BOTH = """x as (select b.*, t.pval as p1, t2.pval as p2 from b join t on b.ip_count = t.k and b.ip_count + b.ctrl_count = t.n join t2 on b.ctrl_count = t2.k and b.ip_count + b.ctrl_count = t2.n),
+    r as (select *, count(*) over () as m, count(*) over (order by p1 range between unbounded preceding and current row) as r1, count(*) over (order by p2 range between unbounded preceding and current row) as r2 from x),
+    q as (select *, min(p1 * m / r1) over (order by p1 desc range between unbounded preceding and current row) < 0.6 as i, min(p2 * m / r2) over (order by p2 desc range between unbounded preceding and current row) < 0.6 as c from r),
+    f as (select *, i and not coalesce(lag(i) over w and lag(pos) over w = pos - 1, false) as i_start, c and not coalesce(lag(c) over w and lag(pos) over w = pos - 1, false) as c_start from q window w as (partition by contig order by pos))"""
+
+
+@query(f"""with b as (select contig, pos // 4 as pos, cast(sum(ip_count) as bigint) as ip_count, cast(sum(ctrl_count) as bigint) as ctrl_count from bins group by 1, 2 having sum(ip_count + ctrl_count) > 0), {TAIL}, {tail("t2", "ctrl_count")}, {BOTH}
+    select 4 as binsize, 1.0::double as frac, count(*) as n, cast(sum(ip_count) as bigint) as ip_cov, cast(sum(ctrl_count) as bigint) as ctrl_cov, count(*) filter (i) as ip, count(*) filter (c) as ctrl, count(*) filter (not i and not c) as undetermined,
+    count(*) filter (i_start) as ip_clusters, count(*) filter (c_start) as ctrl_clusters from f""")
 def saturation_full(t):
-    out = op.saturation(t.bins, [4], [1.0], alpha=0.6)
-    return out.select("binsize", "frac", "n", "ip")
+    return op.saturation(t.bins, [4], [1.0], alpha=0.6)
 
 
 @query()

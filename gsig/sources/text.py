@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators import physical
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that all executors can read: spark.checkpoint.dir, or a local one where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'gsig-files')}"
+from ..operators.physical import shared_dir
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
