@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -60,87 +62,129 @@ def signed(token: str) -> bool:
         return False
 
 
-def elements(data: bytes, at: int = 0) -> list[tuple[int, int]] | None:
-    """(tag, start of the value) of what one ASN.1 DER sequence holds that fills data from `at`; None unless its length and those of
-    all sequences in it close. Sequences may be nested to any depth; every byte is read once at most."""
-    whole = value_of(data, at) if data[at : at + 1] == b"\x30" else None
-    if whole is None or whole[1] != len(data):
-        return None
-    ends, found, at = [whole[1]], [], whole[0]
-    while ends:
-        if at == ends[-1]:
-            ends.pop()
-            continue
-        inner = value_of(data, at)
-        if inner is None or inner[1] > ends[-1]:
-            return None
-        if len(ends) == 1:
-            found.append((data[at], inner[0]))
-        if data[at] == 0x30:
-            ends.append(inner[1])
-            at = inner[0]
-        else:
-            at = inner[1]
-    return found
-
-
-def der_key(data: bytes, at: int = 0) -> bool:
-    """Whether a key fills data from `at`: numbers only (RSA, DSA), a version and an octet string (elliptic curves), PKCS#8 plain or
-    encrypted, or a public key with its algorithm. Certificates and signatures are other sequences."""
-    found = elements(data, at)
-    if not found:
-        return False
-    tags = [tag for tag, _ in found]
-    if tags[0] == 0x02:
-        return tags[1:3] == [0x30, 0x04] or tags[1:2] == [0x04] or (len(tags) >= 6 and set(tags) == {0x02})
-    return tags[0] == 0x30 and data[found[0][1]] == 0x06 and tags[1:] in ([0x04], [0x03])
-
-
-def field(data: bytes, at: int) -> int | None:
-    """Where the length-prefixed field at `at` ends."""
-    end = at + 4 + int.from_bytes(data[at : at + 4], "big")
-    return end if at + 4 <= len(data) and end <= len(data) else None
-
-
-def blob_key(data: bytes, at: int = 0) -> bool:
-    """Whether a key blob fills data from `at`: fields with their lengths, the first of them an algorithm's name, or a key file, which
-    names its cipher and holds as many public keys as it says and one private part."""
-    file = data.startswith(b"openssh-key-v1\0", at)
-    if file:
-        at += len(b"openssh-key-v1\0")
-    elif not data.startswith((b"ssh-", b"ecdsa-", b"sk-"), at + 4):
-        return False
-    left = 3 if file else None
-    fields = 0
-    while at is not None and at < len(data):
-        if left == 0:  # the number of public keys; then they and the private part
-            left, at, file = int.from_bytes(data[at : at + 4], "big") + 1, at + 4, False
-            continue
-        at = field(data, at)
-        fields += 1
-        if left is not None:
-            left -= 1
-            if not left and not file:
+class Der:
+    """Reads ASN.1 DER sequences that end where the data does. What is known of a place is kept, so that however many starts are tried,
+    each place is read once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.end = data, len(data)
+        #: Of places at the level of such a sequence: the first three tags from there on, how many there are, and whether all are numbers.
+        self.rest: dict[int, tuple[tuple, int, bool] | None] = {self.end: ((), 0, True)}
+        self.closed: dict[int, bool] = {}
+
+    def closes(self, at: int) -> bool:
+        """Whether the lengths in the sequence at `at`, which ends earlier than the data, close at any depth."""
+        ends, starts = [], []
+        while True:
+            inner = value_of(self.data, at) if self.data[at : at + 1] else None
+            fits = inner is not None and inner[1] <= (ends[-1] if ends else self.end)
+            known = self.closed.get(at) if self.data[at : at + 1] == b"\x30" else True
+            if not fits or known is False:
+                self.closed |= dict.fromkeys(starts, False)
+                return False
+            if known is None:
+                ends.append(inner[1])
+                starts.append(at)
+                at = inner[0]
+            else:
+                at = inner[1]
+            while ends and at == ends[-1]:
+                ends.pop()
+                self.closed[starts.pop()] = True
+            if not ends:
+                return True
+
+    def level(self, at: int) -> tuple[tuple, int, bool] | None:
+        """What stands from `at` to the end of the data, as elements of one sequence; None unless all lengths close."""
+        path = []
+        while at not in self.rest:
+            self.rest[at] = None  # unless it proves to close
+            inner = value_of(self.data, at)
+            if inner is None or inner[1] > self.end:
+                break
+            tag = self.data[at]
+            if tag == 0x30 and inner[1] < self.end and not self.closes(at):
                 break
-    return at == len(data) and (fields >= 2 if left is None else not file and left == 0)
+            deeper = tag == 0x30 and inner[1] == self.end
+            path.append((at, tag, deeper))
+            at = inner[0] if deeper else inner[1]
+        below = self.rest.get(at)
+        for at, tag, deeper in reversed(path):
+            if below is not None:
+                tags, n, numbers = ((), 0, True) if deeper else below
+                below = ((tag, *tags[:2]), n + 1, numbers and tag == 0x02)
+            self.rest[at] = below
+        return below
+
+    def key(self, at: int = 0) -> bool:
+        """Whether a key fills the data from `at`: numbers only (RSA, DSA), a version and an octet string (elliptic curves), PKCS#8
+        plain or encrypted, or a public key with its algorithm. Certificates and signatures are other sequences."""
+        whole = value_of(self.data, at) if self.data[at : at + 1] == b"\x30" else None
+        found = self.level(whole[0]) if whole is not None and whole[1] == self.end else None
+        if not found or not found[1]:
+            return False
+        tags, n, numbers = found
+        if tags[0] == 0x02:
+            return tags[1:3] == (0x30, 0x04) or tags[1:2] == (0x04,) or (n >= 6 and numbers)
+        first = value_of(self.data, whole[0])[0]
+        return tags[0] == 0x30 and self.data[first : first + 1] == b"\x06" and n == 2 and tags[1] in (0x04, 0x03)
+
+
+MAGIC = b"openssh-key-v1\0"
+
+
+class Fields:
+    """Reads chains of length-prefixed fields that end where the data does; the number of fields from a place on is kept, so each is read once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.end = data, len(data)
+        self.left: dict[int, int | None] = {self.end: 0}
+
+    def field(self, at: int) -> int | None:
+        """Where the field at `at` ends."""
+        end = at + 4 + int.from_bytes(self.data[at : at + 4], "big")
+        return end if at + 4 <= self.end and end <= self.end else None
+
+    def count(self, at: int) -> int | None:
+        """How many fields lie from `at` to the end; None if they don't close there."""
+        path = []
+        while at is not None and at not in self.left:
+            path.append(at)
+            at = self.field(at)
+        n = None if at is None else self.left[at]
+        for at in reversed(path):
+            n = None if n is None else n + 1
+            self.left[at] = n
+        return n
+
+    def key(self, at: int = 0) -> bool:
+        """Whether a key blob fills the data from `at`: fields, the first of them an algorithm's name, or a key file, which
+        names its cipher and holds as many public keys as it says and one private part."""
+        if not self.data.startswith(MAGIC, at):
+            return self.data.startswith((b"ssh-", b"ecdsa-", b"sk-"), at + 4) and (self.count(at) or 0) >= 2
+        at += len(MAGIC)
+        for _ in range(3):
+            at = None if at is None else self.field(at)
+        return at is not None and at + 4 <= self.end and self.count(at + 4) == int.from_bytes(self.data[at : at + 4], "big") + 1
 
 
 def key_start(run: str) -> int | None:
     """Where the key begins that a run of base64 ends with; other characters of the alphabet may stand right before it.
 
-    Each of the four alignments is decoded once. Of a key inside a key the outer one counts.
+    Each of the four alignments is decoded and read once, however many starts there are. Of a key inside a key the outer one counts.
     """
     bare = run.rstrip("=")
-    whole: dict[int, bytes] = {}
+    whole: dict[int, tuple[bytes, Der, Fields]] = {}
     for m in STARTS.finditer(bare):
         start = m.start()
         shift, rest = start % 4, len(bare) - start
         if rest < LEAST or rest % 4 == 1:
             continue
         if shift not in whole:
-            whole[shift] = decoded(bare[shift:]) or b""
-        data, at = whole[shift], (start - shift) // 4 * 3
-        if der_key(data, at) if data[at] == 0x30 else blob_key(data, at):
+            data = decoded(bare[shift:]) or b""
+            whole[shift] = data, Der(data), Fields(data)
+        (data, der, fields), at = whole[shift], (start - shift) // 4 * 3
+        if der.key(at) if data[at : at + 1] == b"\x30" else fields.key(at):
             return start
     return None
 
@@ -160,16 +204,17 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
         for m in PEM.finditer(text):
             body = re.sub(r"\\[nr]|[\s\\]", "", m[2])
             data = decoded(body) or b""
-            if der_key(data) or blob_key(data):
+            if Der(data).key() or Fields(data).key():
                 out.append((m.start(), 3, m.end()))
     if "eyJ" in text:
         out += [(m.start(), 4, m.end()) for m in TOKEN.finditer(text) if signed(m[0])]
     files = [(s, e) for s, k, e in out if k == 3]
+    inside = lambda s, e: (i := bisect.bisect(files, (s, math.inf))) and e <= files[i - 1][1]
     for m in BASE64.finditer(text):
         start = key_start(m[0])
-        if start is not None and not any(s <= m.start() + start and m.end() <= e for s, e in files):
+        if start is not None and not inside(m.start() + start, m.end()):
             out.append((m.start() + start, 5, m.end()))
-    out += [(m.start(), 6, m.end()) for m in ANY_HEX.finditer(text) if m[0].startswith("30") and len(m[0]) % 2 == 0 and der_key(bytes.fromhex(m[0]))]
+    out += [(m.start(), 6, m.end()) for m in ANY_HEX.finditer(text) if m[0].startswith("30") and len(m[0]) % 2 == 0 and Der(bytes.fromhex(m[0])).key()]
     return out
 
 
