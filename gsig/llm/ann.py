@@ -83,7 +83,7 @@ class Forest:
 def forest_search(queries: np.ndarray, items: np.ndarray, k: int, trees: int, share: float, seed: int):
     """Rows of queries, rows of items and exact products of the k best candidates and their ties."""
     forest, out = Forest(items, trees, seed), []
-    least = min(len(items), max(200 * k, math.ceil(share * len(items))))
+    least = min(len(items), max(k, math.ceil(share * len(items))))
     for at in range(0, len(queries), 256):
         part = queries[at : at + 256]
         for q, cols in forest.candidates(part, least):
@@ -93,13 +93,13 @@ def forest_search(queries: np.ndarray, items: np.ndarray, k: int, trees: int, sh
     return (np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, trees: int = 256, share: float = 0.3, seed: int = 1, query_block: int = 8192, item_block: int = 16384) -> DataFrame:
+def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, trees: int = 512, share: float = 0.45, seed: int = 1, query_block: int = 8192, item_block: int = 16384) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose vec_id is divisible by `every`, the k nearest others found.
 
     Nearness is the inner product in double precision. All classes of equal vectors are dealt to blocks of about
     `item_block`; each block indexes every row it has in a forest, and the stated queries meet the forests block
     by block. In a block a query's trees descend to their longest common prefixes and ascend together until `share` of the
-    block's rows (at least 200 k) have been met; only these are scored, exactly. The planes are random, so nothing
+    block's rows (k at least) have been met; only these are scored, exactly. The planes are random, so nothing
     is fitted. `share` and `trees` set recall against work: vectors without structure, as in the tests, need this much for 0.9.
 
     Null and zero vectors and those with null, NaN or infinite components take no part; vectors of another length

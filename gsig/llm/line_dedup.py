@@ -16,8 +16,8 @@ SPACE = " \t\n\r\x0b\f"
 HASH_BITS = 53
 #: Lines of so many words have a signature of twice the size.
 LONG = 100
-#: Pairs of which both lines have so many words are told apart by the words their prefixes share; signatures are too small for them.
-LONGER = 192
+#: Lines of so many words have a signature of WIDE times 64 bits, and are held against each other only.
+LONGER, WIDE = 192, 8
 #: Lists of a line that its first candidates come from.
 LISTS = 2
 PLACE = ("d", "key", "pos")
@@ -91,6 +91,12 @@ def close(n: Column, m: Column, similarity: float) -> Column:
     return few_enough(F.bit_count(whole)) & (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9) & ((F.least(n, m) < LONG) | few_enough(halves))
 
 
+def close_long(n: Column, m: Column, similarity: float) -> Column:
+    """As close(), for lines with wide signatures."""
+    bits = sum((F.bit_count(F.col("x.wide")[i].bitwiseXOR(F.col("y.wide")[i])) for i in range(WIDE)), F.lit(0))
+    return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (bits * (1 + similarity) <= (n + m) * (1 - similarity) + 1e-6)
+
+
 def meeting(lines: DataFrame, few: DataFrame, how: str = "inner") -> DataFrame:
     """lines joined to rows that are few for each lid; these go into a table in memory, so that the sets of lines needn't be sorted."""
     return lines.join(few.hint("shuffle_hash"), "lid", how)
@@ -116,8 +122,10 @@ def prefixed(lines: DataFrame, similarity: float) -> DataFrame:
     parity = lambda words: F.aggregate(words, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
     # A long line has two halves of 64 bits, and a word flips a bit of one of them; `parity` is both together, `more` the second.
     more = F.when(F.col("n") >= LONG, parity(F.filter("t", lambda x: x.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
+    part = lambda i: F.filter("t", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(WIDE - 1)) == i)
+    wide = F.when(F.col("n") >= LONGER, F.array(*(parity(part(i)) for i in range(WIDE))))
     prefix = F.slice("t", 1, (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
-    return rows.select("lid", "d", "n", parity(F.col("t")).alias("parity"), more.alias("more"), F.transform(prefix, lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"))
+    return rows.select("lid", "d", "n", parity(F.col("t")).alias("parity"), more.alias("more"), wide.alias("wide"), F.transform(prefix, lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"))
 
 
 def led(rows: DataFrame, similarity: float) -> DataFrame:
@@ -146,8 +154,8 @@ def later_lines(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, Da
        for each (line, list) that has one, never a pair.
     3. These rows get their word sets, and a second semi join decides inside the lists: it, too, stops at the first match, so a group of
        any size adds rows in proportion to its lines.
-    4. Pairs of which both lines have LONGER words or more share dozens of lists; they are counted by pair, and those that share too few
-       words of their prefixes are dropped before sets are compared.
+    4. Lines of LONGER words or more are settled in the same two steps, by wide signatures, apart from shorter ones; the few lengths that
+       could match both sorts are in both.
     """
     rows = lines_of(docs).groupBy("lid").agg(F.min(F.struct(*PLACE, "line")).alias("l"))
     lines, path = bucketed(rows.select("lid", *(f"l.{c}" for c in PLACE), words_of(F.col("l.line")).alias("h")), "lid")
@@ -157,29 +165,24 @@ def later_lines(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, Da
     flagged = meeting(short, matched.withColumn("m", F.lit(1)), "left")
     # Size, position and the mark of settled lines in one number; both sides of the join are the same rows, sent once.
     code = F.col("n").cast("long") * (1 << 33) + F.col("i") * 2 + F.coalesce("m", F.lit(0))
-    listed = lambda rows: rows.select("lid", "d", "n", "parity", "more", "m", F.posexplode("prefix").alias("i", "w")).select("w", "lid", "d", "parity", "more", code.alias("c"))
+    listed = lambda rows, *signature: rows.select("lid", "d", "n", *signature, "m", F.posexplode("prefix").alias("i", "w")).select("w", "lid", "d", *signature, code.alias("c"))
     n, m, i, j = (f(F.col(f"{s}.c")) for f in (lambda c: F.shiftright(c, 33), lambda c: F.shiftright(c, 1).bitwiseAND(F.lit((1 << 32) - 1))) for s in "xy")
     is_open = lambda s: F.col(f"{s}.c").bitwiseAND(F.lit(1)) == 0
     room = F.least(n - i, m - j)
     # A pair matters if its later line is open; of lines of one document either may be the later one.
     sought = (is_open("x") & (F.col("y.d") <= F.col("x.d"))) | (is_open("y") & (F.col("x.d") <= F.col("y.d")))
-    near = (F.col("x.w") == F.col("y.w")) & close(n, m, similarity) & sought
-
-    some = listed(flagged.filter(F.col("n") < math.ceil(LONGER / similarity)))
-    met = some.alias("x").join(some.alias("y"), near & (F.col("x.lid") != F.col("y.lid")) & (room >= overlap_needed(n, m, similarity)), "left_semi")
-    met = written(meeting(lines, met.select("lid", "w", "parity", "more", F.col("c").bitwiseAND(F.lit(1)).alias("m"))))
-    same = (F.col("x.w") == F.col("y.w")) & earlier("y", "x") & close(F.size("x.h"), F.size("y.h"), similarity) & alike(F.col("x.h"), F.col("y.h"), similarity)
-    within = met.filter("m = 0").alias("x").join(met.alias("y"), same, "left_semi").select("lid").distinct()
-
-    # Words beyond the prefixes number ceil(s n) - 1; the prefixes have to share what those cannot make up for.
-    long = listed(flagged.filter(F.col("n") >= LONGER))
-    pairs = long.alias("x").join(long.alias("y"), near & (F.col("x.lid") < F.col("y.lid"))).select(F.col("x.lid").alias("x"), F.col("y.lid").alias("y"), room.alias("room"), n.alias("n"), m.alias("m"))
-    pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("c"), F.max("room").alias("room"), F.first("n").alias("n"), F.first("m").alias("m"))
-    beyond = lambda k: F.ceil(k * similarity - 1e-9) - 1
-    needed = overlap_needed(F.col("n"), F.col("m"), similarity)
-    pairs = pairs.filter((F.col("room") >= needed) & (F.col("c") + F.greatest(beyond(F.col("n")), beyond(F.col("m"))) >= needed)).select("x", "y")
-    rest = verified(pairs, lines, similarity)
-    return docs.sparkSession.read.schema(lines.schema).parquet(path).select("lid", *PLACE), written(matched.union(within).union(rest).distinct())
+
+    def within(some: DataFrame, near, *signature: str) -> DataFrame:
+        """Lines that match an earlier one in a list of theirs."""
+        hit = (F.col("x.w") == F.col("y.w")) & near(n, m, similarity) & sought & (F.col("x.lid") != F.col("y.lid")) & (room >= overlap_needed(n, m, similarity))
+        met = some.alias("x").join(some.alias("y"), hit, "left_semi")
+        met = written(meeting(lines, met.select("lid", "w", *signature, F.col("c").bitwiseAND(F.lit(1)).alias("m"))))
+        same = (F.col("x.w") == F.col("y.w")) & earlier("y", "x") & near(F.size("x.h"), F.size("y.h"), similarity) & alike(F.col("x.h"), F.col("y.h"), similarity)
+        return met.filter("m = 0").alias("x").join(met.alias("y"), same, "left_semi").select("lid").distinct()
+
+    short_ones = within(listed(flagged.filter(F.col("n") < math.ceil(LONGER / similarity)), "parity", "more"), close, "parity", "more")
+    long_ones = within(listed(flagged.filter(F.col("n") >= LONGER), "wide"), close_long, "wide")
+    return docs.sparkSession.read.schema(lines.schema).parquet(path).select("lid", *PLACE), written(matched.union(short_ones).union(long_ones).distinct())
 
 
 def removals(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
