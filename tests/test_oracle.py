@@ -66,3 +66,11 @@ def test_entry_without_the_training_data_part(tmp_path, pipeline):
             shutil.copy(here / name, tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
     assert said.stdout.split() == [str(len(registry.queries())), str(len(registry.oracle_sql()))]
+
+
+@pytest.mark.parametrize("missing", ["public_tokenizers", "tokenizers", "zstandard", "gsig.llm.bpe"])
+def test_entry_when_a_part_cannot_be_imported(missing):
+    """The training-data part is left out if anything that it needs is missing; the rest is there."""
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, check=True)
+    assert said.stdout.split() == [str(len(registry.queries())), str(len(registry.oracle_sql()))]
