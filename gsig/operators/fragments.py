@@ -75,27 +75,59 @@ def midpoints(rows: DataFrame, skip_duplicates: bool = False) -> DataFrame:
     return kept.select("contig", at.alias("start"), (at + 1).alias("end"))
 
 
-def offsets(rows: DataFrame, first: int, last: int | None = None, strand: str | None = None) -> DataFrame:
-    """Aligned bases first..last (1-based, negative from the 3' end) of each alignment, from its 5' end over its blocks.
+def on_rna_strand(flag: Column, strand: str) -> Column:
+    """Whether a read is of RNA of the forward or the reverse strand, by pair flags (second mates lie on it), or the strand of single reads."""
+    bits = lambda mask, value: flag.bitwiseAND(mask) == value
+    if strand == "forward":
+        return F.when(bits(1, 1), bits(144, 128) | bits(96, 64)).otherwise(bits(16, 16))
+    return F.when(bits(1, 1), bits(144, 144) | bits(96, 96)).otherwise(bits(16, 0))
 
-    rows carry blocks: array<struct<start, end>>. Blocks are cut by a running sum of their sizes; strand keeps '+' or '-'.
+
+def extended(rows: DataFrame, length: int, max_pair: int) -> DataFrame:
+    """rows with blocks extended to the fragment: of proper pairs of at most `max_pair` bases to the mate, of others to `length` bases.
+
+    rows carry blocks, flag, tlen, next_pos; what is added is a block of its own on the 3' side.
+    """
+    block = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
+    reverse, pair = F.col("flag").bitwiseAND(16) != 0, (F.col("flag").bitwiseAND(2) != 0) & (F.abs("tlen") <= max_pair)
+    start, end = F.get("blocks", 0)["start"], F.try_element_at("blocks", F.lit(-1))["end"]
+    size = F.aggregate("blocks", F.lit(0).cast("long"), lambda s, b: s + (b["end"] - b["start"]))
+    more = F.when(reverse, block(F.when(pair, F.col("next_pos")).otherwise(F.greatest(F.lit(0), start - length + size)), start)).otherwise(block(end, end + F.when(pair, F.abs("tlen")).otherwise(length) - size))
+    rows = rows.withColumn("_more", more)
+    both = F.when(reverse, F.concat(F.array("_more"), "blocks")).otherwise(F.concat("blocks", F.array("_more")))
+    return rows.withColumn("blocks", F.when(F.col("_more.start") < F.col("_more.end"), both).otherwise(F.col("blocks"))).drop("_more")
+
+
+def offsets(rows: DataFrame, first: int, last: int | None = None, strand: str | None = None, extend: int | None = None, max_pair: int = 1000, center: bool = False, rna_strand: str | None = None) -> DataFrame:
+    """Bases first..last (1-based, negative from the 3' end) of each alignment, from its 5' end over its blocks; blocks that touch are one.
+
+    rows carry blocks: array<struct<start, end>>. strand keeps '+' or '-', rna_strand "forward" or "reverse" by pair flags. With
+    extend, alignments are extended to their fragments first (`extended`); with center, as many bases as were aligned are taken from its middle.
     """
     last = first if last is None else last
     reverse = F.col("flag").bitwiseAND(16) != 0
     if strand:
         rows = rows.filter(reverse if strand == "-" else ~reverse)
-    total = F.aggregate("blocks", F.lit(0).cast("long"), lambda s, b: s + (b["end"] - b["start"]))
-    rows = rows.withColumn("_n", total)
-    at = lambda k: F.lit(k - 1) if k > 0 else F.col("_n") + k
-    lo, hi = F.greatest(F.lit(0), at(first)), F.least(F.col("_n"), at(last) + 1)
+    if rna_strand:
+        rows = rows.filter(on_rna_strand(F.col("flag"), rna_strand))
+    size = lambda: F.aggregate("blocks", F.lit(0).cast("long"), lambda s, b: s + (b["end"] - b["start"]))
+    rows = rows.withColumn("_n", size())
+    if extend is not None:
+        rows = extended(rows, extend, max_pair)
+    rows = rows.withColumn("_all", size())
+    skip = F.floor((F.col("_all") - F.col("_n")) / 2) if center else F.lit(0)
+    n = F.col("_n") if center else F.col("_all")
+    at = lambda k: F.lit(k - 1) if k > 0 else n + k
+    lo, hi = skip + F.greatest(F.lit(0), at(first)), skip + F.least(n, at(last) + 1)
     # From the 5' end of a reverse read counts down from the right.
-    rows = rows.withColumn("_lo", F.when(reverse, F.col("_n") - hi).otherwise(lo)).withColumn("_hi", F.when(reverse, F.col("_n") - lo).otherwise(hi))
+    rows = rows.withColumn("_lo", F.when(reverse, F.col("_all") - hi).otherwise(lo)).withColumn("_hi", F.when(reverse, F.col("_all") - lo).otherwise(hi))
     before = lambda i: F.aggregate(F.slice("blocks", 1, i), F.lit(0).cast("long"), lambda s, b: s + (b["end"] - b["start"]))
-    rows = rows.withColumn("_b", F.transform("blocks", lambda b, i: F.struct(b["start"].alias("start"), b["end"].alias("end"), before(i).alias("done"))))
-    part = rows.select("qname", "contig", "_lo", "_hi", F.explode("_b").alias("b"))
-    start = F.col("b.start") + F.greatest(F.lit(0), F.col("_lo") - F.col("b.done"))
-    end = F.least(F.col("b.end"), F.col("b.start") + F.col("_hi") - F.col("b.done"))
-    return part.select("qname", "contig", start.alias("start"), end.alias("end")).filter("start < end")
+    cut = lambda b, done: F.struct((b["start"] + F.greatest(F.lit(0), F.col("_lo") - done)).alias("start"), F.least(b["end"], b["start"] + F.col("_hi") - done).alias("end"))
+    parts = F.filter(F.transform("blocks", lambda b, i: cut(b, before(i))), lambda b: b["start"] < b["end"])
+    touching = lambda s, b: F.when(F.element_at(s, -1)["end"] >= b["start"], F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(F.element_at(s, -1)["start"].alias("start"), b["end"].alias("end"))))).otherwise(F.concat(s, F.array(b)))
+    rows = rows.withColumn("_parts", parts).filter(F.size("_parts") > 0)
+    folded = F.aggregate(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))), F.slice("_parts", 1, 1), touching)
+    return rows.select("qname", "contig", F.explode(folded).alias("b")).select("qname", "contig", "b.start", "b.end")
 
 
 def match_positions(rows: DataFrame) -> DataFrame:

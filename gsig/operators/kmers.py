@@ -20,33 +20,45 @@ def kmers(rows: DataFrame, k: int, with_n: bool = False) -> DataFrame:
     return out if with_n else out.filter(~F.col("kmer").contains("N"))
 
 
+def kmer_of(number: Column, k: int, alphabet: str = "ACGT") -> Column:
+    """The k-mer with these digits."""
+    n = len(alphabet)
+    digit = lambda i: F.substring(F.lit(alphabet), (F.floor(number / n**i) % n + 1).cast("int"), F.lit(1))
+    return F.concat(*(digit(i) for i in reversed(range(k))))
+
+
 def all_kmers(spark: SparkSession, k: int, alphabet: str = "ACGT") -> DataFrame:
     """id, kmer: every k-mer over an alphabet, by the digits of its number."""
-    n = len(alphabet)
-    digit = lambda i: F.substring(F.lit(alphabet), (F.floor(F.col("id") / n**i) % n + 1).cast("int"), F.lit(1))
-    return spark.range(n**k).select("id", F.concat(*(digit(i) for i in reversed(range(k)))).alias("kmer"))
+    return spark.range(len(alphabet) ** k).select("id", kmer_of(F.col("id"), k, alphabet).alias("kmer"))
 
 
-def numbered_counts(rows: DataFrame, k: int, alphabet: str) -> DataFrame:
-    """id, n: k-mers by number, counted inside each task first; k-mers with a character outside the alphabet don't count."""
+def numbers(text: str, k: int, alphabet: str) -> np.ndarray:
+    """The number of the k-mer at each place of a text; -1 where it has a character outside the alphabet."""
     base = len(alphabet)
     table = np.full(256, -1, np.int64)
     table[np.frombuffer(alphabet.encode(), np.uint8)] = range(base)
+    tok = table[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+    n = max(0, len(tok) - k + 1)
+    number, known = np.zeros(n, np.int64), np.ones(n, bool)
+    for i in range(k):
+        number = number * base + tok[i : i + n]
+        known &= tok[i : i + n] >= 0
+    return np.where(known, number, -1)
+
+
+def numbered_counts(rows: DataFrame, k: int, alphabet: str) -> DataFrame:
+    """id, n: k-mers by number, counted inside each task first; k-mers with a character outside the alphabet don't count."""
+    base = len(alphabet)
     small = base**k <= 1 << 20
 
     def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(base**k if small else 0, np.int64)
         for part in parts:
-            tok = table[np.frombuffer("\n".join(part["part"]).encode("ascii", "replace"), np.uint8)]
-            n = max(0, len(tok) - k + 1)
-            number, known = np.zeros(n, np.int64), np.ones(n, bool)
-            for i in range(k):
-                number = number * base + tok[i : i + n]
-                known &= tok[i : i + n] >= 0
+            number = numbers("\n".join(part["part"]), k, alphabet)
             if small:
-                total += np.bincount(number[known], minlength=len(total))
+                total += np.bincount(number[number >= 0], minlength=len(total))
             else:
-                ids, times = np.unique(number[known], return_counts=True)
+                ids, times = np.unique(number[number >= 0], return_counts=True)
                 yield pd.DataFrame({"id": ids, "n": times})
         if small:
             yield pd.DataFrame({"id": np.flatnonzero(total), "n": total[total > 0]})
@@ -62,24 +74,54 @@ def kmer_counts(rows: DataFrame, k: int, with_n: bool = False) -> DataFrame:
 
 
 def kmer_counts_by_seq(rows: DataFrame, k: int, with_n: bool = False) -> DataFrame:
-    """contig, kmer, n for the k-mers of each sequence that occur."""
-    return kmers(rows, k, with_n).groupBy("contig", "kmer").agg(F.count("*").alias("n"))
+    """contig, kmer, n for the k-mers of each sequence that occur; counted as numbers in chunks first."""
+    alphabet = "ACGTN" if with_n else "ACGT"
+
+    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for contig, text in zip(part["contig"], part["part"], strict=True):
+                number = numbers(text, k, alphabet)
+                ids, times = np.unique(number[number >= 0], return_counts=True)
+                yield pd.DataFrame({"contig": contig, "id": ids, "n": times})
+
+    found = windows.chunks(rows, k, 1).select("contig", "part").mapInPandas(counted, f"contig {rows.schema['contig'].dataType.simpleString()}, id long, n long")
+    return found.groupBy("contig", "id").agg(F.sum("n").alias("n")).select("contig", kmer_of(F.col("id"), k, alphabet).alias("kmer"), "n")
 
 
 def sliding_kmer_runs(rows: DataFrame, k: int, size: int) -> DataFrame:
-    """contig, kmer, n, start, end: runs of starts of windows of `size` bases that hold the k-mer n times.
+    """contig, kmer, n, start, end: the longest runs of starts of windows of `size` bases that hold the k-mer n times.
 
     A k-mer at p is in the windows that start at p + k - size .. p; it enters at one and leaves after the other, so the counts
-    are running sums of entries and exits.
+    are running sums of entries and exits. These are taken inside chunks of starts, with the bases that their windows reach; only runs that
+    touch a border of chunks are joined to those beyond it.
     """
-    last = rows.select("contig", (F.length("seq") - size).alias("_last")).filter("_last >= 0")
-    at = kmers(rows, k).join(last, "contig")
-    enter = F.greatest(F.lit(0), F.col("start") + k - size)
-    edges = F.array(F.struct(enter.alias("p"), F.lit(1).alias("d")), F.struct((F.least("start", "_last") + 1).alias("p"), F.lit(-1).alias("d")))
-    moves = at.filter(enter <= F.col("_last")).select("contig", "kmer", F.explode(edges).alias("e")).groupBy("contig", "kmer", "e.p").agg(F.sum("e.d").alias("d"))
-    w = W.partitionBy("contig", "kmer").orderBy("p")
-    runs = moves.withColumn("n", F.sum("d").over(w)).withColumn("until", F.lead("p").over(w)).filter("n > 0")
-    return runs.select("contig", "kmer", "n", F.col("p").alias("start"), F.col("until").alias("end"))
+
+    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for contig, at, length, text in zip(*(part[c] for c in ("contig", "at", "length", "part")), strict=True):
+                number, last = numbers(text, k, "ACGT"), len(text) - size
+                p = np.flatnonzero(number >= 0)
+                enter, leave = np.maximum(0, p + k - size), np.minimum(p, last) + 1
+                p, enter, leave = (x[enter <= last] for x in (p, enter, leave))
+                code, place, step = np.r_[number[p], number[p]], np.r_[enter, leave], np.repeat([1, -1], len(p))
+                key, first = np.unique(code * (last + 2) + place, return_inverse=True)
+                moves = np.bincount(first, weights=step, minlength=len(key)).astype(np.int64)
+                key, moves = key[moves != 0], moves[moves != 0]
+                n = np.cumsum(moves)
+                runs = np.flatnonzero(n > 0)
+                start, end = key[runs] % (last + 2), key[runs + 1] % (last + 2)
+                edge = ((start == 0) & (at > 0)) | ((end == last + 1) & (at + len(text) < length))
+                yield pd.DataFrame({"contig": contig, "id": key[runs] // (last + 2), "n": n[runs], "start": start + at, "end": end + at, "edge": edge})
+
+    schema = f"contig {rows.schema['contig'].dataType.simpleString()}, id long, n long, start long, end long, edge boolean"
+    parts = windows.chunks(rows, size, 1, keep=["length"]).select("contig", "at", "length", "part")
+    runs = parts.mapInPandas(counted, schema)
+    w = W.partitionBy("contig", "id").orderBy("start")
+    new = ~F.coalesce((F.lag("end").over(w) == F.col("start")) & (F.lag("n").over(w) == F.col("n")), F.lit(False))
+    at_edges = runs.filter("edge").withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(w))
+    at_edges = at_edges.groupBy("contig", "id", "_run", "n").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    every = runs.filter("not edge").select("contig", "id", "n", "start", "end").unionByName(at_edges.drop("_run"))
+    return every.select("contig", kmer_of(F.col("id"), k).alias("kmer"), "n", "start", "end")
 
 
 def sliding_kmer_counts(rows: DataFrame, k: int, size: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,16 +127,29 @@ def train_valid_test(rows: DataFrame, order: Column, train: float, valid: float,
     return r.filter(F.col("_r") < n).withColumn("split", split).drop("_u", "_r", "_all", "_m")
 
 
-def interleave_shards(ip: DataFrame, control: DataFrame, shard: int, test: int, valid: int) -> DataFrame:
-    """id, label, split, shard, place: reads of both sides in turn, until one side ends; test first, then valid, then train."""
-    a = ip.select(F.col("id").alias("ip"), F.col("rank"))
-    j = a.join(control.select(F.col("id").alias("control"), "rank"), "rank")
-    sides = F.explode(F.array(F.struct(F.col("ip").alias("id"), F.lit(True).alias("label"), (F.col("rank") * 2).alias("place")), F.struct(F.col("control").alias("id"), F.lit(False).alias("label"), (F.col("rank") * 2 + 1).alias("place"))))
-    rows = j.select(sides.alias("x")).select("x.*")
+def interleave_shards(rows: DataFrame, shard: int, test: int, valid: int, train: int | None = None, alternate: bool = True) -> DataFrame:
+    """id, label, split, shard, place: reads of both labels in turn, until one label ends; test first, then valid, then train, up to a cap.
+
+    rows: id, label, file, place. Files of a label are read in turn, a read of each that has any left, or, without alternate, one after another.
+    A read's turn follows from its rank in its file and the files' sizes, so only ranks inside files need an order; files are few.
+    """
+    r = physical.ranked(rows.select("id", "label", "file", "place"), ["label", "file"], ["place", "id"], name="_rank")
+    files = r.groupBy("label", "file").agg(F.count("*").alias("n"))
+    files = files.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("file", "n"))).alias("_files"), F.sum("n").alias("_all_files"))
+    pairs = files.agg(F.when(F.count("*") == 2, F.min("_all_files")).otherwise(0).alias("_pairs"))
+    earlier = lambda x: x["file"] < F.col("file")
+    if alternate:
+        share = lambda x: F.least(x["n"], F.col("_rank")) + (earlier(x) & (x["n"] > F.col("_rank"))).cast("long")
+        turn = F.aggregate("_files", F.lit(0).cast("long"), lambda s, x: s + share(x))
+    else:
+        turn = F.aggregate("_files", F.col("_rank").cast("long"), lambda s, x: s + F.when(earlier(x), x["n"]).otherwise(0))
+    r = r.join(files.drop("_all_files"), "label").withColumn("_turn", turn).join(pairs).filter(F.col("_turn") < F.col("_pairs"))
+    r = r.select("id", "label", (F.col("_turn") * 2 + F.when(F.col("label"), 0).otherwise(1)).alias("place"))
     p = F.col("place")
-    rows = rows.withColumn("split", F.when(p < test, "test").when(p < test + valid, "valid").otherwise("train"))
+    if train is not None:
+        r = r.filter(p < test + valid + train)
     start = F.when(p < test, 0).when(p < test + valid, test).otherwise(test + valid)
-    return rows.withColumn("shard", F.floor((p - start) / shard))
+    return r.withColumn("split", F.when(p < test, "test").when(p < test + valid, "valid").otherwise("train")).withColumn("shard", F.floor((p - start) / shard))
 
 
 def class_balanced(rows: DataFrame, per_epoch: int, seed: int = 1) -> DataFrame:
@@ -171,6 +185,43 @@ def random_sequences(spark: SparkSession, n: int, length: int, freqs: dict[str,
     return spark.range(n).mapInPandas(make, "id long, seq string")
 
 
+def permutation(counts: dict[str, int], rank: int) -> str:
+    """The permutation of that rank (from 0), in the order of letters, of so many of each letter."""
+    counts, out = dict(sorted(counts.items())), []
+    left = sum(counts.values())
+    ways = math.factorial(left)
+    for n in counts.values():
+        ways //= math.factorial(n)
+    for left in range(left, 0, -1):
+        for x, n in counts.items():
+            begin = ways * n // left  # those that go on with x
+            if rank < begin:
+                break
+            rank -= begin
+        out.append(x)
+        counts[x] -= 1
+        ways = begin
+    return "".join(out)
+
+
+def strict_gc_sequences(spark: SparkSession, n: int, length: int, gc: float, seed: int | None = 1) -> DataFrame:
+    """id, seq: sequences of which each has exactly the GC content, rounded to pairs of bases: as many G as C and, but for an odd A, A as T.
+
+    Sequence i is a permutation by its rank, drawn evenly from i and the seed, or, without a seed, the i-th one; so any task makes any of them.
+    """
+    half = length // 2
+    strong = math.floor(half * gc + 0.5)
+    counts = {"A": half - strong + length % 2, "C": strong, "G": strong, "T": half - strong}
+    ways = math.factorial(length) // math.prod(map(math.factorial, counts.values()))
+
+    def make(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            ranks = (int(i) % ways if seed is None else random.Random(f"{seed}:{i}").randrange(ways) for i in part["id"])
+            yield pd.DataFrame({"id": part["id"], "seq": [permutation(counts, r) for r in ranks]})
+
+    return spark.range(n).mapInPandas(make, "id long, seq string")
+
+
 def fitted_frequencies(rows: DataFrame, k: int) -> dict[str, float]:
     """Frequencies of the k-mers of sequences; at most 4^k rows reach the driver."""
     from .kmers import kmer_counts

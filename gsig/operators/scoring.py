@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -87,6 +87,38 @@ def mutation_scores(rows: DataFrame, mutants: DataFrame, scorer: Callable[[np.nd
     return j.select("contig", "pos", "mutant", change("own", "new").alias("value"))
 
 
+def substitution_scores(rows: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], size: int, chunk: int = 1 << 12) -> DataFrame:
+    """contig, pos, mutant, value: mean squared change of the score over the windows that cover it, for every substitution of every sequence.
+
+    Sequences are cut in chunks with the bases around them. The windows of a chunk are scored once as they are, and once for each
+    place in a window and each base, so no sequence is copied for a substitution. Sequences shorter than a window have none.
+    """
+    table = np.full(256, 4, np.uint8)
+    table[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+
+    def change(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for contig, at, first, n, text in zip(*(part[c] for c in ("contig", "at", "first", "n", "part")), strict=True):
+                tok = table[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+                wins = np.lib.stride_tricks.sliding_window_view(tok, size)
+                own, total, count = np.asarray(scorer(wins), float).reshape(len(wins), -1), np.zeros((len(tok), 4)), np.zeros(len(tok))
+                for j in range(size):
+                    count[j : j + len(wins)] += 1
+                    for base in range(4):
+                        new = wins.copy()
+                        new[:, j] = base
+                        total[j : j + len(wins), base] += ((np.asarray(scorer(new), float).reshape(len(wins), -1) - own) ** 2).mean(axis=1)
+                lo = at - first
+                value, tok = (total / count[:, None])[lo : lo + n], tok[lo : lo + n]
+                pos, base = np.nonzero(np.arange(4) != tok[:, None])
+                yield pd.DataFrame({"contig": contig, "pos": pos + at, "mutant": np.array(list("ACGT"))[base], "value": value[pos, base]})
+
+    each = rows.filter(F.length("seq") >= size).select("contig", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(chunk))).alias("at"))
+    first, n = F.greatest(F.col("at") - size + 1, F.lit(0)), F.least(F.lit(chunk), F.length("seq") - F.col("at"))
+    parts = each.select("contig", "at", first.alias("first"), n.alias("n"), F.substring("seq", first + 1, F.col("at") - first + n + size - 1).alias("part"))
+    return parts.mapInPandas(change, f"contig {rows.schema['contig'].dataType.simpleString()}, pos long, mutant string, value double")
+
+
 def accumulate(rows: DataFrame, signed: bool = False, low: float = 0.4, high: float = 0.6) -> DataFrame:
     """contig, pos, value: per-window arrays added onto positions, absolute, or signed by +1 above and -1 below quantiles of all values."""
     each = rows.select("contig", "win_start", F.posexplode("grads").alias("off", "g")).withColumn("g", F.col("g").cast("double"))

@@ -156,3 +156,16 @@ def all_mutations(rows: DataFrame, positions: Column, order: str = "ACGT") -> Da
     each = each.withColumn("index", F.instr(F.lit(order), base) - 1).filter("index >= 0")
     new = F.substring(F.lit(order), (F.col("index") + F.col("step")) % 4 + 1, F.lit(1))
     return each.select("contig", "pos", base.alias("base"), new.alias("mutant"), F.overlay("seq", new, F.col("pos") + 1).alias("seq"))
+
+
+def with_occurrences(mutations: DataFrame, history: DataFrame) -> DataFrame:
+    """mutations (contig, pos, mutant, seq, ...) with seen: how many sequences of the contig's history (contig, seq) are the mutated one, and
+    base_seen: how many have the new base at the position.
+
+    Sequences are looked up by hash and compared; bases are counted only at positions that mutations have.
+    """
+    whole = history.groupBy("contig", F.xxhash64("seq").alias("_h"), "seq").agg(F.count("*").alias("seen"))
+    places = mutations.select("contig", "pos").distinct()
+    base = history.join(places, "contig").groupBy("contig", "pos", F.substring("seq", F.col("pos") + 1, F.lit(1)).alias("mutant")).agg(F.count("*").alias("base_seen"))
+    out = mutations.withColumn("_h", F.xxhash64("seq")).join(whole, ["contig", "_h", "seq"], "left").join(base, ["contig", "pos", "mutant"], "left")
+    return out.withColumn("seen", F.coalesce("seen", F.lit(0))).withColumn("base_seen", F.coalesce("base_seen", F.lit(0))).drop("_h")

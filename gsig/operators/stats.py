@@ -286,16 +286,30 @@ def best_lag(x: DataFrame, y: DataFrame, offsets: list[int]) -> DataFrame:
 
 
 def autocorr_period(rows: DataFrame, block: int, least: int, lags: tuple[int, int], smooth: int = 8) -> DataFrame:
-    """contig, block, period: the lag of the largest normalised autocorrelation of each block; null at the edges of the range."""
+    """contig, block, period: the lag of the largest normalised autocorrelation of each block; null at the edges of the range.
+
+    Sums over all lags come from a Fourier transform of the block, so a position is one row. Lags without any pair don't count, nor do
+    blocks of equal values.
+    """
     s = physical.frame(rows, ["contig"], smooth // 2, (smooth - 1) // 2, {"value": lambda w: F.sum("value").over(w) / smooth})
     s = s.select("contig", F.floor(F.col("pos") / block).alias("block"), "pos", "value")
-    stats = s.groupBy("contig", "block").agg(F.avg("value").alias("_m"), F.count("*").alias("_n"), F.var_pop("value").alias("_v")).filter(F.col("_n") >= least)
-    c = s.join(stats, ["contig", "block"]).withColumn("value", F.col("value") - F.col("_m"))
     lo, hi = lags
-    a = c.select("contig", "block", F.col("value").alias("x"), "pos", "_n", "_v", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).alias("lag")).withColumn("pos", F.col("pos") + F.col("lag"))
-    r = a.join(c.select("contig", "block", "pos", F.col("value").alias("y")), ["contig", "block", "pos"]).groupBy("contig", "block", "lag").agg(F.round(F.sum(F.col("x") * F.col("y")) / F.first(F.col("_n") * F.col("_v")), 9).alias("r"))
-    best = r.groupBy("contig", "block").agg(F.max_by("lag", F.struct("r", -F.col("lag"))).alias("_l"))
-    return best.select("contig", "block", F.when((F.col("_l") > lo) & (F.col("_l") < hi - 1), F.col("_l")).alias("period"))
+
+    def period(part: pd.DataFrame) -> pd.DataFrame:
+        n, value = len(part), part["value"].to_numpy(float)
+        first, best = part.iloc[0], None
+        if n < least or not value.var():
+            return part.iloc[:0][["contig", "block"]].assign(period=pd.Series(dtype="Int64"))
+        place = part["pos"].to_numpy() - int(first["block"]) * block
+        x, there = np.zeros(2 * block), np.zeros(2 * block)
+        x[place], there[place] = value - value.mean(), 1
+        sums, pairs = (np.fft.irfft(np.abs(np.fft.rfft(v)) ** 2, 2 * block)[lo : min(hi, block)] for v in (x, there))
+        r = np.where(pairs > 0.5, np.round(sums / (n * value.var()), 9), -np.inf)
+        if (r > -np.inf).any():
+            best = lo + int(r.argmax())
+        return pd.DataFrame({"contig": [first["contig"]], "block": [first["block"]], "period": pd.array([best if best is not None and lo < best < hi - 1 else None], "Int64")})
+
+    return s.groupBy("contig", "block").applyInPandas(period, f"contig {rows.schema['contig'].dataType.simpleString()}, block long, period int")
 
 
 def continuous_jaccard(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

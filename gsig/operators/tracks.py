@@ -137,6 +137,15 @@ def label_pipeline(rows: DataFrame, clip: float = 0.99, size: int = 91, sigma: f
     return min_max(smoothed, ["track", "contig"])
 
 
+def label_replicates(rows: DataFrame, most: float, size: int, sigma: float, quantile: float, times: float = 1.0) -> DataFrame:
+    """contig, pos, value: counts of all tracks (replicates), each clipped at `most`, added up, gaussian smoothed, clipped at `times` a quantile
+    over all contigs and divided by it."""
+    total = to_counts(rows, most).groupBy("contig", "pos").agg(F.sum("value").alias("value"))
+    smoothed = windows.smooth(total, windows.kernel("gaussian", size, sigma), ["contig"]).withColumn("track", F.lit("all"))
+    top = quantiles(smoothed, [quantile]).select("track", (F.col("q0") * times).alias("_top"))
+    return smoothed.join(top, "track").select("contig", "pos", (F.least("value", "_top") / F.col("_top")).alias("value"))
+
+
 def log_saturating(rows: DataFrame) -> DataFrame:
     """Missing as 0, infinite as the 99.5 (else 98) percentile, then log2(value + 1)."""
     infinite = F.abs("value") == float("inf")

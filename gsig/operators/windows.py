@@ -15,11 +15,15 @@ from .sequences import count_of
 KEYS = ["contig"]
 
 
-def chunks(rows: DataFrame, size: int, stride: int, offset: int = 0, chunk: int = 1 << 16) -> DataFrame:
-    """contig, at, part: pieces of sequences that together hold every window of a size, each once; windows start at `offset` and every `stride`."""
+def chunks(rows: DataFrame, size: int, stride: int, offset: int = 0, chunk: int = 1 << 16, keep: list[str] = ()) -> DataFrame:
+    """contig, at, part: pieces of sequences that together hold every window of a size, each once; windows start at `offset` and every `stride`.
+
+    keep: more columns of rows, or length, the sequence's.
+    """
+    rows = rows.withColumn("length", F.length("seq")) if "length" in keep else rows
     step = max(stride, chunk // stride * stride)
-    each = rows.filter(F.length("seq") >= size + offset).select("contig", "seq", F.explode(F.sequence(F.lit(offset), F.length("seq") - size, F.lit(step))).alias("at"))
-    return each.select("contig", "at", F.substring("seq", F.col("at") + 1, F.lit(step + size - 1)).alias("part"))
+    each = rows.filter(F.length("seq") >= size + offset).select("contig", *keep, "seq", F.explode(F.sequence(F.lit(offset), F.length("seq") - size, F.lit(step))).alias("at"))
+    return each.select("contig", *keep, "at", F.substring("seq", F.col("at") + 1, F.lit(step + size - 1)).alias("part"))
 
 
 def sliding_windows(rows: DataFrame, size: int, stride: int = 1, chunk: int = 256) -> DataFrame:
@@ -157,12 +161,39 @@ def _nan_smooth_weighted(rows: DataFrame, weights: list[float], keys: list[str],
     return out.withColumn("value", F.when(enough, F.col("_s") / (1 - F.col("_missing")))).drop("_near", "_s", "_missing")
 
 
+def window_blocks(rows: DataFrame, size: int, length: int, stride: int, inner: int = 1) -> DataFrame:
+    """contig, block, start, windows: blocks that begin every `stride` positions, each the `length` / `inner` windows of a size that begin
+    every `inner` positions from there on. Blocks that don't fit whole are left out."""
+    if length % inner:
+        raise ValueError("inner has to divide length")
+    spans = sliding_windows(rows, size + length - inner, stride, chunk=max(256, length))
+    windows = F.transform(F.sequence(F.lit(0), F.lit(length - inner), F.lit(inner)), lambda i: F.substring("seq", i + 1, F.lit(size)))
+    return spans.select("contig", F.floor(F.col("start") / stride).alias("block"), "start", windows.alias("windows"))
+
+
 def sliding_gc(rows: DataFrame, n: int) -> DataFrame:
-    """contig, start, gc over windows of n bases (at most the contig's length); null without known bases."""
-    long, short = rows.filter(F.length("seq") >= n), rows.filter((F.length("seq") < n) & (F.length("seq") > 0))
-    windows = sliding_windows(long, n).unionByName(short.select("contig", F.lit(0).alias("start"), "seq"))
+    """contig, start, gc over windows of n bases (at most the contig's length); null without known bases.
+
+    Bases are counted along chunks of sequences, and a window is the difference of two counts.
+    """
+    code = np.zeros(256, np.int8)
+    code[np.frombuffer(b"ACGT", np.uint8)] = (1, 3, 3, 1)
+
+    @F.pandas_udf("array<double>")
+    def shares(parts: pd.Series) -> pd.Series:
+        out = []
+        for part in parts:
+            x = code[np.frombuffer(part.encode("ascii", "replace"), np.uint8)]
+            known, gc = (np.r_[0, np.cumsum(f)] for f in (x > 0, x == 3))
+            known, gc = known[n:] - known[:-n], gc[n:] - gc[:-n]
+            out.append(np.divide(gc, known, out=np.full(len(gc), np.nan), where=known > 0))
+        return pd.Series(out, dtype=object)
+
+    short = rows.filter((F.length("seq") < n) & (F.length("seq") > 0))
     known = count_of(F.col("seq"), "ACGT")
-    return windows.select("contig", "start", F.when(known > 0, count_of(F.col("seq"), "GC").cast("double") / known).alias("gc"))
+    short = short.select("contig", F.lit(0).alias("start"), F.when(known > 0, count_of(F.col("seq"), "GC").cast("double") / known).alias("gc"))
+    each = chunks(rows, n, 1).select("contig", "at", F.posexplode(shares("part")).alias("i", "gc"))
+    return each.select("contig", (F.col("at") + F.col("i")).alias("start"), F.when(~F.isnan("gc"), F.col("gc")).alias("gc")).unionByName(short)
 
 
 def gc_energy(rows: DataFrame, n: int, target: float, tolerance: float = 0.0) -> DataFrame:

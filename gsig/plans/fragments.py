@@ -57,16 +57,32 @@ def midpoint_fragments(t):
     return op.midpoints(t.alignments, skip_duplicates=True)
 
 
-@query("""with b as (select qname, contig, start as s1, start + n // 2 as e1, start + n // 2 + 10 as s2, "end" + 10 as e2, n, flag & 16 <> 0 as rev from (select *, "end" - start as n from alignments)),
-    r as (select *, case when rev then n - least(n, 25) else 4 end as lo, case when rev then n - 4 else least(n, 25) end as hi from b),
-    p as (select qname, contig, s1 + greatest(0, lo) as start, least(e1, s1 + hi) as "end" from r union all select qname, contig, s2 + greatest(0, lo - (e1 - s1)), least(e2, s2 + hi - (e1 - s1)) from r)
-    select * from p where start < "end" """)
+SPLICED = """b as (select *, row_number() over () as r, flag & 16 <> 0 as rev, start + n // 2 as mid, "end" + 10 as last from (select *, "end" - start as n from alignments)),"""
+CUT = """c as (select r, qname, contig, unnest((case when rev then list_reverse(p) else p end)[{}]) as pos from e), i as (select *, pos - row_number() over (partition by r order by pos) as g from c)
+    select qname, contig, min(pos) as start, max(pos) + 1 as "end" from i group by r, qname, contig, g"""
+
+
+def spliced(t):
+    """Each alignment in two halves, the second 10 bases further."""
+    half = F.col("start") + F.floor((F.col("end") - F.col("start")) / 2)
+    block = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
+    return t.alignments.withColumn("blocks", F.filter(F.array(block(F.col("start"), half), block(half + 10, F.col("end") + 10)), lambda b: b["start"] < b["end"]))
+
+
+@query(f"with {SPLICED} e as (select r, qname, contig, rev, list_concat(range(start, mid), range(mid + 10, last)) as p from b), {CUT.format('5:25')}")
 def offset_fragments(t):
+    return op.offsets(spliced(t), 5, 25)
+
+
+@query(f"""with {SPLICED} f as (select * exclude (rev, flag), xor(flag, case when mapq % 3 = 0 then 48 else 0 end) as flag from b), x as (select *, flag & 16 <> 0 as rev, n >= 40 as pair, case when n >= 40 then 3 * n else 90 end as size, start - mapq as mate from f where flag & 144 = 128 or flag & 96 = 64),
+    e as (select r, qname, contig, rev, list_concat(case when rev then range(case when pair then mate else greatest(0, start - 90 + n) end, start) else [] end, range(start, mid), range(mid + 10, last), case when rev then [] else range(last, last + size - n) end) as p from x where n > 1),
+    {CUT.format('3:60')}""")
+def offset_fragments_extended(t):
+    """Alignments of the forward RNA strand (a third, whose mates are swapped), extended to the mate (pairs) or to 90 bases (reads of under 40)."""
     n = F.col("end") - F.col("start")
-    half = F.col("start") + F.floor(n / 2)
-    block = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
-    rows = t.alignments.withColumn("blocks", F.array(block(F.col("start"), half), block(half + 10, F.col("end") + 10)))
-    return op.offsets(rows, 5, 25)
+    flag = F.col("flag").bitwiseXOR(F.when(F.col("mapq") % 3 == 0, 48).otherwise(0))
+    rows = spliced(t).filter(n > 1).withColumn("flag", F.when(n >= 40, flag).otherwise(flag - 2)).withColumn("next_pos", F.col("start") - F.col("mapq")).withColumn("tlen", n * 3)
+    return op.offsets(rows, 3, 60, extend=90, max_pair=10_000, rna_strand="forward")
 
 
 @query("""select qname, contig, start, "end", count(*) as hits, bool_and(mapq % 3 = 0) as exact from alignments group by 1, 2, 3, 4""")

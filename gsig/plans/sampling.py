@@ -1,6 +1,6 @@
 """Queries over samples and splits."""
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from ..operators import sampling as op
 from .registry import query
@@ -60,22 +60,27 @@ def train_valid_test_split(t):
     return op.train_valid_test(t.preds, order, 0.7, 0.2).select("id", "label", "split")
 
 
-RANKS = "a as (select l_orderkey * 100000 + l_partkey as id, row_number() over (order by l_orderkey, l_partkey) - 1 as rank from (select distinct l_orderkey, l_partkey from lineitem where l_returnflag = '{}'))"
+#: Reads of two sides, from three files each, with their place there.
+READS = "rows as (select l_orderkey * 10 + l_linenumber as id, l_returnflag = 'R' as label, l_linenumber % 3 as file, l_orderkey as place from lineitem where l_returnflag in ('R', 'A'))"
+TURNS = """t as (select id, label, row_number() over (partition by label order by {}) - 1 as turn from (select *, row_number() over (partition by label, file order by place, id) as r from rows)),
+    n as (select min(n) as pairs from (select label, count(*) as n from rows group by 1)), p as (select id, label, turn * 2 + case when label then 0 else 1 end as place from t, n where turn < pairs)"""
+SHARDS = "select *, case when place < 200 then 'test' when place < 300 then 'valid' else 'train' end as split, (place - case when place < 200 then 0 when place < 300 then 200 else 300 end) // 64 as shard from p"
 
 
-@query(f"""with {RANKS.format("R")}, {RANKS.format("A").replace("a as", "b as", 1)}, p as (select a.id, true as label, rank * 2 as place from a join b using (rank) union all select b.id, false, rank * 2 + 1 from a join b using (rank))
-    select *, case when place < 200 then 'test' when place < 300 then 'valid' else 'train' end as split, (place - case when place < 200 then 0 when place < 300 then 200 else 300 end) // 64 as shard from p""")
+def reads(t):
+    flag = F.col("l_returnflag")
+    return t.lineitem.filter(flag.isin("R", "A")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (flag == "R").alias("label"), (F.col("l_linenumber") % 3).alias("file"), F.col("l_orderkey").alias("place"))
+
+
+@query(f"with {READS}, {TURNS.format('r, file')} {SHARDS}")
 def interleave_shards(t):
-    def side(flag):
-        ids = t.lineitem.filter(F.col("l_returnflag") == flag).select("l_orderkey", "l_partkey").distinct()
-        # Ranks in order of two ids: blocks of the first id are counted, then rows ranked inside them.
-        n = ids.groupBy(F.floor(F.col("l_orderkey") / 64).alias("b")).agg(F.count("*").alias("n"))
-        n = n.withColumn("s", F.coalesce(F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-        ids = ids.withColumn("b", F.floor(F.col("l_orderkey") / 64)).join(n, "b")
-        rank = F.col("s") + F.row_number().over(W.partitionBy("b").orderBy("l_orderkey", "l_partkey")) - 1
-        return ids.select((F.col("l_orderkey") * 100000 + F.col("l_partkey")).alias("id"), rank.alias("rank"))
+    return op.interleave_shards(reads(t), 64, 200, 100)
+
 
-    return op.interleave_shards(side("R"), side("A"), 64, 200, 100)
+@query(f"with {READS}, {TURNS.format('file, r')} {SHARDS} where place < 300 + 1000")
+def interleave_shards_capped(t):
+    """Files one after another, and a cap on train."""
+    return op.interleave_shards(reads(t), 64, 200, 100, train=1000, alternate=False)
 
 
 @query("select label, (r // 20) as epoch, count(*) as n from (select label, row_number() over (partition by label) - 1 as r from preds) group by 1, 2")
@@ -88,6 +93,13 @@ def random_sequences(t):
     return op.random_sequences(t.spark, t.documents.count(), 200, op.fitted_frequencies(t.genome, 3))
 
 
+@query("select i as id, 41 as n, 9 as a, 12 as c, 8 as t, 24 as strong from (select unnest(range(0, (select count(*) from documents))) as i)")
+def strict_gc_sequences(t):
+    out = op.strict_gc_sequences(t.spark, t.documents.count(), 41, 0.6)
+    n = lambda x: F.regexp_count("seq", F.lit(x)).cast("long")
+    return out.select("id", F.length("seq").cast("long").alias("n"), n("A").alias("a"), n("C").alias("c"), n("T").alias("t"), n("[GC]").alias("strong"))
+
+
 @query("select contig, cast(c as integer) as copy, length(seq) as n, length(replace(seq, 'A', '')) as not_a from genome, (select unnest([0, 1]) as c)")
 def shuffle_sequences(t):
     out = op.shuffle_sequences(t.genome, 2)

@@ -27,13 +27,26 @@ def score_windows(t):
     return out.groupBy("contig", "strand").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.sum(F.col("value") * (F.col("pos") % 7)).alias("placed"))
 
 
-@query(f"""with s as (select read_id, seq, unnest([3, 40]) as p from reads where length(seq) >= 45), c as (select read_id, p as pos, substring(seq, p - 1, 5) as own, unnest(['A', 'C', 'G', 'T']) as mutant from s),
-    m as (select *, left(own, 2) || mutant || right(own, 2) as new from c where mutant <> own[3]) select read_id as contig, pos, mutant,
-    round((""" + " + ".join(f"pow(({score(f'substring(own, {i}, 3)')}) - ({score(f'substring(new, {i}, 3)')}), 2)" for i in (1, 2, 3)) + ") / 3.0::double, 6) as value from m")
+CHANGES = " + ".join(f"case when p - {i} >= 0 and p - {i} <= n - 3 then pow(({term('mutant', i)}) - ({term('own', i)}), 2) else 0 end" for i in range(3))
+COVER = "(least(p, n - 3) - greatest(p - 2, 0) + 1)"
+
+
+@query(f"""with b as (select read_id as contig, seq, length(seq) as n, unnest(range(0, length(seq))) as p from reads where length(seq) >= 3), c as (select contig, n, p, substring(seq, cast(p + 1 as bigint), 1) as own, unnest(['A', 'C', 'G', 'T']) as mutant from b),
+    v as (select contig, p, mutant, ({CHANGES}) / {COVER} as value from c where mutant <> own) select contig, mutant, count(*) as n, round(sum(value), 4) as total, round(sum(value * (p % 7)), 4) as placed from v group by 1, 2""")
 def mutation_scores(t):
-    rows = t.reads.filter("length(seq) >= 45").select(F.col("read_id").alias("contig"), "seq")
-    each = rows.select("contig", "seq", F.explode(F.array(F.lit(3), F.lit(40))).alias("pos")).withColumn("mutant", F.explode(F.array(*map(F.lit, "ACGT"))))
-    each = each.filter(F.substring("seq", F.col("pos") + 1, F.lit(1)) != F.col("mutant")).drop("seq")
+    """All substitutions at all positions of all reads."""
+    out = op.substitution_scores(t.reads.select(F.col("read_id").alias("contig"), "seq"), op.linear_scorer(WEIGHTS), 3)
+    return out.groupBy("contig", "mutant").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.sum(F.col("value") * (F.col("pos") % 7)), 4).alias("placed"))
+
+
+@query(f"""with s as (select read_id as contig, length(seq) as n, length(seq) // 2 as p, substring(seq, cast(length(seq) // 2 + 1 as bigint), 1) as own, unnest(['A', 'C', 'G', 'T']) as mutant from reads where length(seq) >= 3)
+    select contig, p as pos, mutant, round(({CHANGES}) / {COVER}, 6) as value from s where mutant <> own""")
+def mutation_scores_listed(t):
+    """The middle base of every read, from a list of mutations."""
+    rows = t.reads.select(F.col("read_id").alias("contig"), "seq")
+    at = F.floor(F.length("seq") / 2)
+    each = rows.filter("length(seq) > 0").withColumn("pos", at).withColumn("mutant", F.explode(F.array(*map(F.lit, "ACGT"))))
+    each = each.filter(F.substring("seq", (F.col("pos") + 1).cast("int"), F.lit(1)) != F.col("mutant")).drop("seq")
     return op.mutation_scores(rows, each, op.linear_scorer(WEIGHTS), 3).withColumn("value", F.round("value", 6))
 
 

@@ -80,3 +80,15 @@ def pad_flanks(t):
 def all_mutations(t):
     at = F.filter(F.array(*map(F.lit, (0, 7, 50))), lambda i: i < F.length("seq"))
     return op.all_mutations(t.reads.withColumnRenamed("read_id", "contig"), at)
+
+
+@query("""with h as (select read_id as contig, seq from reads union all select read_id, left(seq, 7) || 'A' || substring(seq, 9) from reads where length(seq) > 8),
+    p as (select read_id as contig, seq, length(seq) // 2 as pos, 7 as other from reads), q as (select contig, seq, unnest([pos, other]) as pos from p), s as (select distinct contig, seq, pos, unnest([1, 2, 3]) as step, instr('ACGT', substring(seq, cast(pos + 1 as bigint), 1)) - 1 as i from q where pos < length(seq)),
+    m as (select contig, pos, substring('ACGT', (i + step) % 4 + 1, 1) as mutant, seq from s where i >= 0), n as (select contig, pos, mutant, left(seq, pos) || mutant || substring(seq, cast(pos + 2 as bigint)) as seq from m)
+    select contig, cast(pos as integer) as pos, mutant, (select count(*) from h where h.contig = n.contig and h.seq = n.seq) as seen, (select count(*) from h where h.contig = n.contig and substring(h.seq, cast(n.pos + 1 as bigint), 1) = n.mutant) as base_seen from n""")
+def mutations_seen(t):
+    """Mutations of the middle and of base 7 of every read, looked up in a history of reads and of their copies with an A there."""
+    rows = t.reads.withColumnRenamed("read_id", "contig").select("contig", "seq")
+    at = F.filter(F.array_distinct(F.array(F.floor(F.length("seq") / 2).cast("int"), F.lit(7))), lambda i: i < F.length("seq"))
+    earlier = rows.filter(F.length("seq") > 8).withColumn("seq", F.overlay("seq", F.lit("A"), F.lit(8)))
+    return op.with_occurrences(op.all_mutations(rows, at), rows.union(earlier)).select("contig", "pos", "mutant", "seen", "base_seen")

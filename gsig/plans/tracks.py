@@ -91,6 +91,15 @@ def label_pipeline(t):
     return rounded(op.label_pipeline(t.signal.withColumn("track", F.lit("s"))).drop("track"))
 
 
+@query("""with s as (select track, min(value) filter (value <> 0) as s from tracks group by 1), c as (select contig, pos, sum(least(round(value / s), 40)) as v from tracks join s using (track) group by 1, 2),
+    k as (select i, exp(-0.5 * pow(i / 3.0::double, 2)) as w from (select unnest(range(-10, 11)) as i)), kn as (select i, w / (select sum(w) from k) as w from k),
+    m as (select a.contig, a.pos, sum(b.v * w) as v from c a join kn on true join c b on b.contig = a.contig and b.pos = a.pos + kn.i group by 1, 2), q as (select 1.2::double * quantile_cont(v, 0.9) as top from m)
+    select contig, pos, round(least(v, top) / top, 6) as value from m, q""")
+def label_replicates(t):
+    """The tracks as replicates."""
+    return rounded(op.label_replicates(t.tracks, 40, 21, 3.0, 0.9, 1.2))
+
+
 @query("with v as (select track, contig, pos, case when value > 90 then null else value end as v, value > 90 as i from tracks), q as (select track, quantile_cont(v, 0.995) as q from v group by 1) select track, contig, pos, round(log2(case when i then q else v end + 1), 6) as value from v join q using (track)")
 def log_saturating(t):
     return rounded(op.log_saturating(t.tracks.withColumn("value", F.when(F.col("value") > 90, float("inf")).otherwise(F.col("value")))))

@@ -18,6 +18,12 @@ def sliding_windows(t):
     return op.sliding_windows(t.genome, 30, 7)
 
 
+@query("""with b as (select contig, seq, unnest(range(0, length(seq) - 44, 30)) as start from genome where length(seq) >= 45)
+    select contig, start // 30 as block, cast(start as integer) as start, list_transform(range(0, 30, 10), lambda i: substring(seq, cast(start + i + 1 as bigint), 25)) as windows from b""")
+def sliding_window_blocks(t):
+    return op.window_blocks(t.genome, 25, 30, 30, 10)
+
+
 @query("select contig, pos // 20 as win, sum(value) as value from signal group by 1, 2 having count(*) = 20")
 def chunk_regions(t):
     return op.chunk_regions(t.signal, 20)

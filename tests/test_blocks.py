@@ -1,12 +1,13 @@
 """Ranks, samples and tests when blocks are small, one key holds all rows, and tables grow."""
 
+import itertools
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gsig.operators import kmers, physical, sampling, stats, tracks
+from gsig.operators import fragments, kmers, physical, sampling, scoring, stats, tracks, windows
 
 
 @pytest.fixture
@@ -109,3 +110,108 @@ def test_saturation_by_blocks_is_the_same(spark, monkeypatch):
     want = sorted(map(str, stats.saturation(bins, [1, 2], [0.5, 1.0], alpha=0.9).collect()))
     monkeypatch.setattr(physical, "BLOCK", 16)
     assert sorted(map(str, stats.saturation(bins, [1, 2], [0.5, 1.0], alpha=0.9).collect())) == want
+
+
+def test_permutations_of_strict_gc_once_each(spark):
+    counts = {"A": 2, "C": 1, "G": 1, "T": 1}
+    every = [sampling.permutation(counts, r) for r in range(60)]
+    assert every == sorted({"".join(p) for p in itertools.permutations("AACGT")})
+    made = [r.seq for r in sampling.strict_gc_sequences(spark, 60, 5, 0.5, seed=None).collect()]
+    assert sorted(made) == every
+    drawn = sampling.strict_gc_sequences(spark, 300, 30, 0.4).collect()
+    assert all(Counter(r.seq) == Counter({"A": 9, "C": 6, "G": 6, "T": 9}) for r in drawn) and len({r.seq for r in drawn}) == 300
+    assert sampling.strict_gc_sequences(spark, 300, 30, 0.4).repartition(7).orderBy("id").collect() == sorted(drawn)
+
+
+def test_round_robin_of_files_against_a_plain_one(spark, small_blocks):
+    rng = np.random.default_rng(7)
+    sizes = {True: [30, 0, 4, 61], False: [9, 70]}
+    rows, queues = [], {}
+    for label, files in sizes.items():
+        for f, n in enumerate(files):
+            order = rng.permutation(n * 3)[:n]
+            rows += [(int(f * 1000 + i + 10_000 * label), label, f, int(p)) for i, p in enumerate(order)]
+            queues[label, f] = [int(f * 1000 + i + 10_000 * label) for i in np.argsort(order)]
+    table = spark.createDataFrame(rows, "id long, label boolean, file int, place long")
+    for alternate in (True, False):
+        turns = {}
+        for label, files in sizes.items():
+            own = [queues[label, f] for f in range(len(files))]
+            turns[label] = [x for r in itertools.zip_longest(*own) for x in r if x is not None] if alternate else [x for q in own for x in q]
+        plain = [x for pair in zip(turns[True], turns[False], strict=False) for x in pair]
+        for train in (None, 50):
+            kept = plain if train is None else plain[: 20 + 10 + train]
+            got = sampling.interleave_shards(table, 8, 20, 10, train, alternate).orderBy("place").collect()
+            assert [r.id for r in got] == kept
+            want = [("test", i // 8) if i < 20 else ("valid", (i - 20) // 8) if i < 30 else ("train", (i - 30) // 8) for i in range(len(kept))]
+            assert [(r.split, r.shard) for r in got] == want
+    assert sampling.interleave_shards(table.filter("label"), 8, 20, 10).count() == 0
+
+
+def test_kmer_runs_across_chunks(spark, monkeypatch):
+    """Runs joined over borders of chunks, and windows by hand."""
+    rng = np.random.default_rng(3)
+    seqs = {1: "A" * 60, 2: "".join(rng.choice(list("ACGTN"), 90, p=[0.5, 0.2, 0.1, 0.15, 0.05])), 3: "ACG", 4: ""}
+    chunks = windows.chunks
+    monkeypatch.setattr(windows, "chunks", lambda rows, size, stride, offset=0, chunk=8, keep=(): chunks(rows, size, stride, offset, chunk, keep))
+    table = spark.createDataFrame(list(seqs.items()), "contig long, seq string")
+    got = {(r.contig, r.kmer, r.start): r.n for r in kmers.sliding_kmer_counts(table, 2, 10).collect()}
+    want = {}
+    for contig, seq in seqs.items():
+        for start in range(len(seq) - 9):
+            for m, n in Counter(seq[i : i + 2] for i in range(start, start + 9) if "N" not in seq[i : i + 2]).items():
+                want[contig, m, start] = n
+    assert got == want
+    assert [(r.start, r.end, r.n) for r in kmers.sliding_kmer_runs(table.filter("contig = 1"), 2, 10).collect()] == [(0, 51, 9)]
+    assert {(r.contig, r.start): r.gc for r in windows.sliding_gc(table.filter("contig < 4"), 10).collect()} == {(c, s): None if set(w) == {"N"} else (w.count("G") + w.count("C")) / (len(w) - w.count("N")) for c, q in seqs.items() if q for s in range(max(1, len(q) - 9)) for w in (q[s : s + 10],)}
+    counts = {(r.contig, r.kmer): r.n for r in kmers.kmer_counts_by_seq(table, 3).collect()}
+    assert counts == {(c, m): n for c, q in seqs.items() for m, n in Counter(q[i : i + 3] for i in range(len(q) - 2) if "N" not in q[i : i + 3]).items()}
+
+
+def test_autocorrelation_by_hand(spark):
+    rng = np.random.default_rng(8)
+    x = {(c, p): float(np.sin(p / (3 + c)) * 50 + rng.normal()) for c in range(2) for p in range(1000) if rng.random() < 0.97}
+    table = spark.createDataFrame([(c, p, v) for (c, p), v in x.items()], "contig long, pos long, value double")
+    got = {(r.contig, r.block): r.period for r in stats.autocorr_period(table, 300, 100, (5, 60)).collect()}
+    for c in range(2):
+        smooth = {p: sum(x.get((c, q), 0.0) for q in range(p - 4, p + 4)) / 8 for k, p in x if k == c}
+        for b in range(4):
+            own = {p: v for p, v in smooth.items() if p // 300 == b}
+            if len(own) < 100:
+                assert (c, b) not in got
+                continue
+            m = np.mean(list(own.values()))
+            r = {lag: round(sum((v - m) * (own[p + lag] - m) for p, v in own.items() if p + lag in own), 6) for lag in range(5, 60)}
+            best = min(r, key=lambda lag: (-r[lag], lag))
+            assert got[c, b] == (best if 5 < best < 59 else None)
+
+
+def test_extension_and_folding_by_hand(spark):
+    schema = "qname string, flag int, contig string, tlen long, next_pos long, blocks array<struct<start: long, end: long>>"
+    rows = [("f", 99, "c", 60, 120, [(100, 110), (110, 120)]), ("r", 147, "c", -60, 70, [(100, 110), (130, 140)]), ("s", 0, "c", 0, 0, [(5, 15)]), ("t", 16, "c", 0, 0, [(5, 15)])]
+    table = spark.createDataFrame(rows, schema)
+
+    def spans(**options):
+        out = {}
+        for r in fragments.offsets(table, 1, -1, **options).collect():
+            out.setdefault(r.qname, []).append((r.start, r.end))
+        return out
+
+    assert spans() == {"f": [(100, 120)], "r": [(100, 110), (130, 140)], "s": [(5, 15)], "t": [(5, 15)]}
+    assert spans(extend=30) == {"f": [(100, 160)], "r": [(70, 110), (130, 140)], "s": [(5, 35)], "t": [(0, 15)]}
+    assert spans(extend=30, max_pair=10) == {"f": [(100, 130)], "r": [(90, 110), (130, 140)], "s": [(5, 35)], "t": [(0, 15)]}
+    assert spans(extend=30, center=True)["s"] == [(15, 25)] and spans(extend=30, center=True)["f"] == [(120, 140)]
+    assert set(spans(rna_strand="forward")) == {"t"} and set(spans(rna_strand="reverse")) == {"f", "r", "s"}
+
+
+def test_substitutions_across_chunks(spark):
+    scorer = scoring.linear_scorer(np.arange(15.0).reshape(3, 5) % 7)
+    seqs = [(i, "".join(np.random.default_rng(i).choice(list("ACGTN"), n))) for i, n in enumerate((2, 3, 4, 9, 40))]
+    table = spark.createDataFrame(seqs, "contig long, seq string")
+    each = table.filter("length(seq) > 0").select("contig", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("pos")).withColumn("mutant", F.explode(F.array(*map(F.lit, "ACGT"))))
+    each = each.filter(F.substring("seq", F.col("pos") + 1, F.lit(1)) != F.col("mutant")).drop("seq")
+    key = lambda df: {(r.contig, r.pos, r.mutant): pytest.approx(r.value) for r in df.collect()}
+    want = key(scoring.mutation_scores(table, each, scorer, 3))
+    for chunk in (1, 7, 1 << 12):
+        assert key(scoring.substitution_scores(table, scorer, 3, chunk)) == want
+    assert len(want) > 150
