@@ -14,6 +14,8 @@ from .exact_topk import best_of, blocks, ranked
 BITS = 32
 #: Trees whose strings are made at a time.
 TOGETHER = 16
+#: Bits that an ascent may take at once.
+STRIDE = 4
 
 
 class Forest:
@@ -62,7 +64,11 @@ class Forest:
         """
         strings = self.strings(np.c_[queries, np.zeros(len(queries))])
         left, before = np.arange(len(queries)), [None] * len(queries)
-        for length in range(BITS, -1, -1):
+        # Ranges only grow on the way up, so while all of a longer stride have met too few rows, its single bits needn't be looked at.
+        start = BITS
+        while start >= STRIDE and all((hi - lo).sum(axis=0).max(initial=0) < least for lo, hi in [self.ranges(strings, start - STRIDE)]):
+            start -= STRIDE
+        for length in range(start, -1, -1):
             if not len(left):
                 return
             lo, hi = self.ranges(strings[:, left], length)
@@ -76,7 +82,7 @@ class Forest:
                     continue
                 deeper = before[left[i]]
                 rank = times + (0 if deeper is None else deeper * (self.trees + 1))
-                yield left[i], np.sort(np.argsort(-rank, kind="stable")[:least])
+                yield left[i], np.sort(np.argpartition(-rank, least - 1)[:least])
             left = left[np.sort(np.array(on, int))]
 
 
@@ -84,8 +90,8 @@ def forest_search(queries: np.ndarray, items: np.ndarray, k: int, trees: int, sh
     """Rows of queries, rows of items and exact products of the k best candidates and their ties."""
     forest, out = Forest(items, trees, seed), []
     least = min(len(items), max(k, math.ceil(share * len(items))))
-    for at in range(0, len(queries), 256):
-        part = queries[at : at + 256]
+    for at in range(0, len(queries), 1024):
+        part = queries[at : at + 1024]
         for q, cols in forest.candidates(part, least):
             got = (items[cols] * part[q]).sum(axis=1)
             kept = got >= np.partition(got, -k)[-k] if len(got) > k else np.ones(len(got), bool)
