@@ -96,22 +96,34 @@ def substitution_scores(rows: DataFrame, scorer: Callable[[np.ndarray], np.ndarr
     table = np.full(256, 4, np.uint8)
     table[np.frombuffer(b"ACGT", np.uint8)] = range(4)
 
+    def scored(part: pd.DataFrame) -> pd.DataFrame:
+        """The substitutions of some chunks; these lie one after another, and windows over a border are left out."""
+        tok = table[np.frombuffer("".join(part["part"]).encode("ascii", "replace"), np.uint8)]
+        lengths = part["part"].str.len().to_numpy()
+        begin = np.cumsum(lengths) - lengths
+        row, place = np.repeat(np.arange(len(part)), lengths), np.arange(len(tok)) - np.repeat(begin, lengths)
+        at = np.flatnonzero(place <= lengths[row] - size)
+        wins = np.lib.stride_tricks.sliding_window_view(tok, size)[at]
+        flat = lambda x: np.asarray(x, float).reshape(len(at), -1)
+        own, total, count = flat(scorer(wins)), np.zeros((len(tok), 4)), np.zeros(len(tok))
+        for j in range(size):
+            count[at + j] += 1
+            for base in range(4):
+                new = wins.copy()
+                new[:, j] = base
+                total[at + j, base] += ((flat(scorer(new)) - own) ** 2).mean(axis=1)
+        skip = (part["at"] - part["first"]).to_numpy()[row]
+        core = (place >= skip) & (place < skip + part["n"].to_numpy()[row])
+        which, base = np.nonzero(core[:, None] & (np.arange(4) != tok[:, None]))
+        pos = place[which] + part["first"].to_numpy()[row[which]]
+        return pd.DataFrame({"contig": part["contig"].to_numpy()[row[which]], "pos": pos, "mutant": np.array(list("ACGT"))[base], "value": total[which, base] / count[which]})
+
     def change(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for contig, at, first, n, text in zip(*(part[c] for c in ("contig", "at", "first", "n", "part")), strict=True):
-                tok = table[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
-                wins = np.lib.stride_tricks.sliding_window_view(tok, size)
-                own, total, count = np.asarray(scorer(wins), float).reshape(len(wins), -1), np.zeros((len(tok), 4)), np.zeros(len(tok))
-                for j in range(size):
-                    count[j : j + len(wins)] += 1
-                    for base in range(4):
-                        new = wins.copy()
-                        new[:, j] = base
-                        total[j : j + len(wins), base] += ((np.asarray(scorer(new), float).reshape(len(wins), -1) - own) ** 2).mean(axis=1)
-                lo = at - first
-                value, tok = (total / count[:, None])[lo : lo + n], tok[lo : lo + n]
-                pos, base = np.nonzero(np.arange(4) != tok[:, None])
-                yield pd.DataFrame({"contig": contig, "pos": pos + at, "mutant": np.array(list("ACGT"))[base], "value": value[pos, base]})
+            # So many windows at a time that their copies stay small.
+            group = part["part"].str.len().cumsum() * size // (1 << 22)
+            for _, some in part.groupby(group, sort=False):
+                yield scored(some)
 
     each = rows.filter(F.length("seq") >= size).select("contig", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(chunk))).alias("at"))
     first, n = F.greatest(F.col("at") - size + 1, F.lit(0)), F.least(F.lit(chunk), F.length("seq") - F.col("at"))
