@@ -10,17 +10,18 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import vector_classes
 
-LEVELS = (1, 2, 4, 8, 16, 32, 48)
+#: Segments of each resolution; each halves those of the one before.
+LEVELS = (1, 2, 4, 8, 16, 32)
 #: Integers up to this size are exact as doubles; larger products are made with Python's integers.
 EXACT = float(1 << 53)
 
 
 def segment_stats(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths, means and deviations (root of the summed squares about the mean) of n segments of each row.
+    """Lengths, means and deviations (root of the summed squares about the mean) of n even segments of each row.
 
-    Components are in order of strength: the first n - 1 are segments of their own, the rest is one. More segments refine fewer.
+    Components are in order of strength, so a segment holds axes of like strength.
     """
-    edges = np.r_[np.arange(n), x.shape[1]]
+    edges = np.linspace(0, x.shape[1], n + 1).astype(int)
     size = np.diff(edges)
     mean = np.add.reduceat(x, edges[:-1], axis=1) / size
     spread = np.add.reduceat((x - np.repeat(mean, size, axis=1)) ** 2, edges[:-1], axis=1)
