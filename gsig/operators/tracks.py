@@ -129,12 +129,20 @@ def min_max(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(e, list(keys)).withColumn("value", (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).drop("_lo", "_hi")
 
 
-def label_pipeline(rows: DataFrame, clip: float = 0.99, size: int = 91, sigma: float = 15.0) -> DataFrame:
-    """Counts, clipped at a quantile, gaussian smoothed and scaled to 0..1 per contig."""
-    counts = to_counts(rows)
-    clipped = counts.join(quantiles(counts, [clip]), "track").withColumn("value", F.least("value", "q0")).drop("q0")
-    smoothed = windows.smooth(clipped, windows.kernel("gaussian", size, sigma), ["track", "contig"])
-    return min_max(smoothed, ["track", "contig"])
+def label_pipeline(rows: DataFrame, clip: float = 0.99, size: int = 91, sigma: float = 15.0, halve: bool = False, remove_zero: bool = False, postclip: bool = False) -> DataFrame:
+    """Counts, clipped at a quantile, gaussian smoothed and scaled to 0..1 per contig.
+
+    halve: counts of two ends become counts of objects. remove_zero: quantiles are those of values that aren't 0. postclip: what was smoothed
+    is clipped at its quantile again.
+    """
+
+    def clipped(values: DataFrame) -> DataFrame:
+        top = quantiles(values.filter("value <> 0") if remove_zero else values, [clip])
+        return values.join(top, "track").withColumn("value", F.least("value", "q0")).drop("q0")
+
+    counts = halved(to_counts(rows)) if halve else to_counts(rows)
+    smoothed = windows.smooth(clipped(counts), windows.kernel("gaussian", size, sigma), ["track", "contig"])
+    return min_max(clipped(smoothed) if postclip else smoothed, ["track", "contig"])
 
 
 def label_replicates(rows: DataFrame, most: float, size: int, sigma: float, quantile: float, times: float = 1.0) -> DataFrame:

@@ -126,6 +126,7 @@ def rename_contigs(t):
     return op.rename_contigs(t.signal, names)
 
 
+#: The signs of roman numerals by digit.
 NUMERALS = """numerals as (select n, repeat('M', n // 1000)
     || ['','C','CC','CCC','CD','D','DC','DCC','DCCC','CM'][n % 1000 // 100 + 1]
     || ['','X','XX','XXX','XL','L','LX','LXX','LXXX','XC'][n % 100 // 10 + 1]

@@ -91,6 +91,15 @@ def label_pipeline(t):
     return rounded(op.label_pipeline(t.signal.withColumn("track", F.lit("s"))).drop("track"))
 
 
+@query("""with c as (select contig, pos, round(value / (select min(value) filter (value <> 0) from signal)) as v from signal), r as (select *, sum(v) over (partition by contig order by pos) as r from c),
+    h as (select contig, pos, floor(r / 2) - floor((r - v) / 2) as v from r), q as (select quantile_cont(v, 0.9) as q from h where v <> 0), k as (select i, exp(-0.5 * pow(i / 15.0::double, 2)) as w from (select unnest(range(-45, 46)) as i)), kn as (select i, w / (select sum(w) from k) as w from k),
+    m as (select a.contig, a.pos, sum(least(b.v, q) * w) as v from h a join kn on true join h b on b.contig = a.contig and b.pos = a.pos + kn.i, q group by 1, 2), q2 as (select quantile_cont(v, 0.9) as q from m where v <> 0), p as (select contig, pos, least(v, q) as v from m, q2)
+    select contig, pos, round((v - min(v) over w) / (max(v) over w - min(v) over w), 6) as value from p window w as (partition by contig)""")
+def label_pipeline_postclip(t):
+    """Counts of pairs, quantiles without zeros, clipped before and after smoothing."""
+    return rounded(op.label_pipeline(t.signal.withColumn("track", F.lit("s")), 0.9, halve=True, remove_zero=True, postclip=True).drop("track"))
+
+
 @query("""with s as (select track, min(value) filter (value <> 0) as s from tracks group by 1), c as (select contig, pos, sum(least(round(value / s), 40)) as v from tracks join s using (track) group by 1, 2),
     k as (select i, exp(-0.5 * pow(i / 3.0::double, 2)) as w from (select unnest(range(-10, 11)) as i)), kn as (select i, w / (select sum(w) from k) as w from k),
     m as (select a.contig, a.pos, sum(b.v * w) as v from c a join kn on true join c b on b.contig = a.contig and b.pos = a.pos + kn.i group by 1, 2), q as (select 1.2::double * quantile_cont(v, 0.9) as top from m)

@@ -1,4 +1,7 @@
-"""Worked examples and properties."""
+"""Worked examples and properties.
+
+Fixed values: the inputs and results of the worked examples are those that a right implementation has to give.
+"""
 
 import math
 from collections import Counter
