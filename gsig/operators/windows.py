@@ -15,7 +15,7 @@ from .sequences import count_of
 KEYS = ["contig"]
 
 
-def chunks(rows: DataFrame, size: int, stride: int, offset: int = 0, chunk: int = 1 << 16, keep: list[str] = ()) -> DataFrame:
+def chunks(rows: DataFrame, size: int, stride: int, offset: int = 0, chunk: int = 1 << 16, *, keep: list[str] = ()) -> DataFrame:
     """contig, at, part: pieces of sequences that together hold every window of a size, each once; windows start at `offset` and every `stride`.
 
     keep: more columns of rows, or length, the sequence's.

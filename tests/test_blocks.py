@@ -153,7 +153,7 @@ def test_kmer_runs_across_chunks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     seqs = {1: "A" * 60, 2: "".join(rng.choice(list("ACGTN"), 90, p=[0.5, 0.2, 0.1, 0.15, 0.05])), 3: "ACG", 4: ""}
     chunks = windows.chunks
-    monkeypatch.setattr(windows, "chunks", lambda rows, size, stride, offset=0, chunk=8, keep=(): chunks(rows, size, stride, offset, chunk, keep))
+    monkeypatch.setattr(windows, "chunks", lambda rows, size, stride, offset=0, chunk=8, keep=(): chunks(rows, size, stride, offset, chunk, keep=keep))
     table = spark.createDataFrame(list(seqs.items()), "contig long, seq string")
     got = {(r.contig, r.kmer, r.start): r.n for r in kmers.sliding_kmer_counts(table, 2, 10).collect()}
     want = {}

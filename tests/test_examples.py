@@ -275,13 +275,14 @@ def test_dinucleotides_in_their_order(spark):
     assert [p for _, p, _ in got] == list(range(1, 17)) and [k for _, _, k in got] == ["alt"] * 8 + ["same"] * 8
 
 
-def test_blocks_of_values_keep_their_order(spark):
+def test_blocks_of_values_keep_their_order(spark, monkeypatch):
+    monkeypatch.setattr(physical, "BLOCK", 64)
     rng = np.random.default_rng(2)
     x = [0.0, -0.0, float("inf"), -float("inf"), 1e-300, -1e-300, 1e300, *rng.standard_normal(300), *(rng.integers(-5, 5, 200).astype(float)), *10 ** rng.uniform(-30, 0, 300)]
     rows = spark.createDataFrame([("k", float(v)) for v in x], "track string, value double")
-    got = rows.select("value", physical.value_block(F.col("value")).alias("b")).collect()
-    order = sorted(got, key=lambda r: r.value)
-    assert all(a.b <= b.b for a, b in zip(order, order[1:], strict=False))
+    got, several = physical.in_blocks(rows, ["value"])
+    order = sorted(got.collect(), key=lambda r: (r.value, r["_block"]))
+    assert several and all(a["_block"] <= b["_block"] for a, b in zip(order, order[1:], strict=False))
     finite = rows.filter("abs(value) < 1e10")
     q = tracks.quantiles(finite, [0.0, 0.05, 0.5, 0.77, 1.0]).first()
     assert list(q)[1:] == pytest.approx(np.quantile([v for v in x if abs(v) < 1e10], [0.0, 0.05, 0.5, 0.77, 1.0]).tolist())
