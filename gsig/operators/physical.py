@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,7 +15,7 @@ BLOCK = 65_536
 def shared_dir(spark: SparkSession) -> str:
     """A folder that all executors can read: spark.checkpoint.dir; a local one only where it is unset and all runs on one machine."""
     told = spark.conf.get("spark.checkpoint.dir", None)
-    if not told and not spark.sparkContext.master.startswith("local["):
+    if not told and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return told or f"file://{os.path.join(tempfile.gettempdir(), 'gsig-files')}"
 
