@@ -20,6 +20,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from gsig.llm import ann, bpe, exact_topk, line_dedup, lm, mixing, ngram_join, quality, queries, secrets, urls
+from gsig.llm.words import Hashes
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, score double, pos int"
@@ -199,33 +200,41 @@ def test_line_dedup_grows_with_a_group(spark, monkeypatch, size, changed, groups
     assert wrote[1] < 2.6 * wrote[0] and wrote[2] < 2.6 * wrote[1]
 
 
-def plain_scores(rows, d=(0, 0.9, 1.2, 1.5)):
+def plain_scores(rows, order=3, d=(0, 0.9, 1.2, 1.5)):
+    """Shares from their definition, each from that of the history without its first word; no states, arcs or failures."""
     count, following = Counter(), {}
+    histories = lambda past: [tuple(past[-k:]) for k in range(1, min(order - 1, len(past)) + 1)]  # noqa: E731 - None begins a text
     for i, text in rows:
         if zlib.crc32(b"" if i is None else str(i).encode()) % 10:
-            p = None
+            past = [None]
             for w in [*words(text), 0]:
                 count[w] += 1
-                following.setdefault(p, Counter())[w] += 1
-                p = w
+                for h in histories(past):
+                    following.setdefault(h, Counter())[w] += 1
+                past.append(w)
     n, v, out = sum(count.values()), len(count), []
+    sums = {h: (sum(c.values()), sum(d[min(k, 3)] for k in c.values())) for h, c in following.items()}
     for i, text in rows:
-        base, model, p = 0.0, 0.0, None
+        base, model, past = 0.0, 0.0, [None]
         for w in [*words(text), 0]:
             share = (count[w] + 0.1) / (n + 0.1 * (v + 1))
             base += math.log10(share)
-            h = following.get(p)
-            model += math.log10((h[w] - d[min(h[w], 3)]) / sum(h.values()) + sum(d[min(k, 3)] for k in h.values()) / sum(h.values()) * share) if h else math.log10(share)
-            p = w
+            for h in histories(past):
+                if h in following:
+                    all_, left = sums[h]
+                    k = following[h][w]
+                    share = (k - d[min(k, 3)]) / all_ + left / all_ * share
+            model += math.log10(share)
+            past.append(w)
         out.append((i, len(words(text)) + 1, sum(count[w] > 0 for w in [*words(text), 0]), n, round(base, 6), round(model, 6)))
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"block_bytes": 20_000}])
+@pytest.mark.parametrize("options", [{}, {"order": 2, "block_bytes": 20_000}, {"order": 3, "block_bytes": 50_000}, {"order": 4}])
 def test_lm_brute_force(spark, sample, options):
     rows = [(r.doc_id, r.text) for r in sample.select("doc_id", "text").collect()]
     got = lm.score_documents(sample, **options).collect()
-    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == sorted(plain_scores(rows))
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == sorted(plain_scores(rows, options.get("order", 3)))
     held = [r for r in got if r.held_out]
     assert all(zlib.crc32(str(r.doc_id).encode()) % 10 == 0 for r in held)
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
@@ -238,6 +247,28 @@ def test_lm_odd(spark):
     assert lm.score_documents(docs_of(spark, [])).count() == 0
 
 
+def test_lm_carries_its_state():
+    texts = pd.Series(["a b c", "a b d", "x b c", "b e"])
+    b = lm.Block(texts, pd.Series([True, True, False, False]), Hashes(), 3)
+    tallies = np.array([np.bincount(b.move_state, b.count * f(b.count), len(b.states)) for f in (lambda c: c > 0,)] + [np.bincount(b.move_state, x, len(b.states)) for x in (b.count == 1, b.count == 2, b.count > 2)]).astype(np.int64)
+    w = lm.Weights(b, b.count, tallies, 8, 5, (0.9, 1.2, 1.5))
+    got = lm.Automaton(b, w)
+    got.load(0, len(b.word))
+    text = [b.word[end - n : end].tolist() for n, end in zip(b.size, b.ends, strict=True)]
+    want = [x[-1] for x in plain_scores([(1, texts[0]), (2, texts[1])])]
+    assert [round(got.score(x), 6) for x in text[:2]] == want
+    assert got.scores() == [got.score(x) for x in text]
+    got.load(0, len(b.word))
+    arc = lambda state, word: got.arcs[state * (got.root + 1) + word]
+    (a_, b_, c_, end), x_ = text[0], text[2][0]
+    after_a, after_b_c = got.target[arc(got.start, a_)], got.target[arc(b_, c_)]
+    assert after_a not in (got.root, a_) and got.back[after_a] == a_ and got.back[a_] == got.root
+    # "x" was never met in training: after it the state is the root, which leads to that of "b", and from there "c" has an arc.
+    assert got.after[x_] == got.root and got.after[b_] == b_
+    steps = [got.failure[got.start], got.share[x_], got.share[b_], got.weight[arc(b_, c_)], got.weight[arc(after_b_c, end)]]
+    assert math.isclose(got.score(text[2]), sum(steps))
+
+
 def test_lm_probabilities_sum_to_one():
     following = {None: Counter(a=3, b=1), "a": Counter(b=2, c=1)}
     d = (0, 0.9, 1.2, 1.5)
