@@ -25,11 +25,21 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where one of each distinct value stands, in the order of values, and the number of each element's value."""
+    by = np.argsort(x)
+    of = x[by]
+    new = np.r_[True, of[1:] != of[:-1]]
+    number = np.empty(len(x), np.int64)
+    number[by] = np.cumsum(new) - 1
+    return by[new], number
+
+
 class Block:
     """The moves of a block of texts: for every token the states it may leave and the word.
 
-    A state is the start, or the last 1 to `order` - 1 words (and the start). Distinct moves are in the order of their hash, states in
-    the order of theirs, whatever the order of texts.
+    A state is the start, or the last 1 to `order` - 1 words (and the start). Distinct moves and states are in the order of their length,
+    then of their hash, whatever the order of texts.
     """
 
     def __init__(self, texts: pd.Series, training: pd.Series, known: Hashes, order: int):
@@ -40,22 +50,28 @@ class Block:
         for w, end in zip(words, ends, strict=True):
             word[end - 1 - len(w) : end - 1] = w
         del words
-        before = np.r_[START, word[:-1]]
-        before[ends[:-1]] = START
-        place = np.arange(len(word)) - np.repeat(ends - self.size, self.size)
-        context, tokens, states = before, [np.arange(len(word))], [before]
-        for level in range(2, order):
-            context = mixed(context * np.uint64(3) + np.r_[before[: level - 1], before[: 1 - level]]) | LONGER
-            tokens.append(np.flatnonzero(place >= level - 1))
-            states.append(context[tokens[-1]])
-        #: Where the moves from states of each number of words begin.
-        self.cuts = np.cumsum([0] + [len(x) for x in tokens])
-        self.token, state = np.concatenate(tokens), np.concatenate(states)
-        del tokens, states, context, place
-        self.states, self.state = np.unique(state, return_inverse=True)
-        move = mixed(state * np.uint64(3) + word[self.token])
-        del state
-        _, self.first, self.move = np.unique(move, return_index=True, return_inverse=True)
+        state = np.r_[START, word[:-1]]
+        state[ends[:-1]] = START
+        one, number = numbered(state)
+        hashes, tokens, levels = state[one], np.arange(len(word)), []
+        place = tokens - np.repeat(ends - self.size, self.size)
+        for level in range(1, order):
+            if level > 1:
+                # A state of one word more is the move that led to it; those to the end lead to none.
+                leads = word[tokens[first]] != END
+                longer = np.zeros(len(word), np.int64)
+                longer[tokens] = np.cumsum(leads)[move] - 1
+                tokens = np.flatnonzero(place >= level - 1)
+                number, hashes = longer[tokens - 1], key[first][leads] | LONGER
+            key = mixed(hashes[number] * np.uint64(3) + word[tokens])
+            first, move = numbered(key)
+            levels.append((tokens, number, hashes, move, first))
+        tokens, number, hashes, move, first = zip(*levels, strict=True)
+        stacked = lambda parts, sizes: np.concatenate([x + n for x, n in zip(parts, np.cumsum([0, *map(len, sizes[:-1])]), strict=True)])
+        #: Where the moves from states of each number of words begin, and how many states have one word or are the start.
+        self.cuts, self.one_word = np.cumsum([0, *map(len, tokens)]), len(hashes[0])
+        self.token, self.states = np.concatenate(tokens), np.concatenate(hashes)
+        self.state, self.move, self.first = stacked(number, hashes), stacked(move, first), stacked(first, tokens)
         self.move_state, self.move_word = self.state[self.first], word[self.token[self.first]]
         counts = np.repeat(training.to_numpy().astype(np.int64), self.size)[self.token]
         self.count = np.bincount(self.move, counts, len(self.first)).astype(np.int64)
@@ -75,12 +91,14 @@ class Block:
             shard.append(at(self.states[rows], np.uint64(part)))
         asked, shard = np.concatenate(asked), np.concatenate(shard)
         # Two parts of one state can fall to the same shard; it is asked once.
-        pairs = np.unique(np.c_[shard, asked], axis=0) if k.max(initial=1) > 1 else np.c_[shard, asked][np.lexsort((asked, shard))]
-        moves = np.argsort(of_move, kind="stable")
-        told, begin = np.unique(pairs[:, 0], return_index=True)
+        small = np.uint16 if shards <= 1 << 16 else np.int64  # sorted by digits
+        by = np.argsort(shard.astype(small), kind="stable")
+        shard, asked = shard[by], asked[by]
+        moves = np.argsort(of_move.astype(small), kind="stable")
+        told, begin = np.unique(shard, return_index=True)
         cuts = np.searchsorted(of_move[moves], np.r_[told, shards])
-        for i, (s, part) in enumerate(zip(told.tolist(), np.split(pairs[:, 1], begin[1:]), strict=True)):
-            yield s, part, moves[cuts[i] : cuts[i + 1]]
+        for i, (s, part) in enumerate(zip(told.tolist(), np.split(asked, begin[1:]), strict=True)):
+            yield s, np.unique(part), moves[cuts[i] : cuts[i + 1]]
 
 
 class Hot:
@@ -112,10 +130,10 @@ class Automaton:
         self.root = len(block.states)
         self.back, self.failure = weights.back.tolist(), weights.failure.tolist()
         # A state that training never left has no arcs and is none. States of one word are the first in order, as are words.
-        one_word = int(np.searchsorted(block.states, LONGER))
+        one_word = block.one_word
         self.after = np.where(weights.seen[:one_word] > 0, np.arange(one_word), self.root).tolist()
         self.share, self.end = weights.share[:one_word].tolist(), float(weights.end)
-        self.start = self.after[int(np.searchsorted(block.states, START))]
+        self.start = self.after[int(np.searchsorted(block.states[:one_word], START))]
         self.met = np.zeros(len(block.first), bool)
         self.move_next = block.word[block.token[block.first]]
 
@@ -173,7 +191,7 @@ class Weights:
         left = np.divide(d[1:] @ tallies[1:], seen, out=np.ones_like(seen), where=seen > 0)
         own = np.divide(times - d[np.minimum(times, 3)], seen[b.move_state], out=np.zeros(len(times)), where=times > 0)
         # Every word of the block is a state of the block; the end has the count of the start.
-        self.counts = np.r_[tallies[0], tallies[0][np.searchsorted(b.states, START)]]
+        self.counts = np.r_[tallies[0], tallies[0][np.searchsorted(b.states[: b.one_word], START)]]
         share = (self.counts + 0.1) / (n + 0.1 * (v + 1))
         # The same token's move from the shorter state, and the longest state after the move.
         self.back, self.target = np.full(root, root), np.full(len(times), root)
