@@ -245,7 +245,7 @@ def gathered(part: pd.DataFrame) -> tuple:
     return states, state, move, total, [t.astype(np.int64) for t in tallies]
 
 
-def score_documents(docs: DataFrame, discounts: tuple = (0.9, 1.2, 1.5), order: int = 2, block_bytes: int = 12 << 20, sample_docs: int = 2000) -> DataFrame:
+def score_documents(docs: DataFrame, discounts: tuple = (0.9, 1.2, 1.5), order: int = 2, block_bytes: int = 9 << 20, sample_docs: int = 2000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     States are the runs of up to `order` - 1 words met in training, and the start; a state has an arc for each word that followed it
