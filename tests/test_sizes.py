@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from gsig.operators import reads
+from gsig.operators import reads, windows
 from gsig.plans import adapters
 
 
@@ -26,3 +26,31 @@ def test_bases_are_made_once(spark):
     got = docs.select(adapters.as_bases(F.col("text")).alias("seq"))
     assert [r.seq for r in got.collect()] == ["ACCAC", "NNNG", "", None]
     assert plan(got.filter("length(seq) > 1")).count("ArrowEvalPython") == 1
+
+
+def test_parts_are_taken_in_small_groups():
+    batch = pd.DataFrame({"contig": range(100), "part": ["ACGT" * 25] * 100})
+    groups = list(windows.joined([batch, batch.iloc[:0], batch], 1000))
+    assert sum(len(g.rows) for g in groups) == 200 and max(len(g.bases) for g in groups) <= 1100
+
+
+def test_gc_of_windows_is_summed_without_rows(spark):
+    rng = np.random.default_rng(3)
+    seqs = ["".join(rng.choice(list("ACGTN"), n)) for n in (0, 1, 7, 8, 9, 200)] + ["N" * 12, "NN"]
+    rows = spark.createDataFrame(list(enumerate(seqs)), "contig long, seq string")
+    want = {}
+    for c, s in enumerate(seqs):
+        for w in [s[i : i + 8] for i in range(max(1, len(s) - 7))] if s else []:
+            known = len(w) - w.count("N")
+            want.setdefault(c, []).append((w.count("G") + w.count("C")) / known if known else None)
+    got = {r.contig: r for r in windows.gc_totals(rows, 8).collect()}
+    assert set(got) == set(want)
+    for c, values in want.items():
+        known = [v for v in values if v is not None]
+        assert (got[c].n, got[c].known, got[c].low, got[c].high) == (len(values), len(known), min(known, default=None), max(known, default=None))
+        assert not known or abs(got[c].total - sum(known)) < 1e-9
+    energy = {r.contig: r.energy for r in windows.gc_energy(rows, 8, 0.4, 0.05).collect()}
+    for c, values in want.items():
+        d = [abs(v - 0.4) for v in values if v is not None]
+        assert energy[c] is None if not d else abs(energy[c] - np.sqrt(np.mean([0 if x < 0.05 else x * x for x in d]))) < 1e-9
+    assert "Generate" not in plan(windows.gc_energy(rows, 8, 0.4)).split("MapInPandas")[0]
