@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from gsig.operators import reads, windows
+from gsig.operators import kmers, reads, scoring, windows
 from gsig.plans import adapters
 
 
@@ -36,7 +36,7 @@ def test_parts_are_taken_in_small_groups():
 
 def test_gc_of_windows_is_summed_without_rows(spark):
     rng = np.random.default_rng(3)
-    seqs = ["".join(rng.choice(list("ACGTN"), n)) for n in (0, 1, 7, 8, 9, 200)] + ["N" * 12, "NN"]
+    seqs = ["".join(rng.choice(list("ACGTN"), n)) for n in (0, 1, 7, 8, 9, 200, 65_543, 65_544)] + ["N" * 12, "NN"]
     rows = spark.createDataFrame(list(enumerate(seqs)), "contig long, seq string")
     want = {}
     for c, s in enumerate(seqs):
@@ -54,3 +54,47 @@ def test_gc_of_windows_is_summed_without_rows(spark):
         d = [abs(v - 0.4) for v in values if v is not None]
         assert energy[c] is None if not d else abs(energy[c] - np.sqrt(np.mean([0 if x < 0.05 else x * x for x in d]))) < 1e-9
     assert "Generate" not in plan(windows.gc_energy(rows, 8, 0.4)).split("MapInPandas")[0]
+
+
+def random_rows(spark, lengths):
+    rng = np.random.default_rng(4)
+    return spark.createDataFrame([(c, "".join(rng.choice(list("ACGTN"), n, p=[0.4, 0.3, 0.1, 0.15, 0.05]))) for c, n in enumerate(lengths)], "contig long, seq string")
+
+
+def test_totals_of_scores_equal_sums_of_rows(spark):
+    rows, scorer = random_rows(spark, (0, 2, 3, 4, 50, 90)), scoring.linear_scorer(np.random.default_rng(5).integers(-3, 4, (3, 5)))
+    totals = {"total": lambda pos, value: value, "placed": lambda pos, value: value * (pos % 7)}
+    sums = [F.count("*").alias("n"), F.sum("value").alias("total"), F.sum(F.col("value") * (F.col("pos") % 7)).alias("placed")]
+    key = lambda df: sorted((r[0], r[1], r.n, round(r.total, 6), round(r.placed, 6)) for r in df.collect())
+    assert key(scoring.score_windows(rows, scorer, 3, 2, "+-", totals=totals)) == key(scoring.score_windows(rows, scorer, 3, 2, "+-").groupBy("contig", "strand").agg(*sums))
+    for chunk in (8, 4096):
+        assert key(scoring.substitution_scores(rows, scorer, 3, chunk, totals=totals)) == key(scoring.substitution_scores(rows, scorer, 3, chunk).groupBy("contig", "mutant").agg(*sums))
+
+
+def test_sliding_totals_equal_sums_of_runs(spark):
+    rows = random_rows(spark, (0, 1, 11, 12, 13, 40, 300))
+    for k, size in ((2, 12), (3, 3), (1, 5)):
+        n = F.col("end") - F.col("start")
+        want = kmers.sliding_kmer_runs(rows, k, size).groupBy("contig", "kmer").agg(F.sum(F.col("n") * n).alias("total"), F.sum(F.col("n") * F.col("n") * n).alias("squares"))
+        assert sorted(map(tuple, kmers.sliding_kmer_totals(rows, k, size).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_windows_kmers_are_counted_in_their_task(spark):
+    rows = random_rows(spark, (0, 2, 3, 10, 11, 95))
+    got = kmers.window_kmers(rows, 3, 10)
+    want = {}
+    for c, s in rows.collect():
+        for i in range(len(s) - 2):
+            if i % 10 <= 7 and "N" not in s[i : i + 3]:
+                counts = want.setdefault((c, i // 10), {})
+                counts[s[i : i + 3]] = counts.get(s[i : i + 3], 0) + 1
+    assert {(r.contig, r.win): r.kmers for r in got.collect()} == want
+    assert "Exchange" not in plan(got)
+
+
+def test_summary_of_constant_windows(spark):
+    """GC that doesn't vary has no correlation; it isn't an error."""
+    rows = spark.createDataFrame([(0, "G" * 60), (1, "GA" * 10 + "C" * 40)], "contig long, seq string")
+    out = kmers.sliding_summary(rows, lambda pos: (pos * 37 % 101).cast("double"), 20).groupBy("contig").agg(F.count("*").alias("n"), kmers.correlation("gc", "value").alias("corr"))
+    got = {r.contig: (r.n, r.corr) for r in out.collect()}
+    assert got[0][0] == got[1][0] == 41 and np.isnan(got[0][1]) and -1 <= got[1][1] <= 1
