@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -83,26 +89,56 @@ def on_rna_strand(flag: Column, strand: str) -> Column:
     return F.when(bits(1, 1), bits(144, 144) | bits(96, 96)).otherwise(bits(16, 0))
 
 
-def extended(rows: DataFrame, length: int, max_pair: int) -> DataFrame:
-    """rows with blocks extended to the fragment: of proper pairs of at most `max_pair` bases to the mate, of others to `length` bases.
-
-    rows carry blocks, flag, tlen, next_pos; what is added is a block of its own on the 3' side.
-    """
-    block = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
-    reverse, pair = F.col("flag").bitwiseAND(16) != 0, (F.col("flag").bitwiseAND(2) != 0) & (F.abs("tlen") <= max_pair)
-    start, end = F.get("blocks", 0)["start"], F.try_element_at("blocks", F.lit(-1))["end"]
-    size = F.aggregate("blocks", F.lit(0).cast("long"), lambda s, b: s + (b["end"] - b["start"]))
-    more = F.when(reverse, block(F.when(pair, F.col("next_pos")).otherwise(F.greatest(F.lit(0), start - length + size)), start)).otherwise(block(end, end + F.when(pair, F.abs("tlen")).otherwise(length) - size))
-    rows = rows.withColumn("_more", more)
-    both = F.when(reverse, F.concat(F.array("_more"), "blocks")).otherwise(F.concat("blocks", F.array("_more")))
-    return rows.withColumn("blocks", F.when(F.col("_more.start") < F.col("_more.end"), both).otherwise(F.col("blocks"))).drop("_more")
+@dataclass
+class Blocks:
+    """The blocks of some alignments, one after another: start, end, and of each the row of its alignment."""
+
+    row: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    rows: int
+
+    @classmethod
+    def of(cls, lists: pa.ListArray) -> Blocks:
+        counts = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        flat = pc.cast(lists.flatten().field("start"), pa.int64()), pc.cast(lists.flatten().field("end"), pa.int64())
+        return cls(np.repeat(np.arange(len(lists)), counts), *(x.to_numpy(zero_copy_only=False) for x in flat), len(lists))
+
+    def sizes(self) -> np.ndarray:
+        """Bases of each alignment."""
+        return np.bincount(self.row, self.end - self.start, self.rows).astype(np.int64)
+
+    def extended(self, flag: np.ndarray, tlen: np.ndarray, next_pos: np.ndarray, length: int, max_pair: int) -> Blocks:
+        """With a block more on the 3' side: of proper pairs of at most `max_pair` bases to the mate, of others to `length` bases."""
+        borders, n = np.searchsorted(self.row, np.arange(self.rows + 1)), self.sizes()
+        some = np.flatnonzero(np.diff(borders))
+        first, after = borders[some], borders[some + 1]
+        reverse, pair, n = flag[some] & 16 != 0, (flag[some] & 2 != 0) & (np.abs(tlen[some]) <= max_pair), n[some]
+        left, right = self.start[first], self.end[after - 1]
+        start = np.where(reverse, np.where(pair, next_pos[some], np.maximum(0, left - length + n)), right)
+        end = np.where(reverse, left, right + np.where(pair, np.abs(tlen[some]), length) - n)
+        more, at = start < end, np.where(reverse, first, after)
+        put = lambda old, new: np.insert(old, at[more], new[more])
+        return Blocks(put(self.row, some), put(self.start, start), put(self.end, end), self.rows)
+
+    def cut(self, low: np.ndarray, high: np.ndarray) -> Blocks:
+        """Bases low .. high - 1 of each alignment, counted over its blocks; blocks that touch are one."""
+        total = np.r_[0, np.cumsum(self.end - self.start)]
+        done = total[:-1] - total[np.searchsorted(self.row, self.row)]
+        start, end = self.start + np.maximum(0, low[self.row] - done), np.minimum(self.end, self.start + high[self.row] - done)
+        kept = start < end
+        row, start, end = self.row[kept], start[kept], end[kept]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (end[:-1] < start[1:])
+        return Blocks(row[new], start[new], end[np.roll(new, -1)], self.rows)
 
 
 def offsets(rows: DataFrame, first: int, last: int | None = None, strand: str | None = None, extend: int | None = None, max_pair: int = 1000, center: bool = False, rna_strand: str | None = None) -> DataFrame:
     """Bases first..last (1-based, negative from the 3' end) of each alignment, from its 5' end over its blocks; blocks that touch are one.
 
     rows carry blocks: array<struct<start, end>>. strand keeps '+' or '-', rna_strand "forward" or "reverse" by pair flags. With
-    extend, alignments are extended to their fragments first (`extended`); with center, as many bases as were aligned are taken from its middle.
+    extend, alignments are extended to their fragments first (rows carry tlen and next_pos, too); with center, as many bases as were
+    aligned are taken from its middle. Blocks of a batch are worked on as arrays.
     """
     last = first if last is None else last
     reverse = F.col("flag").bitwiseAND(16) != 0
@@ -110,24 +146,27 @@ def offsets(rows: DataFrame, first: int, last: int | None = None, strand: str |
         rows = rows.filter(reverse if strand == "-" else ~reverse)
     if rna_strand:
         rows = rows.filter(on_rna_strand(F.col("flag"), rna_strand))
-    size = lambda: F.aggregate("blocks", F.lit(0).cast("long"), lambda s, b: s + (b["end"] - b["start"]))
-    rows = rows.withColumn("_n", size())
-    if extend is not None:
-        rows = extended(rows, extend, max_pair)
-    rows = rows.withColumn("_all", size())
-    skip = F.floor((F.col("_all") - F.col("_n")) / 2) if center else F.lit(0)
-    n = F.col("_n") if center else F.col("_all")
-    at = lambda k: F.lit(k - 1) if k > 0 else n + k
-    lo, hi = skip + F.greatest(F.lit(0), at(first)), skip + F.least(n, at(last) + 1)
-    # From the 5' end of a reverse read counts down from the right.
-    rows = rows.withColumn("_lo", F.when(reverse, F.col("_all") - hi).otherwise(lo)).withColumn("_hi", F.when(reverse, F.col("_all") - lo).otherwise(hi))
-    before = lambda i: F.aggregate(F.slice("blocks", 1, i), F.lit(0).cast("long"), lambda s, b: s + (b["end"] - b["start"]))
-    cut = lambda b, done: F.struct((b["start"] + F.greatest(F.lit(0), F.col("_lo") - done)).alias("start"), F.least(b["end"], b["start"] + F.col("_hi") - done).alias("end"))
-    parts = F.filter(F.transform("blocks", lambda b, i: cut(b, before(i))), lambda b: b["start"] < b["end"])
-    touching = lambda s, b: F.when(F.element_at(s, -1)["end"] >= b["start"], F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(F.element_at(s, -1)["start"].alias("start"), b["end"].alias("end"))))).otherwise(F.concat(s, F.array(b)))
-    rows = rows.withColumn("_parts", parts).filter(F.size("_parts") > 0)
-    folded = F.aggregate(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))), F.slice("_parts", 1, 1), touching)
-    return rows.select("qname", "contig", F.explode(folded).alias("b")).select("qname", "contig", "b.start", "b.end")
+    more = ["tlen", "next_pos"] if extend is not None else []
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = Blocks.of(batch.column("blocks"))
+            flag, *mate = (pc.fill_null(pc.cast(batch.column(c), pa.int64()), 0).to_numpy(zero_copy_only=False) for c in ("flag", *more))
+            aligned = blocks.sizes()
+            if extend is not None:
+                blocks = blocks.extended(flag, *mate, extend, max_pair)
+            every = blocks.sizes()
+            skip, n = ((every - aligned) // 2, aligned) if center else (0, every)
+            at = lambda k: k - 1 if k > 0 else n + k  # noqa: B023, E731
+            low, high = skip + np.maximum(0, at(first)), skip + np.minimum(n, at(last) + 1)
+            # From the 5' end of a reverse read counts down from the right.
+            back = flag & 16 != 0
+            blocks = blocks.cut(np.where(back, every - high, low), np.where(back, every - low, high))
+            names = (batch.column(c).take(pa.array(blocks.row)) for c in ("qname", "contig"))
+            yield pa.RecordBatch.from_arrays([*names, pa.array(blocks.start), pa.array(blocks.end)], ["qname", "contig", "start", "end"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("qname", "contig"))
+    return rows.select("qname", "contig", "flag", "blocks", *more).mapInArrow(taken, f"{kinds}, start long, end long")
 
 
 def match_positions(rows: DataFrame) -> DataFrame:

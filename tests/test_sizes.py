@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from gsig.operators import kmers, reads, scoring, windows
+from gsig.operators import fragments, kmers, reads, scoring, windows
 from gsig.plans import adapters
 
 
@@ -98,3 +98,12 @@ def test_summary_of_constant_windows(spark):
     out = kmers.sliding_summary(rows, lambda pos: (pos * 37 % 101).cast("double"), 20).groupBy("contig").agg(F.count("*").alias("n"), kmers.correlation("gc", "value").alias("corr"))
     got = {r.contig: (r.n, r.corr) for r in out.collect()}
     assert got[0][0] == got[1][0] == 41 and np.isnan(got[0][1]) and -1 <= got[1][1] <= 1
+
+
+def test_offsets_work_on_arrays_of_blocks(spark):
+    """Alignments without blocks have no bases and don't move those of others; no function is called block by block."""
+    schema = "qname string, contig string, flag int, tlen long, next_pos long, blocks array<struct<start:long,end:long>>"
+    rows = [("none", "c", 16, 0, 0, None), ("f", "c", 0, 0, 0, [(10, 15), (15, 18), (20, 25)]), ("empty", "c", 0, 0, 0, []), ("r", "d", 16, 0, 0, [(10, 15), (20, 25)])]
+    out = fragments.offsets(spark.createDataFrame(rows, schema).coalesce(1), 2, 20, extend=16)
+    assert sorted(map(tuple, out.collect())) == [("f", "c", 11, 18), ("f", "c", 20, 28), ("r", "d", 4, 15), ("r", "d", 20, 24)]
+    assert "lambda" not in plan(out)
