@@ -107,3 +107,35 @@ def test_offsets_work_on_arrays_of_blocks(spark):
     out = fragments.offsets(spark.createDataFrame(rows, schema).coalesce(1), 2, 20, extend=16)
     assert sorted(map(tuple, out.collect())) == [("f", "c", 11, 18), ("f", "c", 20, 28), ("r", "d", 4, 15), ("r", "d", 20, 24)]
     assert "lambda" not in plan(out)
+
+
+def test_contrasts_are_counted_in_their_task(spark):
+    """No occurrence is a row; sequences of neither kind count for neither, but their k-mers are there."""
+    rows = random_rows(spark, (0, 2, 3, 70, 95, 80))
+    got = kmers.contrast_counts(rows, 3, F.col("contig") == 3, F.col("contig") == 4)
+    want = {}
+    for c, s in rows.collect():
+        for i in range(len(s) - 2):
+            if "N" not in s[i : i + 3]:
+                want.setdefault(s[i : i + 3], [0, 0, 0])[{3: 0, 4: 1}.get(c, 2)] += 1
+    assert {r.kmer: (r.high, r.low) for r in got.collect()} == {m: (a, b) for m, (a, b, _) in want.items()}
+    assert plan(got).split("Initial Plan")[0].count("Generate explode") == 1
+
+
+def test_batches_of_parts_become_objects_in_small_groups(spark):
+    """However many rows a batch has."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"rows": [len(batch)], "bases": [batch["part"].str.len().sum()]})
+
+    rows = spark.createDataFrame([("ACGT" * 25,)] * 500 + [(None,), ("",)], "part string").coalesce(1)
+    got = windows.over_parts(rows, sizes, "rows long, bases long", 1000).collect()
+    assert sum(r.rows for r in got) == 502 and sum(r.bases for r in got) == 50_000 and max(r.bases for r in got) <= 1100
+
+
+def test_bases_of_long_batches(spark):
+    """Texts are mapped some bytes at a time; a character may lie across two steps."""
+    texts = ["a" * (1 << 20), "é" * 700_001, None, "", "b\U0001f600" * 300_000]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1).select("i", adapters.as_bases(F.col("text")).alias("seq"))
+    assert [r.seq for r in got.orderBy("i").collect()] == ["A" * (1 << 20), "N" * 700_001, None, "", "CN" * 300_000]
