@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from . import physical
@@ -268,17 +269,32 @@ def shuffle_sequences(rows: DataFrame, copies: int = 1, dinucleotides: bool = Fa
             out.append(at)
         return "".join(out)
 
-    def make(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shuffled(seq: str, rng: np.random.Generator) -> str:
+        """Letters are numbers, of a byte each where that is enough."""
+        code, kind = ("ascii", np.uint8) if seq.isascii() else ("utf-32-le", np.uint32)
+        return np.frombuffer(seq.encode(code), kind)[rng.permutation(len(seq))].tobytes().decode(code)
+
+    def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A sequence at a time; results go on after about a million letters."""
+        out, held = ([], [], []), 0
         for part in parts:
-            out = []
-            for contig, copy, seq, u in zip(part["contig"], part["copy"], part["seq"], part["_u"], strict=True):
-                rng = np.random.default_rng(abs(int(u)))
-                new = walk(seq, rng) if dinucleotides else "".join(np.array(list(seq))[rng.permutation(len(seq))])
-                out.append((contig, copy, new))
-            yield pd.DataFrame(out, columns=["contig", "copy", "seq"])
+            for contig, copy, seq, u in zip(*map(part.column, ("contig", "copy", "seq", "_u")), strict=True):
+                seq = seq.as_py()
+                new = None if seq is None else (walk if dinucleotides else shuffled)(seq, np.random.default_rng(abs(u.as_py())))
+                for column, value in zip(out, (contig.as_py(), copy.as_py(), new), strict=True):
+                    column.append(value)
+                held += len(new or "")
+                if held >= 1 << 20:
+                    yield batch_of(out)
+                    out, held = ([], [], []), 0
+        if out[0]:
+            yield batch_of(out)
+
+    def batch_of(out: tuple[list, list, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.string()), strict=True)], ["contig", "copy", "seq"])
 
     each = rows.select("contig", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "seq").withColumn("_u", F.xxhash64("contig", "copy", F.lit(seed)))
-    return each.mapInPandas(make, "contig long, copy int, seq string")
+    return each.mapInArrow(make, "contig long, copy int, seq string")
 
 
 def softmin_probabilities(rows: DataFrame, temperature: float) -> DataFrame:
