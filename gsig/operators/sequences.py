@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
@@ -15,11 +17,41 @@ from . import physical
 CHUNK = 4096
 
 
+def _lists(values: pa.Array, sizes: np.ndarray, null: np.ndarray) -> pa.Array:
+    """Lists of these sizes from values one after another."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), values, mask=pa.array(null))
+
+
+def _parts(x: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Values of lists one after another, sizes, and which are null."""
+    return x.flatten(), pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False), x.is_null().to_numpy(zero_copy_only=False)
+
+
+def _texts(codes: np.ndarray, sizes: np.ndarray, null: np.ndarray) -> pa.Array:
+    """Texts of these sizes from ASCII codes one after another."""
+    texts = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(codes, np.uint8)))
+    return pc.if_else(pa.array(null), pa.scalar(None, pa.string()), texts) if null.any() else texts
+
+
 def tokens(seq: Column, order: str = "ACGT", length: int | None = None) -> Column:
-    """Indices of bases in `order`, anything else 4, as array<tinyint>; cut or padded with 4 to `length`."""
-    digits = F.regexp_replace(F.translate(F.upper(seq), order, "0123"), "[^0-3]", "4")
-    digits = F.rpad(digits, length, "4") if length is not None else digits
-    return F.array_remove(F.split(digits, ""), "").cast("array<tinyint>")
+    """Indices of bases in `order`, anything else 4, as array<tinyint>; cut or padded with 4 to `length`. The bases of a batch are looked up at once."""
+    table = np.full(256, 4, np.int8)
+    for word in (order.upper(), order.lower()):
+        table[np.frombuffer(word.encode(), np.uint8)] = range(4)
+
+    @F.arrow_udf("array<tinyint>")
+    def looked_up(seqs: pa.Array) -> pa.Array:
+        null, sizes = seqs.is_null().to_numpy(zero_copy_only=False), pc.fill_null(pc.utf8_length(seqs), 0).to_numpy(zero_copy_only=False)
+        seqs = pc.replace_substring_regex(seqs, r"[^\x00-\x7F]", "?") if not pc.all(pc.string_is_ascii(seqs)).as_py() else seqs
+        tok = table[np.frombuffer("".join(seqs.drop_null().to_pylist()).encode(), np.uint8)]
+        if length is not None:
+            place = np.arange(len(tok)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            padded = np.full((len(sizes), length), 4, np.int8)
+            padded[np.repeat(np.arange(len(sizes)), sizes)[place < length], place[place < length]] = tok[place < length]
+            tok, sizes = padded[~null].ravel(), np.where(null, 0, length)
+        return _lists(pa.array(tok), sizes, null)
+
+    return looked_up(seq)
 
 
 def mismatched(rows: DataFrame, length: int) -> DataFrame:
@@ -28,17 +60,62 @@ def mismatched(rows: DataFrame, length: int) -> DataFrame:
 
 def decode(tok: Column, order: str = "ACGT") -> Column:
     """Bases of tokens, N for 4."""
-    return F.array_join(F.transform(tok, lambda t: F.element_at(F.array(*map(F.lit, order + "N")), t.cast("int") + 1)), "")
+    letters = np.frombuffer((order + "N").encode(), np.uint8)
+
+    @F.arrow_udf("string")
+    def bases(toks: pa.Array) -> pa.Array:
+        values, sizes, null = _parts(toks)
+        return _texts(letters[values.to_numpy()], sizes, null)
+
+    return bases(tok)
 
 
 def one_hot(tok: Column) -> Column:
-    return F.transform(tok, lambda t: F.array(*(t == i for i in range(4))))
+    """Of each token, which of 0..3 it is."""
+
+    @F.arrow_udf("array<array<boolean>>")
+    def bits(toks: pa.Array) -> pa.Array:
+        values, sizes, null = _parts(toks)
+        each = values.to_numpy()[:, None] == np.arange(4)
+        return _lists(_lists(pa.array(each.ravel()), np.full(len(each), 4), np.zeros(len(each), bool)), sizes, null)
+
+    return bits(tok)
+
+
+def _rows(hot: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The one-hot rows of a batch, one below another, and how many each value has, and which are null."""
+    rows, sizes, null = _parts(hot)
+    bits, widths, _ = _parts(rows)
+    table = np.zeros((len(widths), max(widths, default=0)), bool)
+    table[np.arange(table.shape[1]) < widths[:, None]] = pc.fill_null(bits, False).to_numpy(zero_copy_only=False)
+    return table, sizes, null
 
 
 def from_one_hot(rows: Column, order: str = "ACGT") -> Column:
     """Bases of one-hot rows, N unless exactly one bit is set."""
-    base = lambda r: F.when(F.size(F.filter(r, lambda b: b)) == 1, F.element_at(F.array(*map(F.lit, order)), F.array_position(r, True).cast("int"))).otherwise("N")
-    return F.array_join(F.transform(rows, base), "")
+    letters = np.frombuffer(order.encode(), np.uint8)
+
+    @F.arrow_udf("string")
+    def bases(hot: pa.Array) -> pa.Array:
+        table, sizes, null = _rows(hot)
+        return _texts(np.where(table.sum(axis=1) == 1, letters[table.argmax(axis=1)] if table.size else 0, ord("N")), sizes, null)
+
+    return bases(rows)
+
+
+def one_hot_text(rows: Column) -> Column:
+    """One-hot rows as digits, with blanks between rows."""
+
+    @F.arrow_udf("string")
+    def text(hot: pa.Array) -> pa.Array:
+        table, sizes, null = _rows(hot)
+        digits = np.full((len(table), table.shape[1] + 1), ord(" "), np.uint8)
+        digits[:, :-1] = ord("0") + table
+        kept = np.ones(digits.shape, bool)
+        kept[np.cumsum(sizes)[sizes > 0] - 1, -1] = False
+        return _texts(digits[kept], np.maximum(sizes * digits.shape[1] - 1, 0), null)
+
+    return text(rows)
 
 
 def reverse_complement(seq: Column) -> Column:
@@ -108,15 +185,20 @@ def find_orfs(rows: DataFrame, block: int = physical.BLOCK) -> DataFrame:
     found = physical.run_starts(found, ["contig", "strand"], 0, end="stop", block=block)
     found = found.select("contig", "strand", "start", "stop", F.floor(F.col("_run.start") / block).alias("_part"))
 
-    def accept(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("start")
-        kept, until = np.zeros(len(part), bool), -1
-        for i, (start, stop) in enumerate(zip(part["start"], part["stop"], strict=True)):
-            if start >= until:
-                kept[i], until = True, stop
-        return part.loc[kept, ["contig", "strand", "start", "stop"]]
-
-    return found.groupBy("contig", "strand", "_part").applyInPandas(accept, found.drop("_part").schema)
+    def accept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come in order, so of what was accepted only the last key and stop are carried on."""
+        last, until = None, -1
+        for batch in batches:
+            kept = np.zeros(len(batch), bool)
+            for i, (*key, start, stop) in enumerate(zip(*(batch[c] for c in ("contig", "strand", "_part", "start", "stop")), strict=True)):
+                if key != last:
+                    last, until = key, -1
+                if start >= until:
+                    kept[i], until = True, stop
+            yield batch.loc[kept, ["contig", "strand", "start", "stop"]]
+
+    keys = ["contig", "strand", "_part"]
+    return found.repartition(*keys).sortWithinPartitions(*keys, "start").mapInPandas(accept, found.drop("_part").schema)
 
 
 def seq_diff(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -22,8 +22,7 @@ def decode_tokens(t):
 @query("select read_id, array_to_string(list_transform(string_split(seq, ''), lambda b: concat(cast(b = 'A' as int), cast(b = 'T' as int), cast(b = 'C' as int), cast(b = 'G' as int))), ' ') as bits, seq from reads")
 def one_hot_export(t):
     hot = op.one_hot(op.tokens(F.col("seq"), "ATCG"))
-    text = F.array_join(F.transform(hot, lambda r: F.array_join(F.transform(r, lambda b: b.cast("int").cast("string")), "")), " ")
-    return t.reads.select("read_id", text.alias("bits"), op.from_one_hot(hot, "ATCG").alias("seq"))
+    return t.reads.select("read_id", op.one_hot_text(hot).alias("bits"), op.from_one_hot(hot, "ATCG").alias("seq"))
 
 
 @query(f"select contig, {RC} as seq from genome")

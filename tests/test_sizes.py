@@ -4,8 +4,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from gsig.operators import fragments, kmers, reads, scoring, windows
-from gsig.plans import adapters
+from gsig.operators import fragments, kmers, reads, sampling, scoring, sequences, windows
+from gsig.plans import adapters, registry
 
 
 def plan(df):
@@ -139,3 +139,54 @@ def test_bases_of_long_batches(spark):
     texts = ["a" * (1 << 20), "é" * 700_001, None, "", "b\U0001f600" * 300_000]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1).select("i", adapters.as_bases(F.col("text")).alias("seq"))
     assert [r.seq for r in got.orderBy("i").collect()] == ["A" * (1 << 20), "N" * 700_001, None, "", "CN" * 300_000]
+
+
+def test_windows_of_given_bases(spark):
+    rows = random_rows(spark, (0, 9, 10, 25, 65_560))
+    want = {(c, i): sum(b in "GC" for b in s[i : i + 10]) for c, s in rows.collect() for i in range(0, len(s) - 9, 10)}
+    got = windows.windows_holding(rows, 10, 10)
+    assert {(r.contig, r.start): r.n for r in got.collect()} == want
+
+
+def test_no_window_or_kmer_is_looked_up_by_its_place(spark):
+    """What queries read are chunks; these are the only rows made of a sequence before Python."""
+    for name in ("dinucleotide_order", "gc_bins"):
+        assert plan(registry.queries()[name](spark, "/root/testdata/sf0.001")).count("Generate explode") == 1
+
+
+def test_frames_are_accepted_in_order_without_groups(spark):
+    rows = spark.createDataFrame([(c, "ATGAAATAA" * 3 + "ATG" * c) for c in range(6)], "contig long, seq string")
+    got = sequences.find_orfs(rows, 8)
+    assert sorted((r.contig, r.start, r.stop) for r in got.filter("strand = '+'").collect()) == [(c, i, i + 9) for c in range(6) for i in (0, 9, 18)]
+    assert "FlatMapGroups" not in plan(got)
+
+
+def test_bits_of_bases(spark):
+    """Tokens and bits are made of a batch at once; null and empty ones among them."""
+    rows = spark.createDataFrame([(0, "ACgtN"), (1, None), (2, ""), (3, "é\U0001f600T")], "i int, seq string").coalesce(1)
+    hot = sequences.one_hot(sequences.tokens(F.col("seq"), "ATCG"))
+    got = rows.select("i", hot.alias("hot"), sequences.one_hot_text(hot).alias("bits"), sequences.from_one_hot(hot, "ATCG").alias("seq"), sequences.tokens(F.col("seq"), length=3).alias("tok"))
+    by = {r.i: r for r in got.collect()}
+    assert [by[i].bits for i in range(4)] == ["1000 0010 0001 0100 0000", None, "", "0000 0000 0100"]
+    assert [by[i].seq for i in range(4)] == ["ACGTN", None, "", "NNT"] and [by[i].tok for i in range(4)] == [[0, 1, 2], None, [4, 4, 4], [4, 4, 3]]
+    assert by[3].hot == [[False] * 4, [False] * 4, [False, True, False, False]] and "lambda" not in plan(got)
+    uneven = spark.createDataFrame([([[True], [False, True], [True, True], []],)], "hot array<array<boolean>>")
+    assert uneven.select(sequences.from_one_hot(F.col("hot"))).first()[0] == "ACNN"
+
+
+def test_listed_mutations_meet_chunks(spark):
+    """Not whole sequences."""
+    rows, scorer = random_rows(spark, (2, 3, 40)), scoring.linear_scorer(np.random.default_rng(6).normal(size=(2, 3, 5)))
+    every = scoring.substitution_scores(rows, scorer, 3)
+    got = scoring.mutation_scores(rows, every.drop("value"), scorer, 3, chunk=8)
+    key = lambda df: sorted((r.contig, r.pos, r.mutant, round(r.value, 9)) for r in df.collect())
+    assert key(got) == key(every) and "_chunk" in plan(got)
+
+
+def test_shuffled_sequences_of_any_letters(spark):
+    rows = spark.createDataFrame([(1, None), (2, "é\U0001f600a" * 5), (3, ""), (4, "ACGT" * 9)], "contig long, seq string").coalesce(1)
+    for two in (False, True):
+        got = {(r.contig, r.copy): r.seq for r in sampling.shuffle_sequences(rows, 2, two).collect()}
+        assert len(got) == 8
+        for c, s in rows.collect():
+            assert all(got[c, i] is None if s is None else sorted(got[c, i]) == sorted(s) for i in (0, 1))
