@@ -190,3 +190,14 @@ def test_shuffled_sequences_of_any_letters(spark):
         assert len(got) == 8
         for c, s in rows.collect():
             assert all(got[c, i] is None if s is None else sorted(got[c, i]) == sorted(s) for i in (0, 1))
+
+
+def test_reads_are_cut_before_they_become_bases(spark, tmp_path):
+    """So Python gets a batch of reads, not of whole texts; characters of any width and null texts among them."""
+    texts = ["a\U0001f600é c" * 50, "", None, "x" * 202, "b\n" * 51]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.Tables(spark, str(tmp_path)).reads
+    bases = lambda x: x and "".join(adapters.BASES[adapters.LETTERS.index(c)] if c in adapters.LETTERS else "N" for c in x)
+    want = [(i * 1_000_000 + k, "s", bases(x and x[101 * k : 101 * k + 101])) for i, x in enumerate(texts) for k in range(max(1, -(-len(x or "") // 101)))]
+    assert sorted(map(tuple, got.collect())) == want
+    assert plan(got).count("ArrowEvalPython") == 1 and plan(got).index("ArrowEvalPython") < plan(got).index("Generate")
