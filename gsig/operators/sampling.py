@@ -164,24 +164,42 @@ def random_sequences(spark: SparkSession, n: int, length: int, freqs: dict[str,
     k = len(next(iter(freqs)))
     names = sorted(freqs)
     start = np.array([freqs[x] for x in names], float)
-    start /= start.sum()
-    nexts: dict[str, tuple[list[str], np.ndarray]] = {}
-    for x in {m[:-1] for m in names}:
-        own = [m for m in names if m[:-1] == x]
-        w = np.array([freqs[m] for m in own], float)
-        nexts[x] = ([m[-1] for m in own], np.cumsum(w / w.sum()) if w.sum() else np.cumsum(np.full(len(own), 1 / len(own))))
+    begin = np.cumsum(start / start.sum())
+    letters = sorted({*"ACGT", *"".join(names)})
+    # Contexts are the last k-1 letters as a number; of each, the letters that follow and their cumulated shares. Unmet ones are followed by ACGT alike.
+    number = lambda x: sum(letters.index(c) * len(letters) ** i for i, c in enumerate(reversed(x)))
+    steps, after = np.full((len(letters) ** (k - 1), len(letters)), np.inf), np.zeros((len(letters) ** (k - 1), len(letters)), np.int64)
+    steps[:, :4], after[:, :4] = np.cumsum([0.25] * 4), [letters.index(x) for x in "ACGT"]
+    own: dict[str, list[str]] = {}
+    for m in names:
+        own.setdefault(m[:-1], []).append(m)
+    for x, some in own.items():
+        w = np.array([freqs[m] for m in some], float)
+        row = number(x)
+        steps[row] = np.inf
+        steps[row, : len(some)] = np.cumsum(w / w.sum()) if w.sum() else np.cumsum(np.full(len(some), 1 / len(some)))
+        after[row] = letters.index(some[-1][-1])
+        after[row, : len(some)] = [letters.index(m[-1]) for m in some]
+    first, codes = np.array([[letters.index(c) for c in m] for m in names]), np.frombuffer("".join(letters).encode("utf-32-le"), np.uint32)
+
+    def sequences(ids: np.ndarray) -> list[str]:
+        """A letter of all of them at a time; each has its own draws."""
+        u = np.array([np.random.default_rng([seed, i]).random(1 + max(0, length - k)) for i in ids.tolist()])
+        out = np.empty((len(ids), max(k, length)), np.int64)
+        out[:, :k] = first[np.searchsorted(begin, u[:, 0], side="right").clip(0, len(names) - 1)]
+        context = out[:, 1:k] @ len(letters) ** np.arange(k - 2, -1, -1)
+        for at in range(k, length):
+            followed = (steps[context] <= u[:, at - k + 1, None]).sum(axis=1)
+            out[:, at] = after[context, np.minimum(followed, len(letters) - 1)]
+            context = (context * len(letters) + out[:, at]) % len(steps)
+        return [row.tobytes().decode("utf-32-le") for row in codes[out[:, :length]]]
 
     def make(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = max(1, (1 << 18) // max(1, length))
         for part in parts:
-            out = []
-            for i in part["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                s = names[int(np.searchsorted(np.cumsum(start), rng.random(), side="right").clip(0, len(names) - 1))]
-                for u in rng.random(max(0, length - k)):
-                    letters, steps = nexts.get(s[len(s) - k + 1 :] if k > 1 else "", (list("ACGT"), np.cumsum([0.25] * 4)))
-                    s += letters[min(int(np.searchsorted(steps, u, side="right")), len(letters) - 1)]
-                out.append(s[:length])
-            yield pd.DataFrame({"id": part["id"], "seq": out})
+            for at in range(0, len(part), size):
+                ids = part["id"].iloc[at : at + size]
+                yield pd.DataFrame({"id": ids, "seq": sequences(ids.to_numpy())})
 
     return spark.range(n).mapInPandas(make, "id long, seq string")
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import sampling as op
+from .adapters import genome_parts
 from .registry import query
 
 
@@ -90,7 +91,7 @@ def class_balanced_sample(t):
 
 @query()
 def random_sequences(t):
-    return op.random_sequences(t.spark, t.documents.count(), 200, op.fitted_frequencies(t.genome, 3))
+    return op.random_sequences(t.spark, t.documents.count(), 200, op.fitted_frequencies(genome_parts(t, 2), 3))
 
 
 @query("select i as id, 41 as n, 9 as a, 12 as c, 8 as t, 24 as strong from (select unnest(range(0, (select count(*) from documents))) as i)")

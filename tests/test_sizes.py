@@ -201,3 +201,27 @@ def test_reads_are_cut_before_they_become_bases(spark, tmp_path):
     want = [(i * 1_000_000 + k, "s", bases(x and x[101 * k : 101 * k + 101])) for i, x in enumerate(texts) for k in range(max(1, -(-len(x or "") // 101)))]
     assert sorted(map(tuple, got.collect())) == want
     assert plan(got).count("ArrowEvalPython") == 1 and plan(got).index("ArrowEvalPython") < plan(got).index("Generate")
+
+
+def test_random_sequences_grow_a_letter_at_a_time(spark):
+    """All of a batch together, with the draws of each; contexts that no k-mer has are followed by any letter."""
+    freqs, k, length = {"AC": 0.5, "CA": 0.25, "CN": 0.25, "NA": 0.0}, 2, 60
+    got = {r.id: r.seq for r in sampling.random_sequences(spark, 300, length, freqs, 3).collect()}
+    for i in (0, 1, 299):
+        rng = np.random.default_rng([3, i])
+        seq = sorted(freqs)[int(np.searchsorted([0.5, 0.75, 1, 1], rng.random(), side="right"))]
+        for u in rng.random(length - k):
+            letters, steps = {"A": ("C", [1]), "C": ("AN", [0.5, 1]), "N": ("A", [1])}[seq[-1]]
+            seq += letters[min(int(np.searchsorted(steps, u, side="right")), len(letters) - 1)]
+        assert got[i] == seq
+    assert {len(s) for s in got.values()} == {length}
+
+
+def test_parts_of_contigs_hold_every_kmer_once(spark, tmp_path):
+    """They are cut before they become bases, so what is counted of them takes small batches."""
+    texts = ["abcdefg é\U0001f600" * n for n in (0, 1, 51, 52, 300)] + [None, "a" * 512, "b" * 513, "ab" * 257]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    t = registry.Tables(spark, str(tmp_path))
+    parts = adapters.genome_parts(t, 2)
+    assert kmers.kmer_counts(parts, 3).collect() == kmers.kmer_counts(t.genome, 3).collect()
+    assert max(len(r.seq or "") for r in parts.collect()) == 514 and plan(parts).index("ArrowEvalPython") < plan(parts).index("Generate")
