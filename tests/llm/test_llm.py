@@ -575,6 +575,24 @@ def test_bpe_equals_library(codec):
         assert own.decode(ids) == text.encode()
 
 
+def test_bpe_merges_many_leaves_together(codec, monkeypatch):
+    """As one by one, in groups of any size; what is remembered stays bounded, and pieces still in use are kept."""
+    own, library = codec
+    rng = random.Random(5)
+    leaves = [bytes(rng.choice(rng.choice([b"anthero", b"aA", bytes(range(256))])) for _ in range(rng.randint(0, bpe.LEAF))) for _ in range(900)]
+    for group in (1, 300, 1 << 16):
+        monkeypatch.setattr(bpe, "GROUP", group)
+        assert own.merges.merged(leaves) == [own.merge(x) for x in leaves]
+    monkeypatch.setattr(bpe, "CACHED", 50)
+    monkeypatch.setattr(bpe, "NEW", 300)
+    texts = [" ".join("".join(rng.choice("abcdet") for _ in range(rng.randint(1, 60))) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    fresh = bpe.Codec(own.ranks, public_tokenizers.PATTERN)
+    assert [np.frombuffer(x, "<u4").tolist() for x in fresh.encode_all([*texts, None, "", *texts])] == [library.encode_ordinary(x) for x in [*texts, "", "", *texts]]
+    assert len(fresh.pieces.newer) <= 50 and len(fresh.pieces.older) <= 50
+    with pytest.raises(KeyError):
+        bpe.Codec({b"a": 0}, public_tokenizers.PATTERN).encode("ab")
+
+
 def test_bpe_join_is_associative(codec):
     own, _ = codec
     rng = random.Random(3)
