@@ -251,3 +251,28 @@ def with_occurrences(mutations: DataFrame, history: DataFrame) -> DataFrame:
     base = history.join(places, "contig").groupBy("contig", "pos", F.substring("seq", F.col("pos") + 1, F.lit(1)).alias("mutant")).agg(F.count("*").alias("base_seen"))
     out = mutations.withColumn("_h", F.xxhash64("seq")).join(whole, ["contig", "_h", "seq"], "left").join(base, ["contig", "pos", "mutant"], "left")
     return out.withColumn("seen", F.coalesce("seen", F.lit(0))).withColumn("base_seen", F.coalesce("base_seen", F.lit(0))).drop("_h")
+
+
+def mutations_seen(rows: DataFrame, positions: Column, history: DataFrame, order: str = "ACGT") -> DataFrame:
+    """contig, pos, mutant of all_mutations(rows, positions), with seen and base_seen as of with_occurrences; equal rows give them once.
+
+    A mutation is in the history if that sequence is the same but for the base at its position. So no mutated sequence is made: what
+    is left of sequences without that base is told apart by 128 bits of hash, once for the three mutations of a position, and rows and
+    history are counted by it and by base in one pass.
+    """
+    base = F.substring("seq", F.col("pos") + 1, F.lit(1))
+    index = F.when(base != "", F.instr(F.lit(order), base) - 1).alias("index")  # of the empty string, instr is 1
+    left, right = F.left("seq", F.col("pos")), F.substring("seq", F.col("pos") + 2, F.length("seq"))
+    rest = [F.xxhash64(left, right).alias("_a"), F.xxhash64(F.lit(1), right, left).alias("_b")]
+    each = rows.select("contig", "seq", F.explode(positions).alias("pos")).select("contig", "pos", index, *rest, F.lit(1).alias("own")).filter("index >= 0")
+    places = each.select("contig", "pos").repartition("contig").distinct()
+    at = history.join(places, "contig").select("contig", "pos", index, *rest, F.lit(0).alias("own")).filter("index >= 0")
+    count = lambda own: [F.count_if((F.col("own") == own) & (F.col("index") == i)).alias(f"_{own}{i}") for i in range(len(order))]
+    counts = each.union(at).groupBy("contig", "pos", "_a", "_b").agg(*count(0), *count(1))
+    here = W.partitionBy("contig", "pos")
+    of = lambda some: F.array(*some)
+    numbers = range(len(order))
+    counts = counts.select("contig", "pos", of([f"_0{i}" for i in numbers]).alias("n"), of([f"_1{i}" for i in numbers]).alias("own"), of([F.sum(f"_0{i}").over(here) for i in numbers]).alias("all"))
+    mutants = F.array(*(F.when((F.col("own")[i] > 0), (i + step) % 4) for i in numbers for step in (1, 2, 3)))
+    out = counts.select("contig", "pos", "n", "all", F.explode(mutants).alias("new")).filter("new is not null")
+    return out.select("contig", "pos", F.substring(F.lit(order), F.col("new") + 1, F.lit(1)).alias("mutant"), F.get("n", "new").alias("seen"), F.get("all", "new").alias("base_seen"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import sequences as op
+from ..operators import physical, sequences as op
 from .registry import query
 
 CODED = "regexp_replace(translate(seq, 'ACGT', '0123'), '[^0-3]', '4', 'g')"
@@ -87,7 +87,7 @@ def all_mutations(t):
     select contig, cast(pos as integer) as pos, mutant, (select count(*) from h where h.contig = n.contig and h.seq = n.seq) as seen, (select count(*) from h where h.contig = n.contig and substring(h.seq, cast(n.pos + 1 as bigint), 1) = n.mutant) as base_seen from n""")
 def mutations_seen(t):
     """Mutations of the middle and of base 7 of every read, looked up in a history of reads and of their copies with an A there."""
-    rows = t.reads.withColumnRenamed("read_id", "contig").select("contig", "seq")
+    rows = physical.shared(t.reads.withColumnRenamed("read_id", "contig").select("contig", "seq"))
     at = F.filter(F.array_distinct(F.array(F.floor(F.length("seq") / 2).cast("int"), F.lit(7))), lambda i: i < F.length("seq"))
     earlier = rows.filter(F.length("seq") > 8).withColumn("seq", F.overlay("seq", F.lit("A"), F.lit(8)))
-    return op.with_occurrences(op.all_mutations(rows, at), rows.union(earlier)).select("contig", "pos", "mutant", "seen", "base_seen")
+    return op.mutations_seen(rows, at, rows.union(earlier))

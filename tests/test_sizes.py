@@ -225,3 +225,26 @@ def test_parts_of_contigs_hold_every_kmer_once(spark, tmp_path):
     parts = adapters.genome_parts(t, 2)
     assert kmers.kmer_counts(parts, 3).collect() == kmers.kmer_counts(t.genome, 3).collect()
     assert max(len(r.seq or "") for r in parts.collect()) == 514 and plan(parts).index("ArrowEvalPython") < plan(parts).index("Generate")
+
+
+def test_mutations_are_looked_up_without_being_made(spark):
+    """As looked up one by one in histories of many sequences, of other lengths, and of none; unknown bases, nulls and equal rows among them."""
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("ACGTN"), n, p=[0.3, 0.3, 0.2, 0.15, 0.05]))
+    rows = [(c, word(n)) for c, n in enumerate((0, 1, 3, 5, 5, 9)) for _ in range(2)] + [(7, "ACGT"), (7, "ACGT"), (8, None)]
+    changed = [(c, s[:i] + b + s[i + 1 :]) for c, s in rows if s and c != 3 for i in range(len(s)) for b in "ACN"]
+    history = rows + changed + changed[::2] + [(7, "ACG"), (7, "ACGTA"), (7, None), (5, ""), (99, "A")]
+    df = lambda some: spark.createDataFrame(some, "contig long, seq string")
+    at = F.filter(F.array(*map(F.lit, (0, 2, 4))), lambda i: i < F.length("seq"))
+    got = sequences.mutations_seen(df(rows), at, df(history))
+    want = []
+    for c, s in {r for r in rows if r[1]}:
+        for i in (0, 2, 4):
+            for b in "ACGT" if i < len(s) and s[i] != "N" else "":
+                if b != s[i]:
+                    mine = [h for d, h in history if d == c and h is not None]
+                    want.append((c, i, b, mine.count(s[:i] + b + s[i + 1 :]), sum(h[i : i + 1] == b for h in mine)))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and any(w[3] for w in want)
+    made = sequences.with_occurrences(sequences.all_mutations(df(rows).distinct(), at), df(history))
+    assert sorted(map(tuple, made.select(got.columns).collect())) == sorted(want)
+    assert "ArrowEvalPython" not in plan(registry.queries()["mutations_seen"](spark, "/root/testdata/sf0.001"))
