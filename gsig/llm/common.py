@@ -56,12 +56,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
-    """Like written, dealt to as many buckets of `key` as shuffles have partitions, and the folder; joins on the key meet the rows where they lie."""
+def bucketed(df: DataFrame, key: str, dictionary: bool = True) -> tuple[DataFrame, str]:
+    """Like written, dealt to as many buckets of `key` as shuffles have partitions, and the folder; joins on the key meet the rows where they lie.
+
+    Hashes that hardly repeat cost less without a dictionary.
+    """
     spark, name = df.sparkSession, f"gsig_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     with lean(spark):
-        df.write.option("compression", "zstd").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(name)
+        df.write.option("compression", "zstd").option("parquet.enable.dictionary", dictionary).option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(name)
     return spark.table(name), path
 
 

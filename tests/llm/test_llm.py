@@ -200,6 +200,35 @@ def test_line_dedup_grows_with_a_group(spark, monkeypatch, size, changed, groups
     assert wrote[1] < 2.6 * wrote[0] and wrote[2] < 2.6 * wrote[1]
 
 
+def test_line_dedup_handles_each_word_set_once(spark, monkeypatch):
+    """Word sets are written once for all lines and once for candidates, not for each list; no filter that Spark infers makes prefixes or signatures again."""
+    rng, rows, sets, plans = random.Random(2), [], [], []
+    for i in range(80):
+        w = [f"w{k}" for k in range(40)]
+        for k in rng.sample(range(40), 4):
+            w[k] = f"new{i}x{k}"
+        rows.append((i, " ".join(w)))
+
+    def written(df, write=line_dedup.written):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        out = write(df)
+        sets.append(out.count() if "h" in out.columns else 0)
+        return out
+
+    def bucketed(df, *args, write=line_dedup.bucketed, **options):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        out = write(df, *args, **options)
+        sets.append(out[0].count() if "h" in out[0].columns else 0)
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", written)
+    monkeypatch.setattr(line_dedup, "bucketed", bucketed)
+    got = {r.doc_id: list(r.removed) for r in line_dedup.report(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert got == removed_plainly(rows)
+    assert sum(sets) <= 2 * len(rows)
+    assert not [x for p in plans for x in p.split("\n") if re.match(r"[ :+-]*Filter", x) and ("aggregate(" in x or "transform(" in x)]
+
+
 def plain_scores(rows, order=2, d=(0, 0.9, 1.2, 1.5)):
     """Shares from their definition, each from that of the history without its first word; no states, arcs or failures."""
     count, following = Counter(), {}
