@@ -205,7 +205,7 @@ def test_line_dedup_handles_each_word_set_once(spark, monkeypatch):
     rng, rows, sets, plans = random.Random(2), [], [], []
     for i in range(80):
         w = [f"w{k}" for k in range(40)]
-        for k in rng.sample(range(40), 4):
+        for k in rng.sample(range(40), 3):
             w[k] = f"new{i}x{k}"
         rows.append((i, " ".join(w)))
 
