@@ -293,25 +293,27 @@ def shuffle_sequences(rows: DataFrame, copies: int = 1, dinucleotides: bool = Fa
         return np.frombuffer(seq.encode(code), kind)[rng.permutation(len(seq))].tobytes().decode(code)
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A sequence at a time; results go on after about a million letters."""
+        """A sequence at a time, which gives all its copies; results go on after about a million letters."""
         out, held = ([], [], []), 0
         for part in parts:
-            for contig, copy, seq, u in zip(*map(part.column, ("contig", "copy", "seq", "_u")), strict=True):
-                seq = seq.as_py()
-                new = None if seq is None else (walk if dinucleotides else shuffled)(seq, np.random.default_rng(abs(u.as_py())))
-                for column, value in zip(out, (contig.as_py(), copy.as_py(), new), strict=True):
-                    column.append(value)
-                held += len(new or "")
-                if held >= 1 << 20:
-                    yield batch_of(out)
-                    out, held = ([], [], []), 0
+            for contig, seq, u in zip(*map(part.column, ("contig", "seq", "_u")), strict=True):
+                contig, seq, rng = contig.as_py(), seq.as_py(), np.random.default_rng(abs(u.as_py()))
+                for copy in range(copies):
+                    new = None if seq is None else (walk if dinucleotides else shuffled)(seq, rng)
+                    for column, value in zip(out, (contig, copy, new), strict=True):
+                        column.append(value)
+                    held += len(new or "")
+                    if held >= 1 << 20:
+                        yield batch_of(out)
+                        out, held = ([], [], []), 0
         if out[0]:
             yield batch_of(out)
 
     def batch_of(out: tuple[list, list, list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.string()), strict=True)], ["contig", "copy", "seq"])
 
-    each = rows.select("contig", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "seq").withColumn("_u", F.xxhash64("contig", "copy", F.lit(seed)))
+    # Sequences are dealt out: a file may have one row group of millions of them, which one task would read and shuffle.
+    each = rows.select("contig", "seq", F.xxhash64("contig", F.lit(seed)).alias("_u")).repartition("contig")
     return each.mapInArrow(make, "contig long, copy int, seq string")
 
 

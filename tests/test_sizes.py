@@ -192,6 +192,20 @@ def test_shuffled_sequences_of_any_letters(spark):
             assert all(got[c, i] is None if s is None else sorted(got[c, i]) == sorted(s) for i in (0, 1))
 
 
+def test_shuffles_are_dealt_out(spark):
+    """However few row groups a file has, each sequence once for all its copies; the result doesn't depend on where it is made."""
+    rows = random_rows(spark, range(40, 104)).coalesce(1)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, False)
+    try:
+        for two in (False, True):
+            got = sampling.shuffle_sequences(rows, 2, two)
+            assert got.select(F.spark_partition_id()).distinct().count() > 1 and "Generate" not in plan(got)
+            assert sorted(got.collect()) == sorted(sampling.shuffle_sequences(rows.repartition(3), 3, two).filter("copy < 2").collect()) and got.distinct().count() == 128
+    finally:
+        spark.conf.unset(coalesce)
+
+
 def test_reads_are_cut_before_they_become_bases(spark, tmp_path):
     """So Python gets a batch of reads, not of whole texts; characters of any width and null texts among them."""
     texts = ["a\U0001f600é c" * 50, "", None, "x" * 202, "b\n" * 51]
