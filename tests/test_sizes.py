@@ -1,7 +1,10 @@
 """What bounds the work and the memory of a task, whatever a batch or a sequence holds."""
 
+from itertools import product
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from gsig.operators import fragments, kmers, reads, sampling, scoring, sequences, windows
@@ -79,6 +82,32 @@ def test_sliding_totals_equal_sums_of_runs(spark):
         assert sorted(map(tuple, kmers.sliding_kmer_totals(rows, k, size).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_every_window_has_its_counts(spark, monkeypatch):
+    """Windows across chunks and without any known k-mer, too; the query gives them all, and no sums over them."""
+    chunks = windows.chunks
+    monkeypatch.setattr(windows, "chunks", lambda rows, size, stride: chunks(rows, size, stride, chunk=8))
+    rows = random_rows(spark, (0, 1, 11, 12, 13, 300)).unionByName(spark.createDataFrame([(6, None), (7, "N" * 20), (8, "ACGT" * 80)], "contig long, seq string"))
+    for k, size, with_n in ((2, 12, False), (2, 2, True), (1, 5, True), (2, 300, False)):
+        got = {(r.contig, r.start): r.asDict() for r in kmers.sliding_kmer_table(rows, k, size, with_n).collect()}
+        want = {}
+        for contig, seq in rows.collect():
+            for i in range(len(seq or "") - size + 1):
+                n = dict.fromkeys(("".join(x) for x in product("ACGTN" if with_n else "ACGT", repeat=k)), 0)
+                for m in (seq[j : j + k] for j in range(i, i + size - k + 1)):
+                    n |= {m: n[m] + 1} if m in n else {}
+                want[contig, i] = {"contig": contig, "start": i} | n
+        assert got == want
+    with pytest.raises(ValueError):
+        kmers.sliding_kmer_table(rows, 3, 2)
+
+
+def test_query_of_sliding_kmers_gives_windows(spark, tmp_path):
+    spark.createDataFrame([(1, "abcdefghijklmn"), (2, "a b c d e f g h"), (3, "abc")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["sliding_kmer_counts"](spark, str(tmp_path)).orderBy("contig", "start").collect()
+    assert [(r.contig, r.start) for r in got] == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2), (2, 3)]
+    assert [sum(r[2:]) for r in got] == [11] * 3 + [0] * 4 and (got[0].AC, got[0].TA, got[1].AC, got[1].CG) == (3, 2, 2, 3)
+
+
 def test_windows_kmers_are_counted_in_their_task(spark):
     rows = random_rows(spark, (0, 2, 3, 10, 11, 95))
     got = kmers.window_kmers(rows, 3, 10)
